@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, mixing, quality
+from tidemark.llm import chat, mixing, packing, quality, simhash, tokens
 from tidemark.llm.common import table
 
 
+def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return m.select("doc_id", *[F.col("measures")[k].alias(k) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")])
@@ -41,9 +46,31 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def vocabulary_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(packing.cut(table(spark, sf_dir, "documents"), vocabulary_path("byte_bpe_50k.json")))
+
+
+#: Documents with more tokens are marked as over the limit.
+TOKEN_LIMIT = 2048
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = tokens.count_tokens(table(spark, sf_dir, "documents"), vocabulary_path("word_bpe_49k.json"))
+    return counts.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op3_quality_rules": op3_quality_rules,
     "op4_curriculum_mix": op4_curriculum_mix,
     "op5_chat_format": op5_chat_format,
+    "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_token_counts": op7_token_counts,
 }
 ORACLE = {}
