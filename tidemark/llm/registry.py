@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, mixing, packing, quality, simhash, tokens
+from tidemark.llm import chat, minhash, mixing, packing, quality, simhash, tokens, urls, warc
 from tidemark.llm.common import table
 
 
@@ -16,6 +16,11 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op2_warc_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = warc.read_packages(warc.write_packages(table(spark, sf_dir, "pages")))
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return m.select("doc_id", *[F.col("measures")[k].alias(k) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")])
@@ -65,12 +70,23 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def op9_minhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.compare_edits(table(spark, sf_dir, "documents"))
+
+
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op2_warc_packages": op2_warc_packages,
     "op3_quality_rules": op3_quality_rules,
     "op4_curriculum_mix": op4_curriculum_mix,
     "op5_chat_format": op5_chat_format,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_token_counts": op7_token_counts,
+    "op9_minhash_fingerprints": op9_minhash_fingerprints,
+    "op10_url_filter": op10_url_filter,
 }
 ORACLE = {}
