@@ -48,13 +48,14 @@ def root_paths(tree: DataFrame) -> DataFrame:
     parents = t.filter("parent_id IS NOT NULL").select("tree_id", "node_id", F.col("parent_id").alias("above"))
     real = parents.join(known, parents["tree_id"].eqNullSafe(known["tree_id"]) & (parents["above"] == known["parent_id"]), "left_semi")
     leaves = t.join(real.select(F.col("tree_id").alias("r_tree"), "above"), t["tree_id"].eqNullSafe(F.col("r_tree")) & t["node_id"].eqNullSafe(F.col("above")), "left_anti")
+    # A path has at most as many messages as its tree; deeper jumps than that, or than the first empty one, aren't needed.
+    largest = t.groupBy("tree_id").count().agg(F.max("count")).first()[0] or 0
     jumps, reach = [durable(real)], 1
-    while True:
-        last = jumps[-1]
-        a, b = last.alias("a"), last.alias("b")
+    while 2 * reach < largest:
+        a, b = jumps[-1].alias("a"), jumps[-1].alias("b")
         step = a.join(b, F.col("a.tree_id").eqNullSafe(F.col("b.tree_id")) & (F.col("a.above") == F.col("b.node_id"))).select("a.tree_id", "a.node_id", F.col("b.above").alias("above"))
         step = durable(step)
-        if step.isEmpty() or len(jumps) > 40:
+        if step.isEmpty():
             break
         jumps.append(step)
         reach *= 2
@@ -101,7 +102,7 @@ def format_paths(messages: DataFrame, trained: tuple[str, ...] = TRAINED) -> Dat
 
 def format_trees(tree: DataFrame, most: int | None = 1, trained: tuple[str, ...] = TRAINED) -> DataFrame:
     """Every tree's ``most`` best-scored root-to-leaf paths as conversations."""
-    tree = durable(require(tree, "tree_id", "node_id", "parent_id", "score", "role", "text"))
+    tree = require(tree, "tree_id", "node_id", "parent_id", "score", "role", "text")
     return format_paths(rank_paths(tree, root_paths(tree), most), trained)
 
 

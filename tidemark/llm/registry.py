@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, minhash, mixing, packing, quality, simhash, tokens, urls, warc
+from tidemark.llm import chat, minhash, mixing, packing, quality, simhash, tokens, toxicity, urls, warc
 from tidemark.llm.common import table
 
 
@@ -70,6 +70,13 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def op8_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    out = toxicity.score(documents, toxicity.train(documents, table(spark, sf_dir, "labels")))
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 0
+    return out.select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
 def op9_minhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.compare_edits(table(spark, sf_dir, "documents"))
 
@@ -86,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_chat_format": op5_chat_format,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_token_counts": op7_token_counts,
+    "op8_toxicity_cnn": op8_toxicity_cnn,
     "op9_minhash_fingerprints": op9_minhash_fingerprints,
     "op10_url_filter": op10_url_filter,
 }

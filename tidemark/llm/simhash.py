@@ -15,6 +15,7 @@ part in links but can't name a group while there is another id in it. Empty tabl
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import durable, require
+from tidemark.llm.common import durable, fresh, require
 from tidemark.llm.components import components
 from tidemark.llm.tokens import _bytes
 
@@ -151,71 +152,84 @@ def route(tree: Node | int, a: np.ndarray, radius: int, dtype) -> Iterator[tuple
     yield from walk(tree, np.arange(len(a)), np.ones(len(a), dtype=bool))
 
 
-def stars(whole: np.ndarray, piece: np.ndarray, home: np.ndarray, radius: int, inner: int) -> Iterator[tuple[int, int]]:
-    """Links (i, j) that span every group of places joined by pairs, one of them at home, at ``radius`` or less.
+def leaves(piece: np.ndarray, home: np.ndarray, inner: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Split a shard further, down to ``LEAF`` places at home: (places, whether each is at home in this leaf).
 
-    ``whole`` has a row per place and a column per 64 bits, ``piece`` the slice that the tree splits by, with ``inner`` as
-    its radius. A leaf is searched outwards from each place in turn; what joins a group leaves the search, so a group of
-    near copies takes time in proportion to its size.
+    ``piece`` is the slice that the tree splits by. What doesn't split (a dense group) stays whole.
     """
-    dtype = piece.dtype.type
-    todo = [np.arange(len(piece))]
+    todo = [(np.arange(len(piece)), home)]
     while todo:
-        at = todo.pop()
-        homes = int(home[at].sum())
-        if not homes:
+        at, own = todo.pop()
+        if not own.any():
             continue
-        if homes > LEAF:
-            split = choose(piece[at[home[at]]])
-            if split is not None:
-                d = distances(piece[at], dtype(split[0])).astype(np.int64)
-                # As in ``route``; a place that visits the other side is no longer at home there.
-                sides = (at[d - inner < split[1]], d[d - inner < split[1]] < split[1]), (at[d + inner >= split[1]], d[d + inner >= split[1]] >= split[1])
-                if max(len(s) for s, _ in sides) < len(at):
-                    for places, own in sides:
-                        yield from _inside(places, whole, piece, home, own, radius, inner)
-                    continue
-        yield from _leaf(at, whole, home, radius)
-
-
-def _inside(places, whole, piece, home, own, radius, inner) -> Iterator[tuple[int, int]]:
-    for i, j in stars(whole[places], piece[places], home[places] & own, radius, inner):
-        yield int(places[i]), int(places[j])
-
-
-def _leaf(at: np.ndarray, whole: np.ndarray, home: np.ndarray, radius: int) -> Iterator[tuple[int, int]]:
-    order = np.concatenate([at[home[at]], at[~home[at]]])
-    homes = int(home[at].sum())
-    left_home, left_visit = order[:homes], order[homes:]
-    while len(left_home):
-        first, left_home = left_home[0], left_home[1:]
-        queue = [(first, True)]
-        while queue:
-            i, at_home = queue.pop()
-            near = np.bitwise_count(whole[left_home] ^ whole[i]).sum(axis=1, dtype=np.int64) <= radius
-            for j in left_home[near].tolist():
-                yield int(first), j
-                queue.append((j, True))
-            left_home = left_home[~near]
-            if at_home:  # two visitors meet in the shard where one of them is at home
-                near = np.bitwise_count(whole[left_visit] ^ whole[i]).sum(axis=1, dtype=np.int64) <= radius
-                for j in left_visit[near].tolist():
+        split = choose(piece[at[own]]) if own.sum() > LEAF else None
+        if split is None:
+            yield at, own
+            continue
+        d = distances(piece[at], piece.dtype.type(split[0])).astype(np.int64)
+        near, far = d - inner < split[1], d + inner >= split[1]
+        todo += [(at[near], (own & (d < split[1]))[near]), (at[far], (own & (d >= split[1]))[far])]
+
+
+def stars(whole: np.ndarray, piece: np.ndarray, home: np.ndarray, radius: int, inner: int) -> Iterator[tuple[int, int]]:
+    """Links (i, j) that span every group of places joined by pairs, one of them at home, at ``radius`` or less.
+
+    ``whole`` has a row per place and a column per 64 bits. A leaf is searched outwards from each place in turn; what joins
+    a group leaves the search, so a group of near copies takes time in proportion to its size.
+    """
+    for at, own in leaves(piece, home, inner):
+        left_home, left_visit = at[own], at[~own]
+        while len(left_home):
+            first, left_home = left_home[0], left_home[1:]
+            queue = [(first, True)]
+            while queue:
+                i, at_home = queue.pop()
+                near = np.bitwise_count(whole[left_home] ^ whole[i]).sum(axis=1, dtype=np.int64) <= radius
+                for j in left_home[near].tolist():
                     yield int(first), j
-                    queue.append((j, False))
-                left_visit = left_visit[~near]
+                    queue.append((j, True))
+                left_home = left_home[~near]
+                if at_home:  # two visitors meet in the shard where one of them is at home
+                    near = np.bitwise_count(whole[left_visit] ^ whole[i]).sum(axis=1, dtype=np.int64) <= radius
+                    for j in left_visit[near].tolist():
+                        yield int(first), j
+                        queue.append((j, False))
+                    left_visit = left_visit[~near]
 
 
-def linked(prints: DataFrame, radius: int = 3, slices: int = 2, bits: int = 32, lanes: int = 1) -> DataFrame:
-    """Spanning links (a, b) among the rows of ``prints`` (node long, f0, f1, ... distinct fingerprints).
+def spokes(whole: np.ndarray, piece: np.ndarray, home: np.ndarray, radius: int, inner: int, active: np.ndarray, every: bool = False) -> Iterator[tuple[int, int]]:
+    """Pairs (i, j) at ``radius`` or less from hubs i: active places at home that no hub before them has reached.
 
-    ``slices`` pieces of ``bits`` bits cover the ``lanes`` times 64 bits. Every pair at ``radius`` or less is joined by a
-    path of the links given.
+    Places with many others near come first, so that the middle of a group is its hub. With ``every``, each active place
+    at home is a hub.
+    """
+    for at, own in leaves(piece, home, inner):
+        hubs = at[own & active[at]]
+        probe = at[:: max(1, len(at) // 256)]
+        crowd = np.array([(np.bitwise_count(whole[probe] ^ whole[i]).sum(axis=1, dtype=np.int64) <= radius).sum() for i in hubs], dtype=np.int64)
+        hubs = hubs[np.argsort(-crowd, kind="stable")]
+        reached = np.zeros(len(piece), dtype=bool)
+        members = whole[at]
+        for i in hubs.tolist():
+            if reached[i] and not every:
+                continue
+            near = at[np.bitwise_count(members ^ whole[i]).sum(axis=1, dtype=np.int64) <= radius]
+            reached[near] = True
+            for j in near[near != i].tolist():
+                yield i, j
+
+
+def sharded(prints: DataFrame, find, radius: int, slices: int, bits: int, lanes: int, extra: str | None = None, inner: int | None = None) -> DataFrame:
+    """Run ``find(whole, piece, home, radius, inner[, extra column])`` in every shard; pairs (a, b) of nodes.
+
+    ``prints`` has node (long), f0, f1, ... and perhaps the boolean column ``extra``; ``slices`` pieces of ``bits`` bits
+    cover the fingerprint. ``inner`` is the radius within a slice; at ``radius // slices`` no pair is missed.
     """
-    prints = durable(prints)
     n = prints.count()
     dtype = {16: np.uint16, 32: np.uint32, 64: np.uint64}[bits]
-    inner = radius // slices
+    inner = radius // slices if inner is None else inner
     lane_columns = [f"f{i}" for i in range(lanes)]
+    carried = ["node", *lane_columns, *([extra] if extra else [])]
     depth = max(0, math.ceil(math.log2(max(n, 1) / SHARD)))
     sample = prints.orderBy(F.xxhash64(*lane_columns)).limit(SAMPLE).toPandas() if depth else None
 
@@ -239,20 +253,29 @@ def linked(prints: DataFrame, radius: int = 3, slices: int = 2, bits: int = 32,
 
     def search(frame: pd.DataFrame) -> pd.DataFrame:
         whole, nodes = whole_of(frame), frame["node"].to_numpy(np.int64)
-        found = list(stars(whole, slice_of(whole, int(frame["slice"].iloc[0])), frame["home"].to_numpy(bool), radius, inner))
+        more = [frame[extra].to_numpy(bool)] if extra else []
+        found = list(find(whole, slice_of(whole, int(frame["slice"].iloc[0])), frame["home"].to_numpy(bool), radius, inner, *more))
         at = np.array(found, dtype=np.int64).reshape(-1, 2)
         return pd.DataFrame({"a": nodes[at[:, 0]], "b": nodes[at[:, 1]]})
 
-    schema = "node long, " + ", ".join(f"{c} long" for c in lane_columns)
-    routed = prints.select("node", *lane_columns).mapInPandas(spread, f"{schema}, shard int, slice int, home boolean")
+    schema = "node long, " + ", ".join(f"{c} long" for c in lane_columns) + (f", {extra} boolean" if extra else "")
+    routed = prints.select(*carried).mapInPandas(spread, f"{schema}, shard int, slice int, home boolean")
     return routed.groupBy("shard").applyInPandas(search, "a long, b long")
 
 
+def linked(prints: DataFrame, radius: int = 3, slices: int = 2, bits: int = 32, lanes: int = 1) -> DataFrame:
+    """Spanning links (a, b) among the rows of ``prints`` (node long, f0, f1, ...; checkpointed, distinct fingerprints).
+
+    Every pair at ``radius`` or less is joined by a path of the links given.
+    """
+    return sharded(prints, stars, radius, slices, bits, lanes)
+
+
 def group(prints: DataFrame, radius: int = 3, slices: int = 2, bits: int = 32, lanes: int = 1) -> DataFrame:
     """``prints`` (id, f0, ...) with component_id, the smallest id that chains of links reach."""
     lane_columns = [f"f{i}" for i in range(lanes)]
     prints = durable(prints)
-    distinct = durable(prints.groupBy(*lane_columns).agg(F.min("id").alias("node"))).filter("node IS NOT NULL")
+    distinct = durable(prints.groupBy(*lane_columns).agg(F.min("id").alias("node")).filter("node IS NOT NULL"))
     found = components(linked(distinct, radius, slices, bits, lanes))
     labels = distinct.join(found, "node", "left").select(*[F.col(c).alias(f"l_{c}") for c in lane_columns], F.coalesce("component", "node").alias("component_id"))
     same = [F.col(c) == F.col(f"l_{c}") for c in lane_columns]
@@ -262,3 +285,71 @@ def group(prints: DataFrame, radius: int = 3, slices: int = 2, bits: int = 32, l
 def near_duplicates(documents: DataFrame, words: int = 3, radius: int = 3) -> DataFrame:
     """(id, f0, component_id) per row of ``documents``."""
     return group(fingerprints(documents, words), radius)
+
+
+#: The pipeline's near-duplicates: five-word shingles with a Jaccard similarity of 0.8 or more. Over 128 bits such a pair
+#: differs in 19 bits on average (angle / pi of the cosine 2 * 0.8 / 1.8) with a deviation of 4; 28 bits leave room.
+SIMILAR_WORDS, SIMILAR, SIMILAR_LANES, SIMILAR_RADIUS = 5, 0.8, 2, 28
+#: Search slices of 16 bits with a radius of 1 each: one of the eight is that near for over nine in ten pairs at 0.8.
+SIMILAR_SLICES, SIMILAR_BITS, SIMILAR_INNER = 8, 16, 1
+
+
+def jaccard_at_least(pairs: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
+    """The pairs (a, b) whose shingle sets are alike enough, by exact comparison; ``texts``: node, text."""
+    ends = durable(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
+    wanted = texts.join(ends, "node", "left_semi")
+
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(x, words)).astype("<u8").tobytes() for x in _bytes(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.binary())], names=["node", "shingles"])
+
+    sets = durable(wanted.select("node", "text").mapInArrow(shingles, "node long, shingles binary"))
+    both = pairs.join(sets.withColumnsRenamed({"node": "b", "shingles": "of_b"}), "b").join(sets.withColumnsRenamed({"node": "a", "shingles": "of_a"}), "a")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            alike = []
+            for x, y in zip(batch.column("of_a").to_pylist(), batch.column("of_b").to_pylist()):
+                x, y = np.frombuffer(x, dtype="<u8"), np.frombuffer(y, dtype="<u8")
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                alike.append(common >= least * (len(x) + len(y) - common))
+            yield batch.select(["a", "b"]).filter(pa.array(alike, pa.bool_()))
+
+    return both.select("a", "b", "of_a", "of_b").mapInArrow(compare, "a long, b long")
+
+
+def one_of_each(documents: DataFrame, rounds: int = 3) -> DataFrame:
+    """The documents without near-duplicates: of each group the row with the smallest doc_id stays, with all its columns.
+
+    Exact copies are one text from the start. In each round hubs are compared with all texts near their fingerprint, which
+    settles the texts that are alike to a hub; a text that only a hub unlike it has reached is a hub itself in a later
+    round, and after ``rounds`` of them each such text is compared with all near it. So a group of n copies costs about n
+    comparisons, and no text is left out of the search. Texts without words are alike to each other.
+    """
+    numbered = documents.withColumn(row := fresh(documents, "row"), F.monotonically_increasing_id())
+    bare = numbered.select(F.col(row).alias("row"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    bare = bare.withColumn("digest", F.md5("text"))
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))
+    reps = durable(bare.groupBy("digest").agg(first.alias("first")).select(F.col("first.row").alias("row"), F.col("first.doc_id").alias("rep_doc_id")))
+    texts = bare.join(reps, "row").select(F.col("row").alias("node"), "doc_id", "text")
+    prints = durable(fingerprints(texts, SIMILAR_WORDS, SIMILAR_LANES, "node").withColumnRenamed("id", "node"))
+    active, links, tried = prints.select("node"), None, None
+    for turn in range(rounds + 1):
+        marked = durable(prints.join(active.withColumn("active", F.lit(True)), "node", "left").fillna(False, ["active"])) if turn else durable(prints.withColumn("active", F.lit(True)))
+        every = turn == rounds
+        hubs = durable(sharded(marked, functools.partial(spokes, every=every), SIMILAR_RADIUS, SIMILAR_SLICES, SIMILAR_BITS, SIMILAR_LANES, "active", SIMILAR_INNER).distinct())
+        new = hubs if tried is None else hubs.join(tried, ["a", "b"], "left_anti")
+        good = durable(jaccard_at_least(new, texts, SIMILAR_WORDS, SIMILAR))
+        links = good if links is None else links.union(good)
+        tried = new if tried is None else tried.union(new)
+        settled = links.select(F.col("a").alias("node")).union(links.select("b"))
+        # Reached by some hub, not alike to any text yet, and not a hub in this round.
+        active = durable(hubs.select(F.col("b").alias("node")).distinct().join(settled, "node", "left_anti").join(hubs.select(F.col("a").alias("node")), "node", "left_anti").join(active, "node", "left_semi"))
+        if every or active.isEmpty():
+            break
+    groups = components(links)
+    named = reps.withColumnRenamed("row", "node").join(groups, "node", "left")
+    keeper = F.min(F.struct(F.col("rep_doc_id").isNull(), "rep_doc_id", "node"))
+    stay = named.groupBy(F.coalesce("component", "node").alias("c")).agg(keeper.alias("k")).select(F.col("k.node").alias("stay_row"))
+    return numbered.join(stay, F.col(f"`{row}`") == F.col("stay_row"), "left_semi").drop(row)
