@@ -42,50 +42,52 @@ def conversation_tree(conversations: DataFrame) -> DataFrame:
 
 
 def root_paths(tree: DataFrame) -> DataFrame:
-    """(tree_id, leaf_id, node_id, up) for each message on the path of each leaf; up is 0 at the leaf, 1 at its parent."""
-    t = tree.select("tree_id", "node_id", "parent_id")
-    known = t.select("tree_id", F.col("node_id").alias("parent_id"))
-    parents = t.filter("parent_id IS NOT NULL").select("tree_id", "node_id", F.col("parent_id").alias("above"))
-    real = parents.join(known, parents["tree_id"].eqNullSafe(known["tree_id"]) & (parents["above"] == known["parent_id"]), "left_semi")
-    leaves = t.join(real.select(F.col("tree_id").alias("r_tree"), "above"), t["tree_id"].eqNullSafe(F.col("r_tree")) & t["node_id"].eqNullSafe(F.col("above")), "left_anti")
+    """(tree, leaf_id, node_id, up) for each message on the path of each leaf; up is 0 at the leaf, 1 at its parent.
+
+    ``tree`` (see ``keyed``) is a key that is never null. Each level is written down before the next reads it twice.
+    """
+    t = tree.select("tree", "node_id", "parent_id")
+    known = t.select("tree", F.col("node_id").alias("above")).distinct()
+    real = durable(t.select("tree", "node_id", F.col("parent_id").alias("above")).join(known, ["tree", "above"], "left_semi"))
+    leaves = t.join(real.select("tree", F.col("above").alias("node_id")), ["tree", "node_id"], "left_anti")
     # A path has at most as many messages as its tree; deeper jumps than that, or than the first empty one, aren't needed.
-    largest = t.groupBy("tree_id").count().agg(F.max("count")).first()[0] or 0
-    jumps, reach = [durable(real)], 1
+    largest = t.groupBy("tree").count().agg(F.max("count")).first()[0] or 0
+    jumps, reach = [real], 1
     while 2 * reach < largest:
-        a, b = jumps[-1].alias("a"), jumps[-1].alias("b")
-        step = a.join(b, F.col("a.tree_id").eqNullSafe(F.col("b.tree_id")) & (F.col("a.above") == F.col("b.node_id"))).select("a.tree_id", "a.node_id", F.col("b.above").alias("above"))
-        step = durable(step)
+        again = jumps[-1].select("tree", F.col("node_id").alias("above"), F.col("above").alias("higher"))
+        step = durable(jumps[-1].join(again, ["tree", "above"]).select("tree", "node_id", F.col("higher").alias("above")))
         if step.isEmpty():
             break
         jumps.append(step)
         reach *= 2
-    paths = leaves.select("tree_id", F.col("node_id").alias("leaf_id"), "node_id", F.lit(0).alias("up"))
+    paths = leaves.select("tree", F.col("node_id").alias("leaf_id"), "node_id", F.lit(0).alias("up"))
     for step in reversed(jumps):
-        p, j = paths.alias("p"), step.alias("j")
-        higher = p.join(j, F.col("p.tree_id").eqNullSafe(F.col("j.tree_id")) & (F.col("p.node_id") == F.col("j.node_id"))).select("p.tree_id", "p.leaf_id", F.col("j.above").alias("node_id"), (F.col("p.up") + reach).alias("up"))
+        paths = durable(paths)
+        higher = paths.join(step, ["tree", "node_id"]).select("tree", "leaf_id", F.col("above").alias("node_id"), (F.col("up") + reach).alias("up"))
         paths = paths.union(higher)
         reach //= 2
     return paths
 
 
+def keyed(tree: DataFrame) -> DataFrame:
+    """The tree's columns and ``tree``, its id as a text that tells null from all others."""
+    key = F.when(F.col("tree_id").isNull(), F.lit("")).otherwise(F.concat(F.lit("="), F.col("tree_id").cast("string")))
+    return require(tree, "tree_id", "node_id", "parent_id", "score", "role", "text").withColumn("tree", key)
+
+
 def rank_paths(tree: DataFrame, paths: DataFrame, most: int | None = 1) -> DataFrame:
     """Messages of the ``most`` best paths of every tree (None: all), with path_score and path_rank."""
-    m = require(tree, "tree_id", "node_id", "role", "text", "score").withColumnsRenamed({"tree_id": "m_tree", "node_id": "m_node"})
-    full = paths.join(m, paths["tree_id"].eqNullSafe(m["m_tree"]) & paths["node_id"].eqNullSafe(m["m_node"])).drop("m_tree", "m_node")
-    scores = full.groupBy("tree_id", "leaf_id").agg(F.sum(F.coalesce("score", F.lit(0.0))).alias("path_score"))
-    rank = F.row_number().over(Window.partitionBy("tree_id").orderBy(F.desc("path_score"), "leaf_id"))
-    scores = scores.withColumn("path_rank", rank)
-    if most is not None:
-        scores = scores.filter(F.col("path_rank") <= most)
-    scores = scores.withColumnsRenamed({"tree_id": "s_tree", "leaf_id": "s_leaf"})
-    return full.join(scores, full["tree_id"].eqNullSafe(scores["s_tree"]) & full["leaf_id"].eqNullSafe(scores["s_leaf"])).drop("s_tree", "s_leaf")
+    full = paths.join(tree.select("tree", "tree_id", "node_id", "role", "text", "score"), ["tree", "node_id"])
+    full = full.withColumn("path_score", F.sum(F.coalesce("score", F.lit(0.0))).over(Window.partitionBy("tree", "leaf_id")))
+    full = full.withColumn("path_rank", F.dense_rank().over(Window.partitionBy("tree").orderBy(F.desc("path_score"), "leaf_id")))
+    return full if most is None else full.filter(F.col("path_rank") <= most)
 
 
 def format_paths(messages: DataFrame, trained: tuple[str, ...] = TRAINED) -> DataFrame:
     """(tree_id, leaf_id, path_rank, path_score, formatted, loss_spans), one row per path."""
     turn = F.struct(F.col("up"), escape(F.coalesce("role", F.lit(""))).alias("role"), escape(F.coalesce("text", F.lit(""))).alias("text"), F.coalesce(F.col("role").isin(*trained), F.lit(False)).alias("loss"))
     turns = F.reverse(F.array_sort(F.collect_list(turn)))
-    out = messages.groupBy("tree_id", "leaf_id", "path_rank", "path_score").agg(turns.alias("turns"))
+    out = messages.groupBy("tree", "leaf_id", "path_rank", "path_score").agg(F.first("tree_id").alias("tree_id"), turns.alias("turns"))
     formatted = F.array_join(F.transform("turns", lambda t: F.concat(F.lit(OPEN), t["role"], F.lit(MIDDLE), t["text"], F.lit(CLOSE))), "")
     head = lambda t: F.char_length(t["role"]) + len(OPEN) + len(MIDDLE)
     spans = F.aggregate(
@@ -102,7 +104,7 @@ def format_paths(messages: DataFrame, trained: tuple[str, ...] = TRAINED) -> Dat
 
 def format_trees(tree: DataFrame, most: int | None = 1, trained: tuple[str, ...] = TRAINED) -> DataFrame:
     """Every tree's ``most`` best-scored root-to-leaf paths as conversations."""
-    tree = require(tree, "tree_id", "node_id", "parent_id", "score", "role", "text")
+    tree = keyed(tree)
     return format_paths(rank_paths(tree, root_paths(tree), most), trained)
 
 

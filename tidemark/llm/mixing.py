@@ -42,7 +42,7 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     before, everything = fill.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
     level = (F.sum("source_size").over(everything) - F.coalesce(F.sum(cap).over(before), F.lit(0))) / (F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0)))
     leveled = weighted.withColumn("level", level).withColumn("open", cap / F.col("weight") > F.col("level"))
-    share = F.min(F.when(F.col("open"), F.struct(cap / F.col("weight"), F.col("level")))).over(everything)["level"]
+    share = F.max(F.when(F.col("open"), F.col("level"))).over(everything)  # the first open source's; it falls behind it
     target = F.when(F.col("open"), F.round(share * F.col("weight"), 6)).otherwise(cap.cast("double"))
     return leveled.withColumn("target", target).select("source", "source_size", "weight", "target")
 

@@ -1,9 +1,8 @@
 """Quality rules: a threshold table compiled into Spark expressions, with no user functions.
 
-``measure`` adds the measures, ``judge`` the verdict of a threshold table over them. A text that is null counts as empty:
-no words, every count 0, rejected by the length rule. Repeated rows are judged one by one; other columns pass through
-untouched (they may not be named like a measure: ``measure`` takes the text by name and returns its measures in one
-struct column, so that names can't clash).
+``measures_of`` gives the measures of a text, ``judge`` adds them with the verdict of a threshold table. A null text counts
+as empty: no words, every count 0, rejected by the length rule. Repeated rows are judged one by one; other columns pass
+through untouched, since everything stands in one struct column whose name the caller chooses.
 """
 
 from __future__ import annotations
@@ -14,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WHITE, fresh, words
+from tidemark.llm.common import WHITE, words
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -50,54 +49,59 @@ THRESHOLDS = (
 )
 
 
-def measure(df: DataFrame, text: str = "text", into: str = "measures") -> DataFrame:
-    """Add the struct ``into``: n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, n_stop_words (long).
-
-    n_repeat_words counts the words that lie in some 8-word window which the text holds twice or more. Windows are told
-    apart by 64-bit hashes within one text; only a text with a repeated hash pays for the sort that finds the places.
-    """
-    w, h, s, lines = (fresh(df, x) for x in ("_words", "_hashes", "_sorted", "_lines"))
-    body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    out = df.withColumn(w, words(body))
-    n = F.size(w)
-    out = out.withColumn(h, F.when(n >= WINDOW, F.transform(F.sequence(F.lit(0), n - WINDOW), lambda i: F.xxhash64(F.slice(F.col(w), i + 1, F.lit(WINDOW))))))
-    repeated = F.size(F.array_distinct(h)) < F.size(h)
-    out = out.withColumn(s, F.when(repeated, F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))))
-    twice = F.filter(
-        F.transform(
-            s,
-            lambda x, k: F.struct(
-                x["i"].alias("i"),
-                (F.coalesce(F.get(F.col(s), k - 1)["h"] == x["h"], F.lit(False)) | F.coalesce(F.get(F.col(s), k + 1)["h"] == x["h"], F.lit(False))).alias("twice"),
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_stop_words")
+
+
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once, however often it is used and wherever the optimizer moves it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _repeated(hashes: Column) -> Column:
+    """How many words the windows cover whose hash comes twice; the sort is only paid where one does."""
+
+    def covered(s: Column) -> Column:
+        same = lambda x, k: F.coalesce(F.get(s, k)["h"] == x["h"], F.lit(False))
+        twice = F.filter(F.transform(s, lambda x, k: F.struct(x["i"].alias("i"), (same(x, k - 1) | same(x, k + 1)).alias("twice"))), lambda x: x["twice"])
+        return F.aggregate(
+            F.sort_array(F.transform(twice, lambda x: x["i"])),
+            F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")),
+            lambda acc, p: F.struct((acc["n"] + p + WINDOW - F.greatest(p, acc["end"])).alias("n"), (p + WINDOW).alias("end")),
+            lambda acc: acc["n"],
+        )
+
+    ordered = F.sort_array(F.transform(hashes, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+    return F.when(F.size(F.array_distinct(hashes)) < F.size(hashes), let(ordered, covered)).otherwise(0)
+
+
+def measures_of(text: Column) -> Column:
+    """Struct of MEASURES (long) of a text. n_repeat_words counts the words that lie in some 8-word window which the text
+    holds twice or more; windows are told apart by 64-bit hashes within one text."""
+    body = F.coalesce(text, F.lit(""))
+    lines = F.filter(F.split(body, "\n"), lambda x: F.btrim(x, F.lit(WHITE)) != "")
+
+    def of_words(w: Column) -> Column:
+        n = F.size(w)
+        hashes = F.when(n >= WINDOW, F.transform(F.sequence(F.lit(0), n - WINDOW), lambda i: F.xxhash64(F.slice(w, i + 1, F.lit(WINDOW)))))
+        return let(
+            lines,
+            lambda x: F.struct(
+                n.cast("long").alias("n_words"),
+                F.char_length(F.array_join(w, "")).cast("long").alias("word_chars"),
+                F.regexp_count(body, F.lit(f"[{SYMBOLS}]")).cast("long").alias("n_symbols"),
+                F.size(x).cast("long").alias("n_lines"),
+                (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
+                let(hashes, _repeated).cast("long").alias("n_repeat_words"),
+                F.size(F.filter(w, lambda v: F.lower(v).isin(STOP_WORDS))).cast("long").alias("n_stop_words"),
             ),
-        ),
-        lambda x: x["twice"],
-    )
-    places = F.sort_array(F.transform(twice, lambda x: x["i"]))
-    covered = F.aggregate(
-        places,
-        F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")),
-        lambda acc, p: F.struct((acc["n"] + p + WINDOW - F.greatest(p, acc["end"])).alias("n"), (p + WINDOW).alias("end")),
-        lambda acc: acc["n"],
-    )
-    out = out.withColumn(lines, F.filter(F.split(body, "\n"), lambda x: F.btrim(x, F.lit(WHITE)) != ""))
-    return out.withColumn(
-        into,
-        F.struct(
-            n.cast("long").alias("n_words"),
-            F.char_length(F.array_join(w, "")).cast("long").alias("word_chars"),
-            F.regexp_count(body, F.lit(f"[{SYMBOLS}]")).cast("long").alias("n_symbols"),
-            F.size(lines).cast("long").alias("n_lines"),
-            (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
-            F.coalesce(F.when(F.col(s).isNotNull(), covered), F.lit(0)).cast("long").alias("n_repeat_words"),
-            F.size(F.filter(w, lambda x: F.lower(x).isin(STOP_WORDS))).cast("long").alias("n_stop_words"),
-        ),
-    ).drop(w, h, s, lines)
-
-
-def ratios(m: str) -> dict[str, Column]:
-    """The quantities that a table may name, from the struct column ``m``."""
-    at = {k: F.col(f"`{m}`")[k] for k in ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_stop_words")}
+        )
+
+    return let(words(body), of_words)
+
+
+def ratios(m: Column) -> dict[str, Column]:
+    """The quantities that a table may name, from a struct of measures."""
+    at = {k: m[k] for k in MEASURES}
     per = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
     return at | {
         "repeat_percent": per(100 * at["n_repeat_words"], at["n_words"]),
@@ -115,9 +119,12 @@ def compile_rules(thresholds: tuple[Threshold, ...], quantities: dict[str, Colum
 
 
 def judge(df: DataFrame, text: str = "text", thresholds: tuple[Threshold, ...] = THRESHOLDS, into: str = "measures") -> DataFrame:
-    """``measure``, and in the same struct base_failed and kept (never null)."""
-    out = measure(df, text, into)
-    q = ratios(into)
-    base = compile_rules(tuple(t for t in thresholds if t.base), q)
-    rest = compile_rules(tuple(t for t in thresholds if not t.base), q)
-    return out.withColumn(into, F.col(f"`{into}`").withField("base_failed", ~base).withField("kept", base & rest))
+    """Add the struct ``into``: MEASURES, base_failed and kept (never null)."""
+
+    def verdict(m: Column) -> Column:
+        q = ratios(m)
+        base = compile_rules(tuple(t for t in thresholds if t.base), q)
+        rest = compile_rules(tuple(t for t in thresholds if not t.base), q)
+        return F.struct(*[m[k].alias(k) for k in MEASURES], (~base).alias("base_failed"), (base & rest).alias("kept"))
+
+    return df.withColumn(into, let(measures_of(F.col(f"`{text}`")), verdict))

@@ -103,9 +103,9 @@ def members(stream, length: int) -> dict[str, Member]:
 
     tail_from = max(0, length - 65_557)
     tail = at(tail_from, length - tail_from)
-    i = tail.rfind(_END)
+    i = tail.rfind(_END, 0, max(0, len(tail) - 18))  # a comment may hold the mark itself: its length must fit
     while i >= 0 and i + 22 + struct.unpack_from("<H", tail, i + 20)[0] != len(tail):
-        i = tail.rfind(_END, 0, i)
+        i = tail.rfind(_END, 0, i + len(_END) - 1)
     if i < 0:
         raise ValueError("no end record: not a ZIP package")
     n, size, begin = struct.unpack_from("<HII", tail, i + 10)
