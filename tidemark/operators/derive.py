@@ -76,7 +76,7 @@ def composition(edges: DataFrame, best: DataFrame, measured: DataFrame) -> DataF
     """
     own = measured.select(F.col("entity").alias("m"))
     found = edges.join(own, F.col("src") == F.col("m"), "left_anti").join(best.select(F.col("entity").alias("e"), "best_weight"), F.col("dst") == F.col("e"))
-    found = found.withColumn("transferred", F.round(policy.COMPOSITION_DISCOUNT * F.col("best_weight"), 6))
+    found = found.withColumn("transferred", policy.COMPOSITION_DISCOUNT * F.col("best_weight"))
     return found.groupBy("src").agg(F.min_by(F.struct("dst", "transferred", "date"), F.struct(-F.col("transferred"), F.col("date"), F.col("id"))).alias("x")).select(F.col("src").alias("entity"), F.col("x.dst").alias("partner"), "x.transferred", "x.date")
 
 

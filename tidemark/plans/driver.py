@@ -45,7 +45,7 @@ KINDS = {"purchase": "measurement", "click": "genetic", "view": "literature", "s
 
 def evidence(spark: SparkSession, d: str) -> DataFrame:
     e = read(spark, d, "events")
-    return e.select(F.col("user_id").alias("entity"), F.col("ts").cast("date").alias("date"), F.col("ts").cast("date").alias("effective_date"), F.col("event_id").alias("record"), F.when(F.col("event_type") == "error", -1).otherwise(1).alias("direction"), (F.col("value") / 1000).alias("weight"), (F.col("event_type") == "purchase").alias("tier"), rules.lookup(KINDS, F.col("event_type"), "literature").alias("kind"), "event_type", "value")
+    return e.select(F.col("user_id").alias("entity"), F.col("ts").cast("date").alias("date"), F.col("ts").cast("date").alias("effective_date"), F.col("event_id").alias("record"), F.when(F.col("event_type") == "error", -1).otherwise(1).alias("direction"), (F.col("value") / 997).alias("weight"), (F.col("event_type") == "purchase").alias("tier"), rules.lookup(KINDS, F.col("event_type"), "literature").alias("kind"), "event_type", "value")
 
 
 def established(spark: SparkSession, d: str) -> DataFrame:
@@ -57,7 +57,7 @@ _PRIOR = repr(ledger.PRIOR)
 _CUTS = "cuts(cutoff) AS (VALUES " + ", ".join(f"(DATE '{c}')" for c in CUTS) + ")"
 _GRAPH_CUTS = "cuts(cutoff) AS (VALUES " + ", ".join(f"(DATE '{c}')" for c in GRAPH_CUTS) + ")"
 _KIND = "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in KINDS.items()) + " ELSE 'literature' END"
-_EV = f"ev AS (SELECT user_id AS entity, CAST(ts AS DATE) AS date, event_id AS record, CASE WHEN event_type = 'error' THEN -1 ELSE 1 END AS direction, value / 1000 AS weight, event_type = 'purchase' AS tier, {_KIND} AS kind, event_type, value FROM events)"
+_EV = f"ev AS (SELECT user_id AS entity, CAST(ts AS DATE) AS date, event_id AS record, CASE WHEN event_type = 'error' THEN -1 ELSE 1 END AS direction, value / 997 AS weight, event_type = 'purchase' AS tier, {_KIND} AS kind, event_type, value FROM events)"
 _TRUTH = "truth AS (SELECT entity, min(date) AS established FROM ev WHERE event_type = 'purchase' AND value > 200 GROUP BY entity)"
 _ROLL = f"""roll AS (SELECT cutoff, entity, round({_PRIOR} + sum(direction * weight * 0.85), 6) AS log_odds,
   round(1 / (1 + exp(-({_PRIOR} + sum(direction * weight * 0.85)))), 6) AS confidence, count(*) AS evidence,
@@ -214,7 +214,7 @@ def w03(spark: SparkSession, d: str) -> DataFrame:
 
 
 # lineitem as measurements of parts; discount stands for a p-value
-SYSTEMS, ASSAYS, PERTURBATIONS = {"O": 1.0, "F": 0.35}, {"A": 1.0, "N": 0.6, "R": 0.25}, {1: 1.0, 2: 0.7}
+SYSTEMS, ASSAYS, PERTURBATIONS = {"O": 1.0, "F": 0.3471313}, {"A": 1.0, "N": 0.6131313, "R": 0.2573373}, {1: 1.0, 2: 0.7091717}
 P_MOST = 0.005
 
 
@@ -230,17 +230,13 @@ _M = """m AS (SELECT l_partkey AS entity, l_orderkey AS pmid, l_orderkey * 10 +
   FROM lineitem LEFT JOIN part ON l_partkey = p_partkey),
   s AS (SELECT entity, count(DISTINCT pmid) AS replicates, bool_or(p < 0.005) AS supported FROM m GROUP BY entity),
   w AS (SELECT m.*, replicates, supported, round(least(greatest(
-    CASE system WHEN 'O' THEN 1.0 WHEN 'F' THEN 0.35 ELSE 0.1 END * CASE perturbation WHEN 1 THEN 1.0 WHEN 2 THEN 0.7 ELSE 0.35 END * direct
+    CASE system WHEN 'O' THEN 1.0 WHEN 'F' THEN 0.3471313 ELSE 0.1 END * CASE perturbation WHEN 1 THEN 1.0 WHEN 2 THEN 0.7091717 ELSE 0.35 END * direct
     * CASE WHEN replicates <= 1 THEN 1.0 WHEN replicates = 2 THEN 1.35 WHEN replicates = 3 THEN 1.55 ELSE 1.7 END * CASE WHEN supported THEN 1.3 ELSE 1.0 END
-    * CASE assay WHEN 'A' THEN 1.0 WHEN 'N' THEN 0.6 WHEN 'R' THEN 0.25 ELSE 0.5 END * CASE WHEN author_reported THEN 0.55 ELSE 1.0 END, 0.01), 2.0), 5) AS weight FROM m JOIN s USING (entity))"""
+    * CASE assay WHEN 'A' THEN 1.0 WHEN 'N' THEN 0.6131313 WHEN 'R' THEN 0.2573373 ELSE 0.5 END * CASE WHEN author_reported THEN 0.55 ELSE 1.0 END, 0.01), 2.0), 6) AS weight FROM m JOIN s USING (entity))"""
 
 
 def weighed(spark: SparkSession, d: str) -> DataFrame:
-    out = weigh.weigh(measurements(spark, d), ["entity"], {"system": SYSTEMS, "assay": ASSAYS, "perturbation": PERTURBATIONS}, p_most=P_MOST)
-    return out.withColumn("weight", F.round("weight", 5))
-
-
-policy_defaults = policy.SYSTEM_WEIGHTS["cell_free_or_unspecified"], policy.PERTURBATION_WEIGHTS["unspecified"]
+    return weigh.weigh(measurements(spark, d), ["entity"], {"system": SYSTEMS, "assay": ASSAYS, "perturbation": PERTURBATIONS}, p_most=P_MOST)
 
 
 @query("a01_replication_counts", "SELECT l_partkey AS entity, count(DISTINCT l_orderkey) AS replicates FROM lineitem GROUP BY ALL")
@@ -258,21 +254,21 @@ def j12(spark: SparkSession, d: str) -> DataFrame:
     return weighed(spark, d).select("record", "entity", "replicates", "supported", "weight")
 
 
-@query("a03_genetic_rules", f"""WITH {_M} SELECT entity, round(min(p), 6) AS best_p, arg_min(phenotype, (p, record)) AS phenotype, round(sum(weight), 3) AS weight_total, max(weight) AS best_weight,
+@query("a03_genetic_rules", f"""WITH {_M} SELECT entity, round(min(p), 6) AS best_p, arg_min(phenotype, (p, record)) AS phenotype, round(sum(weight), 6) AS weight_total, max(weight) AS best_weight,
   arg_max(record, (weight, record)) AS best_record, bool_and(author_reported) AS all_author_reported, count(*) AS records FROM w WHERE p < 0.005 GROUP BY entity""")
 def a03(spark: SparkSession, d: str) -> DataFrame:
-    return derive.genetic_rules(weighed(spark, d), ["entity"], P_MOST).withColumns({"best_p": F.round("best_p", 6), "weight_total": F.round("weight_total", 3)})
+    return derive.genetic_rules(weighed(spark, d), ["entity"], P_MOST).withColumn("best_p", F.round("best_p", 6))
 
 
-@query("a04_essentiality_rules", f"WITH {_M} SELECT entity, count(*) FILTER (WHERE hit) AS hits, count(*) AS n, round(sum(weight), 3) AS weight_total, round(count(*) FILTER (WHERE hit) / count(*), 6) AS fraction, count(*) FILTER (WHERE hit) / count(*) >= 0.7 AS pan_essential FROM w GROUP BY entity HAVING count(*) >= 3")
+@query("a04_essentiality_rules", f"WITH {_M} SELECT entity, count(*) FILTER (WHERE hit) AS hits, count(*) AS n, round(sum(weight), 6) AS weight_total, round(count(*) FILTER (WHERE hit) / count(*), 6) AS fraction, count(*) FILTER (WHERE hit) / count(*) >= 0.7 AS pan_essential FROM w GROUP BY entity HAVING count(*) >= 3")
 def a04(spark: SparkSession, d: str) -> DataFrame:
-    return derive.essentiality_rules(weighed(spark, d), ["entity"]).withColumn("weight_total", F.round("weight_total", 3))
+    return derive.essentiality_rules(weighed(spark, d), ["entity"])
 
 
-@query("a05_functional_rules", f"""WITH {_M}, f AS (SELECT * FROM w WHERE assay <> 'A') SELECT entity, count(*) AS records, count(DISTINCT system) AS systems, round(sum(weight), 3) AS weight_total, max(weight) AS best_weight,
+@query("a05_functional_rules", f"""WITH {_M}, f AS (SELECT * FROM w WHERE assay <> 'A') SELECT entity, count(*) AS records, count(DISTINCT system) AS systems, round(sum(weight), 6) AS weight_total, max(weight) AS best_weight,
   (list(record ORDER BY weight DESC, date, record))[1] AS best_record FROM f GROUP BY entity""")
 def a05(spark: SparkSession, d: str) -> DataFrame:
-    return derive.functional_rules(weighed(spark, d).filter("assay <> 'A'"), ["entity"]).withColumn("weight_total", F.round("weight_total", 3))
+    return derive.functional_rules(weighed(spark, d).filter("assay <> 'A'"), ["entity"])
 
 
 @query("w08_best_measurement", f"""WITH {_M}, g AS (SELECT entity, max(weight) AS best_weight, arg_max(record, (weight, record)) AS best_record, 0 AS kind FROM w WHERE p < 0.005 GROUP BY entity),
@@ -284,7 +280,7 @@ def w08(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("j14_composition", f"""WITH {_M}, best AS (SELECT entity, max(weight) AS best_weight FROM w WHERE assay <> 'A' GROUP BY entity), own AS (SELECT DISTINCT entity FROM m WHERE phenotype = 'PROMO'),
-  x AS (SELECT a.p_partkey AS entity, b.p_partkey AS partner, round(0.35 * best_weight, 6) AS transferred, row_number() OVER (PARTITION BY a.p_partkey ORDER BY round(0.35 * best_weight, 6) DESC, b.p_partkey) AS k
+  x AS (SELECT a.p_partkey AS entity, b.p_partkey AS partner, round(0.35 * best_weight, 9) AS transferred, row_number() OVER (PARTITION BY a.p_partkey ORDER BY round(0.35 * best_weight, 9) DESC, b.p_partkey) AS k
   FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey <> b.p_partkey JOIN best ON best.entity = b.p_partkey ANTI JOIN own ON own.entity = a.p_partkey)
 SELECT entity, partner, transferred FROM x WHERE k = 1""")
 def j14(spark: SparkSession, d: str) -> DataFrame:
@@ -292,7 +288,7 @@ def j14(spark: SparkSession, d: str) -> DataFrame:
     best = w.filter("assay <> 'A'").groupBy("entity").agg(F.max("weight").alias("best_weight"))
     members = read(spark, d, "part").select(F.col("p_partkey").alias("id"), F.concat_ws(":", "p_brand", "p_size").alias("group"), F.lit("2000-01-01").cast("date").alias("date"))
     edges = resolve.group_pairs(members).withColumn("id", F.col("dst"))
-    return derive.composition(edges, best, w.filter("phenotype = 'PROMO'").select("entity").distinct()).select("entity", "partner", "transferred")
+    return derive.composition(edges, best, w.filter("phenotype = 'PROMO'").select("entity").distinct()).select("entity", "partner", F.round("transferred", 9).alias("transferred"))
 
 
 @query("a06_literature_rules", f"WITH {_EV} SELECT entity, count(*) AS publications, count(*) FILTER (WHERE tier) AS tier_publications, CAST(min(date) AS VARCHAR) AS earliest, round(0.20 * count(*) FILTER (WHERE tier) + 0.05 * count(*) FILTER (WHERE NOT tier), 6) AS weight FROM ev GROUP BY entity")
@@ -397,8 +393,8 @@ def a19_error(spark: SparkSession, d: str) -> DataFrame:
 
 _TRAPS = f"""{_BASE}, t AS (SELECT cutoff, u AS entity, CASE u % 3 WHEN 0 THEN 'reject' WHEN 1 THEN 'refuse' ELSE 'accept' END AS answer FROM cuts CROSS JOIN (SELECT DISTINCT user_id AS u FROM events)),
   sizes AS (SELECT cutoff, count(*) AS size FROM ranked GROUP BY cutoff),
-  o AS (SELECT t.*, CASE answer WHEN 'reject' THEN NOT coalesce(ranked.rank <= 10 OR ranked.cost_rank <= 10, false) WHEN 'refuse' THEN coalesce(outcome = 'refused', true) ELSE coalesce(outcome = 'forecast', false) END AS passed, answer = 'reject' AND coalesce(size, 0) = 0 AS vacuous
-  FROM t LEFT JOIN (SELECT cutoff, entity, outcome FROM decided) f USING (cutoff, entity) LEFT JOIN ranked USING (cutoff, entity) LEFT JOIN sizes USING (cutoff))"""
+  o AS (SELECT t.*, CASE answer WHEN 'reject' THEN NOT coalesce(ranked.rank <= 10 OR ranked.cost_rank <= 10, false) WHEN 'refuse' THEN coalesce(said = 'refused', true) ELSE coalesce(said = 'forecast', false) END AS passed, answer = 'reject' AND coalesce(size, 0) = 0 AS vacuous
+  FROM t LEFT JOIN (SELECT cutoff, entity, outcome AS said FROM decided) f USING (cutoff, entity) LEFT JOIN ranked USING (cutoff, entity) LEFT JOIN sizes USING (cutoff))"""
 
 
 def trap_rows(spark: SparkSession, d: str) -> DataFrame:
