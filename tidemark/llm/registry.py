@@ -28,7 +28,7 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = mixing.training_order(mixing.place(table(spark, sf_dir, "documents")))
-    return placed.filter(F.col("pass") <= 1).select("doc_id", "size", "source_size", "target", F.col("doc_taken").alias("taken"), "position")
+    return placed.filter(F.col("pass") <= 1).select("doc_id", "size", "source_size", "target", F.col("doc_taken").alias("taken"), F.round("position", 9).alias("position"))
 
 
 #: A conversation of control strings that stands beside the table's own.
@@ -97,4 +97,39 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_minhash_fingerprints": op9_minhash_fingerprints,
     "op10_url_filter": op10_url_filter,
 }
-ORACLE = {}
+_WORD = r"[^\x20\x09-\x0D]+"
+_STOP = ", ".join(f"'{w}'" for w in dict.fromkeys(quality.STOP_WORDS))
+
+ORACLE: dict[str, str] = {
+    "op3_quality_rules": rf"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS t FROM documents),
+  w AS (SELECT *, regexp_extract_all(t, '{_WORD}') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{_WORD}')) AS l FROM d),
+  windows AS (SELECT r, i, array_to_string(w[i:i + 7], ' ') AS k FROM (SELECT r, w, unnest(range(1, len(w) - 6)) AS i FROM w)),
+  twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, k) AS c FROM windows) WHERE c > 1),
+  covered AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + 8)) AS p FROM twice) GROUP BY r),
+  m AS (SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, len(regexp_extract_all(t, '[{quality.SYMBOLS}]')) AS n_symbols, len(l) AS n_lines,
+    len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words, len(list_filter(w, lambda x: lower(x) IN ({_STOP}))) AS n_stop_words FROM w LEFT JOIN covered USING (r)),
+  b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND n_words <= 1000000 AND word_chars / n_words BETWEEN 2.5 AND 12 AND n_symbols / n_words <= 0.1 AND n_stop_words / n_words >= 0.01 AND coalesce(n_dup_lines / nullif(n_lines, 0), 0) <= 0.5 AS kept
+FROM b""",
+    "op4_curriculum_mix": rf"""
+WITH s AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{_WORD}')) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+  totals AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM s GROUP BY source),
+  weighted AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight FROM totals),
+  leveled AS (SELECT *, 3 * source_size / weight AS reach, (sum(source_size) OVER () - coalesce(sum(3 * source_size) OVER f, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER f, 0)) AS level
+    FROM weighted WINDOW f AS (ORDER BY 3 * source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+  t AS (SELECT source, source_size, weight, CASE WHEN reach > level THEN round(max(CASE WHEN reach > level THEN level END) OVER () * weight, 6) ELSE CAST(3 * source_size AS DOUBLE) END AS target FROM leveled),
+  laid AS (SELECT s.*, source_size, target, weight, CAST(round(target) AS BIGINT) AS goal, coalesce(sum(size) OVER (PARTITION BY s.source ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+    FROM s JOIN t ON s.source IS NOT DISTINCT FROM t.source),
+  taken AS (SELECT *, greatest(least(goal - start, size), 0) AS t0, greatest(least(goal - start - source_size, size), 0) AS t1, greatest(least(goal - start - 2 * source_size, size), 0) AS t2,
+    CASE weight WHEN 1 THEN 1.5 WHEN 2 THEN 1.0 ELSE 0.75 END AS a, CASE weight WHEN 1 THEN 0.5 WHEN 2 THEN 1.0 ELSE 1.25 END AS b FROM laid)
+SELECT doc_id, size, source_size, target, CAST(t0 + t1 + t2 AS BIGINT) AS taken,
+  CASE WHEN t0 > 0 THEN round(CASE WHEN a = b THEN start / goal ELSE (sqrt(greatest(a * a + 2 * (b - a) * (start / goal * (a + b) / 2), 0)) - a) / (b - a) + 0.0 END, 9) END AS position FROM taken""",
+    "op5_chat_format": r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+  f AS (SELECT *, length(replace(replace(role, '\', '\e'), '<', '\l')) + length(replace(replace(text, '\', '\e'), '<', '\l')) + 16 AS chars FROM c),
+  g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS turns, coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '') AS loss, CAST(sum(chars) AS BIGINT) AS formatted_chars FROM f GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM g""",
+}
