@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tidemark import policy
 from tidemark.functions import rules, scalars, text
-from tidemark.operators import derive, forecast, grade, graph, ledger, merge, resolve, retrieval, slices, traps, weigh
+from tidemark.operators import derive, forecast, grade, graph, ingest, ledger, merge, resolve, retrieval, slices, traps, weigh
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -678,3 +678,102 @@ def c15(spark: SparkSession, d: str) -> DataFrame:
     e = e.filter(~((F.col("ablation") == "no literature") & (F.col("kind") == "literature"))).withColumn("weight", F.when(F.col("ablation") == "uniform weight", 0.05).otherwise(F.col("weight")))
     out = ledger.roll_up(e, ["cutoff", "ablation", "entity"])
     return out.groupBy(F.col("cutoff").cast("string").alias("cutoff"), "ablation").agg(F.count("*").alias("claims"), F.count_if(F.col("confidence") >= 0.25).alias("confident"), F.round(F.avg("confidence"), 5).alias("mean_confidence"))
+
+
+@query("j10_neighbors", "SELECT o_custkey AS start, 'PLACED' AS edge_type, o_orderkey AS id, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS effective_date FROM orders WHERE o_custkey % 10 = 0")
+def j10(spark: SparkSession, d: str) -> DataFrame:
+    o = read(spark, d, "orders")
+    starts = read(spark, d, "customer").filter("c_custkey % 10 = 0").select(F.col("c_custkey").alias("start"))
+    edges = o.select(F.col("o_custkey").alias("src"), F.col("o_orderkey").alias("dst"), F.lit("PLACED").alias("type"))
+    nodes = o.select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").cast("date").alias("effective_date"))
+    return graph.neighbors(edges, nodes, starts, "PLACED").withColumn("effective_date", F.col("effective_date").cast("string"))
+
+
+@query("t01_typed_listing", "SELECT id, CAST(effective_date AS VARCHAR) AS effective_date FROM (SELECT 'o' || o_orderkey AS id, CAST(o_orderdate AS DATE) AS effective_date FROM orders) ORDER BY effective_date, id LIMIT 50")
+def t01(spark: SparkSession, d: str) -> DataFrame:
+    return graph.listing(graph_tables(spark, d)[0], "Order", 50).select("id", F.col("effective_date").cast("string").alias("effective_date"))
+
+
+@query("a11_evidence_counts", """WITH p AS (SELECT l_partkey AS entity, count(*) FILTER (WHERE l_returnflag = 'R') AS publications, count(*) FILTER (WHERE l_linestatus = 'O') AS measurements FROM lineitem GROUP BY l_partkey)
+SELECT p_partkey AS entity, coalesce(publications, 0) AS publications, coalesce(measurements, 0) AS measurements FROM part LEFT JOIN p ON p_partkey = entity""")
+def a11(spark: SparkSession, d: str) -> DataFrame:
+    m = measurements(spark, d)
+    entities = read(spark, d, "part").select(F.col("p_partkey").alias("entity"), F.concat(F.lit("P"), "p_partkey").alias("symbol"))
+    pubs = m.select((F.col("assay") == "R").alias("tier"), F.array(F.concat(F.lit("P"), "entity")).alias("matched"))
+    return traps.evidence_counts(entities, pubs, m.filter("system = 'O'")).select("entity", "publications", "measurements")
+
+
+@query("a12_postdates_traps", f"""WITH {_EV}, {_TRUTH}, n AS (SELECT entity, count(*) FILTER (WHERE tier AND date < DATE '2024-01-04') AS p, count(*) FILTER (WHERE kind = 'composition' AND date < DATE '2024-01-04') AS m FROM ev GROUP BY entity)
+SELECT entity, date_diff('day', DATE '2024-01-04', established) AS days_after FROM truth JOIN n USING (entity) WHERE established >= DATE '2024-01-04' AND p < 3 AND m = 0""")
+def a12(spark: SparkSession, d: str) -> DataFrame:
+    e = evidence(spark, d)
+    early = e.filter(F.col("date") < F.lit("2024-01-04").cast("date"))
+    counts = early.groupBy("entity").agg(F.count_if("tier").alias("publications"), F.count_if(F.col("kind") == "composition").alias("measurements"))
+    return longs(traps.postdates_traps(established(spark, d), counts, "2024-01-04").select("entity", "days_after"), "days_after")
+
+
+@query("a25_evidence_flow", """WITH c AS (SELECT o_orderpriority AS source, o_orderstatus AS outcome, count(*) AS n FROM orders GROUP BY ALL), t AS (SELECT source, sum(n) AS s FROM c GROUP BY source)
+SELECT CASE WHEN s < 3000 THEN 'other sources' ELSE source END AS source, outcome, CAST(sum(n) AS BIGINT) AS n FROM c JOIN t USING (source) GROUP BY 1, 2""")
+def a25(spark: SparkSession, d: str) -> DataFrame:
+    counts = read(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("source"), F.col("o_orderstatus").alias("outcome")).agg(F.count("*").alias("n"))
+    return ingest.evidence_flow(counts, 3000)
+
+
+def title_rows(spark: SparkSession, d: str) -> DataFrame:
+    o = read(spark, d, "orders")
+    k = F.col("o_orderkey")
+    return o.select(F.col("o_custkey").alias("gene"), F.col("o_orderdate").cast("date").alias("date"), k.alias("pmid"), F.when(k % 5 != 0, "no").alias("reason"), (k % 2 == 0).alias("verb"), (k % 3 != 0).alias("phenotype"), (k % 7 == 0).alias("named"))
+
+
+_TITLES = "t AS (SELECT o_custkey AS gene, CAST(o_orderdate AS DATE) AS date, o_orderkey AS pmid, o_orderkey % 5 = 0 AS good, o_orderkey % 2 = 0 AS verb, o_orderkey % 3 <> 0 AND o_orderkey % 7 <> 0 AS kind FROM orders)"
+
+
+@query("w11_earliest_establishing", f"WITH {_TITLES} SELECT gene, CAST(date AS VARCHAR) AS date, pmid FROM (SELECT *, row_number() OVER (PARTITION BY gene ORDER BY date, pmid) AS k FROM t WHERE good) WHERE k = 1")
+def w11(spark: SparkSession, d: str) -> DataFrame:
+    return ingest.discoveries(title_rows(spark, d)).withColumn("date", F.col("date").cast("string"))
+
+
+@query("w12_near_misses", f"""WITH {_TITLES}, a AS (SELECT *, max(CASE WHEN good THEN 1 END) OVER w AS seen FROM t WHERE verb WINDOW w AS (PARTITION BY gene ORDER BY date, pmid ROWS UNBOUNDED PRECEDING)),
+  b AS (SELECT *, CASE WHEN kind AND sum(CAST(kind AS INT)) OVER (PARTITION BY gene ORDER BY date, pmid ROWS UNBOUNDED PRECEDING) <= 6 THEN 'near_miss' ELSE 'rejected' END AS class FROM a WHERE seen IS NULL),
+  c AS (SELECT *, row_number() OVER (PARTITION BY gene, class ORDER BY date, pmid) AS place FROM b) SELECT gene, class, place, pmid FROM c WHERE class = 'near_miss' OR place <= 3""")
+def w12(spark: SparkSession, d: str) -> DataFrame:
+    return longs(ingest.near_misses(title_rows(spark, d)).select("gene", "class", "place", "pmid"), "place")
+
+
+@query("a27_coverage_report", "SELECT o_custkey AS gene, count(*) AS considered, count(*) FILTER (WHERE o_orderkey % 5 = 0) AS accepted, count(*) FILTER (WHERE o_orderkey % 5 <> 0) AS rejected FROM orders GROUP BY o_custkey")
+def a27(spark: SparkSession, d: str) -> DataFrame:
+    return ingest.coverage(title_rows(spark, d))
+
+
+@query("s20_token_cost", "SELECT conv_id, CAST(round(sum(length(text)) * CASE conv_id % 2 WHEN 0 THEN 3.0 ELSE 1.0 END / 1000000 + count(*) * CASE conv_id % 2 WHEN 0 THEN 15.0 ELSE 5.0 END / 1000000, 6) AS DOUBLE) AS cost FROM conversations GROUP BY conv_id")
+def s20(spark: SparkSession, d: str) -> DataFrame:
+    usage = read(spark, d, "conversations").groupBy("conv_id").agg(F.sum(F.char_length("text")).alias("input_tokens"), F.count("*").alias("output_tokens"))
+    usage = usage.withColumn("model", F.when(F.col("conv_id") % 2 == 0, "large").otherwise("small"))
+    prices = spark.createDataFrame([("large", 3.0, 15.0), ("small", 1.0, 5.0)], "model string, input_price double, output_price double")
+    return ingest.token_cost(usage, prices)[0].select("conv_id", "cost")
+
+
+@query("p02_validate_rows", """SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 'label is empty' WHEN c_custkey % 4 = 1 THEN 'unknown type' WHEN c_custkey % 4 = 2 THEN 'pmid is no number' ELSE 'no effective date' END AS problems FROM customer""")
+def p02(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("c_custkey") % 4
+    rows = read(spark, d, "customer").select("c_custkey", F.col("c_name").alias("id"), F.when(k != 0, F.col("c_name")).otherwise(" ").alias("label"), F.when(k == 1, "Other").otherwise("Gene").alias("type"), F.lit("{}").alias("attrs"), F.lit("s").alias("source_id"), F.lit("CC0").alias("license"), F.lit("DATED").alias("time_scope"), F.when(k != 3, F.lit("2001-01-01").cast("date")).alias("effective_date"), F.lit(None).cast("date").alias("publication_date"), F.when(k == 2, "PMC1").otherwise(" 12 ").alias("pmid"))
+    return ingest.validate(rows).select("c_custkey", F.array_join("problems", ";").alias("problems"))
+
+
+@query("j22_recalled_claims", f"WITH {_EV}, {_TRUTH} SELECT DISTINCT ev.entity AS claim FROM ev JOIN truth USING (entity) WHERE ev.entity % 4 <> 0")
+def j22(spark: SparkSession, d: str) -> DataFrame:
+    claims = evidence(spark, d).select("entity", F.col("entity").alias("claim")).distinct()
+    grounded = claims.select("claim", (F.col("claim") % 4 == 0).alias("grounded"))
+    return grade.recalled(claims, established(spark, d), grounded).select("claim")
+
+
+@query("t10_eligible_holdouts", "SELECT l_partkey AS entity, count(*) AS n FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY l_partkey, p_name HAVING count(*) >= 2 ORDER BY p_name, l_partkey LIMIT 12")
+def t10(spark: SparkSession, d: str) -> DataFrame:
+    rows = read(spark, d, "lineitem").join(read(spark, d, "part"), F.col("p_partkey") == F.col("l_partkey")).select(F.col("l_partkey").alias("entity"), F.col("p_name").alias("label"))
+    return grade.eligible_holdouts(rows).select("entity", "n")
+
+
+@query("u03_asked_units", f"{_BASE}, {_HITS} SELECT CAST(cutoff AS VARCHAR) AS cutoff, count(*) AS units FROM (SELECT cutoff, entity FROM decided WHERE outcome <> 'established' UNION SELECT cutoff, entity FROM hits) GROUP BY cutoff")
+def u03(spark: SparkSession, d: str) -> DataFrame:
+    units = merge.asked_units(decided(spark, d).filter("outcome <> 'established'").select("cutoff", "entity"), truth_by_cutoff(spark, d).select("cutoff", "entity"))
+    return units.groupBy(F.col("cutoff").cast("string").alias("cutoff")).agg(F.count("*").alias("units"))
