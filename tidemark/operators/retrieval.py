@@ -35,10 +35,10 @@ def bm25(titles: DataFrame, queries: DataFrame, most: int = 50) -> DataFrame:
     asked = queries.select("query", F.lower("token").alias("token")).distinct()
     tokens = title_tokens(titles).join(asked.select("token").distinct(), "token", "left_semi")
     df = tokens.groupBy("token").agg(F.count("*").alias("df"))
-    stats = bm25_stats(titles)
-    idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean_length")))
-    scored = tokens.join(df, "token").crossJoin(F.broadcast(stats)).withColumn("part", idf * tf)  # stats: one row
+    docs, mean_length = bm25_stats(titles).first()
+    idf = F.log(1 + (F.lit(docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.lit(mean_length or 1.0)))
+    scored = tokens.join(df, "token").withColumn("part", idf * tf)
     scored = scored.join(asked, "token").groupBy("query", "id").agg(F.round(F.sum("part"), 6).alias("score"))
     return top(scored, most)
 

@@ -1 +1 @@
-
+"""Empty: every operator here is a bounded batch; late rows enter through the next append to the ledger."""
