@@ -778,3 +778,108 @@ def t10(spark: SparkSession, d: str) -> DataFrame:
 def u03(spark: SparkSession, d: str) -> DataFrame:
     units = merge.asked_units(decided(spark, d).filter("outcome <> 'established'").select("cutoff", "entity"), truth_by_cutoff(spark, d).select("cutoff", "entity"))
     return units.groupBy(F.col("cutoff").cast("string").alias("cutoff")).agg(F.count("*").alias("units"))
+
+
+@query("p01_effective_date", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN '0001-01-01' WHEN o_orderkey % 3 = 1 THEN CAST(CAST(o_orderdate AS DATE) AS VARCHAR) END AS date FROM orders")
+def p01(spark: SparkSession, d: str) -> DataFrame:
+    k, day = F.col("o_orderkey") % 3, F.col("o_orderdate").cast("date")
+    date = scalars.effective_date(F.when(k == 0, "VOCABULARY").otherwise("DATED"), F.lit(None).cast("date"), F.when(k == 1, day))
+    return read(spark, d, "orders").select("o_orderkey", date.cast("string").alias("date"))
+
+
+@query("p03_content_hash", """SELECT c_custkey, sha256('["' || c_name || '","' || c_mktsegment || '"]') AS hash FROM customer""")
+def p03(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "customer").select("c_custkey", scalars.content_hash(F.col("c_name"), F.col("c_mktsegment")).alias("hash"))
+
+
+@query("p11_gwas_pvalue", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN l_discount > 0 THEN round(-log10(l_discount), 6) WHEN l_tax > 0 THEN round(-log10(l_tax * 100 * 0.00000001), 6) END AS value FROM lineitem")
+def p11(spark: SparkSession, d: str) -> DataFrame:
+    p = scalars.association_p(F.col("l_discount"), F.col("l_tax") * 100, F.lit(-8.0))
+    return read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round(scalars.p_strength(p), 6).alias("value"))
+
+
+@query("j04_attach_dates", "SELECT o_orderstatus, count(*) AS n, CAST(min(CASE WHEN o_orderstatus = 'F' THEN CAST(o_orderdate AS DATE) ELSE CAST(l_shipdate AS DATE) END) AS VARCHAR) AS first FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY o_orderstatus")
+def j04(spark: SparkSession, d: str) -> DataFrame:
+    o = read(spark, d, "orders")
+    lines = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("pmid"), F.col("l_shipdate").cast("date").alias("own"))
+    dates = o.filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("pmid"), F.col("o_orderdate").cast("date").alias("date"))
+    dated = resolve.attach_dates(lines, dates, "own").join(o.select(F.col("o_orderkey").alias("pmid"), "o_orderstatus"), "pmid")
+    return dated.groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.min("date").cast("string").alias("first"))
+
+
+@query("j05_attach_license", "SELECT c_mktsegment AS source, upper(substr(c_mktsegment, 1, 2)) AS license, count(*) AS n FROM customer WHERE c_mktsegment <> 'MACHINERY' GROUP BY ALL")
+def j05(spark: SparkSession, d: str) -> DataFrame:
+    c = read(spark, d, "customer").withColumnRenamed("c_mktsegment", "source")
+    licenses = c.filter("source <> 'MACHINERY'").select("source", F.upper(F.substring("source", 1, 2)).alias("license")).distinct()
+    return merge.attach_license(c, licenses)[0].groupBy("source", "license").agg(F.count("*").alias("n"))
+
+
+@query("j16_seed_claims", "SELECT 'claim:' || p_partkey AS claim FROM part SEMI JOIN lineitem ON l_partkey = p_partkey WHERE p_size > 10")
+def j16(spark: SparkSession, d: str) -> DataFrame:
+    rules_of = measurements(spark, d).select("entity")
+    return ledger.seed_claims(rules_of, read(spark, d, "part").filter("p_size > 10").select(F.col("p_partkey").alias("entity"))).select("claim")
+
+
+def cached_titles(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    docs = read(spark, d, "documents").select(F.col("doc_id").alias("id"), F.substring("text", 1, 100).alias("title"))
+    return docs, docs.filter("id % 3 <> 0").withColumn("title", F.when(F.col("id") % 3 == 1, F.col("title")).otherwise(F.concat(F.lit("old "), "title")))
+
+
+@query("j24_copy_vectors", "SELECT doc_id AS id FROM documents WHERE doc_id % 3 = 1")
+def j24(spark: SparkSession, d: str) -> DataFrame:
+    titles, vectors = cached_titles(spark, d)
+    return merge.current_vectors(vectors, titles).select("id")
+
+
+@query("j26_embed_backlog", "SELECT doc_id AS id FROM documents WHERE doc_id % 3 <> 1")
+def j26(spark: SparkSession, d: str) -> DataFrame:
+    titles, vectors = cached_titles(spark, d)
+    return merge.vector_backlog(titles, vectors).select("id")
+
+
+@query("w05_rank_answers", "SELECT l_orderkey, l_linenumber, rank FROM (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_discount DESC, (l_linenumber, l_partkey, l_suppkey)) AS rank FROM lineitem)")
+def w05(spark: SparkSession, d: str) -> DataFrame:
+    answers = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.struct("l_linenumber", "l_partkey", "l_suppkey").alias("position"), F.col("l_discount").alias("confidence"))
+    return longs(forecast.rank_answers(answers, ["l_orderkey"]).select("l_orderkey", "l_linenumber", "rank"), "rank")
+
+
+@query("s13_load_rulebook", "SELECT coalesce(b.k, f.k) AS symbol, coalesce(f.e, b.e) AS established, CASE WHEN f.k IS NOT NULL THEN f.r ELSE b.r END AS record, f.k IS NOT NULL AS adjudicated FROM (SELECT c_custkey AS k, c_acctbal > 0 AS e, c_name AS r FROM customer WHERE c_custkey % 5 <> 0) b FULL JOIN (SELECT c_custkey AS k, CASE WHEN c_custkey % 2 = 0 THEN true END AS e, c_mktsegment AS r FROM customer WHERE c_custkey % 3 = 0) f ON b.k = f.k")
+def s13(spark: SparkSession, d: str) -> DataFrame:
+    from tidemark.sources.readers import load_rulebook
+
+    c = read(spark, d, "customer")
+    book = c.filter("c_custkey % 5 <> 0").select(F.col("c_custkey").alias("symbol"), (F.col("c_acctbal") > 0).alias("established"), F.col("c_name").alias("record"))
+    fixes = c.filter("c_custkey % 3 = 0").select(F.col("c_custkey").alias("symbol"), F.when(F.col("c_custkey") % 2 == 0, True).alias("established"), F.col("c_mktsegment").alias("record"))
+    return load_rulebook(book, fixes)
+
+
+@query("a17_distinct_lines", "SELECT o_custkey AS line, o_orderpriority AS name FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k FROM orders) WHERE k = 1")
+def a17(spark: SparkSession, d: str) -> DataFrame:
+    return merge.first_name(read(spark, d, "orders").select(F.col("o_custkey").alias("line"), F.col("o_orderpriority").alias("name"), "o_orderkey"), "line", "name", "o_orderkey")
+
+
+@query("a28_bm25_stats", f"SELECT count(*) AS docs, round(avg(len({_TOK})), 6) AS mean_length FROM documents")
+def a28(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.bm25_stats(read(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("title"))).withColumn("mean_length", F.round("mean_length", 6))
+
+
+@query("w15_rank_fusion", """WITH a AS (SELECT o_custkey AS query, o_orderkey AS id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders), b AS (SELECT o_custkey AS query, o_orderkey AS id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS rank FROM orders),
+  s AS (SELECT query, id, round(sum(1.0 / (60 + rank)), 9) AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY query, id) SELECT query, id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= 5""")
+def w15(spark: SparkSession, d: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    o = read(spark, d, "orders").select(F.col("o_custkey").alias("query"), F.col("o_orderkey").alias("id"), "o_totalprice", "o_orderdate")
+    by = lambda *c: o.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(*c, "id")))
+    return longs(retrieval.fuse(by(F.desc("o_totalprice")), by(F.col("o_orderdate"))).withColumn("score", F.round("score", 6)), "rank")
+
+
+@query("p19_axiom_gate", "SELECT CASE WHEN p_size % 5 = 0 THEN 'blank statement' WHEN p_retailprice - 900 > 90 THEN 'confidence outside 0..1' WHEN p_size % 7 = 0 THEN 'no subject' END AS reject_reason, count(*) AS n FROM part GROUP BY ALL")
+def p19(spark: SparkSession, d: str) -> DataFrame:
+    p = read(spark, d, "part")
+    table = p.select(F.array("p_name").alias("records"), F.when(F.col("p_size") % 5 != 0, F.col("p_name")).alias("statement"), ((F.col("p_retailprice") - 900) / 90).alias("confidence"), F.lit(None).cast("string").alias("direction"), F.lit(None).cast("string").alias("phenotype"), F.when(F.col("p_size") % 7 != 0, F.array("p_partkey")).alias("subjects"), F.lit("rule").alias("kind"), F.lit(1.0).alias("weight"))
+    return derive.gate(table).groupBy("reject_reason").agg(F.count("*").alias("n"))
+
+
+@query("c20_date_discoveries", f"WITH {_TITLES}, f AS (SELECT gene, min((date, pmid)) AS x FROM t WHERE good GROUP BY gene) SELECT CAST(year(date) AS BIGINT) AS year, count(*) AS genes FROM (SELECT gene, date FROM (SELECT *, row_number() OVER (PARTITION BY gene ORDER BY date, pmid) AS k FROM t WHERE good) WHERE k = 1) GROUP BY 1")
+def c20(spark: SparkSession, d: str) -> DataFrame:
+    return ingest.discoveries(title_rows(spark, d)).groupBy(F.year("date").cast("long").alias("year")).agg(F.count("*").alias("genes"))
