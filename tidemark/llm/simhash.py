@@ -345,8 +345,11 @@ def one_of_each(documents: DataFrame, rounds: int = 3) -> DataFrame:
         tried = new if tried is None else tried.union(new)
         settled = links.select(F.col("a").alias("node")).union(links.select("b"))
         # Reached by some hub, not alike to any text yet, and not a hub in this round.
-        active = durable(hubs.select(F.col("b").alias("node")).distinct().join(settled, "node", "left_anti").join(hubs.select(F.col("a").alias("node")), "node", "left_anti").join(active, "node", "left_semi"))
-        if every or active.isEmpty():
+        if every:
+            break
+        left = hubs.select(F.col("b").alias("node")).distinct().join(settled.union(hubs.select("a")), "node", "left_anti")
+        active = durable(left.join(active, "node", "left_semi") if turn else left)
+        if active.isEmpty():
             break
     groups = components(links)
     named = reps.withColumnRenamed("row", "node").join(groups, "node", "left")

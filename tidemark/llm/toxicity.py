@@ -129,15 +129,19 @@ def fit(texts: list[np.ndarray], labels: np.ndarray, seed: int = 1) -> Model:
     if labels[own].min() == labels[own].max():
         own[:] = True
     rng = np.random.default_rng(seed)
-    buckets = [np.unique(t & np.uint32(BUCKETS - 1)).astype(np.int64) for t in texts]
-    seen = np.concatenate([b for b, o in zip(buckets, own) if o])
-    slots, texts_with = np.unique(seen, return_counts=True)
-    slots = slots[texts_with >= min(LEAST_TEXTS, len(texts))]
+    texts_with, toxic_with = np.zeros(BUCKETS, dtype=np.int32), np.zeros(BUCKETS, dtype=np.int32)
+    for t, o, y in zip(texts, own, labels):
+        if o:
+            held = np.unique(t & np.uint32(BUCKETS - 1))
+            texts_with[held] += 1
+            if y:
+                toxic_with[held] += 1
+    slots = np.flatnonzero(texts_with >= min(LEAST_TEXTS, len(texts)))
     vectors = np.zeros((len(slots) + 1, WIDTH), dtype=np.float32)
     vectors[1:] = rng.normal(0, 0.1, size=(len(slots), WIDTH))
     # The first coordinate begins at the word's log-odds among toxic and other training texts.
-    toxic = np.concatenate([b for b, o, y in zip(buckets, own, labels) if o and y] or [np.empty(0, dtype=np.int64)])
-    with_toxic, with_any = (np.bincount(np.searchsorted(slots, x[np.isin(x, slots)]), minlength=len(slots)) for x in (toxic, seen))
+    with_any, with_toxic = texts_with[slots], toxic_with[slots]
+    del texts_with, toxic_with
     n1, n0 = labels[own].sum(), (1 - labels[own]).sum()
     odds = np.log((with_toxic + 0.5) / (n1 + 1)) - np.log((with_any - with_toxic + 0.5) / (n0 + 1))
     vectors[1:, 0] = np.clip(odds, -3, 3) * np.minimum(1, with_any / 10)
@@ -148,7 +152,6 @@ def fit(texts: list[np.ndarray], labels: np.ndarray, seed: int = 1) -> Model:
         model.filters.append(f)
         model.biases.append(np.zeros(FILTERS, dtype=np.float32))
     model.out[[k * FILTERS + i for k in range(len(WIDTHS)) for i in range(FILTERS // 2)]] = 0.3
-    rows = [model.rows(t) for t in texts]
     train = np.flatnonzero(own)
     parameters = [model.vectors, *model.filters, *model.biases, model.out]
     moments = [[np.zeros_like(p), np.zeros_like(p)] for p in parameters]
@@ -158,7 +161,7 @@ def fit(texts: list[np.ndarray], labels: np.ndarray, seed: int = 1) -> Model:
             if begin == 0:
                 rng.shuffle(train)
             batch = train[begin : begin + BATCH]
-            padded = [np.concatenate([rows[i], np.zeros(tail + (not len(rows[i])), dtype=np.int32)]) for i in batch]
+            padded = [np.concatenate([model.rows(texts[i]), np.zeros(tail + (not len(texts[i])), dtype=np.int32)]) for i in batch]
             lengths = np.array([len(p) - tail for p in padded])
             ids = np.concatenate(padded)
             starts = np.concatenate([[0], np.cumsum(lengths + tail)[:-1]])
@@ -238,9 +241,18 @@ def train(documents: DataFrame, labels: DataFrame, most: int = LABELLED) -> Mode
             hashes = [word_hashes(x).tobytes() for x in _bytes(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(hashes, pa.binary())], names=["doc_id", "toxic", "hashes"])
 
-    found = rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, toxic int, hashes binary").toPandas()
-    found = found.sort_values(["doc_id", "hashes"]).drop_duplicates("doc_id").sample(frac=1, random_state=1)
-    return fit([np.frombuffer(h, dtype=np.uint32) for h in found["hashes"]], (found["toxic"] > 0).to_numpy())
+    found = rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, toxic int, hashes binary").toArrow().combine_chunks()
+    if not found.num_rows:
+        return fit([], np.empty(0))
+    hashes, toxic, ids = found["hashes"].chunk(0), found["toxic"].to_numpy(), found["doc_id"].to_pylist()
+    text = lambda i: np.frombuffer(hashes[i].as_buffer(), dtype=np.uint32)  # noqa: E731  views, no copies
+    # Rows that share a doc_id count once; the order doesn't depend on how Spark dealt them out.
+    first: dict = {}
+    for i, key in enumerate(ids):
+        if key not in first or hashes[i].as_py() < hashes[first[key]].as_py():
+            first[key] = i
+    order = [first[k] for k in sorted(first, key=lambda k: (zlib.crc32(str(k).encode()), k))]
+    return fit([text(i) for i in order], toxic[order] > 0)
 
 
 def score(documents: DataFrame, model: Model) -> DataFrame:
