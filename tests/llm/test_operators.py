@@ -163,6 +163,55 @@ def test_one_of_each_near_duplicate(spark, docs):
             assert any(len(sets(r["text"]) & b) >= 0.8 * len(sets(r["text"]) | b) for _, b in shingles)
 
 
+def test_one_of_each_chains(spark):
+    """Chains of texts that are alike to the next only: the groups are those of all pairs, compared by their sets."""
+    rng = random.Random(11)
+    texts = []
+    for _ in range(40):
+        w = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+        for _ in range(12):
+            texts.append(" ".join(w))
+            for _ in range(4):
+                w[rng.randrange(len(w))] = f"w{rng.randrange(10**6)}"
+    order = list(range(len(texts)))
+    rng.shuffle(order)
+    texts = [texts[i] for i in order]
+    sets = [frozenset(zip(*[t.split()[k:] for k in range(5)])) for t in texts]
+    alike = [(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    smallest = list(range(len(texts)))
+    changed = True
+    while changed:
+        changed = False
+        for i, j in alike:
+            low = min(smallest[i], smallest[j])
+            changed |= smallest[i] != low or smallest[j] != low
+            smallest[i] = smallest[j] = low
+    kept = {r["doc_id"] for r in simhash.one_of_each(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert kept == set(smallest)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_bridges_against_all_pairs(seed, monkeypatch):
+    monkeypatch.setattr(simhash, "LEAF", 16)
+    rng = np.random.default_rng(seed)
+    whole = rng.integers(0, 2**63, size=(6, 2), dtype=np.uint64)[rng.integers(0, 6, size=120)]
+    for i in range(len(whole)):
+        for b in rng.integers(0, 128, size=rng.integers(0, 12)).tolist():
+            whole[i, b // 64] ^= np.uint64(1) << np.uint64(b % 64)
+    sketch = rng.integers(0, 5, size=(120, 8)).astype(np.uint8)
+    sketch[:4] = 255  # sets too large for a sketch
+    size, component = sketch.sum(axis=1, dtype=np.int64), rng.integers(0, 30, size=120)
+    piece = whole[:, 0].astype(np.uint16)
+    pairs = {tuple(sorted(p)) for p in simhash.bridges(whole, piece, np.ones(120, dtype=bool), 28, 16, component, size, sketch, 0.5, False)}
+    expected = set()
+    for i in range(120):
+        for j in range(i):
+            common = min(np.minimum(sketch[i], sketch[j]).sum(dtype=np.int64), size[i], size[j])
+            if np.bitwise_count(whole[i] ^ whole[j]).sum() <= 28 and component[i] != component[j] and common >= 0.5 * (size[i] + size[j] - common):
+                expected.add((j, i))
+    assert pairs == expected and expected
+
+
 def test_one_of_each_empty(none):
     assert simhash.one_of_each(none).count() == 0
 

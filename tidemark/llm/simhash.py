@@ -219,19 +219,54 @@ def spokes(whole: np.ndarray, piece: np.ndarray, home: np.ndarray, radius: int,
                 yield i, j
 
 
-def sharded(prints: DataFrame, find, radius: int, slices: int, bits: int, lanes: int, extra: str | None = None, inner: int | None = None) -> DataFrame:
-    """Run ``find(whole, piece, home, radius, inner[, extra column])`` in every shard; pairs (a, b) of nodes.
+def possible(i: int, others: np.ndarray, size: np.ndarray, sketch: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Which of ``others`` may have a Jaccard similarity of ``least`` or more to place i, and how many shingles each shares
+    with it at most. No pair that is alike enough is ruled out: in each bucket of the sketch two sets share no more than the
+    smaller count. A sketch of 255 throughout says nothing (see ``shingle_sets``)."""
+    common = np.minimum(np.minimum(sketch[others], sketch[i]).sum(axis=1, dtype=np.int64), np.minimum(size[others], size[i]))
+    unknown = (sketch[others].min(axis=1) == 255) & bool(sketch[i].min() == 255)
+    common[unknown] = np.minimum(size[others], size[i])[unknown]
+    return common >= least * (size[others] + size[i] - common), common
 
-    ``prints`` has node (long), f0, f1, ... and perhaps the boolean column ``extra``; ``slices`` pieces of ``bits`` bits
+
+def bridges(whole: np.ndarray, piece: np.ndarray, home: np.ndarray, radius: int, inner: int, component: np.ndarray, size: np.ndarray, sketch: np.ndarray, least: float, nearest: bool) -> Iterator[tuple[int, int]]:
+    """Pairs (i, j) at ``radius`` or less, i at home, of unlike ``component`` and not ruled out by ``possible``.
+
+    With ``nearest``, each place gives one pair per other component of its leaf, the one that may share most.
+    """
+    for at, own in leaves(piece, home, inner):
+        of = component[at]
+        at_home = np.zeros(len(piece), dtype=bool)
+        at_home[at[own]] = True
+        for c in np.unique(of[own]).tolist():
+            others = at[of != c]
+            members = whole[others]
+            for i in at[own & (of == c)].tolist() if len(others) else ():
+                j = others[np.bitwise_count(members ^ whole[i]).sum(axis=1, dtype=np.int64) <= radius]
+                may, common = possible(i, j, size, sketch, least)
+                j, common = j[may], common[may]
+                if nearest:
+                    best = np.argsort(-common / np.maximum(size[j] + size[i] - common, 1), kind="stable")
+                    j = j[best[np.unique(component[j[best]], return_index=True)[1]]]
+                else:
+                    j = j[(j > i) | ~at_home[j]]  # two at home meet twice
+                for k in j.tolist():
+                    yield i, k
+
+
+def sharded(prints: DataFrame, find, radius: int, slices: int, bits: int, lanes: int, extra: tuple[str, ...] = (), inner: int | None = None) -> DataFrame:
+    """Run ``find(whole, piece, home, radius, inner, *extra columns)`` in every shard; pairs (a, b) of nodes.
+
+    ``prints`` has node (long), f0, f1, ... and the columns ``extra``, numbers or binary of one length; ``slices`` pieces of ``bits`` bits
     cover the fingerprint. ``inner`` is the radius within a slice; at ``radius // slices`` no pair is missed.
     """
     n = prints.count()
     dtype = {16: np.uint16, 32: np.uint32, 64: np.uint64}[bits]
     inner = radius // slices if inner is None else inner
     lane_columns = [f"f{i}" for i in range(lanes)]
-    carried = ["node", *lane_columns, *([extra] if extra else [])]
+    carried = ["node", *lane_columns, *extra]
     depth = max(0, math.ceil(math.log2(max(n, 1) / SHARD)))
-    sample = prints.orderBy(F.xxhash64(*lane_columns)).limit(SAMPLE).toPandas() if depth else None
+    sample = prints.select("node", *lane_columns).orderBy(F.xxhash64(*lane_columns)).limit(SAMPLE).toPandas() if depth else None
 
     def whole_of(frame: pd.DataFrame) -> np.ndarray:
         return np.stack([frame[c].to_numpy(np.int64).view(np.uint64) for c in lane_columns], axis=1)
@@ -253,12 +288,12 @@ def sharded(prints: DataFrame, find, radius: int, slices: int, bits: int, lanes:
 
     def search(frame: pd.DataFrame) -> pd.DataFrame:
         whole, nodes = whole_of(frame), frame["node"].to_numpy(np.int64)
-        more = [frame[extra].to_numpy(bool)] if extra else []
+        more = [np.frombuffer(b"".join(frame[c]), dtype=np.uint8).reshape(len(frame), -1) if frame[c].dtype == object else frame[c].to_numpy() for c in extra]
         found = list(find(whole, slice_of(whole, int(frame["slice"].iloc[0])), frame["home"].to_numpy(bool), radius, inner, *more))
         at = np.array(found, dtype=np.int64).reshape(-1, 2)
         return pd.DataFrame({"a": nodes[at[:, 0]], "b": nodes[at[:, 1]]})
 
-    schema = "node long, " + ", ".join(f"{c} long" for c in lane_columns) + (f", {extra} boolean" if extra else "")
+    schema = ", ".join(f"{c} {prints.schema[c].dataType.simpleString()}" for c in carried)
     routed = prints.select(*carried).mapInPandas(spread, f"{schema}, shard int, slice int, home boolean")
     return routed.groupBy("shard").applyInPandas(search, "a long, b long")
 
@@ -292,20 +327,29 @@ def near_duplicates(documents: DataFrame, words: int = 3, radius: int = 3) -> Da
 SIMILAR_WORDS, SIMILAR, SIMILAR_LANES, SIMILAR_RADIUS = 5, 0.8, 2, 28
 #: Search slices of 16 bits with a radius of 1 each: one of the eight is that near for over nine in ten pairs at 0.8.
 SIMILAR_SLICES, SIMILAR_BITS, SIMILAR_INNER = 8, 16, 1
+#: Buckets of the shingle counts that rule pairs out before their sets are compared.
+SKETCH = 128
 
 
-def jaccard_at_least(pairs: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
-    """The pairs (a, b) whose shingle sets are alike enough, by exact comparison; ``texts``: node, text."""
-    ends = durable(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
-    wanted = texts.join(ends, "node", "left_semi")
+def shingle_sets(texts: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
+    """(node, shingles, size, sketch) of the ``nodes`` among ``texts`` (node, text): the hashes of the shingle set, how many
+    there are, and how many fall in each of ``SKETCH`` buckets (255 in every bucket if some bucket has more than that)."""
 
-    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [np.unique(shingle_hashes(x, words)).astype("<u8").tobytes() for x in _bytes(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.binary())], names=["node", "shingles"])
+            sets = [np.unique(shingle_hashes(x, words)) for x in _bytes(batch.column("text"))]
+            counts = [np.bincount((x % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) for x in sets]
+            sketches = [(c if c.max() <= 255 else np.full(SKETCH, 255)).astype(np.uint8).tobytes() for c in counts]
+            columns = [batch.column("node"), pa.array([x.astype("<u8").tobytes() for x in sets], pa.binary()), pa.array([len(x) for x in sets], pa.int64()), pa.array(sketches, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["node", "shingles", "size", "sketch"])
+
+    return texts.join(nodes, "node", "left_semi").select("node", "text").mapInArrow(run, "node long, shingles binary, size long, sketch binary")
+
 
-    sets = durable(wanted.select("node", "text").mapInArrow(shingles, "node long, shingles binary"))
-    both = pairs.join(sets.withColumnsRenamed({"node": "b", "shingles": "of_b"}), "b").join(sets.withColumnsRenamed({"node": "a", "shingles": "of_a"}), "a")
+def jaccard_at_least(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) whose shingle sets are alike enough, by exact comparison; ``sets``: node, shingles."""
+    of = lambda end: sets.select(F.col("node").alias(end), F.col("shingles").alias(f"of_{end}"))
+    both = pairs.join(of("b"), "b").join(of("a"), "a")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -319,13 +363,14 @@ def jaccard_at_least(pairs: DataFrame, texts: DataFrame, words: int, least: floa
     return both.select("a", "b", "of_a", "of_b").mapInArrow(compare, "a long, b long")
 
 
-def one_of_each(documents: DataFrame, rounds: int = 3) -> DataFrame:
+def one_of_each(documents: DataFrame) -> DataFrame:
     """The documents without near-duplicates: of each group the row with the smallest doc_id stays, with all its columns.
 
-    Exact copies are one text from the start. In each round hubs are compared with all texts near their fingerprint, which
-    settles the texts that are alike to a hub; a text that only a hub unlike it has reached is a hub itself in a later
-    round, and after ``rounds`` of them each such text is compared with all near it. So a group of n copies costs about n
-    comparisons, and no text is left out of the search. Texts without words are alike to each other.
+    Exact copies are one text from the start. Of all pairs near by fingerprint in a leaf, hubs are compared with all texts
+    near them first, so a group of n copies costs about n comparisons. Then each text is compared with the likeliest text of
+    every component near it but its own, and at last all near pairs are that are still in two components. A pair is left
+    out only if links join its ends already or its shingle counts prove that it isn't alike enough. Texts without words are
+    alike to each other.
     """
     numbered = documents.withColumn(row := fresh(documents, "row"), F.monotonically_increasing_id())
     bare = numbered.select(F.col(row).alias("row"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
@@ -334,23 +379,20 @@ def one_of_each(documents: DataFrame, rounds: int = 3) -> DataFrame:
     reps = durable(bare.groupBy("digest").agg(first.alias("first")).select(F.col("first.row").alias("row"), F.col("first.doc_id").alias("rep_doc_id")))
     texts = bare.join(reps, "row").select(F.col("row").alias("node"), "doc_id", "text")
     prints = durable(fingerprints(texts, SIMILAR_WORDS, SIMILAR_LANES, "node").withColumnRenamed("id", "node"))
-    active, links, tried = prints.select("node"), None, None
-    for turn in range(rounds + 1):
-        marked = durable(prints.join(active.withColumn("active", F.lit(True)), "node", "left").fillna(False, ["active"])) if turn else durable(prints.withColumn("active", F.lit(True)))
-        every = turn == rounds
-        hubs = durable(sharded(marked, functools.partial(spokes, every=every), SIMILAR_RADIUS, SIMILAR_SLICES, SIMILAR_BITS, SIMILAR_LANES, "active", SIMILAR_INNER).distinct())
-        new = hubs if tried is None else hubs.join(tried, ["a", "b"], "left_anti")
-        good = durable(jaccard_at_least(new, texts, SIMILAR_WORDS, SIMILAR))
-        links = good if links is None else links.union(good)
-        tried = new if tried is None else tried.union(new)
-        settled = links.select(F.col("a").alias("node")).union(links.select("b"))
-        # Reached by some hub, not alike to any text yet, and not a hub in this round.
-        if every:
-            break
-        left = hubs.select(F.col("b").alias("node")).distinct().join(settled.union(hubs.select("a")), "node", "left_anti")
-        active = durable(left.join(active, "node", "left_semi") if turn else left)
-        if active.isEmpty():
-            break
+    search = functools.partial(sharded, radius=SIMILAR_RADIUS, slices=SIMILAR_SLICES, bits=SIMILAR_BITS, lanes=SIMILAR_LANES, inner=SIMILAR_INNER)
+    either_way = lambda pairs: durable(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    tried = either_way(search(prints, lambda whole, *rest: spokes(whole, *rest, np.ones(len(whole), dtype=bool))))
+    # Every text with another near it is in one of these pairs, so the other texts are done.
+    ends = durable(tried.select(F.col("a").alias("node")).union(tried.select("b")).distinct())
+    sets = durable(shingle_sets(texts, ends, SIMILAR_WORDS))
+    sketched = durable(prints.join(sets.select("node", "size", "sketch"), "node"))
+    links = durable(jaccard_at_least(tried, sets, SIMILAR))
+    for nearest in (True, False):
+        labelled = durable(sketched.join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node")))
+        found = either_way(search(labelled, functools.partial(bridges, least=SIMILAR, nearest=nearest), extra=("component", "size", "sketch")))
+        new = durable(found.join(tried, ["a", "b"], "left_anti"))
+        links = links.union(durable(jaccard_at_least(new, sets, SIMILAR)))
+        tried = tried.union(new)
     groups = components(links)
     named = reps.withColumnRenamed("row", "node").join(groups, "node", "left")
     keeper = F.min(F.struct(F.col("rep_doc_id").isNull(), "rep_doc_id", "node"))
