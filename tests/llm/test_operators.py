@@ -548,3 +548,30 @@ def test_bayes_against_counts(spark):
     for r in got:
         want = np.log(n["block"] / n["allow"]) + sum(p("block", t) - p("allow", t) for t in urls.url_tokens(r["host"], r["path"], split))
         assert abs(want - r["log_odds"]) < 1e-9
+
+
+def test_urls_with_more_words_than_are_broadcast(spark):
+    """Every word is seen once, so none is among the frequent ones, and so is almost every token."""
+    rng = random.Random(3)
+    names = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(60_000)]
+    names = sorted(set(names))
+    rows = []
+    for i in range(60):
+        own = names[i::60]
+        rows.append((i, f"http://{own[0]}{own[1]}.{'net' if i % 2 else 'org'}/fr/{'/'.join(own)}", f"<p>{' '.join(own)}</p>"))
+    rows += [(60 + i, f"http://{rng.choice(names)}{rng.choice(names)}.com/{'/'.join(rng.choices(names, k=5))}", None) for i in range(60)]
+    got = urls.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(got) == 120
+    split = urls.segmenter(Counter(w for _, _, h in rows for w in re.findall("[a-z]+", (h or "")[3:-4])))
+    tokens = {r["page_id"]: urls.url_tokens(r["host"], r["path"], split) for r in got}
+    bags, n = {"block": Counter(), "allow": Counter()}, Counter()
+    for r in got:
+        if r["rule"]:
+            bags[r["verdict"]].update(tokens[r["page_id"]])
+            n[r["verdict"]] += 1
+    vocabulary = set(bags["block"]) | set(bags["allow"])
+    assert len(vocabulary) > urls.TOKENS and sum(n.values()) == 60
+    total = {c: sum(bags[c].values()) + len(vocabulary) + 1 for c in bags}
+    weight = lambda t: np.log((bags["block"][t] + 1) / total["block"]) - np.log((bags["allow"][t] + 1) / total["allow"])
+    for r in got:
+        assert abs(np.log(n["block"] / n["allow"]) + sum(map(weight, tokens[r["page_id"]])) - r["log_odds"]) < 1e-9

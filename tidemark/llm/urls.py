@@ -39,7 +39,8 @@ class Rule:
 
 RULES = (Rule("block", "net", "/"), Rule("allow", "example.net", "/en/"), Rule("block", "example.com", "/de/"), Rule("allow", "org", "/fr/"))
 
-#: Bounds of what is broadcast: the most frequent words of the unigram model and tokens of the classifier.
+#: Bounds of what is broadcast: the most frequent words of the unigram model and tokens of the classifier. The others are
+#: joined to the urls that need them.
 UNIGRAMS, TOKENS = 50_000, 50_000
 LONGEST_WORD = 24
 
@@ -62,20 +63,31 @@ def rule_of(host: Column, path: Column, rules: tuple[Rule, ...] = RULES) -> Colu
     return out
 
 
-def frequent(counts: DataFrame, n: Column, most: int) -> DataFrame:
-    """Rows of the largest counts, at most ``most`` of them: those at or above a bound, which is the lowest eighth of an
-    octave that leaves no more. Only a histogram of a few hundred rows is gathered to find it."""
+def frequent(counts: DataFrame, n: Column, most: int) -> tuple[DataFrame, DataFrame | None]:
+    """``counts`` in two: the rows of the largest counts, at most ``most`` of them, and the others (None if there are none).
+
+    The former are those at or above a bound, which is the lowest eighth of an octave that leaves no more. Only a histogram
+    of a few hundred rows is gathered to find it."""
     step = F.floor(F.log2(n) * 8)
     rows, bound = 0, None
     for step_, size in sorted(((r["step"], r["count"]) for r in counts.groupBy(step.alias("step")).count().collect()), reverse=True):
         if rows + size > most:
-            break
+            return (counts.limit(0), counts) if bound is None else (counts.filter(step >= bound), counts.filter(step < bound))
         rows, bound = rows + size, step_
-    return counts.limit(0) if bound is None else counts.filter(step >= bound)
+    return counts, None
+
+
+@dataclass(frozen=True)
+class Unigrams:
+    """Word counts: the frequent ones, a table (word, n) of the rare ones or None, and the sum of all."""
+
+    counts: dict[str, int]
+    rare: DataFrame | None
+    total: int
 
 
-def unigrams(texts: DataFrame, column: str, most: int = UNIGRAMS) -> dict[str, int]:
-    """Counts of the most frequent lower-cased a-z words outside tags (``most`` at most), counted over all rows."""
+def unigrams(texts: DataFrame, column: str) -> Unigrams:
+    """Counts of the lower-cased a-z words outside tags, counted over all rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tag, word = re.compile(r"<[^>]*>"), re.compile(r"[a-z]+")
@@ -86,23 +98,27 @@ def unigrams(texts: DataFrame, column: str, most: int = UNIGRAMS) -> dict[str, i
             yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
 
     counts = require(texts, column).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return {r["word"]: r["n"] for r in frequent(durable(counts), F.col("n"), most).collect()}
+    counts = durable(counts)
+    top, rare = frequent(counts, F.col("n"), UNIGRAMS)
+    return Unigrams({r["word"]: r["n"] for r in top.collect()}, rare, counts.agg(F.sum("n")).first()[0] or 0)
 
 
-def segmenter(counts: dict[str, int]):
+def segmenter(counts: dict[str, int], total: int | None = None):
     """A function that splits a label into words: the split with the highest product of unigram probabilities.
 
-    A run outside the model costs as much as a word seen ``1 / 10**length`` times.
+    Its second argument has pairs (word, count) of the label's substrings that ``counts`` lacks. A run outside the model costs as much as a word seen ``1 / 10**length`` times.
     """
-    total = sum(counts.values()) or 1
+    total = total or sum(counts.values()) or 1
     cost = {w: math.log(total / n) for w, n in counts.items()}
     unknown, per_letter = math.log(total), math.log(10)
 
     @lru_cache(maxsize=100_000)
-    def split(label: str) -> tuple[str, ...]:
+    def split(label: str, rare: tuple[tuple[str, int], ...] = ()) -> tuple[str, ...]:
+        more = {w: math.log(total / n) for w, n in rare}
+        price = lambda w: cost[w] if w in cost else more.get(w, unknown + per_letter * len(w))
         best = [(0.0, 0)]
         for end in range(1, len(label) + 1):
-            best.append(min((best[start][0] + cost.get(label[start:end], unknown + per_letter * (end - start)), start) for start in range(max(0, end - LONGEST_WORD), end)))
+            best.append(min((best[start][0] + price(label[start:end]), start) for start in range(max(0, end - LONGEST_WORD), end)))
         words, end = [], len(label)
         while end:
             start = best[end][1]
@@ -122,30 +138,67 @@ def url_tokens(host: str, path: str, split) -> list[str]:
     return out
 
 
-def tokenise(pages: DataFrame, counts: dict[str, int]) -> DataFrame:
-    """``pages`` (page_id, host, path, rule) with tokens."""
-    model = pages.sparkSession.sparkContext.broadcast(counts)
+def rare_words(pages: DataFrame, counts, rare: DataFrame) -> DataFrame:
+    """(row, rare): per row of ``pages`` (row, host, path) the parts of its url that have words of ``rare`` in them, with
+    those words. ``counts`` is the broadcast of the frequent words."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split = segmenter(model.value)
+    def parts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: list[tuple[int, str]] = []
+            for row, host, path in zip(*[batch.column(c).to_pylist() for c in ("row", "host", "path")]):
+                parts: dict[str, None] = {}
+                url_tokens(host, path, lambda part: parts.setdefault(part) or ())  # noqa: B023
+                found += [(row, part) for part in parts]
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.string())], names=["row", "part"])
+
+    def substrings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, run = counts.value, re.compile("[a-z]+")
         for batch in batches:
-            tokens = [url_tokens(h, p, split) for h, p in zip(batch.column("host").to_pylist(), batch.column("path").to_pylist())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(tokens, pa.list_(pa.string()))], names=[*batch.schema.names, "tokens"])
+            for part in batch.column("part").to_pylist():
+                words = {x[i:j] for x in run.findall(part) for i in range(len(x)) for j in range(i + 1, min(i + LONGEST_WORD, len(x)) + 1)}
+                words = [w for w in words if w not in known]
+                yield pa.RecordBatch.from_arrays([pa.array([part] * len(words), pa.string()), pa.array(words, pa.string())], names=["part", "word"])
+
+    parts = pages.select("row", "host", "path").mapInArrow(parts_of, "row long, part string")
+    words = parts.select("part").distinct().mapInArrow(substrings, "part string, word string").join(rare, "word")
+    words = words.groupBy("part").agg(F.sort_array(F.collect_list(F.struct("word", "n"))).alias("words"))
+    return parts.join(words, "part").groupBy("row").agg(F.collect_list(F.struct("part", "words")).alias("rare"))
+
 
+def tokenise(pages: DataFrame, words: Unigrams) -> DataFrame:
+    """``pages`` (row, page_id, host, path, rule; checkpointed) with tokens."""
+    model = pages.sparkSession.sparkContext.broadcast(words.counts)
+    total = words.total
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema)
+    names = pages.columns
+    if words.rare is not None:
+        pages = pages.join(rare_words(pages, model, words.rare), "row", "left")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split = segmenter(model.value, total)
+        for batch in batches:
+            rare = batch.column("rare").to_pylist() if "rare" in batch.schema.names else [None] * batch.num_rows
+            tokens = []
+            for host, path, more in zip(batch.column("host").to_pylist(), batch.column("path").to_pylist(), rare):
+                own = {x["part"]: tuple((w["word"], w["n"]) for w in x["words"]) for x in more or ()}
+                tokens.append(url_tokens(host, path, lambda part: split(part, own.get(part, ()))))  # noqa: B023
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(tokens, pa.list_(pa.string()))], names=[*names, "tokens"])
+
     return pages.mapInArrow(run, f"{kinds}, tokens array<string>")
 
 
 @dataclass(frozen=True)
 class Bayes:
-    """Log-odds of block against allow: a prior, one weight per token, and the weight of a token outside the model."""
+    """Log-odds of block against allow: a prior, one weight per frequent token, the weight of a token outside the model, and
+    a table (token, weight) of the rare tokens or None."""
 
     prior: float
     weights: dict[str, float]
     other: float
+    rare: DataFrame | None = None
 
 
-def train(tokenised: DataFrame, most: int = TOKENS) -> Bayes:
+def train(tokenised: DataFrame) -> Bayes:
     """Multinomial naive Bayes with add-one smoothing from all urls that a rule decides."""
     known = tokenised.filter(F.col("rule").isNotNull()).select(F.col("rule.verdict").alias("verdict"), "tokens")
     rows = {r["verdict"]: r["count"] for r in known.groupBy("verdict").count().collect()}
@@ -157,21 +210,45 @@ def train(tokenised: DataFrame, most: int = TOKENS) -> Bayes:
     sums = tokens.agg(F.sum("block").alias("block"), F.sum("allow").alias("allow"), F.count("*").alias("n")).first()
     n, block, allow = sums["n"] or 0, sums["block"] or 0, sums["allow"] or 0
     norm = math.log((allow + n + 1) / (block + n + 1))
-    top = frequent(tokens, F.col("block") + F.col("allow"), most).collect()
-    return Bayes(math.log(rows["block"] / rows["allow"]), {r["token"]: math.log((r["block"] + 1) / (r["allow"] + 1)) + norm for r in top}, norm)
+    top, rare = frequent(tokens, F.col("block") + F.col("allow"), TOKENS)
+    weights = {r["token"]: math.log((r["block"] + 1) / (r["allow"] + 1)) + norm for r in top.collect()}
+    rare = rare and rare.select("token", (F.log((F.col("block") + 1) / (F.col("allow") + 1)) + norm).alias("weight"))
+    return Bayes(math.log(rows["block"] / rows["allow"]), weights, norm, rare)
+
+
+def rare_weights(tokenised: DataFrame, weights, rare: DataFrame) -> DataFrame:
+    """(row, rare): per row the tokens of ``rare`` in it with their weights. ``weights`` is the broadcast of the frequent ones,
+    which are never joined."""
+
+    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = weights.value
+        for batch in batches:
+            found = [(row, t) for row, tokens in zip(batch.column("row").to_pylist(), batch.column("tokens").to_pylist()) for t in dict.fromkeys(tokens) if t not in known]
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.string())], names=["row", "token"])
+
+    asked = tokenised.select("row", "tokens").mapInArrow(others, "row long, token string")
+    return asked.join(rare, "token").groupBy("row").agg(F.collect_list(F.struct("token", "weight")).alias("rare"))
 
 
 def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """page_id, host, path, rule, verdict, and the classifier's log-odds of block (positive: block)."""
     rows = require(pages, "page_id", "url").select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    rows = rows.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
-    tokenised = durable(tokenise(rows, unigrams(pages, "html")))
-    model = tokenised.sparkSession.sparkContext.broadcast(train(tokenised))
+    rows = rows.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules)).withColumn("row", F.monotonically_increasing_id())
+    tokenised = durable(tokenise(durable(rows), unigrams(pages, "html")))
+    bayes = train(tokenised)
+    weights = tokenised.sparkSession.sparkContext.broadcast(bayes.weights)
+    prior, other = bayes.prior, bayes.other
+    if bayes.rare is not None:
+        tokenised = tokenised.join(rare_weights(tokenised, weights, bayes.rare), "row", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model.value
+        known = weights.value
         for batch in batches:
-            odds = [m.prior + sum(m.weights.get(t, m.other) for t in tokens) for tokens in batch.column("tokens").to_pylist()]
+            rare = batch.column("rare").to_pylist() if "rare" in batch.schema.names else [None] * batch.num_rows
+            odds = []
+            for tokens, more in zip(batch.column("tokens").to_pylist(), rare):
+                own = {x["token"]: x["weight"] for x in more or ()}
+                odds.append(prior + sum(known[t] if t in known else own.get(t, other) for t in tokens))
             keep = [batch.column(c) for c in ("page_id", "host", "path", "rule")]
             yield pa.RecordBatch.from_arrays([*keep, pa.array(odds, pa.float64())], names=["page_id", "host", "path", "rule", "log_odds"])
 
