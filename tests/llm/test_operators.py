@@ -136,16 +136,27 @@ def test_vantage_trees_find_every_pair(seed, monkeypatch):
         return [f(v) for v in range(len(x))]
 
     near = np.bitwise_count(x[:, None] ^ x[None, :]) <= 3
-    links, pairs = [], set()
+    links = []
     for k in range(2):
         piece = (x >> np.uint64(32 * k)).astype(np.uint32)
         tree, _ = simhash.grow(piece, 4, np.uint32)
         for _, at, home in simhash.route(tree, piece, 1, np.uint32):
-            whole = x[at][:, None]
-            links += [(at[i], at[j]) for i, j in simhash.stars(whole, piece[at], home, 3, 1)]
-            pairs |= {tuple(sorted((int(at[i]), int(at[j])))) for i, j in simhash.spokes(whole, piece[at], home, 3, 1, np.ones(len(at), dtype=bool), every=True)}
+            links += [(at[i], at[j]) for i, j in simhash.stars(x[at][:, None], piece[at], home, 3, 1)]
     assert groups(links) == groups(np.argwhere(near).tolist())
-    assert pairs == {(int(a), int(b)) for a, b in np.argwhere(near) if a < b}
+
+
+def test_crowded_shards_are_dealt_by_chunks(spark, monkeypatch):
+    """Groups don't change when shards split, and when crowded ones are dealt out as pairs of chunks."""
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**62, size=30)
+    rows = sorted({int(b) ^ (1 << int(i)) for b in base for i in rng.integers(0, 62, size=20)})
+    prints = spark.createDataFrame([(n, f) for n, f in enumerate(rows)], "node long, f0 long")
+    got = []
+    for shard, crowd, leaf in ((16_384, 131_072, 1_024), (64, 100, 16), (16_384, 50, 1_024)):
+        for name, value in (("SHARD", shard), ("CROWD", crowd), ("LEAF", leaf)):
+            monkeypatch.setattr(simhash, name, value)
+        got.append({tuple(r) for r in components(simhash.linked(prints, 3)).collect()})
+    assert got[0] == got[1] == got[2] and len({c for _, c in got[0]}) <= 30
 
 
 def test_one_of_each_near_duplicate(spark, docs):
@@ -163,53 +174,95 @@ def test_one_of_each_near_duplicate(spark, docs):
             assert any(len(sets(r["text"]) & b) >= 0.8 * len(sets(r["text"]) | b) for _, b in shingles)
 
 
-def test_one_of_each_chains(spark):
-    """Chains of texts that are alike to the next only: the groups are those of all pairs, compared by their sets."""
-    rng = random.Random(11)
+def kept_by_all_pairs(texts, ids=None):
+    """Of each chain of texts with a Jaccard similarity of 0.8 or more the smallest id, from all pairs."""
+    sets = [frozenset(" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if (w := words(t.lower())) else frozenset() for t in texts]
+    smallest = list(range(len(texts)))
+
+    def root(i):
+        while smallest[i] != i:
+            i = smallest[i]
+        return i
+
+    for i, x in enumerate(sets):
+        for j in range(i):
+            y = sets[j]
+            if 0.8 * max(len(x), len(y)) <= min(len(x), len(y)) and len(x & y) >= 0.8 * len(x | y):
+                a, b = sorted((root(i), root(j)))
+                smallest[b] = a
+    best = {}
+    for i in range(len(texts)):
+        best[root(i)] = min(best.get(root(i), 10**9), ids[i] if ids else i)
+    return set(best.values())
+
+
+def stay(spark, texts):
+    return {r["doc_id"] for r in simhash.one_of_each(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+
+
+def chains(rng, groups=40, links=12):
     texts = []
-    for _ in range(40):
+    for _ in range(groups):
         w = [f"w{rng.randrange(10**6)}" for _ in range(300)]
-        for _ in range(12):
+        for _ in range(links):
             texts.append(" ".join(w))
             for _ in range(4):
                 w[rng.randrange(len(w))] = f"w{rng.randrange(10**6)}"
-    order = list(range(len(texts)))
-    rng.shuffle(order)
-    texts = [texts[i] for i in order]
-    sets = [frozenset(zip(*[t.split()[k:] for k in range(5)])) for t in texts]
-    alike = [(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
-    smallest = list(range(len(texts)))
-    changed = True
-    while changed:
-        changed = False
-        for i, j in alike:
-            low = min(smallest[i], smallest[j])
-            changed |= smallest[i] != low or smallest[j] != low
-            smallest[i] = smallest[j] = low
-    kept = {r["doc_id"] for r in simhash.one_of_each(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
-    assert kept == set(smallest)
+    rng.shuffle(texts)
+    return texts
+
+
+def test_one_of_each_chains(spark):
+    """Chains of texts that are alike to the next only: the groups are those of all pairs, compared by their sets."""
+    texts = chains(random.Random(11))
+    assert stay(spark, texts) == kept_by_all_pairs(texts)
 
 
 @pytest.mark.parametrize("seed", range(3))
-def test_bridges_against_all_pairs(seed, monkeypatch):
-    monkeypatch.setattr(simhash, "LEAF", 16)
-    rng = np.random.default_rng(seed)
-    whole = rng.integers(0, 2**63, size=(6, 2), dtype=np.uint64)[rng.integers(0, 6, size=120)]
-    for i in range(len(whole)):
-        for b in rng.integers(0, 128, size=rng.integers(0, 12)).tolist():
-            whole[i, b // 64] ^= np.uint64(1) << np.uint64(b % 64)
-    sketch = rng.integers(0, 5, size=(120, 8)).astype(np.uint8)
-    sketch[:4] = 255  # sets too large for a sketch
-    size, component = sketch.sum(axis=1, dtype=np.int64), rng.integers(0, 30, size=120)
-    piece = whole[:, 0].astype(np.uint16)
-    pairs = {tuple(sorted(p)) for p in simhash.bridges(whole, piece, np.ones(120, dtype=bool), 28, 16, component, size, sketch, 0.5, False)}
-    expected = set()
-    for i in range(120):
-        for j in range(i):
-            common = min(np.minimum(sketch[i], sketch[j]).sum(dtype=np.int64), size[i], size[j])
-            if np.bitwise_count(whole[i] ^ whole[j]).sum() <= 28 and component[i] != component[j] and common >= 0.5 * (size[i] + size[j] - common):
-                expected.add((j, i))
-    assert pairs == expected and expected
+def test_one_of_each_between_crowds(spark, seed):
+    """Windows of one text, two of them with many near copies: only a pair of non-hubs joins the chain."""
+    rng = random.Random(seed)
+    source = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+    texts = []
+    for offset, copies in ((0, 12), (10, 0), (20, 0), (30, 12)):
+        w = source[offset : offset + 104]
+        texts.append(" ".join(w))
+        for _ in range(copies):
+            v = list(w)
+            v[rng.choice((0, -1))] = f"x{rng.randrange(10**6)}"
+            texts.append(" ".join(v))
+    assert stay(spark, texts) == kept_by_all_pairs(texts) == {0}
+
+
+def test_one_of_each_large_blocks(spark, monkeypatch):
+    """Blocks over the bounds are compared by chunks, with the same result."""
+    rng = random.Random(4)
+    texts = chains(rng, groups=6, links=30)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+    for _ in range(150):  # near copies of one text, alike to it or not
+        v = list(base)
+        for _ in range(rng.randint(1, 8)):
+            v[rng.randrange(len(v))] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(v))
+    monkeypatch.setattr(simhash, "BLOCK_TEXTS", 16)
+    monkeypatch.setattr(simhash, "HUBS", (2, 3))
+    assert stay(spark, texts) == kept_by_all_pairs(texts)
+
+
+def test_one_of_each_on_the_given_documents(spark):
+    """Recall of the whole stage against all pairs on real rows."""
+    rows = [(r["doc_id"], r["text"] or "") for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
+    want = kept_by_all_pairs([t for _, t in rows], [i for i, _ in rows])
+    got = {r["doc_id"] for r in simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(got - want) <= 0.01 * (len(rows) - len(want)) and not want - got
+
+
+def test_one_of_each_repeated_rows(spark):
+    """Rows that agree in doc_id and text: one stays, the first in the order of all columns; clashing names pass through."""
+    rows = [(1, NEAR, "b"), (1, NEAR, "a"), (1, NEAR, "a"), (None, NEAR, "0"), (None, LONG, "z"), (2, None, "n"), (3, "", "m")]
+    for names in ("digest", "size", "node", "`first.row`"):
+        got = simhash.one_of_each(spark.createDataFrame(rows, f"doc_id long, text string, {names} string")).collect()
+        assert sorted(map(tuple, got), key=str) == sorted([(1, NEAR, "a"), (None, LONG, "z"), (2, None, "n")], key=str)
 
 
 def test_one_of_each_empty(none):
@@ -310,8 +363,23 @@ def test_mix(docs, none):
     key = lambda r: tuple((x is not None, str(x)) for x in r)
     assert sorted(map(tuple, placed), key=key) == sorted(map(tuple, again), key=key)
     assert mixing.place(none).count() == 0
-    mixed = mixing.mixed_documents(docs).select("text").collect()
-    assert sum(len(words(r["text"])) for r in mixed) >= 0.9 * sum(taken.values())
+    mixed = Counter()
+    for r in mixing.mixed_documents(docs).select("source", "text").collect():
+        mixed[r["source"]] += len(words(r["text"]))
+    assert mixed == +taken
+    assert mixing.mixed_documents(none).columns == docs.columns
+
+
+def test_mixed_documents_with_repeated_rows(spark):
+    """A source of equal rows gets no more words than its target takes."""
+    rows = [(1, "a b c d e f g h i j", "s0", 7, 0)] * 50 + [(2 + i, "a b c d e f g h i j", "s1", 7, i) for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, doc long, size long")
+    taken = {r["source"]: r["t"] for r in mixing.place(docs).groupBy("source").agg(F.sum("taken").alias("t")).collect()}
+    mixed = Counter()
+    for r in mixing.mixed_documents(docs).collect():
+        mixed[r["source"]] += len(words(r["text"]))
+        assert r["doc"] == 7
+    assert mixed == taken and taken["s0"] == 333
 
 
 def test_demand_inverse(spark):

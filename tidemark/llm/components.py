@@ -17,7 +17,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     low, high = F.least(a, b), F.greatest(a, b)
     tally = lambda e: e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
     edges = durable(links.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).select(high.alias("u"), low.alias("v")).distinct())
-    before = tally(edges)
+    first, before = edges, tally(edges)
     while True:
         # Large star: every neighbour above u goes to the smallest of u and its neighbours.
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -32,7 +32,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         now = tally(after)
         if now == before:
             roots = after.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-            alone = links.filter(F.col(a) == F.col(b)).select(F.col(a).alias("node"), F.col(a).alias("component"))
+            alone = first.filter("u = v").select(F.col("u").alias("node"), F.col("v").alias("component"))
             own = after.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
             return own.union(alone.join(own, "node", "left_anti")).distinct()
         edges, before = after, now

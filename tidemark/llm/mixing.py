@@ -7,8 +7,8 @@ end to end in a fixed random order, pass after pass up to the target, inverts th
 begins and so gets its training position; ``training_order`` range-sorts by it.
 
 Null texts have size 0; null sources are one source, last in order. Documents of size 0 and empty tables take nothing.
-Repeated rows each count. Rows that agree in doc_id, source and size are interchangeable; which of them comes first
-doesn't change the result. Other columns of the input are not read.
+Repeated rows each count, one after another: rows that agree in doc_id, source and size are ordered by their texts' hash,
+and rows that agree in these too are interchangeable. Other columns of the input are only carried along.
 """
 
 from __future__ import annotations
@@ -58,18 +58,21 @@ def demand_inverse(share: Column, start: Column, end: Column) -> Column:
     return F.when(slope == 0, share).otherwise((root - start) / slope + 0.0)
 
 
-def place(documents: DataFrame) -> DataFrame:
-    """One row per document and pass: doc_id, source, size, source_size, target, doc_taken, pass, taken, position.
+def place(documents: DataFrame, carry: bool = False) -> DataFrame:
+    """One row per document and pass: doc_id, source, size, source_size, target, doc_taken, pass, taken, position; with
+    ``carry`` also doc, the document's row as a struct.
 
     A document that the mix never reaches has one row with pass 0, taken 0 and a null position. ``taken`` is the words of
     this pass (fewer than size where the target ends inside the document), ``doc_taken`` their sum over all passes. The
     order inside a source is by md5 of the doc_id; prefix sums go through buckets of that hash, so a source that holds
     most rows is summed in many tasks.
     """
-    sizes = durable(sized(documents).withColumn("h", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
+    hashed = lambda df: df.withColumn("h", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    sizes = durable(hashed(sized(documents)))
     rows = sizes.count()
     digits = max(1, math.ceil(math.log(max(rows, 1) / 4096 + 1, 16)))
-    sizes = sizes.withColumn("bucket", F.substring("h", 1, digits))
+    bucketed = lambda df: df.withColumn("bucket", F.substring("h", 1, digits))
+    sizes = bucketed(sizes)
     targets = source_targets(sizes)
     sums = sizes.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
     ahead = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -78,7 +81,12 @@ def place(documents: DataFrame) -> DataFrame:
     factors = F.element_at(schedule, F.array_position(F.array(*map(F.lit, BASE_WEIGHTS)), F.col("weight")).cast("int"))
     t = targets.select(F.col("source").alias("t_source"), "source_size", "target", factors.alias("factors"))
     b = sums.join(t, F.col("source").eqNullSafe(F.col("t_source"))).select(F.col("source").alias("b_source"), F.col("bucket").alias("b_bucket"), "ahead", "source_size", "target", "factors")
-    inside = Window.partitionBy("source", "bucket").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    ties = ["h", "doc_id", "size"]
+    if carry:  # each row goes its own way from here, so that repeated rows are told apart without a key
+        doc = F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("doc")
+        sizes = bucketed(hashed(documents.select(doc).select(*[F.col(f"doc.`{c}`").alias(c) for c in ("doc_id", "source")], word_count(F.col("doc.text")).alias("size"), "doc")))
+        ties += [F.xxhash64("doc.text")]
+    inside = Window.partitionBy("source", "bucket").orderBy(*ties).rowsBetween(Window.unboundedPreceding, -1)
     laid = sizes.withColumn("within", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     laid = laid.join(b, F.col("source").eqNullSafe(F.col("b_source")) & (F.col("bucket") == F.col("b_bucket")), "left")
     start = lambda p: F.col("ahead") + F.col("within") + F.lit(p) * F.col("source_size")
@@ -89,7 +97,8 @@ def place(documents: DataFrame) -> DataFrame:
     none = F.array(F.struct(F.lit(0).alias("pass"), F.lit(0).cast("long").alias("taken"), F.lit(None).cast("long").alias("start")))
     out = laid.withColumn("doc_taken", sum(taken[1:], taken[0])).withColumn("p", F.explode(F.when(F.size(some) > 0, some).otherwise(none)))
     position = demand_inverse(F.col("p.start") / goal, F.col("factors")[0], F.col("factors")[1])
-    return out.select("doc_id", "source", "size", "source_size", "target", "doc_taken", "p.pass", "p.taken", F.when(F.col("p.taken") > 0, position).alias("position"))
+    out = out.withColumn("position", F.when(F.col("p.taken") > 0, position))
+    return out.select("doc_id", "source", "size", "source_size", "target", "doc_taken", "p.pass", "p.taken", "position", *["doc"] * carry)
 
 
 def training_order(placed: DataFrame) -> DataFrame:
@@ -100,17 +109,15 @@ def training_order(placed: DataFrame) -> DataFrame:
 def mixed_documents(documents: DataFrame) -> DataFrame:
     """The documents as the mix takes them, in training order: one row per pass, its text cut to the words taken.
 
-    Keeps the columns of ``documents``; n_chars, if there, is the length of the text that is left. Rows that agree in
-    doc_id, source and size share one set of passes.
+    Keeps the columns of ``documents``; n_chars, if there, is the length of the text that is left. The words of a source
+    in the result are those that its target takes, repeated rows included.
     """
-    placed = place(documents).filter("taken > 0").dropDuplicates(["doc_id", "source", "size", "pass"])
-    placed = placed.select(*[F.col(c).alias(f"mix_{c}") for c in ("doc_id", "source", "size", "pass", "taken", "position")])
-    size, text = word_count(documents["text"]), documents["text"]
-    on = documents["doc_id"].eqNullSafe(placed["mix_doc_id"]) & documents["source"].eqNullSafe(placed["mix_source"]) & (size == placed["mix_size"])
+    placed = place(documents, carry=True).filter("taken > 0")
+    text = F.col("doc.text")
     starts = F.split(text, r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")
     blank_first = F.when(text.rlike(r"^[\x20\x09-\x0D]"), 1).otherwise(0)
-    part = F.array_join(F.slice(starts, F.lit(1), placed["mix_taken"].cast("int") + blank_first), "")
-    left = F.when(placed["mix_taken"] >= size, text).otherwise(part)
-    columns = [left.alias("text") if c == "text" else F.char_length(left).cast("long").alias("n_chars") if c == "n_chars" else documents[c] for c in documents.columns]
-    order = [placed["mix_position"], documents["doc_id"], placed["mix_pass"]]
-    return documents.join(placed, on).repartitionByRange(*order).sortWithinPartitions(*order).select(*columns)
+    part = F.array_join(F.slice(starts, F.lit(1), F.col("taken").cast("int") + blank_first), "")
+    left = F.when(F.col("taken") >= F.col("size"), text).otherwise(part)
+    order = ["position", "doc_id", "pass"]
+    sorted_ = placed.repartitionByRange(*order).sortWithinPartitions(*order)
+    return sorted_.select(*[left.alias(c) if c == "text" else F.char_length(left).cast("long").alias(c) if c == "n_chars" else F.col(f"doc.`{c}`").alias(c) for c in documents.columns])

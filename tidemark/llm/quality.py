@@ -41,7 +41,6 @@ class Threshold:
 THRESHOLDS = (
     Threshold("n_words", least=20, base=True),
     Threshold("repeat_percent", most=30, base=True),
-    Threshold("n_words", most=1_000_000),
     Threshold("mean_word_chars", least=2.5, most=12),
     Threshold("symbol_ratio", most=0.1),
     Threshold("stop_word_ratio", least=0.01),

@@ -111,7 +111,7 @@ WITH d AS (SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS t FRO
     len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words, len(list_filter(w, lambda x: lower(x) IN ({_STOP}))) AS n_stop_words FROM w LEFT JOIN covered USING (r)),
   b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND n_words <= 1000000 AND word_chars / n_words BETWEEN 2.5 AND 12 AND n_symbols / n_words <= 0.1 AND n_stop_words / n_words >= 0.01 AND coalesce(n_dup_lines / nullif(n_lines, 0), 0) <= 0.5 AS kept
+  NOT base_failed AND word_chars / n_words BETWEEN 2.5 AND 12 AND n_symbols / n_words <= 0.1 AND n_stop_words / n_words >= 0.01 AND coalesce(n_dup_lines / nullif(n_lines, 0), 0) <= 0.5 AS kept
 FROM b""",
     "op4_curriculum_mix": rf"""
 WITH s AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{_WORD}')) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),

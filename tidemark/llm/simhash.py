@@ -6,7 +6,11 @@ the ``slices`` gets a vantage-point tree of its own with that smaller radius, wh
 levels of a tree are built from a bounded sample and route fingerprints to shards: to the one they lie in, and to those
 whose region a ball of the radius around them overlaps. Inside a shard the same splitting goes on until few are left, which
 are then compared exactly over the whole fingerprint. A shard reports links as stars (each member to one of its group), so
-a group of n copies gives about n links.
+a group of n copies gives about n links. A shard with too many rows is dealt out as pairs of its chunks, so no task holds
+more than two of them.
+
+``one_of_each`` finds near-duplicates by the similarity of shingle sets: fingerprints give the candidates, which fall into
+blocks, and inside a block the sets themselves are compared.
 
 Null texts count as empty; texts with no words have the fingerprint zero, linked like any other. Equal fingerprints are
 merged before the search, so exact copies in any number cost one row there. Rows with a null id get a fingerprint and take
@@ -15,7 +19,6 @@ part in links but can't name a group while there is another id in it. Empty tabl
 
 from __future__ import annotations
 
-import functools
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -23,7 +26,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import durable, fresh, require
@@ -32,7 +35,9 @@ from tidemark.llm.tokens import _bytes
 
 SEED = 42
 #: Rows of the sample that the upper tree is built from, fingerprints that a shard should hold, and a leaf inside it.
-SAMPLE, SHARD, LEAF = 20_000, 4_096, 512
+SAMPLE, SHARD, LEAF = 20_000, 16_384, 1_024
+#: Rows (at home or visiting) of a shard over which it is dealt out by chunks.
+CROWD = 131_072
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -172,11 +177,20 @@ def leaves(piece: np.ndarray, home: np.ndarray, inner: int) -> Iterator[tuple[np
 
 
 def stars(whole: np.ndarray, piece: np.ndarray, home: np.ndarray, radius: int, inner: int) -> Iterator[tuple[int, int]]:
-    """Links (i, j) that span every group of places joined by pairs, one of them at home, at ``radius`` or less.
+    """Links (i, j) that span every group of places joined by pairs, one of them at home, at ``radius`` or less and at
+    ``inner`` or less within the slice.
 
     ``whole`` has a row per place and a column per 64 bits. A leaf is searched outwards from each place in turn; what joins
     a group leaves the search, so a group of near copies takes time in proportion to its size.
     """
+
+    def near(i: int, others: np.ndarray) -> np.ndarray:
+        some = np.flatnonzero(np.bitwise_count(piece[others] ^ piece[i]) <= inner)
+        return some[np.bitwise_count(whole[others[some]] ^ whole[i]).sum(axis=1, dtype=np.int64) <= radius]
+
+    def without(places: np.ndarray, gone: np.ndarray) -> np.ndarray:
+        return np.delete(places, gone) if len(gone) else places
+
     for at, own in leaves(piece, home, inner):
         left_home, left_visit = at[own], at[~own]
         while len(left_home):
@@ -184,89 +198,33 @@ def stars(whole: np.ndarray, piece: np.ndarray, home: np.ndarray, radius: int, i
             queue = [(first, True)]
             while queue:
                 i, at_home = queue.pop()
-                near = np.bitwise_count(whole[left_home] ^ whole[i]).sum(axis=1, dtype=np.int64) <= radius
-                for j in left_home[near].tolist():
+                some = near(i, left_home)
+                for j in left_home[some].tolist():
                     yield int(first), j
                     queue.append((j, True))
-                left_home = left_home[~near]
+                left_home = without(left_home, some)
                 if at_home:  # two visitors meet in the shard where one of them is at home
-                    near = np.bitwise_count(whole[left_visit] ^ whole[i]).sum(axis=1, dtype=np.int64) <= radius
-                    for j in left_visit[near].tolist():
+                    some = near(i, left_visit)
+                    for j in left_visit[some].tolist():
                         yield int(first), j
                         queue.append((j, False))
-                    left_visit = left_visit[~near]
+                    left_visit = without(left_visit, some)
 
 
-def spokes(whole: np.ndarray, piece: np.ndarray, home: np.ndarray, radius: int, inner: int, active: np.ndarray, every: bool = False) -> Iterator[tuple[int, int]]:
-    """Pairs (i, j) at ``radius`` or less from hubs i: active places at home that no hub before them has reached.
+def linked(prints: DataFrame, radius: int = 3, slices: int = 2, bits: int = 32, lanes: int = 1, inner: int | None = None, band: str | None = None) -> DataFrame:
+    """Spanning links (a, b) among the rows of ``prints`` (node long, f0, f1, ...; checkpointed, distinct fingerprints).
 
-    Places with many others near come first, so that the middle of a group is its hub. With ``every``, each active place
-    at home is a hub.
-    """
-    for at, own in leaves(piece, home, inner):
-        hubs = at[own & active[at]]
-        probe = at[:: max(1, len(at) // 256)]
-        crowd = np.array([(np.bitwise_count(whole[probe] ^ whole[i]).sum(axis=1, dtype=np.int64) <= radius).sum() for i in hubs], dtype=np.int64)
-        hubs = hubs[np.argsort(-crowd, kind="stable")]
-        reached = np.zeros(len(piece), dtype=bool)
-        members = whole[at]
-        for i in hubs.tolist():
-            if reached[i] and not every:
-                continue
-            near = at[np.bitwise_count(members ^ whole[i]).sum(axis=1, dtype=np.int64) <= radius]
-            reached[near] = True
-            for j in near[near != i].tolist():
-                yield i, j
-
-
-def possible(i: int, others: np.ndarray, size: np.ndarray, sketch: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Which of ``others`` may have a Jaccard similarity of ``least`` or more to place i, and how many shingles each shares
-    with it at most. No pair that is alike enough is ruled out: in each bucket of the sketch two sets share no more than the
-    smaller count. A sketch of 255 throughout says nothing (see ``shingle_sets``)."""
-    common = np.minimum(np.minimum(sketch[others], sketch[i]).sum(axis=1, dtype=np.int64), np.minimum(size[others], size[i]))
-    unknown = (sketch[others].min(axis=1) == 255) & bool(sketch[i].min() == 255)
-    common[unknown] = np.minimum(size[others], size[i])[unknown]
-    return common >= least * (size[others] + size[i] - common), common
-
-
-def bridges(whole: np.ndarray, piece: np.ndarray, home: np.ndarray, radius: int, inner: int, component: np.ndarray, size: np.ndarray, sketch: np.ndarray, least: float, nearest: bool) -> Iterator[tuple[int, int]]:
-    """Pairs (i, j) at ``radius`` or less, i at home, of unlike ``component`` and not ruled out by ``possible``.
-
-    With ``nearest``, each place gives one pair per other component of its leaf, the one that may share most.
-    """
-    for at, own in leaves(piece, home, inner):
-        of = component[at]
-        at_home = np.zeros(len(piece), dtype=bool)
-        at_home[at[own]] = True
-        for c in np.unique(of[own]).tolist():
-            others = at[of != c]
-            members = whole[others]
-            for i in at[own & (of == c)].tolist() if len(others) else ():
-                j = others[np.bitwise_count(members ^ whole[i]).sum(axis=1, dtype=np.int64) <= radius]
-                may, common = possible(i, j, size, sketch, least)
-                j, common = j[may], common[may]
-                if nearest:
-                    best = np.argsort(-common / np.maximum(size[j] + size[i] - common, 1), kind="stable")
-                    j = j[best[np.unique(component[j[best]], return_index=True)[1]]]
-                else:
-                    j = j[(j > i) | ~at_home[j]]  # two at home meet twice
-                for k in j.tolist():
-                    yield i, k
-
-
-def sharded(prints: DataFrame, find, radius: int, slices: int, bits: int, lanes: int, extra: tuple[str, ...] = (), inner: int | None = None) -> DataFrame:
-    """Run ``find(whole, piece, home, radius, inner, *extra columns)`` in every shard; pairs (a, b) of nodes.
-
-    ``prints`` has node (long), f0, f1, ... and the columns ``extra``, numbers or binary of one length; ``slices`` pieces of ``bits`` bits
-    cover the fingerprint. ``inner`` is the radius within a slice; at ``radius // slices`` no pair is missed.
+    Every pair at ``radius`` or less, and at ``inner`` or less in one of the ``slices`` of so many ``bits``, is joined by a
+    path of the links given; at ``inner`` = ``radius // slices`` (the default) that is every pair within the radius. With
+    ``band`` (a column of whole numbers) only pairs in one band or two neighbouring ones count.
     """
-    n = prints.count()
     dtype = {16: np.uint16, 32: np.uint32, 64: np.uint64}[bits]
     inner = radius // slices if inner is None else inner
     lane_columns = [f"f{i}" for i in range(lanes)]
-    carried = ["node", *lane_columns, *extra]
-    depth = max(0, math.ceil(math.log2(max(n, 1) / SHARD)))
-    sample = prints.select("node", *lane_columns).orderBy(F.xxhash64(*lane_columns)).limit(SAMPLE).toPandas() if depth else None
+    prints = prints.select("node", *lane_columns, (F.col(band) if band else F.lit(0)).cast("int").alias("band"))
+    largest = prints.groupBy("band").count().agg(F.max("count")).first()[0] or 0
+    depth = max(0, math.ceil(math.log2(max(largest, 1) / SHARD)))
+    sample = prints.select(*lane_columns).orderBy(F.xxhash64(*lane_columns)).limit(SAMPLE).toPandas() if depth else None
 
     def whole_of(frame: pd.DataFrame) -> np.ndarray:
         return np.stack([frame[c].to_numpy(np.int64).view(np.uint64) for c in lane_columns], axis=1)
@@ -275,35 +233,48 @@ def sharded(prints: DataFrame, find, radius: int, slices: int, bits: int, lanes:
         lane, place = divmod(k * bits, 64)
         return (whole[:, lane] >> np.uint64(place)).astype(dtype)
 
-    trees = [grow(slice_of(whole_of(sample), k), depth, dtype) if depth else (0, 1) for k in range(slices)]
-    first = np.cumsum([0, *[shards for _, shards in trees]])
-    routing = prints.sparkSession.sparkContext.broadcast([tree for tree, _ in trees])  # bounded by SAMPLE
+    trees = [grow(slice_of(whole_of(sample), k), depth, dtype)[0] if depth else 0 for k in range(slices)]
+    routing = prints.sparkSession.sparkContext.broadcast(trees)  # bounded by SAMPLE
+
+    def visits(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        whole, bands = whole_of(frame), frame["band"].to_numpy()
+        for k, tree in enumerate(routing.value):
+            for shard, at, home in route(tree, slice_of(whole, k), inner, dtype):
+                for up in (0, 1) if band else (0,):  # a pair of neighbouring bands meets in the upper one
+                    yield frame.iloc[at].assign(slice=k, shard=shard, band=bands[at] + up, home=home & (up == 0))
+
+    place = ["slice", "band", "shard"]
+
+    def tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in batches:
+            yield pd.concat([v.groupby(place, as_index=False).agg(n=("node", "size")) for v in visits(frame)] or [pd.DataFrame(columns=[*place, "n"])])
+
+    crowds = prints.mapInPandas(tally, "slice int, band int, shard int, n long").groupBy(*place).agg(F.sum("n").alias("n")).filter(F.col("n") > CROWD).collect()
+    chunks = prints.sparkSession.sparkContext.broadcast({(r["slice"], r["band"], r["shard"]): math.ceil(r["n"] / CROWD) + 1 for r in crowds})
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
-            whole = whole_of(frame)
-            for k, tree in enumerate(routing.value):
-                for shard, at, home in route(tree, slice_of(whole, k), inner, dtype):
-                    yield frame.iloc[at].assign(shard=int(first[k]) + shard, slice=k, home=home)
+            for v in visits(frame):
+                v = v.assign(cell=0)
+                if not chunks.value:
+                    yield v
+                    continue
+                for key, some in v.groupby(place):
+                    k = chunks.value.get(key, 1)
+                    own = some["node"].to_numpy() % k
+                    for other in range(k):
+                        both = some[own != other] if k > 1 else some
+                        mine = own[own != other] if k > 1 else own
+                        yield both.assign(cell=np.minimum(mine, other) * k + np.maximum(mine, other))
 
     def search(frame: pd.DataFrame) -> pd.DataFrame:
         whole, nodes = whole_of(frame), frame["node"].to_numpy(np.int64)
-        more = [np.frombuffer(b"".join(frame[c]), dtype=np.uint8).reshape(len(frame), -1) if frame[c].dtype == object else frame[c].to_numpy() for c in extra]
-        found = list(find(whole, slice_of(whole, int(frame["slice"].iloc[0])), frame["home"].to_numpy(bool), radius, inner, *more))
+        found = list(stars(whole, slice_of(whole, int(frame["slice"].iloc[0])), frame["home"].to_numpy(bool), radius, inner))
         at = np.array(found, dtype=np.int64).reshape(-1, 2)
         return pd.DataFrame({"a": nodes[at[:, 0]], "b": nodes[at[:, 1]]})
 
-    schema = ", ".join(f"{c} {prints.schema[c].dataType.simpleString()}" for c in carried)
-    routed = prints.select(*carried).mapInPandas(spread, f"{schema}, shard int, slice int, home boolean")
-    return routed.groupBy("shard").applyInPandas(search, "a long, b long")
-
-
-def linked(prints: DataFrame, radius: int = 3, slices: int = 2, bits: int = 32, lanes: int = 1) -> DataFrame:
-    """Spanning links (a, b) among the rows of ``prints`` (node long, f0, f1, ...; checkpointed, distinct fingerprints).
-
-    Every pair at ``radius`` or less is joined by a path of the links given.
-    """
-    return sharded(prints, stars, radius, slices, bits, lanes)
+    schema = "node long, " + "".join(f"{c} long, " for c in lane_columns) + "band int, slice int, shard int, home boolean, cell long"
+    return prints.mapInPandas(spread, schema).groupBy(*place, "cell").applyInPandas(search, "a long, b long").distinct()
 
 
 def group(prints: DataFrame, radius: int = 3, slices: int = 2, bits: int = 32, lanes: int = 1) -> DataFrame:
@@ -323,78 +294,226 @@ def near_duplicates(documents: DataFrame, words: int = 3, radius: int = 3) -> Da
 
 
 #: The pipeline's near-duplicates: five-word shingles with a Jaccard similarity of 0.8 or more. Over 128 bits such a pair
-#: differs in 19 bits on average (angle / pi of the cosine 2 * 0.8 / 1.8) with a deviation of 4; 28 bits leave room.
-SIMILAR_WORDS, SIMILAR, SIMILAR_LANES, SIMILAR_RADIUS = 5, 0.8, 2, 28
-#: Search slices of 16 bits with a radius of 1 each: one of the eight is that near for over nine in ten pairs at 0.8.
-SIMILAR_SLICES, SIMILAR_BITS, SIMILAR_INNER = 8, 16, 1
-#: Buckets of the shingle counts that rule pairs out before their sets are compared.
-SKETCH = 128
+#: differs in 19 bits on average (angle / pi of the cosine 2 * 0.8 / 1.8) with a deviation of 4; 32 bits leave room.
+SIMILAR_WORDS, SIMILAR, SIMILAR_LANES, SIMILAR_RADIUS = 5, 0.8, 2, 32
+#: Search slices of 16 bits with a radius of 2 each: for a pair at 0.8 one of the eight is that near with probability 0.998.
+SIMILAR_SLICES, SIMILAR_BITS, SIMILAR_INNER = 8, 16, 2
+#: Texts, and their shingles, over which a block is compared by chunks in several tasks; chunks are of half that.
+BLOCK_TEXTS, BLOCK_SHINGLES = 4_096, 2_000_000
+#: Texts of a large block that are compared with all of it in the first rounds; the last takes all that are left to do.
+HUBS = (64, 512)
+
+
+def similar(common: np.ndarray, a: np.ndarray | int, b: np.ndarray | int, least: float) -> np.ndarray:
+    """Whether the Jaccard similarity is ``least`` or more; two empty sets are alike."""
+    return common >= least * (a + b - common)
+
+
+class Sets:
+    """Shingle sets of a block, for counting what one of them shares with each."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sizes = np.array([len(x) for x in sets], dtype=np.int64)
+        _, ids, counts = np.unique(np.concatenate([*sets, np.empty(0, np.uint64)]), return_inverse=True, return_counts=True)
+        several = counts > 1  # what one set alone has is in no intersection
+        held = several[ids]
+        owner = np.repeat(np.arange(len(sets)), self.sizes)[held]
+        self.ids = (np.cumsum(several) - 1)[ids[held]].astype(np.int32)
+        self.ends = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(sets)))])
+        self.mark = np.zeros(int(several.sum()), dtype=bool)
+
+    def common(self, i: int) -> np.ndarray:
+        """How many shingles set i shares with each set."""
+        own = self.ids[self.ends[i] : self.ends[i + 1]]
+        self.mark[own] = True
+        sums = np.concatenate([[0], np.cumsum(self.mark[self.ids], dtype=np.int32)])
+        self.mark[own] = False
+        return sums[self.ends[1:]] - sums[self.ends[:-1]]
+
+    def alike(self, i: int, least: float) -> np.ndarray:
+        return similar(self.common(i), self.sizes[i], self.sizes, least)
+
+
+def classes(sets: list[np.ndarray], least: float) -> np.ndarray:
+    """For each set the first one that chains of alike sets reach."""
+    block, label = Sets(sets), np.full(len(sets), -1)
+    for first in range(len(sets)):
+        if label[first] >= 0:
+            continue
+        label[first], queue = first, [first]
+        while queue and (label < 0).any():
+            new = np.flatnonzero(block.alike(queue.pop(), least) & (label < 0))
+            label[new] = first
+            queue += new.tolist()
+    return label
+
+
+def _shingle_set(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, dtype="<u8")
 
 
-def shingle_sets(texts: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
-    """(node, shingles, size, sketch) of the ``nodes`` among ``texts`` (node, text): the hashes of the shingle set, how many
-    there are, and how many fall in each of ``SKETCH`` buckets (255 in every bucket if some bucket has more than that)."""
+def blocks_in_one_task(members: DataFrame, least: float) -> DataFrame:
+    """(digest, class) of ``members`` (block, digest, shingles) of small blocks: a block's rows are read one after another."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for batch in batches:
+            yield from zip(*[batch.column(c).to_pylist() for c in ("block", "digest", "shingles")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def close(held: list[tuple[str, bytes]]) -> pa.RecordBatch:
+            names = [d for d, _ in held]
+            label = classes([_shingle_set(x) for _, x in held], least)
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([names[i] for i in label], pa.string())], names=["digest", "class"])
+
+        at, held = None, []
+        for block, digest, shingles in rows(batches):
+            if block != at and held:
+                yield close(held)
+                held = []
+            at = block
+            held.append((digest, shingles))
+        if held:
+            yield close(held)
+
+    placed = members.repartition("block").sortWithinPartitions("block", "digest")
+    return placed.select("block", "digest", "shingles").mapInArrow(run, "digest string, class string")
+
+
+def against_all(queries: DataFrame, members: DataFrame, least: float) -> DataFrame:
+    """Links (a, b) between ``queries`` and the texts of their block that are alike; both have block, digest, chunk, chunks and
+    shingles, members also the label of their component.
+
+    A task compares one chunk of the queries with one of the members. Of the members of one component a query names one.
+    """
+    copies = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
+    left = queries.select("block", F.col("chunk").alias("q"), copies.alias("m"), F.lit(True).alias("asks"), "digest", F.lit("").alias("label"), "shingles")
+    right = members.select("block", copies.alias("q"), F.col("chunk").alias("m"), F.lit(False).alias("asks"), "digest", "label", "shingles")
+    right = right.join(left.select("block", "q").distinct(), ["block", "q"], "left_semi").select(*left.columns)
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        asks = frame["asks"].to_numpy(bool)
+        sets, found = Sets([_shingle_set(x) for x in frame["shingles"]]), []
+        names, labels = frame["digest"].to_numpy(), frame["label"].to_numpy()
+        for i in np.flatnonzero(asks):
+            alike = np.flatnonzero(sets.alike(i, least) & ~asks)
+            one = alike[np.unique(labels[alike].astype(str), return_index=True)[1]]
+            found += [(names[i], names[j]) for j in one if names[i] != names[j]]
+        return pd.DataFrame(found, columns=["a", "b"], dtype=object)
+
+    return left.union(right).groupBy("block", "q", "m").applyInPandas(run, "a string, b string")
+
+
+def blocks_by_chunks(members: DataFrame, least: float) -> DataFrame:
+    """(digest, class) of ``members`` (block, digest, shingles, chunks) of large blocks.
+
+    A few texts of a block are compared with all of it, then some more, at last all that are still outside the block's
+    largest component; each pair that isn't joined by links then has an end that was compared with the whole block.
+    """
+    members = durable(members.withColumn("chunk", F.pmod(F.xxhash64("digest"), F.col("chunks"))))
+    links, asked = None, None
+    labelled = members.withColumn("label", F.col("digest"))
+    for most in (*HUBS, None):
+        ahead = labelled.select("block", "digest", "label")
+        if links is not None:
+            sizes = ahead.groupBy("block", "label").count().groupBy("block").agg(F.max_by("label", F.struct("count", "label")).alias("largest"))
+            ahead = ahead.join(sizes, "block").filter(F.col("label") != F.col("largest")).join(asked, "digest", "left_anti")
+        if most:
+            order = Window.partitionBy("block").orderBy(F.xxhash64("digest"), "digest")
+            ahead = ahead.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most)
+        queries = durable(members.join(ahead.select("digest"), "digest", "left_semi"))
+        new = durable(against_all(queries, labelled, least))
+        links = new if links is None else links.union(new)
+        asked = queries.select("digest") if asked is None else asked.union(queries.select("digest"))
+        found = durable(components(links).select(F.col("node").alias("digest"), F.col("component").alias("label")))
+        labelled = members.join(found, "digest", "left").withColumn("label", F.coalesce("label", "digest"))
+    return labelled.select("digest", F.col("label").alias("class"))
+
+
+def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
+    """(digest, shingles) of ``texts`` (digest, text): the sorted hashes of the shingle set; equal texts once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [np.unique(shingle_hashes(x, words)) for x in _bytes(batch.column("text"))]
-            counts = [np.bincount((x % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) for x in sets]
-            sketches = [(c if c.max() <= 255 else np.full(SKETCH, 255)).astype(np.uint8).tobytes() for c in counts]
-            columns = [batch.column("node"), pa.array([x.astype("<u8").tobytes() for x in sets], pa.binary()), pa.array([len(x) for x in sets], pa.int64()), pa.array(sketches, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["node", "shingles", "size", "sketch"])
+            sets = [np.unique(shingle_hashes(x, words)).astype("<u8").tobytes() for x in _bytes(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array(sets, pa.binary())], names=["digest", "shingles"])
 
-    return texts.join(nodes, "node", "left_semi").select("node", "text").mapInArrow(run, "node long, shingles binary, size long, sketch binary")
+    return texts.select("digest", "text").mapInArrow(run, "digest string, shingles binary").groupBy("digest").agg(F.first("shingles").alias("shingles"))
 
 
-def jaccard_at_least(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) whose shingle sets are alike enough, by exact comparison; ``sets``: node, shingles."""
-    of = lambda end: sets.select(F.col("node").alias(end), F.col("shingles").alias(f"of_{end}"))
-    both = pairs.join(of("b"), "b").join(of("a"), "a")
+def set_prints(texts: DataFrame, words: int, lanes: int) -> DataFrame:
+    """``texts`` (doc_id, digest, text) without text, with f0, f1, ... over the whole text and the size of its shingle set."""
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            alike = []
-            for x, y in zip(batch.column("of_a").to_pylist(), batch.column("of_b").to_pylist()):
-                x, y = np.frombuffer(x, dtype="<u8"), np.frombuffer(y, dtype="<u8")
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                alike.append(common >= least * (len(x) + len(y) - common))
-            yield batch.select(["a", "b"]).filter(pa.array(alike, pa.bool_()))
+            out, sizes = np.zeros((lanes, batch.num_rows), dtype=np.uint64), np.zeros(batch.num_rows, dtype=np.int64)
+            seen: dict[bytes, int] = {}
+            for i, text in enumerate(_bytes(batch.column("text"))):
+                at = seen.setdefault(text, i)
+                if at < i:
+                    out[:, i], sizes[i] = out[:, at], sizes[at]
+                    continue
+                h = np.unique(shingle_hashes(text, words))
+                sizes[i] = len(h)
+                for lane in range(lanes):
+                    out[lane, i] = majority(remix(h, lane) if lane else h) if len(h) else 0
+            columns = [batch.column("doc_id"), batch.column("digest"), *[pa.array(x.view(np.int64)) for x in out], pa.array(sizes)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "digest", *[f"f{i}" for i in range(lanes)], "size"])
+
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    return texts.select("doc_id", "digest", "text").mapInArrow(run, f"doc_id {kind}, digest string, " + "".join(f"f{i} long, " for i in range(lanes)) + "size long")
+
 
-    return both.select("a", "b", "of_a", "of_b").mapInArrow(compare, "a long, b long")
+def similar_texts(texts: DataFrame, prints: DataFrame, words: int = SIMILAR_WORDS, least: float = SIMILAR) -> DataFrame:
+    """(digest, class) of the texts that may have another alike to them: texts in one class are joined by chains of pairs with
+    a Jaccard similarity of ``least`` or more.
+
+    ``texts``: digest, text. ``prints``: one row per text: digest, f0, f1, ..., size. Fingerprints near each other, of sets
+    whose sizes allow the similarity, link up to blocks; inside a block the sets are compared, so a class is exact for all
+    pairs whose fingerprints met.
+    """
+    lane_columns = [f"f{i}" for i in range(SIMILAR_LANES)]
+    noded = prints.withColumn("node", F.xxhash64(*lane_columns, "size"))  # equal nodes only share a block
+    # Sets whose sizes differ by more than 1 / least aren't alike; a band is a little wider than that.
+    band = F.floor(F.log(F.col("size").cast("double")) / math.log(1.0001 / least)).alias("band")
+    nodes = durable(noded.filter("size > 0").select("node", *lane_columns, band).distinct())
+    near = linked(nodes, SIMILAR_RADIUS, SIMILAR_SLICES, SIMILAR_BITS, SIMILAR_LANES, SIMILAR_INNER, "band")
+    blocks = components(near).withColumnRenamed("component", "block")
+    placed = durable(noded.join(blocks, "node", "left").select("digest", "size", F.coalesce("block", "node").alias("block")))
+    chunks = F.greatest(F.ceil(2 * F.col("n") / BLOCK_TEXTS), F.ceil(2 * F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+    sizes = placed.groupBy("block").agg(F.count("*").alias("n"), F.sum("size").alias("shingles")).filter("n > 1")
+    placed = durable(placed.join(sizes.select("block", chunks.alias("chunks")), "block").select("block", "digest", "chunks"))
+    sets = durable(shingle_sets(texts.join(placed, "digest", "left_semi"), words).join(placed, "digest"))
+    few = blocks_in_one_task(sets.filter("chunks <= 2"), least)
+    many = sets.filter("chunks > 2")
+    return few if many.isEmpty() else few.union(blocks_by_chunks(many, least))
 
 
 def one_of_each(documents: DataFrame) -> DataFrame:
     """The documents without near-duplicates: of each group the row with the smallest doc_id stays, with all its columns.
 
-    Exact copies are one text from the start. Of all pairs near by fingerprint in a leaf, hubs are compared with all texts
-    near them first, so a group of n copies costs about n comparisons. Then each text is compared with the likeliest text of
-    every component near it but its own, and at last all near pairs are that are still in two components. A pair is left
-    out only if links join its ends already or its shingle counts prove that it isn't alike enough. Texts without words are
-    alike to each other.
+    Groups are chains of texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more (see
+    ``similar_texts``); exact copies are one text from the start, and texts without words are alike to each other. A null
+    doc_id stays only where its group has no other. Of rows that agree in doc_id and text the first in the order of all
+    columns, written as JSON, stays.
     """
-    numbered = documents.withColumn(row := fresh(documents, "row"), F.monotonically_increasing_id())
-    bare = numbered.select(F.col(row).alias("row"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    bare = bare.withColumn("digest", F.md5("text"))
-    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))
-    reps = durable(bare.groupBy("digest").agg(first.alias("first")).select(F.col("first.row").alias("row"), F.col("first.doc_id").alias("rep_doc_id")))
-    texts = bare.join(reps, "row").select(F.col("row").alias("node"), "doc_id", "text")
-    prints = durable(fingerprints(texts, SIMILAR_WORDS, SIMILAR_LANES, "node").withColumnRenamed("id", "node"))
-    search = functools.partial(sharded, radius=SIMILAR_RADIUS, slices=SIMILAR_SLICES, bits=SIMILAR_BITS, lanes=SIMILAR_LANES, inner=SIMILAR_INNER)
-    either_way = lambda pairs: durable(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    tried = either_way(search(prints, lambda whole, *rest: spokes(whole, *rest, np.ones(len(whole), dtype=bool))))
-    # Every text with another near it is in one of these pairs, so the other texts are done.
-    ends = durable(tried.select(F.col("a").alias("node")).union(tried.select("b")).distinct())
-    sets = durable(shingle_sets(texts, ends, SIMILAR_WORDS))
-    sketched = durable(prints.join(sets.select("node", "size", "sketch"), "node"))
-    links = durable(jaccard_at_least(tried, sets, SIMILAR))
-    for nearest in (True, False):
-        labelled = durable(sketched.join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node")))
-        found = either_way(search(labelled, functools.partial(bridges, least=SIMILAR, nearest=nearest), extra=("component", "size", "sketch")))
-        new = durable(found.join(tried, ["a", "b"], "left_anti"))
-        links = links.union(durable(jaccard_at_least(new, sets, SIMILAR)))
-        tried = tried.union(new)
-    groups = components(links)
-    named = reps.withColumnRenamed("row", "node").join(groups, "node", "left")
-    keeper = F.min(F.struct(F.col("rep_doc_id").isNull(), "rep_doc_id", "node"))
-    stay = named.groupBy(F.coalesce("component", "node").alias("c")).agg(keeper.alias("k")).select(F.col("k.node").alias("stay_row"))
-    return numbered.join(stay, F.col(f"`{row}`") == F.col("stay_row"), "left_semi").drop(row)
+    digest = fresh(documents, "digest")
+    texts = documents.select(F.col("`doc_id`").alias("doc_id"), F.coalesce(F.col("`text`"), F.lit("")).alias("text"))
+    texts = texts.withColumn("digest", F.md5("text"))
+    lane_columns = [f"f{i}" for i in range(SIMILAR_LANES)]
+    rows = set_prints(texts, SIMILAR_WORDS, SIMILAR_LANES).groupBy("digest", "doc_id", *lane_columns, "size").agg(F.count("*").alias("copies"))
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "copies")).alias("first")
+    reps = durable(rows.groupBy("digest", *lane_columns, "size").agg(first).select("digest", *lane_columns, "size", "first.doc_id", "first.copies"))
+    named = reps.join(similar_texts(texts, reps.select("digest", *lane_columns, "size")), "digest", "left")
+    keeper = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "digest", "copies")).alias("k")
+    stay = durable(named.groupBy(F.coalesce("class", "digest")).agg(keeper).select(F.col("k.doc_id").alias("stay_id"), F.col("k.digest").alias("stay_digest"), F.col("k.copies").alias("stay_copies")))
+    numbered = documents.withColumn(digest, F.md5(F.coalesce(F.col("`text`"), F.lit(""))))
+
+    def those(which: DataFrame) -> DataFrame:
+        return numbered.join(which, (F.col(f"`{digest}`") == F.col("stay_digest")) & F.col("`doc_id`").eqNullSafe(F.col("stay_id")), "left_semi")
+
+    once = those(stay.filter("stay_copies = 1")).drop(digest)
+    if (repeated := stay.filter("stay_copies > 1")).isEmpty():
+        return once
+    columns = [F.col(f"`{c}`") for c in documents.columns]
+    chosen = those(repeated).groupBy(digest, "doc_id").agg(F.min_by(F.struct(*columns), F.to_json(F.struct(*columns))).alias("row"))
+    return once.union(chosen.select("row.*"))
