@@ -20,7 +20,9 @@ from pyspark.sql import DataFrame
 
 from tidemark.llm.common import require
 
-MEMO = 900_000
+MEMO = 600_000
+#: Bytes of texts that are cut into words at once, so that a batch's words aren't all held as objects.
+RUN = 1 << 20
 #: Texts over so many code points are encoded in overlapping chunks of so many, with so much overlap at first.
 CHUNK, OVERLAP = 32_768, 256
 
@@ -75,6 +77,19 @@ def _bytes(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
     return [x or b"" for x in pc.cast(column, pa.large_binary()).to_pylist()]
 
 
+def _runs(texts: list[bytes]) -> Iterator[list[bytes]]:
+    """``texts`` in order, in runs of about ``RUN`` bytes."""
+    run, size = [], 0
+    for text in texts:
+        run.append(text)
+        size += len(text)
+        if size >= RUN:
+            yield run
+            run, size = [], 0
+    if run:
+        yield run
+
+
 def _stable(text: str, at: int) -> bool:
     """Nothing left of ``at`` can change the tokens right of it: the rule of this vocabulary drops white space, joins
     nothing across it, and no normalisation composes with it."""
@@ -118,15 +133,16 @@ def count_tokens(documents: DataFrame, path: str, keys: tuple[str, ...] = ("doc_
         tokenizer = vocabulary(path)
         encode = lambda x: tokenizer.encode(x, add_special_tokens=False)
         for batch in batches:
-            memo = _memo(path, "count")
-            texts = _bytes(batch.column(text))
-            split = [x.split() if len(x) <= CHUNK else None for x in texts]
-            new = list(set().union(*[x for x in split if x]).difference(memo))
-            for i in range(0, len(new), 4096):
-                part = new[i : i + 4096]
-                memo.update(zip(part, map(len, tokenizer.encode_batch_fast([x.decode() for x in part], add_special_tokens=False))))
-            known = memo.__getitem__
-            counts = [sum(map(known, w)) if w is not None else spliced_count(x.decode(), encode) for w, x in zip(split, texts)]
+            texts, counts = _bytes(batch.column(text)), []
+            for run in _runs(texts):
+                memo = _memo(path, "count")
+                split = [x.split() if len(x) <= CHUNK else None for x in run]
+                new = list(set().union(*[x for x in split if x]).difference(memo))
+                for i in range(0, len(new), 4096):
+                    part = new[i : i + 4096]
+                    memo.update(zip(part, map(len, tokenizer.encode_batch_fast([x.decode() for x in part], add_special_tokens=False))))
+                known = memo.__getitem__
+                counts += [sum(map(known, w)) if w is not None else spliced_count(x.decode(), encode) for w, x in zip(split, run)]
             yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keys], pa.array([len(x) for x in texts], pa.int64()), pa.array(counts, pa.int64())], names=[*keys, "n_bytes", "n_tokens"])
 
     rows = require(documents, *keys, text)
@@ -134,7 +150,7 @@ def count_tokens(documents: DataFrame, path: str, keys: tuple[str, ...] = ("doc_
     return rows.mapInArrow(run, f"{schema}, n_bytes long, n_tokens long")
 
 
-def encode_all(texts: list[bytes], path: str) -> list[bytes]:
+def encode_all(texts: list[bytes], path: str) -> Iterator[bytes]:
     """Ids of each text as little-endian unsigned 32-bit integers, for the byte-level vocabulary with leading blanks.
 
     Its rule joins one blank to the word behind it, so a text falls apart before each single blank that a word follows:
@@ -142,6 +158,11 @@ def encode_all(texts: list[bytes], path: str) -> list[bytes]:
     can begin in them. A part that begins with more white space depends on what stands before it; texts
     with such a part are encoded whole.
     """
+    for run in _runs(texts):
+        yield from _encode_run(run, path)
+
+
+def _encode_run(texts: list[bytes], path: str) -> list[bytes]:
     tokenizer, merge = vocabulary(path), merger(path).encode_ordinary
     pack = lambda e: np.asarray(e.ids, dtype="<u4").tobytes()
     first, rest = _memo(path, "first"), _memo(path, "rest")
