@@ -643,3 +643,112 @@ def test_urls_with_more_words_than_are_broadcast(spark):
     weight = lambda t: np.log((bags["block"][t] + 1) / total["block"]) - np.log((bags["allow"][t] + 1) / total["allow"])
     for r in got:
         assert abs(np.log(n["block"] / n["allow"]) + sum(map(weight, tokens[r["page_id"]])) - r["log_odds"]) < 1e-9
+
+
+# bounds, clashes and repeated rows
+
+
+def test_chat_roles_read_back(spark):
+    """Roles that hold control strings, and columns with clashing names."""
+    rows = [(1, 0, "a>\nb", "c", "x"), (1, 1, "<turn:\\g>\n</turn>", "\\g \\l", "y"), (2, 0, "assistant", None, None), (2, 0, "assistant", None, None)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, turns string").withColumn("tree", F.lit(1)).withColumn("up", F.lit(2))
+    out = chat.format_trees(chat.conversation_tree(df)).select("tree_id", chat.read_turns(F.col("formatted")).alias("t")).collect()
+    got = {r["tree_id"]: [tuple(t) for t in r["t"]] for r in out}
+    assert got == {1: [("a>\nb", "c"), ("<turn:\\g>\n</turn>", "\\g \\l")], 2: [("assistant", ""), ("assistant", "")]}
+
+
+def test_counts_of_huge_texts(spark, none):
+    """Texts far over a chunk go through the overlaps; other columns and repeated rows change nothing."""
+    blank_free = "".join(random.Random(6).choice("abcdefgh.,!é") for _ in range(40_000))
+    texts = [(LONG + "\n") * 8, blank_free, "x" * 70_000, LONG * 3 + blank_free]
+    rows = [(i, t, 5, 6) for i, t in enumerate(texts)] + [(0, texts[0], 5, 6)]
+    df = spark.createDataFrame(rows, "doc_id int, text string, n_tokens int, n_bytes int")
+    library = tokens.vocabulary(WORD)
+    want = [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
+    got = sorted((r["doc_id"], r["n_tokens"]) for r in tokens.count_tokens(df, WORD).collect())
+    assert got == sorted([*enumerate(want), (0, want[0])])
+    assert tokens.count_tokens(none, WORD).count() == 0
+
+
+def test_other_vocabularies_are_encoded_whole():
+    assert tokens.splits_by(BYTE, "bytes") and tokens.splits_by(WORD, "words")
+    assert not tokens.splits_by(WORD, "bytes") and not tokens.splits_by(BYTE, "words")
+    library = tokens.vocabulary(WORD)
+    got = list(tokens.encode_all([t.encode() for t in ODD[:50]], WORD))
+    assert [np.frombuffer(g, "<u4").tolist() for g in got] == [library.encode(t, add_special_tokens=False).ids for t in ODD[:50]]
+
+
+def test_gradients_by_finite_differences():
+    rng = np.random.default_rng(2)
+    n = toxicity.FILTERS * len(toxicity.WIDTHS)
+    filters = [rng.normal(0, 0.5, (w, toxicity.WIDTH, toxicity.FILTERS)) for w in toxicity.WIDTHS]
+    vectors = rng.normal(0, 1, (12, toxicity.WIDTH))
+    vectors[0] = 0
+    model = toxicity.Model(np.arange(11), vectors, filters, [rng.normal(0, 0.1, toxicity.FILTERS) for _ in filters], rng.normal(0, 0.5, n), 0.1)
+    rows, labels = [rng.integers(0, 12, k).astype(np.int32) for k in (1, 4, 9, 30, 0)], np.array([1.0, 0, 1, 0, 1])
+
+    def response(text):  # plain convolution and max pooling
+        out = []
+        padded = np.concatenate([text, np.zeros(len(toxicity.WIDTHS) - 1 + (not len(text)), dtype=int)])
+        for f, b in zip(model.filters, model.biases):
+            at = range(max(1, len(text)))
+            out += [max(0, max(sum(float(model.vectors[padded[i + j]] @ f[j][:, k]) for j in range(len(f))) for i in at) + b[k]) for k in range(toxicity.FILTERS)]
+        return np.array(out)
+
+    def loss():
+        z = np.array([response(r) @ model.out + model.bias for r in rows])
+        return float(np.mean(np.log1p(np.exp(z)) - labels * z))
+
+    grads, by_bias = toxicity.gradients(model, rows, labels)
+    step = 1e-6
+    for x, g in zip(toxicity.parameters(model), grads):
+        for at in [tuple(rng.integers(0, d) for d in x.shape) for _ in range(12)]:
+            if x is model.vectors and at[0] == 0:
+                continue
+            old = x[at]
+            x[at] = old + step
+            up = loss()
+            x[at] = old - step
+            down = loss()
+            x[at] = old
+            assert abs((up - down) / (2 * step) - g[at]) < 1e-5
+    old, model.bias = model.bias, model.bias + step
+    up, model.bias = loss(), old
+    assert abs((up - loss()) / step - by_bias) < 1e-5
+
+
+def test_toxicity_held_out(spark):
+    """Accuracy on held-out rows of the given documents, in all and by language; repeated labels and rows count once."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    scored = toxicity.score(docs, toxicity.train(docs, labels)).join(labels, "doc_id").join(docs.select("doc_id", "lang"), "doc_id")
+    hits = Counter()
+    for r in scored.filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0).collect():
+        for key in ("all", r["lang"]):
+            hits[key, (r["score"] >= 0.5) == bool(r["toxic"])] += 1
+    for key in {k for k, _ in hits}:
+        assert hits[key, True] >= (0.97 if key == "all" else 0.93) * (hits[key, True] + hits[key, False])
+
+
+def test_warc_runs_and_clashes(spark, tmp_path, monkeypatch):
+    """More records and bytes than a run takes, several packages, clashing columns, an empty table."""
+    monkeypatch.setattr(warc, "READ_RUN", 5)
+    monkeypatch.setattr(warc, "READ_BYTES", 2_000)
+    monkeypatch.setattr(warc, "PACKAGE_BYTES", 20_000)
+    rows = [(i, f"http://h/{i}", text_of(RNG.randint(0, 400)), 1, 2) for i in range(60)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, row long, digest long").repartition(3)
+    packages = warc.write_packages(pages, str(tmp_path / "p"))
+    assert packages.count() > 3
+    got = warc.read_packages(packages, with_payload=True).collect()
+    assert sorted((r["page_id"], bytes(r["payload"] or b"").decode()) for r in got if r["record_type"] == "response") == sorted((r[0], r[2]) for r in rows)
+    assert {(r["page_id"], r["payload_digest"]) for r in got} == {(i, __import__("base64").b32encode(hashlib.sha1(h.encode()).digest()).decode()) for i, _, h, *_ in rows}
+    assert warc.read_packages(warc.write_packages(pages.limit(0), str(tmp_path / "q"))).count() == 0
+
+
+def test_urls_edge_rows(spark):
+    """Repeated rows, null ids and very long urls are judged one by one."""
+    long = "http://" + "a" * 300 + ".org/" + "wordsalad" * 500
+    rows = [(None, "http://x.net/", "a b"), (1, "http://x.net/", "a b"), (1, "http://x.net/", "a b"), (2, long, None), (3, None, ""), (4, "http://good.org/fr/x", "good words " * 5)]
+    got = urls.judge(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("token", F.lit(1))).collect()
+    assert sorted(str(r["page_id"]) for r in got) == sorted(str(r[0]) for r in rows)
+    assert {(r["host"], r["verdict"]) for r in got if r["rule"]} == {("x.net", "block"), ("good.org", "allow")}

@@ -4,8 +4,8 @@ Messages form trees through parent ids. ``root_paths`` finds every root-to-leaf
 ancestor pointers until none is left, then double each leaf's known ancestors downwards, so depth d takes about 2*log2(d)
 joins. ``rank_paths`` orders a tree's branches by their summed score; ``format_paths`` renders the chosen ones.
 
-Template: ``<turn:ROLE>\\nTEXT</turn>\\n`` per turn. In role and text a backslash becomes ``\\e`` and ``<`` becomes ``\\l``,
-so that no control string can occur in them and both can be read back exactly. The loss mask is an array of spans
+Template: ``<turn:ROLE>\\nTEXT</turn>\\n`` per turn. In role and text a backslash becomes ``\\e`` and ``<`` becomes ``\\l``, in a
+role also ``>`` becomes ``\\g``, so that no control string can occur in them and both can be read back exactly. The loss mask is an array of spans
 (start, end in code points of the formatted string) over the texts of the trained roles.
 
 Null texts and roles count as empty. A message whose parent isn't in the table (or is null) is a root. Trees and nodes
@@ -29,8 +29,12 @@ def escape(text: Column) -> Column:
     return F.replace(F.replace(text, F.lit("\\"), F.lit("\\e")), F.lit("<"), F.lit("\\l"))
 
 
+def escape_role(role: Column) -> Column:
+    return F.replace(escape(role), F.lit(">"), F.lit("\\g"))
+
+
 def unescape(text: Column) -> Column:
-    return F.replace(F.replace(text, F.lit("\\l"), F.lit("<")), F.lit("\\e"), F.lit("\\"))
+    return F.replace(F.replace(F.replace(text, F.lit("\\l"), F.lit("<")), F.lit("\\g"), F.lit(">")), F.lit("\\e"), F.lit("\\"))
 
 
 def conversation_tree(conversations: DataFrame) -> DataFrame:
@@ -85,7 +89,7 @@ def rank_paths(tree: DataFrame, paths: DataFrame, most: int | None = 1) -> DataF
 
 def format_paths(messages: DataFrame, trained: tuple[str, ...] = TRAINED) -> DataFrame:
     """(tree_id, leaf_id, path_rank, path_score, formatted, loss_spans), one row per path."""
-    turn = F.struct(F.col("up"), escape(F.coalesce("role", F.lit(""))).alias("role"), escape(F.coalesce("text", F.lit(""))).alias("text"), F.coalesce(F.col("role").isin(*trained), F.lit(False)).alias("loss"))
+    turn = F.struct(F.col("up"), escape_role(F.coalesce("role", F.lit(""))).alias("role"), escape(F.coalesce("text", F.lit(""))).alias("text"), F.coalesce(F.col("role").isin(*trained), F.lit(False)).alias("loss"))
     turns = F.reverse(F.array_sort(F.collect_list(turn)))
     out = messages.groupBy("tree", "leaf_id", "path_rank", "path_score").agg(F.first("tree_id").alias("tree_id"), turns.alias("turns"))
     formatted = F.array_join(F.transform("turns", lambda t: F.concat(F.lit(OPEN), t["role"], F.lit(MIDDLE), t["text"], F.lit(CLOSE))), "")

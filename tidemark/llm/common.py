@@ -19,8 +19,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below the cluster's shared checkpoint folder; a local one only where none is named (tests)."""
+    """A new folder below the cluster's shared checkpoint folder. A session on one machine (tests) may name none."""
     base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not base:
         base = f"file://{tempfile.gettempdir()}/tidemark-{os.getpid()}"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"

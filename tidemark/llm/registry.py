@@ -129,7 +129,7 @@ SELECT doc_id, size, source_size, target, CAST(t0 + t1 + t2 AS BIGINT) AS taken,
     "op5_chat_format": r"""
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
     UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
-  f AS (SELECT *, length(replace(replace(role, '\', '\e'), '<', '\l')) + length(replace(replace(text, '\', '\e'), '<', '\l')) + 16 AS chars FROM c),
+  f AS (SELECT *, length(replace(replace(replace(role, '\', '\e'), '<', '\l'), '>', '\g')) + length(replace(replace(text, '\', '\e'), '<', '\l')) + 16 AS chars FROM c),
   g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS turns, coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '') AS loss, CAST(sum(chars) AS BIGINT) AS formatted_chars FROM f GROUP BY conv_id)
 SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM g""",
 }

@@ -4,12 +4,14 @@ Both functions use what is provable about their vocabulary's splitting rule, so
 again; a worker keeps the ids of up to ``MEMO`` words. ``count_tokens`` cuts huge texts into overlapping chunks and splices
 the encodings at stable common boundaries.
 
-Null texts count as empty. Repeated rows are encoded one by one. The vocabulary file is a parameter (a path that every
+Null texts count as empty, and an empty table gives an empty result. Repeated rows are encoded one by one; other columns
+aren't read. The vocabulary file is a parameter (a path that every
 executor has).
 """
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Iterator
 
@@ -66,6 +68,33 @@ def merger(path: str):
     return _open[key]
 
 
+# Normalizer and splitting rule of the vocabularies that the shortcuts below are proven for.
+SPLITTING = {
+    "bytes": (None, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}),
+    "words": (
+        {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+        {
+            "type": "Sequence",
+            "pretokenizers": [
+                {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+                {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+            ],
+        },
+    ),
+}
+
+
+def splits_by(path: str, rule: str) -> bool:
+    """Whether a vocabulary splits texts by one of the rules in ``SPLITTING`` and its special strings begin with ``<|``. Texts of
+    any other vocabulary are encoded whole."""
+    key = f"{path}#{rule}"
+    if key not in _open:
+        told = json.loads(vocabulary(path).to_str())
+        plain = all(t["content"].startswith("<|") and not any(map(str.isspace, t["content"])) for t in told["added_tokens"])
+        _open[key] = plain and (told["normalizer"], told["pre_tokenizer"]) == SPLITTING[rule]
+    return _open[key]
+
+
 def _memo(path: str, kind: str) -> dict:
     memo = _memos.setdefault((path, kind), {})
     if len(memo) > MEMO:
@@ -132,17 +161,18 @@ def count_tokens(documents: DataFrame, path: str, keys: tuple[str, ...] = ("doc_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = vocabulary(path)
         encode = lambda x: tokenizer.encode(x, add_special_tokens=False)
+        shortcut = splits_by(path, "words")
         for batch in batches:
             texts, counts = _bytes(batch.column(text)), []
             for run in _runs(texts):
                 memo = _memo(path, "count")
-                split = [x.split() if len(x) <= CHUNK else None for x in run]
+                split = [x.split() if shortcut and len(x) <= CHUNK else None for x in run]
                 new = list(set().union(*[x for x in split if x]).difference(memo))
                 for i in range(0, len(new), 4096):
                     part = new[i : i + 4096]
                     memo.update(zip(part, map(len, tokenizer.encode_batch_fast([x.decode() for x in part], add_special_tokens=False))))
                 known = memo.__getitem__
-                counts += [sum(map(known, w)) if w is not None else spliced_count(x.decode(), encode) for w, x in zip(split, run)]
+                counts += [sum(map(known, w)) if w is not None else spliced_count(x.decode(), encode) if shortcut else len(encode(x.decode()).ids) for w, x in zip(split, run)]
             yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keys], pa.array([len(x) for x in texts], pa.int64()), pa.array(counts, pa.int64())], names=[*keys, "n_bytes", "n_tokens"])
 
     rows = require(documents, *keys, text)
@@ -159,7 +189,10 @@ def encode_all(texts: list[bytes], path: str) -> Iterator[bytes]:
     with such a part are encoded whole.
     """
     for run in _runs(texts):
-        yield from _encode_run(run, path)
+        if splits_by(path, "bytes"):
+            yield from _encode_run(run, path)
+        else:
+            yield from (np.asarray(e.ids, dtype="<u4").tobytes() for e in vocabulary(path).encode_batch_fast([x.decode() for x in run], add_special_tokens=False))
 
 
 def _encode_run(texts: list[bytes], path: str) -> list[bytes]:

@@ -6,8 +6,8 @@ largest response (max pooling), and a logistic layer joins them. Thresholds are
 guessed from the text's own function words; the score is shifted so that 0.5 is that language's threshold. Labels, lang,
 source and doc_id are no inputs of a score.
 
-Training uses at most ``LABELLED`` labelled rows, those with the smallest hash of their doc_id, so that the driver's
-memory doesn't grow with the table. Labels that are null are left out; of repeated labels of a document the largest counts.
+Training uses at most ``LABELLED`` labelled documents of ``WORDS`` words together, those with the smallest hash of their
+doc_id, so that the driver's memory doesn't grow with the table or its texts. Labels that are null are left out; of repeated labels of a document the largest counts.
 With no labelled rows, or rows of one class only, every score is 0 (or 1, if that class is toxic). Null and empty texts
 have no words and get the score of the bias. Repeated rows get equal scores; other columns aren't read.
 """
@@ -21,14 +21,16 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import require
+from tidemark.llm.common import durable, require
 from tidemark.llm.tokens import _bytes
 
 #: The bound on labelled rows that a model is fitted on, of which every fifth is kept for calibration.
 LABELLED = 12_000
+#: The bound on their words (four bytes each on the driver); rows past it, in the order of the hash, aren't used.
+WORDS = 8_000_000
 BUCKETS, LEAST_TEXTS = 1 << 22, 3
 WIDTH, FILTERS, WIDTHS = 8, 6, (1, 2, 3)
 EPOCHS, BATCH, RATE = 6, 64, 0.01
@@ -120,6 +122,50 @@ def constant(value: float) -> Model:
     return Model(np.empty(0, dtype=np.int64), np.zeros((1, WIDTH), dtype=np.float32), empty, [np.zeros(FILTERS, dtype=np.float32) for _ in WIDTHS], np.zeros(FILTERS * len(WIDTHS), dtype=np.float32), 40.0 if value else -40.0)
 
 
+def parameters(model: Model) -> list[np.ndarray]:
+    return [model.vectors, *model.filters, *model.biases, model.out]
+
+
+def gradients(model: Model, rows: list[np.ndarray], labels: np.ndarray) -> tuple[list[np.ndarray], float]:
+    """Of the mean logistic loss of texts (rows of the vectors each), by ``parameters`` and by the bias."""
+    tail = max(WIDTHS) - 1
+    padded = [np.concatenate([r, np.zeros(tail + (not len(r)), dtype=np.int32)]) for r in rows]
+    lengths = np.array([len(p) - tail for p in padded])
+    ids = np.concatenate(padded)
+    starts = np.concatenate([[0], np.cumsum(lengths + tail)[:-1]])
+    valid = np.ones(len(ids), dtype=bool)
+    for j in range(tail):
+        valid[starts + lengths + j] = False
+    e = model.vectors[ids]
+    pooled, places = [], []
+    for w, f, b in zip(WIDTHS, model.filters, model.biases):
+        total = e @ f[0]
+        for j in range(1, w):
+            total[:-j] += (e @ f[j])[j:]
+        total[~valid] = -np.inf
+        top = np.maximum.reduceat(total, starts, axis=0)
+        at = np.empty(top.shape, dtype=np.int64)
+        for i, (s, n) in enumerate(zip(starts, lengths)):
+            at[i] = s + total[s : s + n].argmax(axis=0)
+        pooled.append(np.maximum(top + b, 0))
+        places.append(at)
+    p = np.concatenate(pooled, axis=1)
+    z = p @ model.out + model.bias
+    error = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - labels) / len(rows)
+    grads = [np.zeros_like(x) for x in parameters(model)]
+    back = np.outer(error, model.out) * (p > 0)
+    for k, (w, f, at) in enumerate(zip(WIDTHS, model.filters, places)):
+        g = back[:, k * FILTERS : (k + 1) * FILTERS]
+        grads[1 + len(WIDTHS) + k][:] = g.sum(axis=0)
+        for j in range(w):
+            where = ids[np.minimum(at + j, len(ids) - 1)]
+            grads[1 + k][j] = np.einsum("bfd,bf->df", model.vectors[where], g)
+            np.add.at(grads[0], where.ravel(), (g[:, :, None] * f[j].T[None]).reshape(-1, WIDTH))
+    grads[0][0] = 0  # the zero vector stays
+    grads[-1][:] = p.T @ error
+    return grads, float(error.sum())
+
+
 def fit(texts: list[np.ndarray], labels: np.ndarray, seed: int = 1) -> Model:
     """Train on texts as arrays of word hashes with labels 0 and 1; every fifth text only calibrates the thresholds."""
     labels = np.asarray(labels, dtype=np.float32)
@@ -153,56 +199,20 @@ def fit(texts: list[np.ndarray], labels: np.ndarray, seed: int = 1) -> Model:
         model.biases.append(np.zeros(FILTERS, dtype=np.float32))
     model.out[[k * FILTERS + i for k in range(len(WIDTHS)) for i in range(FILTERS // 2)]] = 0.3
     train = np.flatnonzero(own)
-    parameters = [model.vectors, *model.filters, *model.biases, model.out]
-    moments = [[np.zeros_like(p), np.zeros_like(p)] for p in parameters]
-    bias_moments, step, tail = [0.0, 0.0], 0, max(WIDTHS) - 1
+    moments = [[np.zeros_like(p), np.zeros_like(p)] for p in parameters(model)]
+    bias_moments, step = [0.0, 0.0], 0
     for _ in range(EPOCHS):
         for begin in range(0, len(train), BATCH):
             if begin == 0:
                 rng.shuffle(train)
             batch = train[begin : begin + BATCH]
-            padded = [np.concatenate([model.rows(texts[i]), np.zeros(tail + (not len(texts[i])), dtype=np.int32)]) for i in batch]
-            lengths = np.array([len(p) - tail for p in padded])
-            ids = np.concatenate(padded)
-            starts = np.concatenate([[0], np.cumsum(lengths + tail)[:-1]])
-            valid = np.ones(len(ids), dtype=bool)
-            for j in range(tail):
-                valid[starts + lengths + j] = False
-            e = model.vectors[ids]
-            pooled, places = [], []
-            for w, f, b in zip(WIDTHS, model.filters, model.biases):
-                total = e @ f[0]
-                for j in range(1, w):
-                    total[:-j] += (e @ f[j])[j:]
-                total[~valid] = -np.inf
-                top = np.maximum.reduceat(total, starts, axis=0)
-                at = np.empty(top.shape, dtype=np.int64)
-                for i, (s, n) in enumerate(zip(starts, lengths)):
-                    at[i] = s + total[s : s + n].argmax(axis=0)
-                pooled.append(np.maximum(top + b, 0))
-                places.append(at)
-            p = np.concatenate(pooled, axis=1)
-            z = p @ model.out + model.bias
-            y = labels[batch]
-            error = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y) / len(batch)
-            grads = [np.zeros_like(x) for x in parameters]
-            back = np.outer(error, model.out) * (p > 0)
-            for k, (w, f, at) in enumerate(zip(WIDTHS, model.filters, places)):
-                g = back[:, k * FILTERS : (k + 1) * FILTERS]
-                grads[1 + len(WIDTHS) + k][:] = g.sum(axis=0)
-                for j in range(w):
-                    where = ids[np.minimum(at + j, len(ids) - 1)]
-                    grads[1 + k][j] = np.einsum("bfd,bf->df", model.vectors[where], g)
-                    np.add.at(grads[0], where.ravel(), (g[:, :, None] * f[j].T[None]).reshape(-1, WIDTH))
-            grads[0][0] = 0  # the zero vector stays
-            grads[-1][:] = p.T @ error
+            grads, g = gradients(model, [model.rows(texts[i]) for i in batch], labels[batch])
             step += 1
             scale = RATE * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
-            for x, g, (m, v) in zip(parameters, grads, moments):
-                m += 0.1 * (g - m)
-                v += 0.001 * (g * g - v)
+            for x, slope, (m, v) in zip(parameters(model), grads, moments):
+                m += 0.1 * (slope - m)
+                v += 0.001 * (slope * slope - v)
                 x -= scale * m / (np.sqrt(v) + 1e-8)
-            g = float(error.sum())
             bias_moments = [bias_moments[0] + 0.1 * (g - bias_moments[0]), bias_moments[1] + 0.001 * (g * g - bias_moments[1])]
             model.bias -= float(scale * bias_moments[0] / (np.sqrt(bias_moments[1]) + 1e-8))
     _calibrate(model, [texts[i] for i in np.flatnonzero(~own)] or texts, labels[~own] if (~own).any() else labels)
@@ -241,17 +251,18 @@ def train(documents: DataFrame, labels: DataFrame, most: int = LABELLED) -> Mode
             hashes = [word_hashes(x).tobytes() for x in _bytes(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(hashes, pa.binary())], names=["doc_id", "toxic", "hashes"])
 
-    found = rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, toxic int, hashes binary").toArrow().combine_chunks()
+    # Rows that share a doc_id count once; the order doesn't depend on how Spark dealt them out.
+    found = rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, toxic int, hashes binary")
+    found = durable(found.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("hashes").alias("hashes")))
+    sizes = found.select("doc_id", (F.length("hashes") / 4).alias("size"))  # at most ``most`` short rows
+    ahead = F.sum("size").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    some = sizes.withColumn("words", ahead).filter(F.col("words") <= WORDS).select("doc_id")
+    found = found.join(some, "doc_id", "left_semi").toArrow().combine_chunks()
     if not found.num_rows:
         return fit([], np.empty(0))
     hashes, toxic, ids = found["hashes"].chunk(0), found["toxic"].to_numpy(), found["doc_id"].to_pylist()
     text = lambda i: np.frombuffer(hashes[i].as_buffer(), dtype=np.uint32)  # noqa: E731  views, no copies
-    # Rows that share a doc_id count once; the order doesn't depend on how Spark dealt them out.
-    first: dict = {}
-    for i, key in enumerate(ids):
-        if key not in first or hashes[i].as_py() < hashes[first[key]].as_py():
-            first[key] = i
-    order = [first[k] for k in sorted(first, key=lambda k: (zlib.crc32(str(k).encode()), k))]
+    order = sorted(range(len(ids)), key=lambda i: (zlib.crc32(str(ids[i]).encode()), ids[i]))
     return fit([text(i) for i in order], toxic[order] > 0)
 
 

@@ -5,6 +5,8 @@ longest rule (host and path together, then the host) wins. For urls without a ru
 a Viterbi search over a unigram model, whose counts come from the words of all pages, and a multinomial naive Bayes
 classifier, trained on the urls that a rule decides, scores the tokens.
 
+Words over 63 letters are no words of the unigram model, since no host label is longer.
+
 A null url, or one without ``://``, has an empty host and path and no tokens: the class priors decide. Without any url of
 one class (or an empty table) the verdict of the method is allow. Repeated rows are judged one by one; other columns are
 not read.
@@ -42,7 +44,8 @@ RULES = (Rule("block", "net", "/"), Rule("allow", "example.net", "/en/"), Rule("
 #: Bounds of what is broadcast: the most frequent words of the unigram model and tokens of the classifier. The others are
 #: joined to the urls that need them.
 UNIGRAMS, TOKENS = 50_000, 50_000
-LONGEST_WORD = 24
+#: Letters of the longest word of the unigram model, as many as a host label can have.
+LONGEST_WORD = 63
 
 
 def host_of(url: Column) -> Column:

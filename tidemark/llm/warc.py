@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import durable, fresh, require, shared_folder
 
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
-#: Records that one read task takes in a run, and about how many bytes of html go into one package.
-READ_RUN, PACKAGE_BYTES = 512, 64 << 20
+#: Records and bytes that are read in one run, and about how many bytes of html go into one package.
+READ_RUN, READ_BYTES, PACKAGE_BYTES = 512, 8 << 20, 64 << 20
 
 _END, _END64, _LOCATOR64, _ENTRY, _LOCAL = b"PK\x05\x06", b"PK\x06\x06", b"PK\x06\x07", b"PK\x01\x02", b"PK\x03\x04"
 _FULL16, _FULL32 = 0xFFFF, 0xFFFFFFFF
@@ -257,7 +257,13 @@ def split_packages(packages: DataFrame) -> DataFrame:
                     data, index = found[DATA], found[INDEX]
                     stream.seek(index.offset)
                     lines = [json.loads(x) for x in stream.read(index.size).decode().splitlines() if x]
-                runs = [lines[i : i + READ_RUN] for i in range(0, len(lines), READ_RUN)]
+                runs, size = [], 0
+                for line in lines:  # a run ends at either bound; a longer record is a run of its own
+                    if not runs or len(runs[-1]) == READ_RUN or size + line["length"] > READ_BYTES:
+                        runs.append([])
+                        size = 0
+                    runs[-1].append(line)
+                    size += line["length"]
                 begins = [data.offset + r[0]["offset"] for r in runs]
                 ends = [data.offset + r[-1]["offset"] + r[-1]["length"] for r in runs]
                 yield pa.RecordBatch.from_arrays([pa.array([path] * len(runs), pa.string()), pa.array(begins, pa.int64()), pa.array([b - a for a, b in zip(begins, ends)], pa.int64()), pa.array([[x["length"] for x in r] for r in runs], pa.list_(pa.int64()))], names=["path", "offset", "length", "ranges"])
