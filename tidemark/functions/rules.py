@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,18 +13,25 @@ from tidemark.functions.text import has_phrase
 
 def lookup(table: dict, key: Column, default=None) -> Column:
     """A small table as a literal map; a missing or null key gives the default."""
+    if not table:
+        return F.lit(default)
     pairs = [F.lit(x) for kv in table.items() for x in kv]
     return F.coalesce(F.try_element_at(F.create_map(*pairs), key), F.lit(default))
 
 
-def classify_phenotype(text: Column, label: Column) -> Column:
-    """What a screen measures. Text that names the trait is sorted by its most direct readout (proxy if none)."""
+def classify_phenotype(text: Column, label: Column, context: Column) -> Column:
+    """What a screen measures: ``text`` that names the trait is sorted by the first readout word it contains (a reporter
+    without one); else the label before any ``[`` must be one of the fitness labels, or one of the differentiation labels with
+    an erythroid ``context``; else null."""
     low = F.lower(text)
-    short = F.lower(F.trim(F.substring_index(label, "[", 1)))
+    short = F.lower(F.trim(F.substring_index(F.coalesce(label, F.lit("")), "[", 1)))
+    readout = F.lit("hbg_reporter")
+    for words, kind in reversed(policy.READOUTS):
+        readout = F.when(low.rlike("|".join(map(re.escape, words))), kind).otherwise(readout)
     return (
-        F.when(has_phrase(text, policy.PHENOTYPE_TERMS), F.when(low.rlike("hplc|protein level"), "hbf_protein").when(low.rlike("f-cell|f cell"), "f_cell").when(low.rlike("mrna|transcript|expression"), "hbg_mrna").otherwise("hbg_reporter"))
-        .when(short.rlike("proliferation|viability|fitness|growth|essential"), "cell_fitness")
-        .when(short.rlike("differentiation|maturation") & has_phrase(text, policy.CONTEXT_TERMS), "erythroid_differentiation")
+        F.when(has_phrase(text, policy.PHENOTYPE_TERMS), readout)
+        .when(short.isin(*policy.FITNESS_LABELS), "cell_fitness")
+        .when(short.isin(*policy.DIFFERENTIATION_LABELS) & has_phrase(context, policy.CONTEXT_TERMS), "erythroid_differentiation")
     )
 
 
@@ -32,15 +41,17 @@ def perturbation_class(kind: Column, method: Column, table: dict[str, str]) -> C
 
 
 def cell_system(accession: Column, species: Column, category: Column, overrides: dict[str, str]) -> Column:
-    """An override by accession, then species, then category."""
+    """An override by accession, then species (unknown counts as human), then category; an immortalised line by default."""
+    of, kind = F.lower(F.coalesce(species, F.lit(""))), F.lower(F.coalesce(category, F.lit("")))
+    known = lookup(overrides, accession) if overrides else F.lit(None).cast("string")
     return (
-        F.when(lookup(overrides, accession).isNotNull(), lookup(overrides, accession) if overrides else F.lit(None).cast("string"))
-        .when(F.lower(species).contains("mus musculus"), "mouse_line")
-        .when(~F.lower(species).contains("homo sapiens"), "non_human_other")
-        .when(F.lower(category).contains("cancer"), "human_cancer_line")
-        .when(F.lower(category).rlike("transformed|immortal|telomerase"), "human_immortalized_line")
-        .when(F.lower(category).contains("primary"), "primary_human_hspc")
-        .otherwise("cell_free_or_unspecified")
+        F.when(known.isNotNull(), known)
+        .when(of.rlike("|".join(map(re.escape, policy.MOUSE_TERMS))), "mouse_line")
+        .when((of != "") & ~of.rlike("sapiens|human"), "non_human_other")
+        .when(kind.contains("cancer"), "human_cancer_line")
+        .when(kind.rlike("transformed|immortal"), "human_immortalized_line")
+        .when(kind.rlike("stem cell|primary|finite"), "primary_human_hspc")
+        .otherwise("human_immortalized_line")
     )
 
 

@@ -32,11 +32,15 @@ def term_pattern(term: str) -> str:
 
 def names_any(title: Column, terms: list[str]) -> Column:
     """some term stands in the folded title and isn't negated right before that place (up to 24 characters back)."""
+    body = names_pattern(terms)
+    return fold_greek(title).rlike(body) if body else F.lit(False)
+
+
+def names_pattern(terms: list[str]) -> str:
+    """F10 as a pattern, empty if no term has a letter or digit."""
     negated = "|".join(r"\s+".join(map(re.escape, n.split())) for n in policy.NEGATIONS)
     body = "|".join(term_pattern(t) for t in sorted(terms, key=lambda t: (-len(t), t)) if re.search(r"[0-9A-Za-z]", t))
-    if not body:
-        return F.lit(False)
-    return fold_greek(title).rlike(rf"(?i)(?<!(?:{negated})\s{{0,{policy.NEGATION_WINDOW}}})(?:{body})")
+    return rf"(?i)(?<!(?:{negated})\s{{0,{policy.NEGATION_WINDOW}}})(?:{body})" if body else ""
 
 
 def has_phrase(text: Column, terms: tuple[str, ...]) -> Column:
@@ -53,6 +57,18 @@ def expand_terms(symbol: Column, aliases: Column, informal: Column, stop: tuple[
     return F.array_sort(F.array_distinct(F.concat(F.array(symbol), a, i)))
 
 
+def informal_names(names: dict[str, tuple[str, ...]], symbol: Column) -> Column:
+    """the informal names under which a symbol is written, in order; none for a symbol that the table lacks."""
+    of: dict[str, list[str]] = {}
+    for name, symbols in names.items():
+        for s in symbols:
+            of.setdefault(s, []).append(name)
+    empty = F.array().cast("array<string>")
+    if not of:
+        return empty
+    return F.coalesce(F.try_element_at(F.create_map(*[x for s, n in sorted(of.items()) for x in (F.lit(s), F.array(*map(F.lit, sorted(n))))]), symbol), empty)
+
+
 _ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
 
 

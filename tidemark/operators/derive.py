@@ -20,28 +20,24 @@ def genetic_rules(rows: DataFrame, keys: list[str], p_most: float = policy.GENOM
         F.round(F.sum("weight"), 6).alias("weight_total"),
         F.max("weight").alias("best_weight"),
         best.alias("best_record"),
+        F.max_by("date", F.struct("weight", "record")).alias("best_date"),
         F.bool_and(F.coalesce("author_reported", F.lit(False))).alias("all_author_reported"),
         F.count("*").alias("records"),
+        F.array_sort(F.collect_list("record")).alias("record_ids"),
     )
 
 
 def essentiality_rules(rows: DataFrame, keys: list[str], least: int = 3) -> DataFrame:
     """Hit fraction over an entity's fitness rows, at least ``least`` of them."""
-    out = rows.groupBy(*keys).agg(F.count_if("hit").alias("hits"), F.count("*").alias("n"), F.round(F.sum("weight"), 6).alias("weight_total")).filter(F.col("n") >= least)
+    out = rows.groupBy(*keys).agg(F.count_if("hit").alias("hits"), F.count("*").alias("n"), F.round(F.sum("weight"), 6).alias("weight_total"), F.array_sort(F.collect_list("record")).alias("record_ids")).filter(F.col("n") >= least)
     fraction = F.col("hits") / F.col("n")
     return out.withColumn("fraction", F.round(fraction, 6)).withColumn("pan_essential", fraction >= policy.PAN_ESSENTIAL)
 
 
 def functional_rules(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of the phenotype that aren't associations; on equal weights the earliest record is best."""
-    order = F.struct(F.col("weight"), (-F.unix_date("date")).alias("d"))
-    top = rows.groupBy(*keys).agg(F.max(order).alias("top"), F.count("*").alias("records"), F.count_distinct("system").alias("systems"), F.round(F.sum("weight"), 6).alias("weight_total"))
-    tied = rows.select(*[F.col(k).alias(f"k_{k}") for k in keys], "weight", "date", "record")
-    match = [F.col(k) == F.col(f"k_{k}") for k in keys] + [F.col("top.weight") == tied["weight"], -F.col("top.d") == F.unix_date(tied["date"])]
-    condition = match[0]
-    for m in match[1:]:
-        condition &= m
-    return top.join(tied, condition).groupBy(*keys, "records", "systems", "weight_total", F.col("top.weight").alias("best_weight")).agg(F.min("record").alias("best_record"))
+    best = F.min_by("record", F.struct((-F.col("weight")).alias("w"), "date", "record"))
+    return rows.groupBy(*keys).agg(F.count("*").alias("records"), F.count_distinct("system").alias("systems"), F.round(F.sum("weight"), 6).alias("weight_total"), F.max("weight").alias("best_weight"), best.alias("best_record"), F.min_by("date", F.struct((-F.col("weight")).alias("w"), "date", "record")).alias("best_date"), F.array_sort(F.collect_list("record")).alias("record_ids"))
 
 
 def literature_rules(publications: DataFrame, keys: list[str]) -> DataFrame:
@@ -64,28 +60,32 @@ def literature_evidence(publications: DataFrame, keys: list[str], most: int = po
 
 def best_measurement(genetic: DataFrame, functional: DataFrame, keys: list[str]) -> DataFrame:
     """The larger best weight of the two rule kinds; the genetic one on ties."""
-    both = genetic.select(*keys, "best_weight", "best_record", F.lit(0).alias("kind")).unionByName(functional.select(*keys, "best_weight", "best_record", F.lit(1).alias("kind")))
-    top = F.min_by(F.struct("best_weight", "best_record", "kind"), F.struct(-F.col("best_weight"), F.col("kind")))
+    both = genetic.select(*keys, "best_weight", "best_record", "best_date", F.lit(0).alias("kind")).unionByName(functional.select(*keys, "best_weight", "best_record", "best_date", F.lit(1).alias("kind")))
+    top = F.min_by(F.struct("best_weight", "best_record", "best_date", "kind"), F.struct(-F.col("best_weight"), F.col("kind")))
     return both.groupBy(*keys).agg(top.alias("top")).select(*keys, "top.*")
 
 
-def composition(edges: DataFrame, best: DataFrame, measured: DataFrame) -> DataFrame:
+def composition(edges: DataFrame, best: DataFrame, measured: DataFrame | None, keys: list[str] | None = None) -> DataFrame:
     """For subjects without a measurement of their own, the strongest weight a partner transfers (ties: earliest edge).
 
-    ``edges``: src, dst, date, id; ``best``: entity, best_weight; ``measured``: entity.
+    ``edges``: src, dst, date, id; ``best``: entity, best_weight, best_record, best_date; ``measured``: entity, or None to let
+    every subject have its route. All with ``keys``, which lead the joins.
     """
-    own = measured.select(F.col("entity").alias("m"))
-    found = edges.join(own, F.col("src") == F.col("m"), "left_anti").join(best.select(F.col("entity").alias("e"), "best_weight"), F.col("dst") == F.col("e"))
-    found = found.withColumn("transferred", policy.COMPOSITION_DISCOUNT * F.col("best_weight"))
-    return found.groupBy("src").agg(F.min_by(F.struct("dst", "transferred", "date"), F.struct(-F.col("transferred"), F.col("date"), F.col("id"))).alias("x")).select(F.col("src").alias("entity"), F.col("x.dst").alias("partner"), "x.transferred", "x.date")
+    keys = keys or []
+    if measured is not None:
+        edges = edges.join(measured.select(*keys, F.col("entity").alias("src")).distinct(), [*keys, "src"], "left_anti")
+    found = edges.join(best.select(*keys, F.col("entity").alias("dst"), "best_weight", "best_record", "best_date"), [*keys, "dst"])
+    found = found.withColumn("transferred", F.round(policy.COMPOSITION_DISCOUNT * F.col("best_weight"), 6))
+    pick = F.min_by(F.struct("dst", "transferred", "date", "best_record", "best_date"), F.struct(-F.col("transferred"), F.col("date"), F.col("id")))
+    return found.groupBy(*keys, "src").agg(pick.alias("x")).select(*keys, F.col("src").alias("entity"), F.col("x.dst").alias("partner"), "x.transferred", "x.date", "x.best_record", "x.best_date")
 
 
-def modality_rules(entities: DataFrame, essential: DataFrame) -> DataFrame:
+def modality_rules(entities: DataFrame, essential: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """The route of each entity (family, locus, raises, cis_element), with what the essentiality rules say of it."""
-    flags = essential.select("entity", "pan_essential")
-    out = entities.join(flags, "entity", "left")
+    keys = [*(keys or []), "entity"]
+    out = entities.join(essential.select(*keys, "pan_essential"), keys, "left")
     call = route(F.col("family"), F.col("locus"), F.col("pan_essential"), F.col("raises"), F.col("cis_element"))
-    return out.withColumn("call", call).select("entity", "call.*")
+    return out.withColumn("call", call).select(*keys, "call.*")
 
 
 def gate(rules: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark import policy
 from tidemark.functions.rules import refusal_reason, reportable
+from tidemark.sources.readers import scratch_folder
 
 
 def established_before(truth: DataFrame) -> Column:
@@ -23,12 +24,39 @@ def decide(claims: DataFrame, truth: DataFrame, keys: list[str]) -> DataFrame:
     return out.withColumn("outcome", outcome).withColumn("reason", F.when(F.col("outcome") == "refused", refusal_reason(F.col("confidence"), F.col("max_support"))))
 
 
+def ranked_by(items: DataFrame, keys: list[str], order: list[Column], name: str) -> DataFrame:
+    """``items`` with their place (from 1) in a total order within each key, without bringing a key's rows to one task.
+
+    Rows are range-sorted by key and order; each part numbers its own rows, and the counts of the parts before it (a small
+    table: parts times keys) are added.
+    """
+    ranged = reliable(items.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id()))
+    counts = ranged.groupBy(*keys, "_part").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = counts.select(*keys, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_ahead"))
+    within = F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(*order))
+    return ranged.join(ahead, [*keys, "_part"]).withColumn(name, (F.col("_ahead") + within).cast("int")).drop("_part", "_ahead")
+
+
+def reliable(table: DataFrame) -> DataFrame:
+    """Written to the shared checkpoint folder and read from there, so that all that follows sees the same rows and parts."""
+    context = table.sparkSession.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(scratch_folder(table.sparkSession, "checkpoints"))
+    return table.checkpoint()
+
+
 def rank_two_ways(items: DataFrame, keys: list[str], route_weight: Column) -> DataFrame:
     """By confidence, and by confidence times the weight of the route; ties by confidence, then symbol."""
     items = items.withColumn("cost_score", F.round(F.col("confidence") * route_weight, 6))
-    by_confidence = Window.partitionBy(*keys).orderBy(F.desc("confidence"), "symbol")
-    by_cost = Window.partitionBy(*keys).orderBy(F.desc("cost_score"), F.desc("confidence"), "symbol")
-    return items.withColumns({"rank": F.row_number().over(by_confidence), "cost_rank": F.row_number().over(by_cost)})
+    first = ranked_by(items, keys, [F.desc("confidence"), F.col("symbol")], "rank")
+    return ranked_by(first, keys, [F.desc("cost_score"), F.desc("confidence"), F.col("symbol")], "cost_rank")
+
+
+def first_of(rows: DataFrame, keys: list[str], most: int, *order: str) -> DataFrame:
+    """The first ``most`` rows of each key; Spark cuts to them in each part before the shuffle."""
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return rows.withColumn("_place", place).filter(F.col("_place") <= most).drop("_place")
 
 
 def rank_answers(answers: DataFrame, keys: list[str]) -> DataFrame:
@@ -37,13 +65,12 @@ def rank_answers(answers: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def valid_answers(answers: DataFrame, schema: str, keys: list[str]) -> DataFrame:
-    """Answer JSON parsed, with status ok or the first thing wrong with it."""
+    """Answer JSON parsed (``schema`` has claims: gene_symbol, confidence), with status ok or the first thing wrong with it."""
     out = answers.withColumn("parsed", F.from_json("answer", schema, {"mode": "PERMISSIVE"}))
-    claims = F.coalesce(F.col("parsed.claims"), F.array().cast(f"{schema.split('claims ', 1)[1].split('>>', 1)[0]}>>"))
-    genes = F.transform(claims, lambda c: F.upper(c["gene_symbol"]))
+    genes = F.transform("parsed.claims", lambda c: F.upper(F.trim(c["gene_symbol"])))
     status = (
         F.when(F.col("parsed").isNull() | F.col("parsed.claims").isNull(), "not the schema")
-        .when(F.exists(claims, lambda c: c["confidence"].isNull() | ~c["confidence"].between(0, 1)), "confidence outside 0..1")
+        .when(F.exists("parsed.claims", lambda c: c["confidence"].isNull() | ~c["confidence"].between(0, 1)), "confidence outside 0..1")
         .when(F.size(F.array_distinct(genes)) < F.size(genes), "two answers for a gene")
         .otherwise("ok")
     )

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Resamples that one task draws.
+BLOCK = 100
+
 
 def ground_truth(established: DataFrame, cutoffs: list[str]) -> DataFrame:
     """Entities established on or after each cutoff."""
@@ -57,9 +62,19 @@ def trap_outcomes(traps: DataFrame, forecast: DataFrame, keys: list[str]) -> Dat
 
 
 def trap_rollup(outcomes: DataFrame, keys: list[str]) -> DataFrame:
-    """Passed, vacuous, and passed without being vacuous, for the traps that test judgement and those that test contamination."""
-    good = F.col("passed") & ~F.col("vacuous")
-    return outcomes.groupBy(*keys).agg(F.count("*").alias("traps"), F.count_if("passed").alias("passed"), F.count_if("vacuous").alias("vacuous"), F.count_if(good & (F.col("answer") != "accept")).alias("judgement"), F.count_if(good & (F.col("answer") == "accept")).alias("contamination"))
+    """Totals by kind. Traps of kind postdates_cutoff test contamination and count when passed; the others test judgement
+    and count when passed with something forecast. ``meaningful``: passed and not vacuous, of all."""
+    late, good = F.col("kind") == "postdates_cutoff", F.col("passed") & ~F.col("vacuous")
+    return outcomes.groupBy(*keys).agg(
+        F.count("*").alias("traps"),
+        F.count_if("passed").alias("passed"),
+        F.count_if(F.col("passed") & F.col("vacuous")).alias("vacuous"),
+        F.count_if(good).alias("meaningful"),
+        F.count_if(~late).alias("judgement_total"),
+        F.count_if(~late & good).alias("judgement"),
+        F.count_if(late).alias("contamination_total"),
+        F.count_if(late & F.col("passed")).alias("contamination"),
+    )
 
 
 def refusal_accuracy(asked: DataFrame, forecast: DataFrame, truth: DataFrame) -> DataFrame:
@@ -114,42 +129,58 @@ def eligible_holdouts(measurements: DataFrame, most: int = 12, least: int = 2) -
     return measurements.groupBy("entity", "label").agg(F.count("*").alias("n")).filter(F.col("n") >= least).orderBy("label", "entity").limit(most)
 
 
-def holdout_compare(with_data: DataFrame, without: DataFrame) -> DataFrame:
+def holdout_compare(with_data: DataFrame, without: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Claims with and without the hidden rows; an absent claim is (0.0, not reportable, 0)."""
-    other = without.select("entity", F.col("confidence").alias("confidence_without"), F.col("reportable").alias("reportable_without"), F.col("evidence").alias("evidence_without"))
-    return with_data.join(other, "entity", "left").fillna({"confidence_without": 0.0, "reportable_without": False, "evidence_without": 0})
+    keys = [*(keys or []), "entity"]
+    other = without.select(*keys, F.col("confidence").alias("confidence_without"), F.col("reportable").alias("reportable_without"), F.col("evidence").alias("evidence_without"))
+    return with_data.join(other, keys, "left").fillna({"confidence_without": 0.0, "reportable_without": False, "evidence_without": 0})
 
 
-def holdout_report(compared: DataFrame) -> DataFrame:
+def holdout_report(compared: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Over entities reportable with their data: how many still are, and the mean loss of confidence."""
-    out = compared.filter("reportable").agg(F.count("*").alias("tested"), F.count_if("reportable_without").alias("recovered"), F.round(F.avg(F.col("confidence") - F.col("confidence_without")), 6).alias("mean_drop"))
+    out = compared.filter("reportable").groupBy(*(keys or [])).agg(F.count("*").alias("tested"), F.count_if("reportable_without").alias("recovered"), F.round(F.avg(F.col("confidence") - F.col("confidence_without")), 6).alias("mean_drop"))
     return out.withColumn("rate", F.coalesce(F.col("recovered") / F.nullif(F.col("tested"), F.lit(0)), F.lit(0.0)))
 
 
 def bootstrap_intervals(units: DataFrame, keys: list[str], resamples: int = 2000, seed: int = 42) -> DataFrame:
-    """95 % intervals of P@5 and reciprocal rank over resamples of the asked units, with replacement.
+    """95 % intervals of P@5, reciprocal rank and the rate of hits over resamples of the asked units, with replacement.
 
-    ``units``: keys, unit, rank (null if not ranked), hit. Draws come from a hash of (seed, resample, slot), so any
-    partitioning gives the same ones. A drawn unit keeps its place, once for each time it is drawn. Nearest-rank
-    percentiles: places 2.5 % and 97.5 % of the sorted resamples. The number of units is that of one scorecard.
+    ``units``: keys, unit, rank (null if not ranked), hit. Of n units resample r draws unit u as often as u's slot comes among
+    n hashes of (seed, r, draw) modulo n, so any partitioning gives the same draws. A drawn unit keeps its place, once for each time
+    it is drawn. Nearest-rank percentiles of the sorted resamples. The resamples of a scorecard are dealt out in blocks; each
+    block draws in numpy from the units in order, which are one scorecard's (ids stay in Spark: a block gets rank and hit only).
     """
-    place = F.row_number().over(_window(keys))
-    numbered = units.withColumn("slot", place - 1)
-    n = units.groupBy(*keys).agg(F.count("*").alias("n"))
-    draws = n.withColumn("resample", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))).withColumn("draw", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))))
-    draws = draws.withColumn("slot", F.pmod(F.xxhash64(F.lit(seed), "resample", "draw"), F.col("n")).cast("int"))
-    drawn = draws.join(numbered, [*keys, "slot"]).groupBy(*keys, "resample", "slot", "rank", "hit").agg(F.count("*").alias("times"))
-    w = _window([*keys, "resample"], "rank")
-    ranked = drawn.filter("rank IS NOT NULL").withColumn("before", F.coalesce(F.sum("times").over(w.rowsBetween(-(2**31), -1)), F.lit(0)))
-    five = F.sum(F.when(F.col("hit"), F.greatest(F.least(F.col("times"), 5 - F.col("before")), F.lit(0))).otherwise(0)) / 5
-    scores = ranked.groupBy(*keys, "resample").agg(five.alias("p_at_5"), F.coalesce(1 / (F.min(F.when(F.col("hit"), F.col("before"))) + 1), F.lit(0.0)).alias("reciprocal_rank"))
-    scores = n.select(*keys).withColumn("resample", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))).join(scores, [*keys, "resample"], "left").fillna(0.0)
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("rank").asc_nulls_last(), "unit"))
+    rows = units.select(*keys, "rank", "hit", (place - 1).alias("slot"))
+    blocks = F.explode(F.sequence(F.lit(0), F.lit((resamples - 1) // BLOCK)))
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("slot")
+        n, first = len(frame), int(frame["block"].iloc[0]) * BLOCK
+        ranked = int(frame["rank"].notna().sum())
+        hit = frame["hit"].fillna(False).to_numpy(bool)
+        scores = []
+        for r in range(first, min(first + BLOCK, resamples)):
+            drawn = np.sort(_draws(seed, r, n))
+            places = hit[drawn[drawn < ranked]]  # in ranked order, with multiplicity
+            at = np.flatnonzero(places)
+            scores.append((r, places[:5].sum() / 5, 1 / (at[0] + 1) if len(at) else 0.0, hit[drawn].mean()))
+        out = pd.DataFrame(scores, columns=["resample", "p_at_5", "reciprocal_rank", "rate"])
+        for k in keys:
+            out[k] = frame[k].iloc[0]
+        return out
+
+    kinds = ", ".join(f"{k} {units.schema[k].dataType.simpleString()}" for k in keys)
+    scores = rows.withColumn("block", blocks).groupBy(*keys, "block").applyInPandas(run, f"resample int, p_at_5 double, reciprocal_rank double, rate double, {kinds}")
     low, high = int(resamples * 0.025), int(resamples * 0.975) - 1
-    bounds = [F.get(F.array_sort(F.collect_list(m)), F.lit(i)).alias(f"{m}_{side}") for m in ("p_at_5", "reciprocal_rank") for side, i in (("low", low), ("high", high))]
+    bounds = [F.round(F.get(F.array_sort(F.collect_list(m)), F.lit(i)), 6).alias(f"{m}_{side}") for m in ("p_at_5", "reciprocal_rank", "rate") for side, i in (("low", low), ("high", high))]
     return scores.groupBy(*keys).agg(*bounds)
 
 
-def _window(keys: list[str], order: str = "unit"):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(*keys).orderBy(order)
+def _draws(seed: int, resample: int, n: int) -> np.ndarray:
+    """n slots of a counter-based generator: splitmix64 of (seed, resample, draw), modulo n."""
+    with np.errstate(over="ignore"):
+        z = (np.arange(n, dtype=np.uint64) + np.uint64((seed << 40) + (resample << 20) + 1)) * np.uint64(0x9E3779B97F4A7C15)
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return ((z ^ (z >> np.uint64(31))) % np.uint64(n)).astype(np.int64)

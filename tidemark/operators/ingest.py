@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark import policy
 from tidemark.functions import rules, scalars, text
+from tidemark.operators import resolve
 
 NODE_TYPES = ("Gene", "Perturbation", "Screen", "CellContext", "Phenotype", "Measurement", "Publication", "Claim", "Modality", "Trial")
 EDGE_TYPES = ("SCREEN_TESTED", "PERTURBS", "MEASURED_IN", "REPORTS", "SUPPORTS", "CONTRADICTS", "SUPERSEDES", "IMPLIES_MODALITY", "ACTS_THROUGH")
@@ -49,8 +50,8 @@ def association_rows(associations: DataFrame, traits: dict[str, str]) -> DataFra
     ancestries = F.array_sort(F.array_distinct(F.flatten(F.transform("study.ancestries", lambda a: F.coalesce(a["groups"], F.array().cast("array<string>"))))))
     rows = associations.withColumns({"p": p, "phenotype": first_trait(F.col("efoTraits"), F.col("study.diseaseTrait"), traits), "date": scalars.day(F.col("study.publicationDate")), "sample_size": F.coalesce(sample, F.lit(0)), "ancestries": F.coalesce(ancestries, F.array().cast("array<string>"))})
     reason = F.when(F.col("phenotype").isNull(), "out_of_scope").when(F.col("p").isNull(), "malformed_record").when(F.col("date").isNull(), "unresolvable_date").when(F.coalesce(F.size("genes"), F.lit(0)) < 1, "unresolved_gene")
-    rows = rows.select(F.lit("associations").alias("source"), F.col("studyAccession").alias("source_id"), F.col("study.pubmedId").alias("pmid"), "p", "phenotype", "date", "sample_size", "ancestries", "risk_alleles", F.explode_outer("genes").alias("symbol"), reason.alias("reject_reason"))
-    return rows.withColumns({"value": scalars.p_strength(F.col("p")), "significant": scalars.significant(F.col("p")), "assay": F.lit("gwas_association"), "system": F.lit("human_population"), "perturbation": F.lit("genetic_variant"), "author_reported": F.lit(True)})
+    rows = rows.select(F.lit("associations").alias("source"), F.col("studyAccession").alias("source_id"), F.col("study.pubmedId").alias("pmid"), "p", "phenotype", "date", "sample_size", "ancestries", "risk_alleles", "position", F.explode_outer("genes").alias("symbol"), reason.alias("reject_reason"))
+    return rows.withColumns({"id": F.concat_ws(":", F.lit("meas:gwas"), "source_id", "symbol", F.col("position").cast("string")), "value": scalars.p_strength(F.col("p")), "significant": scalars.significant(F.col("p")), "assay": F.lit("gwas_association"), "system": F.lit("human_population"), "perturbation": F.lit("genetic_variant"), "author_reported": F.lit(True)})
 
 
 def evidence_rows(evidence: DataFrame, dates: DataFrame, release: str) -> DataFrame:
@@ -100,26 +101,52 @@ def publication_rows(literature: DataFrame, terms: dict[str, list[str]]) -> Data
     order = Window.partitionBy("pmid").orderBy(F.col("reject_reason").isNotNull(), "file_order", "position")
     rows = rows.withColumn("place", F.row_number().over(order)).filter((F.col("place") == 1) | F.col("pmid").isNull())
     asked = rows.select("pmid", "title", F.explode("matched_genes").alias("symbol"))
-    named = F.lit(False)
-    for symbol, words in terms.items():
-        named = F.when(F.col("symbol") == symbol, text.names_any(F.col("title"), words)).otherwise(named)
+    patterns = asked.sparkSession.createDataFrame([(k, text.names_pattern(w)) for k, w in terms.items()] or [("", "")], "symbol string, pattern string").filter("pattern <> ''")
+    asked = asked.join(patterns, "symbol")  # one pattern per symbol, as data: the plan doesn't grow with the symbols
+    named = F.regexp_count(text.fold_greek(F.col("title")), F.col("pattern")) > 0
     genes = asked.filter(named).groupBy("pmid").agg(F.array_sort(F.collect_set("symbol")).alias("genes"))
     out = rows.join(genes, "pmid", "left")
     return out.select(F.lit("literature").alias("source"), F.coalesce("pmid", "id").alias("source_id"), "pmid", "title", F.col("d.date").alias("date"), F.col("d.rule").alias("date_rule"), F.coalesce("genes", F.array().cast("array<string>")).alias("genes"), F.col("matched_genes").alias("searched_genes"), F.col("matched_tiers").alias("tiers"), "reject_reason")
 
 
-def screen_rows(screens: DataFrame, hits: DataFrame, genes: DataFrame, cells: DataFrame, dates: DataFrame, perturbations: dict[str, str]) -> DataFrame:
-    """Screen metadata and hit tables to measurements, with one reason per row that is left out.
+def screen_rows(screens: DataFrame, hits: DataFrame, genes: DataFrame, entities: DataFrame, cells: DataFrame, dates: DataFrame, perturbations: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Screen metadata and hit tables as tagged rows of screens, and of tested genes (also those that didn't score).
 
-    ``genes``: symbol (upper case), id, in scope; hits of other genes are dropped before any other join. ``cells``: accession, system.
+    Screens: unresolvable_date, out_of_scope, unresolved_cell_line, then malformed_record (a good screen without a hit table).
+    Genes of a good screen: unresolved_symbol; then tested, and no_numeric_value where the score is no number (no measurement
+    is made then). ``genes``: symbols in scope, upper case; hits of others are dropped before any other join. ``entities``: as
+    ``resolve.resolve`` takes them. ``cells``: accession, system. ``dates``: pmid, date.
     """
-    wanted = hits.withColumn("symbol", F.upper("OFFICIAL_SYMBOL")).join(genes.select("symbol", F.col("id").alias("gene")), "symbol", "left_semi")
-    blob = F.concat_ws(" ", "title", "screen_rationale", "notes", "condition", "phenotype")
-    meta = screens.join(cells.select(F.col("accession").alias("cellosaurus_id"), "system"), "cellosaurus_id", "left").join(dates.select("pmid", "date"), "pmid", "left")
-    meta = meta.select("screen_id", "pmid", "date", "system", rules.classify_phenotype(blob, F.col("phenotype")).alias("pheno"), rules.perturbation_class(F.col("type"), F.col("methodology"), perturbations).alias("perturbation"))
-    rows = meta.join(wanted, "screen_id", "left").join(genes.select("symbol", F.col("id").alias("gene")), "symbol", "left")
-    reason = F.when(F.col("pheno").isNull(), "out_of_scope").when(F.col("date").isNull(), "unresolvable_date").when(F.col("system").isNull(), "unresolved_cell").when(F.col("symbol").isNull(), "no_hit_rows").when(F.col("gene").isNull(), "unresolved_gene")
-    return rows.select(F.lit("screens").alias("source"), F.col("screen_id").cast("string").alias("source_id"), F.concat_ws(":", F.lit("meas:orcs"), F.col("screen_id").cast("string"), "gene").alias("id"), "gene", "pmid", "date", "system", "perturbation", F.col("pheno").alias("phenotype"), scalars.number(F.col("score_1")).alias("value"), "hit", F.lit("orcs_screen_score").alias("assay"), reason.alias("reject_reason"))
+    meta = resolve.attach_dates(screens.withColumns({"pmid": F.nullif(F.trim("pmid"), F.lit("")), "own": F.lit(None).cast("date")}), dates, "own").withColumnsRenamed({"cellosaurus_id": "accession", "cell_line_name": "cell_name", "cell_type_name": "cell_type"})
+    meta = meta.withColumns({"pheno": rules.classify_phenotype(F.concat_ws(" ", "phenotype", "notes", "screen_rationale", "title", "condition"), F.col("phenotype"), F.concat_ws(" ", "cell_name", "cell_type", "title", "notes")), "perturbation": rules.perturbation_class(F.col("type"), F.col("methodology"), perturbations or policy.PERTURBATION_CLASSES)})
+    meta = resolve.resolve_cells(meta, cells, policy.PRIMARY_TERMS, policy.MOUSE_TERMS)
+    listed = hits.select("screen_id").distinct().withColumn("has_hits", F.lit(True))
+    meta = meta.join(listed, "screen_id", "left")
+    reason = F.when(F.col("date").isNull(), "unresolvable_date").when(F.col("pheno").isNull(), "out_of_scope").when(F.col("system").isNull(), "unresolved_cell_line").when(F.col("has_hits").isNull(), "malformed_record")
+    tagged = meta.select(F.lit("screens").alias("source"), F.concat(F.lit("screen:"), F.col("screen_id").cast("string")).alias("source_id"), "screen_id", "pmid", "date", "pheno", "system", "accession", "perturbation", reason.alias("reject_reason"))
+    wanted = hits.withColumn("symbol", F.trim("OFFICIAL_SYMBOL")).join(genes.select(F.col("symbol").alias("in_scope")), F.upper("symbol") == F.col("in_scope"), "left_semi")
+    good = tagged.filter("reject_reason IS NULL").select("screen_id", "pmid", "date", F.col("pheno").alias("phenotype"), "system", "accession", "perturbation")
+    # An identifier of the entrez kind goes before the symbol.
+    asked = wanted.withColumn("name", F.when(F.col("IDENTIFIER_TYPE") == "ENTREZ_GENE", F.col("IDENTIFIER_ID")))
+    by_id = resolve.resolve(asked.select(F.col("name").alias("entrez_name")).distinct(), entities, "entrez_name").select("entrez_name", F.col("id").alias("by_id"))
+    by_symbol = resolve.resolve(asked.select("symbol").distinct(), entities, "symbol").select("symbol", F.col("id").alias("by_symbol"))
+    tested = asked.join(good, "screen_id").join(by_id, F.col("name") == F.col("entrez_name"), "left").join(by_symbol, "symbol", "left")
+    gene, value = F.coalesce("by_id", "by_symbol"), scalars.number(F.col("score_1"))
+    why = F.when(gene.isNull(), "unresolved_symbol").when(value.isNull(), "no_numeric_value")
+    key = F.concat_ws(":", F.lit("screen"), F.col("screen_id").cast("string"), F.coalesce(gene.cast("string"), F.col("symbol")))
+    rows = tested.select(F.lit("screens").alias("source"), key.alias("source_id"), F.when(why.isNull(), F.concat_ws(":", F.lit("meas:orcs"), F.col("screen_id").cast("string"), gene.cast("string"))).alias("id"), "screen_id", gene.alias("gene"), "pmid", "date", "system", "perturbation", "phenotype", value.alias("value"), "hit", F.lit("orcs_screen_score").alias("assay"), why.alias("reject_reason"))
+    return tagged, rows
+
+
+def screen_edges(rows: DataFrame) -> DataFrame:
+    """Edges of tested genes: SCREEN_TESTED for every resolved one; MEASURED_IN, PERTURBS and REPORTS for measurements."""
+    sid, gene = F.col("screen_id").cast("string"), F.col("gene").cast("string")
+    known, measured = rows.filter("gene IS NOT NULL"), rows.filter("id IS NOT NULL")
+    edge = lambda t, kind, src, dst: t.select(F.lit(kind).alias("type"), src.alias("src"), dst.alias("dst"), F.col("date").alias("effective_date"))
+    out = edge(known, "SCREEN_TESTED", F.concat(F.lit("screen:"), sid), F.concat(F.lit("gene:"), gene))
+    out = out.union(edge(measured, "MEASURED_IN", F.col("id"), F.concat(F.lit("cell:"), F.col("system"))))
+    out = out.union(edge(measured, "PERTURBS", F.concat(F.lit("perturbation:"), F.col("perturbation")), F.concat(F.lit("gene:"), gene)))
+    return out.union(edge(measured.filter("pmid IS NOT NULL"), "REPORTS", F.concat(F.lit("pub:"), F.col("pmid").cast("string")), F.col("id")))
 
 
 def token_cost(usage: DataFrame, prices: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -46,8 +46,10 @@ def roll_up(evidence: DataFrame, keys: list[str], flat: bool = False) -> DataFra
     """Each claim's final state. The sum of increments is the end of the ledger, so no window is needed.
 
     ``kind`` tells where evidence comes from: literature doesn't count as a supporting measurement, composition has a bar of
-    its own. ``flat``: the ablation that leaves every claim at its prior.
+    its own, and only publications of the tier count as such. supporting and contradicting are the record ids in the order of
+    the ledger. ``flat``: the ablation that leaves every claim at its prior.
     """
+    in_order = lambda test: F.transform(F.array_sort(F.collect_list(F.when(test, F.struct("date", "record")))), lambda x: x["record"])
     delta = F.col("direction") * F.col("weight") * policy.EVIDENCE_STRENGTH
     up = F.col("direction") > 0
     total = F.lit(PRIOR) if flat else PRIOR + F.sum(delta)
@@ -57,15 +59,20 @@ def roll_up(evidence: DataFrame, keys: list[str], flat: bool = False) -> DataFra
         F.count("*").alias("evidence"),
         F.max(F.when(up & F.col("kind").isin("measurement", "genetic"), F.col("weight"))).alias("max_support"),
         F.max(F.when(up & (F.col("kind") == "composition"), F.col("weight"))).alias("max_composition"),
-        F.count_if(F.col("kind") == "literature").alias("publications"),
+        F.count_if((F.col("kind") == "literature") & F.col("tier")).alias("publications"),
+        in_order(up).alias("supporting"),
+        in_order(F.col("direction") < 0).alias("contradicting"),
         F.min("date").alias("first_date"),
         F.max("date").alias("last_date"),
     )
 
 
-def seed_claims(rules: DataFrame, entities: DataFrame) -> DataFrame:
-    """One claim per entity that a rule is about and that the slice holds, at the prior."""
-    known = rules.select("entity").distinct().join(entities.select("entity"), "entity", "left_semi")
+def seed_claims(rules: DataFrame, entities: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """One claim per entity that a rule is about and that the slice holds, at the prior, with its route and its number of
+    publications of the tier. ``rules``: entity, rule_id, and for the kinds that have them route and tier_publications."""
+    keys = [*(keys or []), "entity"]
+    known = rules.groupBy(*keys).agg(F.max("route").alias("route"), F.coalesce(F.max("tier_publications"), F.lit(0)).cast("long").alias("publications"), F.array_sort(F.collect_set("rule_id")).alias("rule_ids"))
+    known = known.join(entities.select("entity"), "entity", "left_semi")
     return known.withColumns({"claim": F.concat(F.lit("claim:"), F.col("entity").cast("string")), "prior_confidence": F.lit(policy.PRIOR_CONFIDENCE)})
 
 

@@ -35,6 +35,12 @@ def merge_hits(hits: DataFrame, key: str, gene: str, tier: str, order: str, fiel
     return hits.groupBy(key).agg(*first, F.array_sort(F.collect_set(gene)).alias("genes"), F.array_sort(F.collect_set(tier)).alias("tiers"))
 
 
+def search_coverage(searches: DataFrame, hits: DataFrame, keys: list[str]) -> DataFrame:
+    """Per search (keys, available) how many records it has, how many came, and whether it was cut short."""
+    got = hits.groupBy(*keys).agg(F.count("*").alias("retrieved"))
+    return searches.join(got, keys, "left").fillna(0, ["retrieved"]).withColumn("truncated", F.col("available") > F.col("retrieved"))
+
+
 def missing_references(wanted: DataFrame, known: DataFrame, key: str) -> DataFrame:
     """Ids that one source names and the other lacks."""
     return wanted.select(key).filter(F.col(key).isNotNull()).distinct().join(known.select(key), key, "left_anti")
@@ -76,3 +82,15 @@ def first_use(rows: DataFrame, key: str, date: str) -> DataFrame:
 def first_name(rows: DataFrame, key: str, name: str, order: str) -> DataFrame:
     """The first name of each key in an order."""
     return rows.groupBy(key).agg(F.min_by(name, order).alias(name))
+
+
+def merge_reports(*reports: DataFrame) -> DataFrame:
+    """Reports (counter, n, findings array) as one: counters summed, findings one after another in order."""
+    every = union_all(*[r.withColumn("report", F.lit(i)) for i, r in enumerate(reports)])
+    found = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("report", "findings"))), lambda x: x["findings"]))
+    return every.groupBy("counter").agg(F.sum("n").alias("n"), found.alias("findings"))
+
+
+def difference(candidates: DataFrame, established: DataFrame) -> DataFrame:
+    """Distinct candidates that aren't established."""
+    return candidates.subtract(established)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -27,20 +28,29 @@ def bm25_stats(titles: DataFrame) -> DataFrame:
     return titles.agg(F.count("*").alias("docs"), F.avg(F.size(words)).alias("mean_length"))
 
 
-def bm25(titles: DataFrame, queries: DataFrame, most: int = 50) -> DataFrame:
-    """Per query (query, token) the best titles with its token, ties by id: query, id, score, rank.
+def phrases(titles: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query, id, tf, length): how often each title holds the words of each query's phrase side by side.
 
-    Tokens are joined to the queries' before anything is counted, so stop words that nobody asks for never meet a shuffle.
+    Only words that begin some phrase leave the scan's stage (a semi-join before any grouping); at each of their places the
+    words that follow are compared.
     """
-    asked = queries.select("query", F.lower("token").alias("token")).distinct()
-    tokens = title_tokens(titles).join(asked.select("token").distinct(), "token", "left_semi")
-    df = tokens.groupBy("token").agg(F.count("*").alias("df"))
+    words = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"([\p{L}\p{N}]+)"), 1)
+    asked = queries.select("query", words("phrase").alias("asked")).filter(F.size("asked") > 0).withColumn("first", F.col("asked")[0])
+    longest = asked.agg(F.max(F.size("asked"))).first()[0] or 1
+    tokens = titles.select("id", words("title").alias("words"))
+    places = tokens.select("id", F.size("words").alias("length"), F.explode(F.transform("words", lambda w, i: F.struct(w.alias("first"), F.slice(F.col("words"), i + 1, F.lit(longest)).alias("next")))).alias("at"))
+    places = places.select("id", "length", "at.first", "at.next").join(asked, "first").filter(F.slice("next", F.lit(1), F.size("asked")) == F.col("asked"))
+    return places.groupBy("query", "id", "length").agg(F.count("*").alias("tf"))
+
+
+def bm25(titles: DataFrame, queries: DataFrame, most: int = 50) -> DataFrame:
+    """Per query (query, phrase) the best titles that hold exactly this phrase, ties by id: query, id, score, rank."""
+    found = phrases(titles, queries)
+    df = found.groupBy("query").agg(F.count("*").alias("df"))
     docs, mean_length = bm25_stats(titles).first()
     idf = F.log(1 + (F.lit(docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.lit(mean_length or 1.0)))
-    scored = tokens.join(df, "token").withColumn("part", idf * tf)
-    scored = scored.join(asked, "token").groupBy("query", "id").agg(F.round(F.sum("part"), 6).alias("score"))
-    return top(scored, most)
+    return top(found.join(df, "query").select("query", "id", F.round(idf * tf, 6).alias("score")), most)
 
 
 def top(scored: DataFrame, most: int) -> DataFrame:
@@ -50,11 +60,19 @@ def top(scored: DataFrame, most: int) -> DataFrame:
 def cosine(vectors: DataFrame, queries: DataFrame, most: int = 50) -> DataFrame:
     """The exact nearest vectors by cosine, ties by id. ``vectors``: id, vector; ``queries``: query, vector.
 
-    Each batch of vectors is multiplied with all queries, which are checked to be few; only a batch's best go on.
+    Queries go in blocks of ``MOST_QUERIES`` at most, each broadcast in turn, so any number of them may be asked. A task multiplies
+    its vectors with a block batch by batch and keeps one list of the best per query, whatever the number of its batches.
     """
+    blocks = max(1, -(-queries.count() // (MOST_QUERIES // 2)))
+    block = F.pmod(F.xxhash64("query"), F.lit(blocks))
+    found = [_cosine_block(vectors, queries.filter(block == i) if blocks > 1 else queries, most) for i in range(blocks)]
+    return top(reduce(lambda a, b: a.union(b), found), most)
+
+
+def _cosine_block(vectors: DataFrame, queries: DataFrame, most: int) -> DataFrame:
     asked = queries.limit(MOST_QUERIES + 1).toPandas()
     if len(asked) > MOST_QUERIES:
-        raise ValueError(f"more than {MOST_QUERIES} queries: search in blocks")
+        raise ValueError("one block of queries is over the bound: are their names distinct?")
     names = asked["query"].to_numpy()
     matrix = np.stack(asked["vector"].to_numpy()).astype(np.float64) if len(asked) else np.zeros((0, 1))
     matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-12)
@@ -62,18 +80,22 @@ def cosine(vectors: DataFrame, queries: DataFrame, most: int = 50) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names, m = shared.value
+        best_ids, best = None, None
         for b in batches:
-            if not len(b) or not len(names):
-                continue
-            x = np.stack(b["vector"].to_numpy()).astype(np.float64)
-            scores = np.round((x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)) @ m.T, 6)
-            ids = b["id"].to_numpy()
-            for j, name in enumerate(names):
-                best = np.lexsort((ids, -scores[:, j]))[:most]
-                yield pd.DataFrame({"query": name, "id": ids[best], "score": scores[best, j]})
+            for begin in range(0, len(b) if len(names) else 0, 1024):
+                part = b.iloc[begin : begin + 1024]
+                x = np.stack(part["vector"].to_numpy()).astype(np.float64)
+                scores = np.round((x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)) @ m.T, 6).T
+                ids = np.broadcast_to(part["id"].to_numpy(), scores.shape)
+                if best is not None:
+                    scores, ids = np.concatenate([best, scores], axis=1), np.concatenate([best_ids, ids], axis=1)
+                order = np.lexsort((ids, -scores), axis=1)[:, :most]
+                best, best_ids = np.take_along_axis(scores, order, axis=1), np.take_along_axis(ids, order, axis=1)
+        if best is not None:
+            yield pd.DataFrame({"query": np.repeat(names, best.shape[1]), "id": best_ids.ravel(), "score": best.ravel()})
 
     kind = lambda df, c: df.schema[c].dataType.simpleString()
-    return top(vectors.select("id", "vector").mapInPandas(run, f"query {kind(queries, 'query')}, id {kind(vectors, 'id')}, score double"), most)
+    return vectors.select("id", "vector").mapInPandas(run, f"query {kind(queries, 'query')}, id {kind(vectors, 'id')}, score double")
 
 
 def fuse(*ranked: DataFrame, most: int = 5) -> DataFrame:
@@ -85,8 +107,8 @@ def fuse(*ranked: DataFrame, most: int = 5) -> DataFrame:
     return top(parts.groupBy("query", "id").agg(F.round(F.sum("part"), 9).alias("score")), most)
 
 
-def hybrid(titles: DataFrame, vectors: DataFrame, token_queries: DataFrame, vector_queries: DataFrame) -> DataFrame:
+def hybrid(titles: DataFrame, vectors: DataFrame, phrase_queries: DataFrame, vector_queries: DataFrame) -> DataFrame:
     """C17: BM25 and cosine, fused; five titles per query. Refuses to run without vectors."""
     if vectors.isEmpty():
         raise ValueError("no vectors: make them first")
-    return fuse(bm25(titles, token_queries), cosine(vectors, vector_queries))
+    return fuse(bm25(titles, phrase_queries), cosine(vectors, vector_queries))

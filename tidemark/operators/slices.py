@@ -34,6 +34,16 @@ def drop_dangling(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return edges
 
 
+def visible_edges(nodes: DataFrame, edges: DataFrame, cutoffs: list[str]) -> DataFrame:
+    """J07 for all cutoffs at once: ``edges`` (uncut) with visible_from, the latest of their own date and both ends', once per
+    cutoff after it. Each edge meets each end once, however many cutoffs there are; edges without an end drop out."""
+    for end in ("src", "dst"):
+        dates = nodes.select(F.col("id").alias(f"{end}_id"), F.col("effective_date").alias(f"{end}_date"))
+        edges = edges.join(dates, F.col(end) == F.col(f"{end}_id")).drop(f"{end}_id")
+    own = edges.withColumn("visible_from", F.greatest("effective_date", "src_date", "dst_date")).drop("src_date", "dst_date")
+    return asof(own.withColumnRenamed("effective_date", "own_date").withColumnRenamed("visible_from", "effective_date"), cutoffs).withColumnRenamed("effective_date", "visible_from").withColumnRenamed("own_date", "effective_date")
+
+
 def dangling(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Edges with an end that isn't a node, and which end that is, for the exclusion table."""
     known = nodes.select(F.col("id").alias("k_id"))

@@ -45,7 +45,7 @@ KINDS = {"purchase": "measurement", "click": "genetic", "view": "literature", "s
 
 def evidence(spark: SparkSession, d: str) -> DataFrame:
     e = read(spark, d, "events")
-    return e.select(F.col("user_id").alias("entity"), F.col("ts").cast("date").alias("date"), F.col("ts").cast("date").alias("effective_date"), F.col("event_id").alias("record"), F.when(F.col("event_type") == "error", -1).otherwise(1).alias("direction"), (F.col("value") / 997).alias("weight"), (F.col("event_type") == "purchase").alias("tier"), rules.lookup(KINDS, F.col("event_type"), "literature").alias("kind"), "event_type", "value")
+    return e.select(F.col("user_id").alias("entity"), F.col("ts").cast("date").alias("date"), F.col("ts").cast("date").alias("effective_date"), F.col("event_id").alias("record"), F.when(F.col("event_type") == "error", -1).otherwise(1).alias("direction"), (F.col("value") / 997).alias("weight"), ((F.col("event_type") == "purchase") | ((F.col("event_type") == "view") & (F.col("event_id") % 2 == 0))).alias("tier"), rules.lookup(KINDS, F.col("event_type"), "literature").alias("kind"), "event_type", "value")
 
 
 def established(spark: SparkSession, d: str) -> DataFrame:
@@ -57,13 +57,13 @@ _PRIOR = repr(ledger.PRIOR)
 _CUTS = "cuts(cutoff) AS (VALUES " + ", ".join(f"(DATE '{c}')" for c in CUTS) + ")"
 _GRAPH_CUTS = "cuts(cutoff) AS (VALUES " + ", ".join(f"(DATE '{c}')" for c in GRAPH_CUTS) + ")"
 _KIND = "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in KINDS.items()) + " ELSE 'literature' END"
-_EV = f"ev AS (SELECT user_id AS entity, CAST(ts AS DATE) AS date, event_id AS record, CASE WHEN event_type = 'error' THEN -1 ELSE 1 END AS direction, value / 997 AS weight, event_type = 'purchase' AS tier, {_KIND} AS kind, event_type, value FROM events)"
+_EV = f"ev AS (SELECT user_id AS entity, CAST(ts AS DATE) AS date, event_id AS record, CASE WHEN event_type = 'error' THEN -1 ELSE 1 END AS direction, value / 997 AS weight, event_type = 'purchase' OR (event_type = 'view' AND event_id % 2 = 0) AS tier, {_KIND} AS kind, event_type, value FROM events)"
 _TRUTH = "truth AS (SELECT entity, min(date) AS established FROM ev WHERE event_type = 'purchase' AND value > 200 GROUP BY entity)"
 _ROLL = f"""roll AS (SELECT cutoff, entity, round({_PRIOR} + sum(direction * weight * 0.85), 6) AS log_odds,
   round(1 / (1 + exp(-({_PRIOR} + sum(direction * weight * 0.85)))), 6) AS confidence, count(*) AS evidence,
   max(CASE WHEN direction > 0 AND kind IN ('measurement', 'genetic') THEN weight END) AS max_support,
   max(CASE WHEN direction > 0 AND kind = 'composition' THEN weight END) AS max_composition,
-  count(*) FILTER (WHERE kind = 'literature') AS publications, min(date) AS first_date, max(date) AS last_date
+  count(*) FILTER (WHERE kind = 'literature' AND tier) AS publications, min(date) AS first_date, max(date) AS last_date, string_agg(record, ',' ORDER BY date, record) FILTER (WHERE direction > 0) AS supporting, string_agg(record, ',' ORDER BY date, record) FILTER (WHERE direction < 0) AS contradicting
   FROM ev JOIN cuts ON date < cutoff GROUP BY cutoff, entity)"""
 _DECIDED = """decided AS (SELECT roll.*, CASE WHEN established < cutoff THEN 'established'
   WHEN confidence >= 0.25 AND (coalesce(max_support, 0) >= 0.30 OR publications >= 5 OR coalesce(max_composition, 0) >= 0.25) THEN 'forecast' ELSE 'refused' END AS outcome
@@ -120,14 +120,14 @@ FROM cuts c""")
 def c08(spark: SparkSession, d: str) -> DataFrame:
     nodes, edges = graph_tables(spark, d)
     n, e = slices.asof(nodes, GRAPH_CUTS), slices.asof(edges, GRAPH_CUTS)
-    out = slices.manifest(n, e, slices.drop_dangling(n, e))
+    out = slices.manifest(n, e, slices.visible_edges(nodes, edges, GRAPH_CUTS))
     return out.select(F.col("cutoff").cast("string").alias("cutoff"), "nodes", "edges", "dangling", F.col("max_effective_date").cast("string").alias("max_effective_date"))
 
 
 @query("j07_drop_dangling", f"WITH {_GRAPH} SELECT CAST(cutoff AS VARCHAR) AS cutoff, type, count(*) AS edges FROM kept GROUP BY ALL")
 def j07(spark: SparkSession, d: str) -> DataFrame:
     nodes, edges = graph_tables(spark, d)
-    kept = slices.drop_dangling(slices.asof(nodes, GRAPH_CUTS), slices.asof(edges, GRAPH_CUTS))
+    kept = slices.visible_edges(nodes, edges, GRAPH_CUTS)
     return kept.groupBy(F.col("cutoff").cast("string").alias("cutoff"), "type").agg(F.count("*").alias("edges"))
 
 
@@ -167,13 +167,14 @@ def w01(spark: SparkSession, d: str) -> DataFrame:
     return out.select("entity", "record", F.col("seq").cast("long").alias("seq"), *[F.round(c, 6).alias(c) for c in ("delta", "prior", "posterior", "posterior_confidence")])
 
 
-_CLAIM = "CAST(cutoff AS VARCHAR) AS cutoff, entity, log_odds, confidence, evidence, round(max_support, 6) AS max_support, round(max_composition, 6) AS max_composition, publications, CAST(first_date AS VARCHAR) AS first_date, CAST(last_date AS VARCHAR) AS last_date"
+_CLAIM = "CAST(cutoff AS VARCHAR) AS cutoff, entity, log_odds, confidence, evidence, round(max_support, 6) AS max_support, round(max_composition, 6) AS max_composition, publications, CAST(first_date AS VARCHAR) AS first_date, CAST(last_date AS VARCHAR) AS last_date, coalesce(supporting, '') AS supporting, coalesce(contradicting, '') AS contradicting"
 
 
 @query("a08_claim_rollup", f"WITH {_EV}, {_CUTS}, {_ROLL} SELECT {_CLAIM} FROM roll")
 def a08(spark: SparkSession, d: str) -> DataFrame:
     text_of = {c: F.col(c).cast("string") for c in ("cutoff", "first_date", "last_date")}
-    return rolled(spark, d).withColumns(text_of | {c: F.round(c, 6) for c in ("max_support", "max_composition")})
+    lists = {c: F.array_join(F.col(c).cast("array<string>"), ",") for c in ("supporting", "contradicting")}
+    return rolled(spark, d).withColumns(text_of | lists | {c: F.round(c, 6) for c in ("max_support", "max_composition")})
 
 
 @query("c11_forecast", f"{_BASE} SELECT CAST(cutoff AS VARCHAR) AS cutoff, entity, confidence, cost_score, route, rank, cost_rank FROM ranked")
@@ -255,21 +256,25 @@ def j12(spark: SparkSession, d: str) -> DataFrame:
     return weighed(spark, d).select("record", "entity", "replicates", "supported", "weight")
 
 
+def ids_as_text(df: DataFrame) -> DataFrame:
+    return df.withColumn("record_ids", F.array_join(F.col("record_ids").cast("array<string>"), ","))
+
+
 @query("a03_genetic_rules", f"""WITH {_M} SELECT entity, round(min(p), 6) AS best_p, arg_min(phenotype, (p, record)) AS phenotype, round(sum(weight), 6) AS weight_total, max(weight) AS best_weight,
-  arg_max(record, (weight, record)) AS best_record, bool_and(author_reported) AS all_author_reported, count(*) AS records FROM w WHERE p < 0.005 GROUP BY entity""")
+  arg_max(record, (weight, record)) AS best_record, bool_and(author_reported) AS all_author_reported, count(*) AS records, string_agg(record, ',' ORDER BY record) AS record_ids FROM w WHERE p < 0.005 GROUP BY entity""")
 def a03(spark: SparkSession, d: str) -> DataFrame:
-    return derive.genetic_rules(weighed(spark, d), ["entity"], P_MOST).withColumn("best_p", F.round("best_p", 6))
+    return ids_as_text(derive.genetic_rules(weighed(spark, d), ["entity"], P_MOST).withColumn("best_p", F.round("best_p", 6))).drop("best_date")
 
 
-@query("a04_essentiality_rules", f"WITH {_M} SELECT entity, count(*) FILTER (WHERE hit) AS hits, count(*) AS n, round(sum(weight), 6) AS weight_total, round(count(*) FILTER (WHERE hit) / count(*), 6) AS fraction, count(*) FILTER (WHERE hit) / count(*) >= 0.7 AS pan_essential FROM w GROUP BY entity HAVING count(*) >= 3")
+@query("a04_essentiality_rules", f"WITH {_M} SELECT entity, count(*) FILTER (WHERE hit) AS hits, count(*) AS n, round(sum(weight), 6) AS weight_total, round(count(*) FILTER (WHERE hit) / count(*), 6) AS fraction, count(*) FILTER (WHERE hit) / count(*) >= 0.7 AS pan_essential, string_agg(record, ',' ORDER BY record) AS record_ids FROM w GROUP BY entity HAVING count(*) >= 3")
 def a04(spark: SparkSession, d: str) -> DataFrame:
-    return derive.essentiality_rules(weighed(spark, d), ["entity"])
+    return ids_as_text(derive.essentiality_rules(weighed(spark, d), ["entity"]))
 
 
 @query("a05_functional_rules", f"""WITH {_M}, f AS (SELECT * FROM w WHERE assay <> 'A') SELECT entity, count(*) AS records, count(DISTINCT system) AS systems, round(sum(weight), 6) AS weight_total, max(weight) AS best_weight,
-  (list(record ORDER BY weight DESC, date, record))[1] AS best_record FROM f GROUP BY entity""")
+  (list(record ORDER BY weight DESC, date, record))[1] AS best_record, string_agg(record, ',' ORDER BY record) AS record_ids FROM f GROUP BY entity""")
 def a05(spark: SparkSession, d: str) -> DataFrame:
-    return derive.functional_rules(weighed(spark, d).filter("assay <> 'A'"), ["entity"])
+    return ids_as_text(derive.functional_rules(weighed(spark, d).filter("assay <> 'A'"), ["entity"])).drop("best_date")
 
 
 @query("w08_best_measurement", f"""WITH {_M}, g AS (SELECT entity, max(weight) AS best_weight, arg_max(record, (weight, record)) AS best_record, 0 AS kind FROM w WHERE p < 0.005 GROUP BY entity),
@@ -277,19 +282,23 @@ def a05(spark: SparkSession, d: str) -> DataFrame:
 SELECT entity, best_weight, best_record, kind FROM (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY best_weight DESC, kind) AS k FROM (SELECT * FROM g UNION ALL SELECT * FROM f)) WHERE k = 1""")
 def w08(spark: SparkSession, d: str) -> DataFrame:
     w = weighed(spark, d)
-    return derive.best_measurement(derive.genetic_rules(w, ["entity"], P_MOST), derive.functional_rules(w.filter("assay <> 'A'"), ["entity"]), ["entity"])
+    return derive.best_measurement(derive.genetic_rules(w, ["entity"], P_MOST), derive.functional_rules(w.filter("assay <> 'A'"), ["entity"]), ["entity"]).drop("best_date")
 
 
 @query("j14_composition", f"""WITH {_M}, best AS (SELECT entity, max(weight) AS best_weight FROM w WHERE assay <> 'A' GROUP BY entity), own AS (SELECT DISTINCT entity FROM m WHERE phenotype = 'PROMO'),
-  x AS (SELECT a.p_partkey AS entity, b.p_partkey AS partner, round(0.35 * best_weight, 9) AS transferred, row_number() OVER (PARTITION BY a.p_partkey ORDER BY round(0.35 * best_weight, 9) DESC, b.p_partkey) AS k
-  FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey <> b.p_partkey JOIN best ON best.entity = b.p_partkey ANTI JOIN own ON own.entity = a.p_partkey)
+  x AS (SELECT a.p_partkey AS entity, b.p_partkey AS partner, round(0.35 * best_weight, 6) AS transferred, row_number() OVER (PARTITION BY a.p_partkey ORDER BY round(0.35 * best_weight, 6) DESC, b.p_partkey) AS k
+  FROM part a JOIN part b ON a.p_partkey // 4 = b.p_partkey // 4 AND a.p_partkey <> b.p_partkey JOIN best ON best.entity = b.p_partkey ANTI JOIN own ON own.entity = a.p_partkey)
 SELECT entity, partner, transferred FROM x WHERE k = 1""")
 def j14(spark: SparkSession, d: str) -> DataFrame:
     w = weighed(spark, d)
-    best = w.filter("assay <> 'A'").groupBy("entity").agg(F.max("weight").alias("best_weight"))
-    members = read(spark, d, "part").select(F.col("p_partkey").alias("id"), F.concat_ws(":", "p_brand", "p_size").alias("group"), F.lit("2000-01-01").cast("date").alias("date"))
-    edges = resolve.group_pairs(members).withColumn("id", F.col("dst"))
-    return derive.composition(edges, best, w.filter("phenotype = 'PROMO'").select("entity").distinct()).select("entity", "partner", F.round("transferred", 9).alias("transferred"))
+    best = w.filter("assay <> 'A'").groupBy("entity").agg(F.max("weight").alias("best_weight"), F.min("record").alias("best_record"), F.min("date").alias("best_date"))
+    return derive.composition(part_pairs(spark, d), best, w.filter("phenotype = 'PROMO'").select("entity").distinct()).select("entity", "partner", "transferred")
+
+
+def part_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of parts in groups of four, whatever the size of the table: src, dst, date, id."""
+    members = read(spark, d, "part").select(F.col("p_partkey").alias("id"), F.floor(F.col("p_partkey") / 4).cast("string").alias("group"), F.lit("1990-01-01").cast("date").alias("date"))
+    return resolve.group_pairs(members).withColumn("id", F.col("dst"))
 
 
 @query("a06_literature_rules", f"WITH {_EV} SELECT entity, count(*) AS publications, count(*) FILTER (WHERE tier) AS tier_publications, CAST(min(date) AS VARCHAR) AS earliest, round(0.20 * count(*) FILTER (WHERE tier) + 0.05 * count(*) FILTER (WHERE NOT tier), 6) AS weight FROM ev GROUP BY entity")
@@ -339,15 +348,22 @@ def j02(spark: SparkSession, d: str) -> DataFrame:
     return resolve.resolve_in_graph(asked_names(spark, d), nation_entities(spark, d)).select("c_custkey", "id")
 
 
-@query("j23_alias_probes", "SELECT (SELECT count(*) FROM nation) * 3 AS probes, (SELECT count(*) FROM nation) + (SELECT count(*) FROM (SELECT n_regionkey FROM nation GROUP BY n_regionkey HAVING count(*) = 1)) AS resolved")
+# parts as entities: the name is the symbol; one alias of its own, one that ten parts share
+def part_entities(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("p_partkey")
+    names = lambda prefix, x: F.concat(F.lit(prefix), x.cast("string"))
+    return read(spark, d, "part").select(k.alias("id"), names("P", k).alias("symbol"), names("E", k).alias("entrez"), F.lit(None).cast("string").alias("ensembl"), F.array(names("alias_", k), names("shared_", F.floor(k / 10))).alias("aliases"), F.array(names("old_", k)).alias("previous"), F.array(names("P", k + 1)).alias("informal"))
+
+
+@query("j23_alias_probes", "SELECT count(*) * 4 AS probes, count(*) + count(*) FILTER (WHERE n = 1) AS resolved FROM (SELECT count(*) OVER (PARTITION BY p_partkey // 10) AS n FROM part)")
 def j23(spark: SparkSession, d: str) -> DataFrame:
-    entities = nation_entities(spark, d).withColumn("informal", F.array().cast("array<string>"))
+    entities = part_entities(spark, d)
     return resolve.alias_probe_score(traps.alias_probes(entities), entities)
 
 
-@query("j15_complex_pairs", "SELECT a.s_suppkey AS src, b.s_suppkey AS dst, CAST(a.s_nationkey AS VARCHAR) AS \"group\" FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey <> b.s_suppkey")
+@query("j15_complex_pairs", "SELECT a.s_suppkey AS src, b.s_suppkey AS dst, CAST(a.s_suppkey // 5 AS VARCHAR) AS \"group\" FROM supplier a JOIN supplier b ON a.s_suppkey // 5 = b.s_suppkey // 5 AND a.s_suppkey <> b.s_suppkey")
 def j15(spark: SparkSession, d: str) -> DataFrame:
-    members = read(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").cast("string").alias("group"), F.lit("2000-01-01").cast("date").alias("date"))
+    members = read(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.floor(F.col("s_suppkey") / 5).cast("string").alias("group"), F.lit("2000-01-01").cast("date").alias("date"))
     return resolve.group_pairs(members).select("src", "dst", F.col("groups")[0].alias("group"))
 
 
@@ -392,7 +408,7 @@ def a19_error(spark: SparkSession, d: str) -> DataFrame:
     return grade.calibration_error(grade.calibration_bins(scored(spark, d), ["cutoff"]), ["cutoff"]).withColumns({"cutoff": F.col("cutoff").cast("string"), "ece": F.round("ece", 5)})
 
 
-_TRAPS = f"""{_BASE}, t AS (SELECT cutoff, u AS entity, CASE u % 3 WHEN 0 THEN 'reject' WHEN 1 THEN 'refuse' ELSE 'accept' END AS answer FROM cuts CROSS JOIN (SELECT DISTINCT user_id AS u FROM events)),
+_TRAPS = f"""{_BASE}, t AS (SELECT cutoff, u AS entity, CASE u % 3 WHEN 0 THEN 'reject' WHEN 1 THEN 'refuse' ELSE 'accept' END AS answer, CASE u % 6 WHEN 0 THEN 'association' WHEN 3 THEN 'essential' WHEN 1 THEN 'postdates_cutoff' WHEN 4 THEN 'postdates_cutoff' ELSE 'control' END AS kind FROM cuts CROSS JOIN (SELECT DISTINCT user_id AS u FROM events)),
   sizes AS (SELECT cutoff, count(*) AS size FROM ranked GROUP BY cutoff),
   o AS (SELECT t.*, CASE answer WHEN 'reject' THEN NOT coalesce(ranked.rank <= 10 OR ranked.cost_rank <= 10, false) WHEN 'refuse' THEN coalesce(said = 'refused', true) ELSE coalesce(said = 'forecast', false) END AS passed, answer = 'reject' AND coalesce(size, 0) = 0 AS vacuous
   FROM t LEFT JOIN (SELECT cutoff, entity, outcome AS said FROM decided) f USING (cutoff, entity) LEFT JOIN ranked USING (cutoff, entity) LEFT JOIN sizes USING (cutoff))"""
@@ -402,16 +418,19 @@ def trap_rows(spark: SparkSession, d: str) -> DataFrame:
     users = read(spark, d, "events").select(F.col("user_id").alias("entity")).distinct()
     answer = F.element_at(F.array(F.lit("reject"), F.lit("refuse"), F.lit("accept")), (F.col("entity") % 3 + 1).cast("int"))
     t = users.withColumn("cutoff", F.explode(F.array(*[F.lit(c).cast("date") for c in CUTS]))).withColumn("answer", answer)
+    kinds = [F.lit(k) for k in ("association", "postdates_cutoff", "control", "essential", "postdates_cutoff", "control")]
+    t = t.withColumn("kind", F.element_at(F.array(*kinds), (F.col("entity") % 6 + 1).cast("int")))
     ranks = ranked(spark, d).select("cutoff", "entity", "rank", "cost_rank")
     return grade.trap_outcomes(t, decided(spark, d).join(ranks, ["cutoff", "entity"], "left"), ["cutoff"])
 
 
 @query("j18_trap_outcomes", f"{_TRAPS} SELECT CAST(cutoff AS VARCHAR) AS cutoff, entity, answer, passed, vacuous FROM o")
 def j18(spark: SparkSession, d: str) -> DataFrame:
-    return trap_rows(spark, d).withColumn("cutoff", F.col("cutoff").cast("string"))
+    return trap_rows(spark, d).drop("kind").withColumn("cutoff", F.col("cutoff").cast("string"))
 
 
-@query("a20_trap_rollup", f"{_TRAPS} SELECT CAST(cutoff AS VARCHAR) AS cutoff, count(*) AS traps, count(*) FILTER (WHERE passed) AS passed, count(*) FILTER (WHERE vacuous) AS vacuous, count(*) FILTER (WHERE passed AND NOT vacuous AND answer <> 'accept') AS judgement, count(*) FILTER (WHERE passed AND NOT vacuous AND answer = 'accept') AS contamination FROM o GROUP BY cutoff")
+@query("a20_trap_rollup", f"""{_TRAPS} SELECT CAST(cutoff AS VARCHAR) AS cutoff, count(*) AS traps, count(*) FILTER (WHERE passed) AS passed, count(*) FILTER (WHERE passed AND vacuous) AS vacuous, count(*) FILTER (WHERE passed AND NOT vacuous) AS meaningful,
+  count(*) FILTER (WHERE kind <> 'postdates_cutoff') AS judgement_total, count(*) FILTER (WHERE kind <> 'postdates_cutoff' AND passed AND NOT vacuous) AS judgement, count(*) FILTER (WHERE kind = 'postdates_cutoff') AS contamination_total, count(*) FILTER (WHERE kind = 'postdates_cutoff' AND passed) AS contamination FROM o GROUP BY cutoff""")
 def a20(spark: SparkSession, d: str) -> DataFrame:
     return grade.trap_rollup(trap_rows(spark, d), ["cutoff"]).withColumn("cutoff", F.col("cutoff").cast("string"))
 
@@ -422,9 +441,9 @@ def a22(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("a21_refusal_accuracy", f"""{_BASE} SELECT count(*) AS should_refuse, count(*) FILTER (WHERE r) AS refused, count(*) FILTER (WHERE t) AS turned_out_true
-FROM (SELECT u, u IN (SELECT entity FROM decided WHERE outcome = 'refused' AND cutoff = DATE '2024-01-10') AS r, u IN (SELECT entity FROM truth WHERE established >= DATE '2024-01-10') AS t FROM (SELECT DISTINCT user_id AS u FROM events WHERE user_id % 3 = 0))""")
+FROM (SELECT u, u IN (SELECT entity FROM decided WHERE outcome = 'refused' AND cutoff = DATE '2024-01-10') AS r, u IN (SELECT entity FROM truth WHERE established >= DATE '2024-01-10') AS t FROM (SELECT DISTINCT user_id AS u FROM events))""")
 def a21(spark: SparkSession, d: str) -> DataFrame:
-    asked = read(spark, d, "events").select(F.col("user_id").alias("entity")).filter("entity % 3 = 0")
+    asked = read(spark, d, "events").select(F.col("user_id").alias("entity"))
     first = F.col("cutoff") == F.lit(CUTS[0]).cast("date")
     return grade.refusal_accuracy(asked, decided(spark, d).filter(first), truth_by_cutoff(spark, d).filter(first))
 
@@ -432,9 +451,9 @@ def a21(spark: SparkSession, d: str) -> DataFrame:
 @query("c16_bootstrap_intervals")
 def c16(spark: SparkSession, d: str) -> DataFrame:
     t = truth_by_cutoff(spark, d).select("cutoff", "entity", F.lit(True).alias("hit"))
-    asked = decided(spark, d).filter("outcome <> 'established'").select("cutoff", "entity")
+    asked = merge.asked_units(decided(spark, d).filter("outcome <> 'established'").select("cutoff", "entity"), t.select("cutoff", "entity"))
     units = asked.join(ranked(spark, d).select("cutoff", "entity", "rank"), ["cutoff", "entity"], "left").join(t, ["cutoff", "entity"], "left").fillna(False, ["hit"]).withColumnRenamed("entity", "unit")
-    return grade.bootstrap_intervals(units, ["cutoff"])
+    return grade.bootstrap_intervals(units, ["cutoff"]).withColumn("cutoff", F.col("cutoff").cast("string"))
 
 
 @query("w14_gene_history", f"""{_BASE}, {_HITS}, v AS (SELECT cutoff, entity, CASE WHEN outcome = 'established' THEN 'known' WHEN outcome = 'forecast' AND h.entity IS NOT NULL THEN 'hit' WHEN outcome = 'forecast' THEN 'forecast' WHEN h.entity IS NOT NULL THEN 'missed' WHEN outcome = 'refused' THEN 'refused' ELSE 'none' END AS verdict FROM decided LEFT JOIN (SELECT DISTINCT cutoff, entity FROM hits) h USING (cutoff, entity)),
@@ -508,7 +527,7 @@ def t02(spark: SparkSession, d: str) -> DataFrame:
     return longs(graph.latest(measurements(spark, d), "entity", "date", "record").select("entity", "record", "place", "total"), "place")
 
 
-@query("t04_complex_partners", "SELECT src AS entity, dst AS partner, place, total FROM (SELECT a.s_suppkey AS src, b.s_suppkey AS dst, row_number() OVER (PARTITION BY a.s_suppkey ORDER BY b.s_suppkey) AS place, count(*) OVER (PARTITION BY a.s_suppkey) AS total FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey <> b.s_suppkey) WHERE place <= 20")
+@query("t04_complex_partners", "SELECT src AS entity, dst AS partner, place, total FROM (SELECT a.s_suppkey AS src, b.s_suppkey AS dst, row_number() OVER (PARTITION BY a.s_suppkey ORDER BY b.s_suppkey) AS place, count(*) OVER (PARTITION BY a.s_suppkey) AS total FROM supplier a JOIN supplier b ON a.s_suppkey // 5 = b.s_suppkey // 5 AND a.s_suppkey <> b.s_suppkey) WHERE place <= 20")
 def t04(spark: SparkSession, d: str) -> DataFrame:
     return longs(graph.partners(j15(spark, d)).select("entity", "partner", "place", "total"), "place")
 
@@ -528,48 +547,63 @@ def a26(spark: SparkSession, d: str) -> DataFrame:
 _TOK = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
 
 
-@query("t06_bm25_top_k", f"""WITH t AS (SELECT doc_id AS id, {_TOK} AS w FROM documents), st AS (SELECT count(*) AS docs, avg(len(w)) AS mean_length FROM t),
-  x AS (SELECT id, len(w) AS length, unnest(w) AS token FROM t), tf AS (SELECT id, length, token, count(*) AS tf FROM x GROUP BY ALL), df AS (SELECT token, count(*) AS df FROM tf GROUP BY token),
-  q AS (SELECT DISTINCT item_id AS query, unnest({_TOK}[1:3]) AS token FROM benchmark),
-  s AS (SELECT query, id, round(sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean_length))), 6) AS score FROM q JOIN tf USING (token) JOIN df USING (token) CROSS JOIN st GROUP BY query, id)
-SELECT query, id, round(score, 4) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= 10""")
+_PHRASES = rf"""words AS (SELECT item_id, {_TOK} AS w FROM benchmark), asked AS (SELECT item_id * 1000000 + i AS query, w[i : i + 1] AS p FROM (SELECT item_id, w, unnest(range(1, len(w) + 1, 2)) AS i FROM words)),
+  t AS (SELECT doc_id AS id, {_TOK} AS w FROM documents), st AS (SELECT count(*) AS docs, avg(len(w)) AS mean_length FROM t),
+  x AS (SELECT id, len(w) AS length, unnest(w) AS a, unnest(list_append(w[2:], NULL)) AS b FROM t),
+  tf AS (SELECT query, id, length, count(*) AS tf FROM x JOIN asked ON p[1] = a AND (len(p) = 1 OR p[2] = b) GROUP BY ALL), df AS (SELECT query, count(*) AS df FROM tf GROUP BY query),
+  s AS (SELECT query, id, round(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean_length)), 6) AS score FROM tf JOIN df USING (query) CROSS JOIN st),
+  lexical AS (SELECT query, id, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM s)"""
+_NEAREST = """v AS (SELECT vec_id AS id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
+  c AS (SELECT q.id AS query, v.id, round(list_dot_product(q.v, v.v) / (sqrt(list_dot_product(q.v, q.v)) * sqrt(list_dot_product(v.v, v.v))), 6) AS score FROM v CROSS JOIN (SELECT * FROM v WHERE id % 50 = 0) q),
+  dense AS (SELECT query, id, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM c)"""
+
+
+@query("t06_bm25_top_k", f"WITH {_PHRASES} SELECT query, id, round(score, 4) AS score, rank FROM lexical WHERE rank <= 50")
 def t06(spark: SparkSession, d: str) -> DataFrame:
     titles = read(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("title"))
-    out = retrieval.bm25(titles, token_queries(spark, d), 10)
-    return longs(out.withColumn("score", F.round("score", 4)), "rank")
+    return longs(retrieval.bm25(titles, phrase_queries(spark, d)).withColumn("score", F.round("score", 4)), "rank")
 
 
-def token_queries(spark: SparkSession, d: str) -> DataFrame:
-    words = F.slice(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}]+)"), 1), 1, 3)
-    return read(spark, d, "benchmark").select(F.col("item_id").alias("query"), F.explode(words).alias("token"))
+def phrase_queries(spark: SparkSession, d: str) -> DataFrame:
+    """Every benchmark item as phrases of two words, side by side over its whole text."""
+    words = F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}]+)"), 1)
+    places = F.filter(F.transform(words, lambda w, i: F.struct((i + 1).alias("i"), F.array_join(F.slice(words, i + 1, F.lit(2)), " ").alias("phrase"))), lambda x: x["i"] % 2 == 1)
+    return read(spark, d, "benchmark").select("item_id", F.explode(places).alias("x")).select((F.col("item_id") * 1_000_000 + F.col("x.i")).alias("query"), "x.phrase")
 
 
-@query("t07_cosine_top_k", """WITH v AS (SELECT vec_id AS id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
-  s AS (SELECT q.id AS query, v.id, round(list_dot_product(q.v, v.v) / (sqrt(list_dot_product(q.v, q.v)) * sqrt(list_dot_product(v.v, v.v))), 6) AS score FROM v CROSS JOIN (SELECT * FROM v WHERE id < 5) q)
-SELECT query, id, round(score, 4) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= 50""")
+@query("t07_cosine_top_k", f"WITH {_NEAREST} SELECT query, id, round(score, 4) AS score, rank FROM dense WHERE rank <= 50")
 def t07(spark: SparkSession, d: str) -> DataFrame:
     v = read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    out = retrieval.cosine(v, v.filter("id < 5").withColumnRenamed("id", "query"))
+    out = retrieval.cosine(v, v.filter("id % 50 = 0").withColumnRenamed("id", "query"))
     return longs(out.withColumn("score", F.round("score", 4)), "rank")
 
 
-@query("c17_hybrid_retrieval")
+@query("c17_hybrid_retrieval", f"""WITH {_PHRASES.replace('item_id * 1000000 + i AS query', '(item_id * 1000 + i) * 50 AS query')}, {_NEAREST},
+  f AS (SELECT query, id, round(sum(1.0 / (60 + rank)), 9) AS score FROM (SELECT query, id, rank FROM lexical WHERE rank <= 50 UNION ALL SELECT query, id, rank FROM dense WHERE rank <= 50) GROUP BY ALL)
+SELECT query, id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM f) WHERE rank <= 5""")
 def c17(spark: SparkSession, d: str) -> DataFrame:
     titles = read(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("title"))
     v = read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    return longs(retrieval.hybrid(titles, v, token_queries(spark, d), v.filter("id < 40").withColumnRenamed("id", "query")), "rank")
+    q = F.col("query")
+    asked = phrase_queries(spark, d).withColumn("query", (F.floor(q / 1_000_000) * 1000 + q % 1_000_000) * 50)
+    return longs(retrieval.hybrid(titles, v, asked, v.filter("id % 50 = 0").withColumnRenamed("id", "query")).withColumn("score", F.round("score", 6)), "rank")
 
 
 # text and merging
-@query("s16_page_fields", r"""WITH p AS (SELECT page_id, url, trim(regexp_extract(html, '(?s)<title>(.*?)</title>', 1)) AS title, trim(regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)) AS heading FROM pages)
-SELECT page_id, title, title = heading AS same_heading FROM p""")
+@query("s16_page_fields", r"""WITH p AS (SELECT page_id, 'Url : ' || coalesce(url, '') || ' Page : ' || page_id || ' [n' || page_id || '] Label : x' AS t, url FROM pages)
+SELECT page_id, nullif(trim(url), '') AS url, CAST(page_id AS VARCHAR) AS number, 'n' || page_id AS bracketed, 'x' AS label, NULL AS nothing FROM p""")
 def s16(spark: SparkSession, d: str) -> DataFrame:
-    p = read(spark, d, "pages")
-    field = lambda tag: F.trim(F.regexp_extract("html", rf"(?s)<{tag}>(.*?)</{tag}>", 1))
-    return p.select("page_id", field("title").alias("title"), (field("title") == field("h1")).alias("same_heading"))
+    labels = ("Url", "Page", "Label")
+    html = F.concat(F.lit("<p>Url : <b>"), F.coalesce("url", F.lit("")), F.lit("</b><script>Page : 0</script> Page : "), "page_id", F.lit(" [n"), "page_id", F.lit("]<br>Label : x</p>"))
+    plain = text.strip_markup(html)
+    value = lambda label: text.labelled_value(plain, label, labels)
+    page = value("Page")
+    return read(spark, d, "pages").select("page_id", value("Url").alias("url"), F.regexp_extract(page, r"^(\d+)", 1).alias("number"), F.regexp_extract(page, r"\[(.*?)\]", 1).alias("bracketed"), value("Label").alias("label"), value("Other").alias("nothing"))
 
 
-@query("f15_strip_markup")
+@query("f15_strip_markup", r"""WITH a AS (SELECT page_id, regexp_replace(html, '(?is)<script\b.*?</script>', ' ', 'g') AS t FROM pages), b AS (SELECT page_id, regexp_replace(t, '(?is)<style\b.*?</style>', ' ', 'g') AS t FROM a), c AS (SELECT page_id, regexp_replace(t, '<[^>]*>', ' ', 'g') AS t FROM b),
+  e AS (SELECT page_id, replace(replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&nbsp;', ' '), '&amp;', '&') AS t FROM c)
+SELECT page_id, trim(regexp_replace(t, '\s+', ' ', 'g')) AS text FROM e""")
 def f15(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "pages").select("page_id", text.strip_markup(F.col("html")).alias("text"))
 
@@ -612,18 +646,20 @@ def p06(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "documents").select("doc_id", text.has_phrase(F.col("text"), ("the", "und", "pour", "los")).alias("flag"))
 
 
-@query("f10_title_names", r"SELECT doc_id, regexp_matches(lower(substr(text, 1, 300)), '(^|[^0-9a-z])(the)($|[^0-9a-z])') AS names FROM documents WHERE NOT regexp_matches(lower(substr(text, 1, 300)), '(not|without|excluding|of|than)\s+the')")
+# a name counts unless each of its places has a negation right before it
+_NEGATED = "|".join(n.replace(" ", r"\s+") for n in policy.NEGATIONS)
+
+
+@query("f10_title_names", rf"SELECT doc_id, len(regexp_extract_all(lower(text), '\bthe\b')) > len(regexp_extract_all(lower(text), '(?:{_NEGATED})\s{{{{0,24}}}}\bthe\b')) AS names FROM documents".replace("{{", "{").replace("}}", "}"))
 def f10(spark: SparkSession, d: str) -> DataFrame:
-    title = F.substring("text", 1, 300)
-    docs = read(spark, d, "documents").filter(~F.lower(title).rlike(r"(not|without|excluding|of|than)\s+the"))
-    return docs.select("doc_id", text.names_any(title, ["the"]).alias("names"))
+    return read(spark, d, "documents").select("doc_id", text.names_any(F.col("text"), ["the"]).alias("names"))
 
 
-@query("p24_primary_claim", r"""WITH t AS (SELECT doc_id, lower(substr(text, 1, 300)) AS t, source FROM documents)
+@query("p24_primary_claim", r"""WITH t AS (SELECT doc_id, lower(text) AS t, source FROM documents)
 SELECT doc_id, CASE WHEN NOT regexp_matches(t, '(^|[^0-9a-z])the($|[^0-9a-z])') THEN 'does not name the gene' WHEN NOT regexp_matches(t, '(^|[^0-9a-z])(is|was)($|[^0-9a-z])') THEN 'no regulatory verb' WHEN NOT regexp_matches(t, '(^|[^0-9a-z])and($|[^0-9a-z])') THEN 'no phenotype term'
   WHEN regexp_matches(t, '(^|[^0-9a-z])this($|[^0-9a-z])') THEN 'review-like title' WHEN source = 'src1' THEN 'publication type' END AS reason FROM t""")
 def p24(spark: SparkSession, d: str) -> DataFrame:
-    docs, title = read(spark, d, "documents"), F.substring("text", 1, 300)
+    docs, title = read(spark, d, "documents"), F.col("text")
     return docs.select("doc_id", text.primary_claim(title, text.has_phrase(title, ("the",)), ("is", "was"), ("and",), ("this",), F.concat_ws("; ", F.lit("article"), "source"), ("src1",)).alias("reason"))
 
 
@@ -657,19 +693,6 @@ def a09(spark: SparkSession, d: str) -> DataFrame:
     return traps.association_traps(rows, known, P_MOST).select("entity", F.round("best_p", 6).alias("best_p"), "n", "accessions")
 
 
-@query("c19_holdout_recovery", f"""WITH {_EV}, a AS (SELECT entity, round(1 / (1 + exp(-({_PRIOR} + sum(direction * weight * 0.85)))), 6) AS c, count(*) AS n, max(CASE WHEN direction > 0 AND kind IN ('measurement', 'genetic') THEN weight END) AS s, max(CASE WHEN direction > 0 AND kind = 'composition' THEN weight END) AS x, count(*) FILTER (WHERE kind = 'literature') AS p FROM ev GROUP BY entity),
-  b AS (SELECT entity, round(1 / (1 + exp(-({_PRIOR} + sum(direction * weight * 0.85)))), 6) AS c, max(CASE WHEN direction > 0 AND kind = 'composition' THEN weight END) AS x, count(*) FILTER (WHERE kind = 'literature') AS p FROM ev WHERE kind NOT IN ('measurement', 'genetic') GROUP BY entity),
-  j AS (SELECT a.c, coalesce(b.c, 0) AS c2, a.c >= 0.25 AND (coalesce(s, 0) >= 0.3 OR a.p >= 5 OR coalesce(a.x, 0) >= 0.25) AS r, coalesce(b.c >= 0.25 AND (b.p >= 5 OR coalesce(b.x, 0) >= 0.25), false) AS r2 FROM a LEFT JOIN b USING (entity))
-SELECT count(*) AS tested, count(*) FILTER (WHERE r2) AS recovered, round(avg(c - c2), 5) AS mean_drop FROM j WHERE r""")
-def c19(spark: SparkSession, d: str) -> DataFrame:
-    e = evidence(spark, d)
-    # Every entity is held out at once: hiding its measurements changes its own claim only, so one grouping serves them all.
-    gate = lambda t: t.withColumn("reportable", rules.reportable(F.col("confidence"), F.col("max_support"), F.col("publications"), F.col("max_composition")))
-    whole = gate(ledger.roll_up(e, ["entity"]))
-    without = gate(ledger.roll_up(e.filter(~F.col("kind").isin("measurement", "genetic")), ["entity"]))
-    return grade.holdout_report(grade.holdout_compare(whole, without)).select("tested", "recovered", F.round("mean_drop", 5).alias("mean_drop"))
-
-
 @query("c15_run_matrix", f"""WITH {_EV}, {_CUTS}, r AS (SELECT cutoff, entity, ab, CASE ab WHEN 'uniform weight' THEN 0.05 ELSE weight END AS weight, direction FROM ev JOIN cuts ON date < cutoff CROSS JOIN (VALUES ('full'), ('uniform weight'), ('no literature')) t(ab) WHERE NOT (ab = 'no literature' AND kind = 'literature')),
   c AS (SELECT cutoff, ab, entity, round(1 / (1 + exp(-({_PRIOR} + sum(direction * weight * 0.85)))), 6) AS confidence FROM r GROUP BY ALL)
 SELECT CAST(cutoff AS VARCHAR) AS cutoff, ab AS ablation, count(*) AS claims, count(*) FILTER (WHERE confidence >= 0.25) AS confident, round(avg(confidence), 5) AS mean_confidence FROM c GROUP BY ALL""")
@@ -681,10 +704,10 @@ def c15(spark: SparkSession, d: str) -> DataFrame:
     return out.groupBy(F.col("cutoff").cast("string").alias("cutoff"), "ablation").agg(F.count("*").alias("claims"), F.count_if(F.col("confidence") >= 0.25).alias("confident"), F.round(F.avg("confidence"), 5).alias("mean_confidence"))
 
 
-@query("j10_neighbors", "SELECT o_custkey AS start, 'PLACED' AS edge_type, o_orderkey AS id, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS effective_date FROM orders WHERE o_custkey % 10 = 0")
+@query("j10_neighbors", "SELECT o_custkey AS start, 'PLACED' AS edge_type, o_orderkey AS id, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS effective_date FROM orders SEMI JOIN customer ON c_custkey = o_custkey")
 def j10(spark: SparkSession, d: str) -> DataFrame:
     o = read(spark, d, "orders")
-    starts = read(spark, d, "customer").filter("c_custkey % 10 = 0").select(F.col("c_custkey").alias("start"))
+    starts = read(spark, d, "customer").select(F.col("c_custkey").alias("start"))
     edges = o.select(F.col("o_custkey").alias("src"), F.col("o_orderkey").alias("dst"), F.lit("PLACED").alias("type"))
     nodes = o.select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").cast("date").alias("effective_date"))
     return graph.neighbors(edges, nodes, starts, "PLACED").withColumn("effective_date", F.col("effective_date").cast("string"))
@@ -814,14 +837,15 @@ def j05(spark: SparkSession, d: str) -> DataFrame:
     return merge.attach_license(c, licenses)[0].groupBy("source", "license").agg(F.count("*").alias("n"))
 
 
-@query("j16_seed_claims", "SELECT 'claim:' || p_partkey AS claim FROM part SEMI JOIN lineitem ON l_partkey = p_partkey WHERE p_size > 10")
+@query("j16_seed_claims", "SELECT 'claim:' || p_partkey AS claim, max(CASE WHEN l_returnflag = 'A' THEN 'SMALL_MOLECULE' END) AS route, CAST(coalesce(max(CASE WHEN l_returnflag = 'R' THEN l_linenumber END), 0) AS BIGINT) AS publications, string_agg(DISTINCT l_returnflag, ',' ORDER BY l_returnflag) AS rule_ids FROM part JOIN lineitem ON l_partkey = p_partkey WHERE p_size > 10 GROUP BY p_partkey")
 def j16(spark: SparkSession, d: str) -> DataFrame:
-    rules_of = measurements(spark, d).select("entity")
-    return ledger.seed_claims(rules_of, read(spark, d, "part").filter("p_size > 10").select(F.col("p_partkey").alias("entity"))).select("claim")
+    found = read(spark, d, "lineitem").select(F.col("l_partkey").alias("entity"), F.col("l_returnflag").alias("rule_id"), F.when(F.col("l_returnflag") == "A", "SMALL_MOLECULE").alias("route"), F.when(F.col("l_returnflag") == "R", F.col("l_linenumber")).alias("tier_publications"))
+    out = ledger.seed_claims(found, read(spark, d, "part").filter("p_size > 10").select(F.col("p_partkey").alias("entity")))
+    return out.select("claim", "route", "publications", F.array_join("rule_ids", ",").alias("rule_ids"))
 
 
 def cached_titles(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    docs = read(spark, d, "documents").select(F.col("doc_id").alias("id"), F.substring("text", 1, 100).alias("title"))
+    docs = read(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("title"))
     return docs, docs.filter("id % 3 <> 0").withColumn("title", F.when(F.col("id") % 3 == 1, F.col("title")).otherwise(F.concat(F.lit("old "), "title")))
 
 

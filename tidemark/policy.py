@@ -62,6 +62,22 @@ COMPLEX_FAMILIES = ("NuRD complex", "CoREST complex", "BAF complex", "SWI/SNF",
 PHENOTYPE_TERMS = ("fetal hemoglobin", "fetal haemoglobin", "hbf", "f-cell", "f cell", "gamma-globin", "gamma globin", "hbg1", "hbg2", "globin switching", "hemoglobin f")
 CONTEXT_TERMS = ("erythroid", "erythropoiesis", "erythrocyte", "hudep", "hspc", "cd34", "hematopoietic stem", "haematopoietic stem", "haemoglobin", "hemoglobin", "globin")
 
+# Readouts of a trait, most direct first, and the labels of fitness and differentiation screens.
+READOUTS = ((("f-cell", "f cell"), "f_cell"), (("protein", "hplc", "flow", "stain", "antibody"), "hbf_protein"), (("mrna", "transcript", "rna-seq", "expression"), "hbg_mrna"), (("reporter", "gfp", "sorted", "sort"), "hbg_reporter"))
+FITNESS_LABELS = ("cell proliferation", "viability", "cell viability", "cell death", "cell growth", "growth", "cell fitness")
+DIFFERENTIATION_LABELS = ("erythroid differentiation", "cell differentiation", "differentiation")
+
+# Perturbation classes by library type or method, cell systems by accession, terms of primary and mouse cells.
+PERTURBATION_CLASSES = {"crispri": "crispri", "crispra": "crispra", "crisprn": "knockout", "crispr-cas9": "knockout", "knockout": "knockout", "knockdown": "crispri", "activation": "crispra", "inhibition": "crispri", "base editing": "base_edit", "knock-in": "knock_in"}
+KNOWN_SYSTEMS = {"CVCL_VI06": "human_erythroid_progenitor_line", "CVCL_VI05": "human_erythroid_progenitor_line", "CVCL_0004": "human_cancer_line", "CVCL_0001": "human_cancer_line", "CVCL_0379": "human_cancer_line", "CVCL_0559": "human_cancer_line", "CVCL_0045": "human_immortalized_line", "CVCL_0030": "human_cancer_line"}
+PRIMARY_TERMS = ("cd34", "hspc", "primary human erythroid", "primary erythroid", "peripheral blood stem", "mobilized peripheral blood", "bone marrow cd34", "cord blood", "hematopoietic stem and progenitor", "haematopoietic stem and progenitor")
+MOUSE_TERMS = ("mouse", "murine", "mus musculus", "m. musculus")
+
+# What must not be passed on: field names, the longest text, and the fields that may be longer.
+FORBIDDEN_FIELDS = ("abstract", "abstracttext", "abstract_text", "fulltext", "full_text", "body", "bodytext", "body_text", "text", "content", "articletext", "article_text", "paragraph", "paragraphs", "sections", "textmininsentences", "textminingsentences", "sentences", "snippet", "excerpt", "pdf", "supplementary_text")
+LONG_FIELDS = ("significance_rule", "notes", "rationale", "modality_rationale", "note", "detail", "statement", "caveat")
+LONGEST_FIELD = 600
+
 # Greek letters as titles spell them out, and what negates the name behind it.
 GREEK = {"α": "alpha", "β": "beta", "γ": "gamma", "δ": "delta", "ε": "epsilon", "ζ": "zeta", "θ": "theta", "κ": "kappa", "λ": "lambda", "μ": "mu", "Α": "alpha", "Β": "beta", "Γ": "gamma", "Δ": "delta", "Ε": "epsilon"}
 NEGATIONS = ("but not", "rather than", "independent of", "independently of", "excluding", "without", "not")

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 PROVENANCE = "source_id string, license string, time_scope string, effective_date date, accession string, pmid string, publication_date date, publication_date_online date, publication_date_issue date, ingest_hash string"
 NODE = f"id string, type string, label string, attrs string, {PROVENANCE}"
@@ -20,6 +24,14 @@ TRIALS = "protocolSection struct<identificationModule:struct<nctId:string,briefT
 CELLS = "map<string,struct<name:string,category:string,species:array<string>,diseases:array<struct<term:string>>>>"
 
 
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared checkpoint folder; only a session on one machine may name none."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return f"{(base or 'file://' + tempfile.mkdtemp(prefix='tidemark-')).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
 def read_snapshot(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Nodes, edges and exclusions from gzipped JSON lines; a gzip file is one split, so rows are dealt out after it."""
     read = lambda name, schema: spark.read.schema(schema).json(f"{folder}/{name}.jsonl.gz").repartition(spark.sparkContext.defaultParallelism)
@@ -83,11 +95,11 @@ def _few(table: DataFrame, most: int = 100_000) -> bool:
 
 
 def read_associations(spark: SparkSession, path: str) -> DataFrame:
-    """One row per association with its place in the file and its distinct, sorted reported genes."""
-    rows = spark.read.schema(ASSOCIATIONS).json(path)
-    genes = F.array_sort(F.array_distinct(F.flatten(F.transform("loci", lambda x: F.coalesce(x["reportedGenes"], F.array().cast("array<string>"))))))
-    alleles = F.array_sort(F.array_distinct(F.flatten(F.transform("loci", lambda x: F.coalesce(x["riskAlleles"], F.array().cast("array<string>"))))))
-    return rows.withColumns({"genes": genes, "risk_alleles": alleles})
+    """One row per association of a file's JSON array, with its place in it and its distinct, sorted reported genes."""
+    kind = T.ArrayType(T.StructType.fromDDL(ASSOCIATIONS))
+    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.from_json("value", kind)).alias("position", "a")).select("position", "a.*")
+    listed = lambda name: F.array_sort(F.array_distinct(F.filter(F.flatten(F.transform("loci", lambda x: F.coalesce(x[name], F.array().cast("array<string>")))), lambda g: g.isNotNull())))
+    return rows.withColumns({"genes": listed("reportedGenes"), "risk_alleles": listed("riskAlleles")})
 
 
 def _exploded_map(spark: SparkSession, path: str, kind: str, key: str, value: str) -> DataFrame:
