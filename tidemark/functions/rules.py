@@ -37,7 +37,7 @@ def classify_phenotype(text: Column, label: Column, context: Column) -> Column:
 
 def perturbation_class(kind: Column, method: Column, table: dict[str, str]) -> Column:
     """The kind, else the methodology, through a table; else unspecified."""
-    return F.coalesce(lookup(table, F.lower(kind)), lookup(table, F.lower(method)), F.lit("unspecified"))
+    return F.coalesce(lookup(table, F.lower(F.trim(kind))), lookup(table, F.lower(F.trim(method))), F.lit("unspecified"))
 
 
 def cell_system(accession: Column, species: Column, category: Column, overrides: dict[str, str]) -> Column:

@@ -75,7 +75,8 @@ def composition(edges: DataFrame, best: DataFrame, measured: DataFrame | None, k
     if measured is not None:
         edges = edges.join(measured.select(*keys, F.col("entity").alias("src")).distinct(), [*keys, "src"], "left_anti")
     found = edges.join(best.select(*keys, F.col("entity").alias("dst"), "best_weight", "best_record", "best_date"), [*keys, "dst"])
-    found = found.withColumn("transferred", F.round(policy.COMPOSITION_DISCOUNT * F.col("best_weight"), 6))
+    share = F.col("best_weight").cast("decimal(18,6)") * F.lit(policy.COMPOSITION_DISCOUNT).cast("decimal(6,4)")  # exact, as weights have six places
+    found = found.withColumn("transferred", F.round(share, 6).cast("double"))
     pick = F.min_by(F.struct("dst", "transferred", "date", "best_record", "best_date"), F.struct(-F.col("transferred"), F.col("date"), F.col("id")))
     return found.groupBy(*keys, "src").agg(pick.alias("x")).select(*keys, F.col("src").alias("entity"), F.col("x.dst").alias("partner"), "x.transferred", "x.date", "x.best_record", "x.best_date")
 

@@ -37,6 +37,14 @@ def postdates_traps(established: DataFrame, counts: DataFrame, cutoff: str, most
     return out.filter((F.col("publications") < most_publications) & (F.col("measurements") == 0)).withColumn("answer", F.lit("refuse"))
 
 
+def plant(associations: DataFrame, established: DataFrame, effects: DataFrame, dated: DataFrame, counts: DataFrame, cutoff: str, most_p: float = policy.GENOME_WIDE, least_lines: int = 100, most_effect: float = policy.ESSENTIAL_EFFECT) -> DataFrame:
+    """The three families as one table: entity, kind, answer, and the record ids that the trap names (association only)."""
+    families = (("association", association_traps(associations, established, most_p)), ("essential", essential_traps(effects, least_lines, most=most_effect)), ("postdates_cutoff", postdates_traps(dated, counts, cutoff)))
+    none = F.array().cast("array<string>")
+    rows = [t.select("entity", F.lit(kind).alias("kind"), "answer", (F.col("records").cast("array<string>") if kind == "association" else none).alias("records")) for kind, t in families]
+    return rows[0].union(rows[1]).union(rows[2])
+
+
 def alias_probes(entities: DataFrame, each: int = 2) -> DataFrame:
     """The first ``each`` aliases, withdrawn symbols and informal names of every entity, as (name, expected)."""
     empty = F.array().cast("array<string>")

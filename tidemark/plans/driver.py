@@ -286,7 +286,7 @@ def w08(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("j14_composition", f"""WITH {_M}, best AS (SELECT entity, max(weight) AS best_weight FROM w WHERE assay <> 'A' GROUP BY entity), own AS (SELECT DISTINCT entity FROM m WHERE phenotype = 'PROMO'),
-  x AS (SELECT a.p_partkey AS entity, b.p_partkey AS partner, round(0.35 * best_weight, 6) AS transferred, row_number() OVER (PARTITION BY a.p_partkey ORDER BY round(0.35 * best_weight, 6) DESC, b.p_partkey) AS k
+  x AS (SELECT a.p_partkey AS entity, b.p_partkey AS partner, (35 * CAST(round(best_weight * 1000000) AS BIGINT) + 50) // 100 / 1000000.0 AS transferred, row_number() OVER (PARTITION BY a.p_partkey ORDER BY (35 * CAST(round(best_weight * 1000000) AS BIGINT) + 50) // 100 / 1000000.0 DESC, b.p_partkey) AS k
   FROM part a JOIN part b ON a.p_partkey // 4 = b.p_partkey // 4 AND a.p_partkey <> b.p_partkey JOIN best ON best.entity = b.p_partkey ANTI JOIN own ON own.entity = a.p_partkey)
 SELECT entity, partner, transferred FROM x WHERE k = 1""")
 def j14(spark: SparkSession, d: str) -> DataFrame:
@@ -558,10 +558,10 @@ _NEAREST = """v AS (SELECT vec_id AS id, list_transform(embedding, lambda x: CAS
   dense AS (SELECT query, id, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM c)"""
 
 
-@query("t06_bm25_top_k", f"WITH {_PHRASES} SELECT query, id, round(score, 4) AS score, rank FROM lexical WHERE rank <= 50")
+@query("t06_bm25_top_k", f"WITH {_PHRASES} SELECT query, id, score, rank FROM lexical WHERE rank <= 50")
 def t06(spark: SparkSession, d: str) -> DataFrame:
     titles = read(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("title"))
-    return longs(retrieval.bm25(titles, phrase_queries(spark, d)).withColumn("score", F.round("score", 4)), "rank")
+    return longs(retrieval.bm25(titles, phrase_queries(spark, d)), "rank")
 
 
 def phrase_queries(spark: SparkSession, d: str) -> DataFrame:
@@ -571,11 +571,10 @@ def phrase_queries(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "benchmark").select("item_id", F.explode(places).alias("x")).select((F.col("item_id") * 1_000_000 + F.col("x.i")).alias("query"), "x.phrase")
 
 
-@query("t07_cosine_top_k", f"WITH {_NEAREST} SELECT query, id, round(score, 4) AS score, rank FROM dense WHERE rank <= 50")
+@query("t07_cosine_top_k", f"WITH {_NEAREST} SELECT query, id, score, rank FROM dense WHERE rank <= 50")
 def t07(spark: SparkSession, d: str) -> DataFrame:
     v = read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    out = retrieval.cosine(v, v.filter("id % 50 = 0").withColumnRenamed("id", "query"))
-    return longs(out.withColumn("score", F.round("score", 4)), "rank")
+    return longs(retrieval.cosine(v, v.filter("id % 50 = 0").withColumnRenamed("id", "query")), "rank")
 
 
 @query("c17_hybrid_retrieval", f"""WITH {_PHRASES.replace('item_id * 1000000 + i AS query', '(item_id * 1000 + i) * 50 AS query')}, {_NEAREST},
@@ -615,9 +614,9 @@ def s17(spark: SparkSession, d: str) -> DataFrame:
     return out.select(F.col("l_orderkey").alias("record"), F.col("l_partkey").alias("first_part"), F.array_join("tiers", ",").alias("tiers"), F.size("genes").cast("long").alias("genes"))
 
 
-@query("s18_missing_references", "SELECT c_custkey AS id FROM customer ANTI JOIN orders ON o_custkey = c_custkey")
+@query("s18_missing_references", "SELECT c_custkey AS id FROM customer ANTI JOIN (SELECT * FROM orders WHERE o_orderstatus = 'P') ON o_custkey = c_custkey")
 def s18(spark: SparkSession, d: str) -> DataFrame:
-    return merge.missing_references(read(spark, d, "customer").select(F.col("c_custkey").alias("id")), read(spark, d, "orders").select(F.col("o_custkey").alias("id")), "id")
+    return merge.missing_references(read(spark, d, "customer").select(F.col("c_custkey").alias("id")), read(spark, d, "orders").filter("o_orderstatus = 'P'").select(F.col("o_custkey").alias("id")), "id")
 
 
 @query("s19_dedupe_first", "SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS k FROM orders) WHERE k = 1")

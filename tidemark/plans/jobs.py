@@ -40,14 +40,14 @@ def weigh_and_extract(measurements: DataFrame, phenotypes: DataFrame, publicatio
     by = [*keys, "entity"]
     kinds = phenotypes.select("phenotype", F.col("family").alias("trait_family"))
     rows = weigh.directness_of(measurements, phenotypes).join(kinds, "phenotype", "left")
-    weighed = weigh.weigh(rows, by, tables, uniform, p_most)
+    weighed = forecast.reliable(weigh.weigh(rows, by, tables, uniform, p_most))  # five rule kinds and the evidence read it
     own = F.col("trait_family") == "HBF"
     genetic = derive.genetic_rules(weighed.filter(F.col("assay") == association), by, p_most)
     essential = derive.essentiality_rules(weighed.filter("trait_family = 'FITNESS'"), by)
     functional = derive.functional_rules(weighed.filter(own & (F.col("assay") != association)), by)
     literature = derive.literature_rules(publications, by)
     best = derive.best_measurement(genetic, functional, by)
-    composed = derive.composition(edges, best, best, keys)
+    composed = forecast.reliable(derive.composition(edges, best, best, keys))
     none = lambda kind: F.lit(None).cast(kind)
     ids = F.col("record_ids").cast("array<string>").alias("record_ids")
 

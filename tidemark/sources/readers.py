@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -51,10 +51,11 @@ def write_snapshot(tables: dict[str, DataFrame], folder: str, scan) -> dict[str,
     return counts
 
 
-def verify_snapshot(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
-    """Files of the manifest (path, sha256) that are missing or differ, and which."""
+def verify_snapshot(spark: SparkSession, folder: str, manifest: DataFrame, name: Column | None = None) -> DataFrame:
+    """Files of the manifest (path, sha256) that are missing or differ, and which. ``name``: how a file is called there, from
+    its full ``path`` (the last part by default)."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    have = files.select(F.substring_index("path", "/", -1).alias("path"), F.sha2("content", 256).alias("found"))
+    have = files.select((F.substring_index("path", "/", -1) if name is None else name).alias("path"), F.sha2("content", 256).alias("found"))
     out = manifest.join(have, "path", "left")
     return out.withColumn("problem", F.when(F.col("found").isNull(), "missing").when(F.col("found") != F.col("sha256"), "differs")).filter("problem IS NOT NULL").select("path", "problem")
 
@@ -81,11 +82,11 @@ def read_screens(spark: SparkSession, glob: str) -> DataFrame:
     return spark.read.schema(SCREENS).option("multiLine", True).json(glob).filter("http_status = 200")
 
 
-def read_hits(spark: SparkSession, glob: str) -> DataFrame:
-    """Hit tables, the screen's id from the file name, the first file of each screen. Small files share tasks."""
-    schema = "screen string, IDENTIFIER_ID string, IDENTIFIER_TYPE string, OFFICIAL_SYMBOL string, ALIASES string, `SCORE.1` string, `SCORE.2` string, `SCORE.3` string, HIT string"
-    raw = spark.read.schema(schema).csv(glob, sep="\t", comment="#", enforceSchema=True)
-    named = raw.withColumns({"file": F.col("_metadata.file_name"), "screen_id": F.regexp_extract(F.col("_metadata.file_name"), r"SCREEN_(\d+)-", 1).cast("long")})
+def read_hits(spark: SparkSession, glob: str, number: str = r"SCREEN_(\d+)-", named_by: str = "_metadata.file_name") -> DataFrame:
+    """Hit tables, the screen's id from the file's name (or path), the first file of each screen. Small files share tasks."""
+    schema = "IDENTIFIER_NUMBER string, IDENTIFIER_ID string, IDENTIFIER_TYPE string, OFFICIAL_SYMBOL string, ALIASES string, `SCORE.1` string, `SCORE.2` string, `SCORE.3` string, HIT string"
+    raw = spark.read.schema(schema).option("recursiveFileLookup", "true").csv(glob, sep="\t", comment="#", enforceSchema=True)
+    named = raw.withColumns({"file": F.col(named_by), "screen_id": F.regexp_extract(F.col(named_by), number, 1).cast("long")})
     first = named.groupBy("screen_id").agg(F.min("file").alias("file"))
     return named.join(F.broadcast(first) if _few(first) else first, ["screen_id", "file"]).select("screen_id", "IDENTIFIER_ID", "IDENTIFIER_TYPE", "OFFICIAL_SYMBOL", F.split("ALIASES", r"\|").alias("aliases"), F.col("`SCORE.1`").alias("score_1"), F.col("`SCORE.2`").alias("score_2"), F.col("`SCORE.3`").alias("score_3"), (F.upper("HIT") == "YES").alias("hit"))
 

@@ -40,7 +40,7 @@ def findings_in(value, path: str) -> list[str]:
     return found
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def _json_findings(texts: pd.Series, paths: pd.Series) -> pd.Series:
     def one(text, path):
         try:
