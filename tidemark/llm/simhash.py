@@ -271,7 +271,12 @@ def linked(prints: DataFrame, radius: int = 3, slices: int = 2, bits: int = 32,
         whole, nodes = whole_of(frame), frame["node"].to_numpy(np.int64)
         found = list(stars(whole, slice_of(whole, int(frame["slice"].iloc[0])), frame["home"].to_numpy(bool), radius, inner))
         at = np.array(found, dtype=np.int64).reshape(-1, 2)
-        return pd.DataFrame({"a": nodes[at[:, 0]], "b": nodes[at[:, 1]]})
+        # A star's centre becomes its smallest node, so that shards which find the same group give the same links.
+        centres, star = np.unique(at[:, 0], return_inverse=True)
+        low = nodes[centres].copy()
+        np.minimum.at(low, star, nodes[at[:, 1]])
+        a, b = np.concatenate([low[star], low]), np.concatenate([nodes[at[:, 1]], nodes[centres]])
+        return pd.DataFrame({"a": a[a != b], "b": b[a != b]})
 
     schema = "node long, " + "".join(f"{c} long, " for c in lane_columns) + "band int, slice int, shard int, home boolean, cell long"
     return prints.mapInPandas(spread, schema).groupBy(*place, "cell").applyInPandas(search, "a long, b long").distinct()
