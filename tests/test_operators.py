@@ -145,7 +145,21 @@ def test_bootstrap(spark):
     units = lambda hits: spark.createDataFrame([("x", e, i + 1 if i < 6 else None, e in hits) for i, e in enumerate("ABCDEFGHZ")], "k string, unit string, rank int, hit boolean")
     first, again = (grade.bootstrap_intervals(units("A").repartition(n), ["k"], 500).first() for n in (1, 5))
     assert first == again and first["p_at_5_low"] == 0.0 and 0.4 <= first["p_at_5_high"] <= 0.8
-    assert list(grade.bootstrap_intervals(units("Z"), ["k"], 100).first())[1:] == [0.0] * 4
+    nothing = grade.bootstrap_intervals(units("Z"), ["k"], 100).first()
+    assert list(nothing)[1:5] == [0.0] * 4 and nothing["rate_low"] == 0.0 < nothing["rate_high"]
+    # the draws by hand: a drawn unit keeps its place in the ranking, once for each time it is drawn
+    hits, n, p5, rr, rate = "AD", 9, [], [], []
+    order = [*"ABCDEF", *"GHZ"]
+    for r in range(200):
+        drawn = [order[i] for i in grade._draws(42, r, n).tolist()]
+        ranked = sorted(x for x in drawn if x in "ABCDEF")
+        p5.append(sum(x in hits for x in ranked[:5]) / 5)
+        rr.append(next((1 / (i + 1) for i, x in enumerate(ranked) if x in hits), 0.0))
+        rate.append(sum(x in hits for x in drawn) / n)
+    got = grade.bootstrap_intervals(units(hits), ["k"], 200).first()
+    for values, name in ((p5, "p_at_5"), (rr, "reciprocal_rank"), (rate, "rate")):
+        values.sort()
+        assert (got[f"{name}_low"], got[f"{name}_high"]) == (pytest.approx(values[5], abs=1e-6), pytest.approx(values[194], abs=1e-6))
 
 
 def test_traps_and_citations(spark):
@@ -228,3 +242,52 @@ def test_trap_builders(spark):
     assert [r["entity"] for r in traps.association_traps(a, spark.createDataFrame([("B",)], "entity string")).collect()] == ["A"]
     effects = spark.range(200).select(F.lit("A").alias("entity"), F.lit(-1.2).alias("effect"))
     assert traps.essential_traps(effects).first()["essential_lines"] == 200
+
+
+def test_phenotypes_by_readout_and_exact_label(spark):
+    cases = [("HbF by F-cell and HPLC", "x", "", "f_cell"), ("fetal hemoglobin antibody", "x", "", "hbf_protein"), ("HBG2 RNA-Seq", "x", "", "hbg_mrna"), ("HbF", "viability", "", "hbg_reporter"), ("hbfoo protein", "Viability [a]", "", "cell_fitness"), ("", "essential growth", "", None), ("", "differentiation", "CD34+", "erythroid_differentiation"), ("CD34", "differentiation", "lung", None), ("", None, None, None)]
+    rows = spark.createDataFrame([c[:3] for c in cases], "body string, label string, context string")
+    assert [r[0] for r in rows.select(rules.classify_phenotype(F.col("body"), F.col("label"), F.col("context"))).collect()] == [c[3] for c in cases]
+
+
+def test_cell_systems(spark):
+    cases = [("CVCL_VI06", "Mus musculus", "Cancer cell line", "human_erythroid_progenitor_line"), ("x", "Mus musculus (Mouse)", "", "mouse_line"), ("x", "Danio rerio", "", "non_human_other"), ("x", "Homo sapiens", "Cancer cell line", "human_cancer_line"), ("x", "", "Transformed cell line", "human_immortalized_line"), ("x", None, "Embryonic stem cell", "primary_human_hspc"), ("x", "Homo sapiens", "Finite cell line", "primary_human_hspc"), ("x", None, None, "human_immortalized_line")]
+    rows = spark.createDataFrame([c[:3] for c in cases], "a string, s string, c string")
+    assert [r[0] for r in rows.select(rules.cell_system(F.col("a"), F.col("s"), F.col("c"), policy.KNOWN_SYSTEMS)).collect()] == [c[3] for c in cases]
+
+
+def test_scan_at_any_depth(spark):
+    long = "y" * 601
+    attrs = [json.dumps({"a": [{"b": {"Body-Text": None}}]}), json.dumps({"title": long, "caveat": long}), json.dumps({"xs": [long]}), "no json", None]
+    rows = spark.createDataFrame([(a, {"Snippet": "s", "k": long}, [("p", long)]) for a in attrs], "attrs string, m map<string,string>, boxes array<struct<pdf:string,note:string>>")
+    got = [r["findings"] for r in redistribution.scan(rows, ("attrs",)).collect()]
+    common = ["m.Snippet: forbidden field", "m.k: long text", "boxes[].pdf: forbidden field"]
+    assert [sorted(set(g) - set(common)) for g in got] == [["attrs.a[0].b.Body-Text: forbidden field"], ["attrs.title: long text"], [], ["attrs: not JSON"], []]
+    assert all(set(common) <= set(g) for g in got)
+
+
+def test_contamination_is_told_by_kind(spark):
+    rows = spark.createDataFrame([("c", "postdates_cutoff", True, False), ("c", "postdates_cutoff", True, True), ("c", "association", True, True), ("c", "essential", True, False), ("c", "association", False, False)], "cutoff string, kind string, passed boolean, vacuous boolean")
+    assert grade.trap_rollup(rows, ["cutoff"]).first().asDict() == {"cutoff": "c", "traps": 5, "passed": 4, "vacuous": 2, "meaningful": 2, "judgement_total": 3, "judgement": 1, "contamination_total": 2, "contamination": 2}
+
+
+def test_ranks_over_range_parts(spark):
+    items = spark.range(500).select((F.col("id") % 3).alias("k"), (F.col("id") * 37 % 11).alias("x"), "id")
+    got = {(r["k"], r["id"]): r["rank"] for r in forecast.ranked_by(items.repartition(7), ["k"], [F.desc("x"), F.col("id")], "rank").collect()}
+    for k in range(3):
+        order = sorted((i for i in range(500) if i % 3 == k), key=lambda i: (-(i * 37 % 11), i))
+        assert [got[k, i] for i in order] == list(range(1, len(order) + 1))
+
+
+def test_edges_visible_from_their_latest_end(toy):
+    nodes, edges = toy
+    cuts = ["2014-01-01", "2018-06-01", "2018-06-02"]
+    got = sorted((str(r["cutoff"]), r["id"]) for r in slices.visible_edges(nodes, edges, cuts).collect())
+    want = sorted((str(r["cutoff"]), r["id"]) for r in slices.drop_dangling(slices.asof(nodes, cuts), slices.asof(edges, cuts)).collect())
+    assert got == want
+
+
+def test_phrases_must_stand_side_by_side(spark):
+    titles = spark.createDataFrame([(1, "alpha beta gamma"), (2, "beta alpha, Alpha-Beta"), (3, "alpha x beta"), (4, None)], "id long, title string")
+    asked = spark.createDataFrame([("q", "Alpha beta"), ("none", "!!")], "query string, phrase string")
+    assert [(r["query"], r["id"]) for r in retrieval.bm25(titles, asked).orderBy("id").collect()] == [("q", 1), ("q", 2)]
