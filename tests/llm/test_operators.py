@@ -1,5 +1,6 @@
 """Small tests of every operator: edge cases, exact round trips, and brute-force versions."""
 
+import bisect
 import gzip
 import hashlib
 import io
@@ -450,27 +451,47 @@ def test_spliced_counts():
         assert tokens.spliced_count(t, encode, chunk=40, overlap=6) == len(encode(t).ids)
 
 
-def test_sweep_is_best_fit_decreasing():
-    for _ in range(100):
-        counts = {RNG.randint(1, 64): RNG.randint(1, 40) for _ in range(RNG.randint(1, 20))}
-        bins = defaultdict(list)
-        for s in packing.sweep(counts, 64):
-            for k in range(s.count):
-                bins[s.sequence + k].append((s.offset, s.length))
-        spaces = []
-        for n in sorted((n for n, c in counts.items() for _ in range(c)), reverse=True):
-            fit = [i for i, g in enumerate(spaces) if g >= n]
-            if fit:
-                spaces[min(fit, key=lambda i: spaces[i])] -= n
-            else:
-                spaces.append(64 - n)
-        assert len(bins) == len(spaces) and Counter(n for v in bins.values() for _, n in v) == Counter(counts)
-        for v in bins.values():
-            at = 0
-            for offset, n in sorted(v):
-                assert offset == at
-                at += n
-            assert at <= 64
+def best_fit_decreasing(counts, capacity):
+    """How many sequences the plain method opens, one piece after the other."""
+    spaces = []
+    for n in sorted((n for n, c in counts.items() for _ in range(c)), reverse=True):
+        i = bisect.bisect_left(spaces, n)
+        left = (spaces.pop(i) if i < len(spaces) else capacity) - n
+        bisect.insort(spaces, left)
+    return len(spaces)
+
+
+@pytest.mark.parametrize(
+    "capacity, counts",
+    [
+        (64, {RNG.randint(1, 64): RNG.randint(1, 40) for _ in range(20)}),
+        (64, {64: 3, 1: 5000}),
+        (64, {33: 50, 31: 50, 20: 7, 3: 400}),
+        (2048, {RNG.randint(1, 2048): 1 for _ in range(400)} | {1: 30000}),
+    ],
+)
+def test_rounds_pack_like_best_fit_decreasing(spark, capacity, counts):
+    steps = packing.rounds(spark.createDataFrame(list(counts.items()), "length int, n int"), capacity).collect()
+    bins, ranks = defaultdict(list), defaultdict(list)
+    for s in steps:
+        for i in range(s["count"]):
+            bins[s["first"] + i // s["each"]].append((s["offset"] + i % s["each"] * s["length"], s["length"]))
+            ranks[s["length"]].append(s["rank"] + i)
+    assert all(sorted(ranks[n]) == list(range(c)) for n, c in counts.items())
+    for v in bins.values():
+        at = 0
+        for offset, n in sorted(v):
+            assert offset == at
+            at += n
+        assert at <= capacity
+    assert sorted(bins) == list(range(len(bins))) and len(bins) <= 1.005 * best_fit_decreasing(counts, capacity)
+
+
+def test_rounds_bounds(spark):
+    assert packing.rounds(spark.createDataFrame([], "length int, n long")).count() == 0
+    for length in (0, 2049):
+        with pytest.raises(ValueError):
+            packing.rounds(spark.createDataFrame([(length, 1)], "length int, n long"))
 
 
 def test_pack(docs, none):
