@@ -72,6 +72,7 @@ def classes(capacity: int) -> list[tuple[int, int]]:
     return out
 
 
+COMPILED = "spark.sql.codegen.wholeStage"
 STATE = "kind string, first long, n long, space long, length long, rank long, count long, each long, offset long"
 
 
@@ -146,12 +147,17 @@ def rounds(lengths: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         raise ValueError("a piece's length must lie between 1 and the capacity")
     state, opened = spark.createDataFrame([], STATE), 0
     done = [state]
-    for low, high in classes(capacity):
-        if most is not None and low < most and high >= least:
-            gaps = state.filter("kind = 'gap'").select("first", "n", "space")
-            state = durable(one_round(lengths, gaps, low, high, opened, capacity))
-            opened = max(opened, state.agg(F.max(F.col("first") + F.col("n"))).first()[0] or 0)
-            done.append(state)
+    compiled = spark.conf.get(COMPILED)
+    spark.conf.set(COMPILED, "false")  # a round has few rows: its code would fill the driver's memory and save nothing
+    try:
+        for low, high in classes(capacity):
+            if most is not None and low < most and high >= least:
+                gaps = state.filter("kind = 'gap'").select("first", "n", "space")
+                state = durable(one_round(lengths, gaps, low, high, opened, capacity))
+                opened = max(opened, state.agg(F.max(F.col("first") + F.col("n"))).first()[0] or 0)
+                done.append(state)
+    finally:
+        spark.conf.set(COMPILED, compiled)
     steps = [d.filter("kind = 'step'").select("length", "rank", "count", "each", "first", "offset") for d in done]
     return reduce(DataFrame.unionByName, steps)
 
