@@ -37,6 +37,13 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, read back with its schema: computed once, whoever reads it."""
+    path = shared_folder(df.sparkSession, "stored")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def words(text: Column) -> Column:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a text as an array; null and blank texts have none."""
     bare = F.btrim(text, F.lit(WHITE))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, minhash, mixing, packing, quality, simhash, tokens, toxicity, urls, warc
+from tidemark.llm import chat, minhash, mixing, negatives, packing, phrases, positives, quality, simhash, tokens, toxicity, urls, warc
 from tidemark.llm.common import table
 
 
@@ -85,6 +85,21 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
 
 
+def op11_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.report(table(spark, sf_dir, "documents"))
+
+
+def op12_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    measures = positives.measures_of(table(spark, sf_dir, "documents"))
+    out = positives.score(measures, positives.train(measures, table(spark, sf_dir, "labels")))
+    return out.select("doc_id", positives.held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= positives.BAR, 1).otherwise(0).alias("predicted"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, F.pmod(F.col("label") + 1, F.lit(10))).otherwise(F.col("label"))
+    return negatives.mine(table(spark, sf_dir, "embeddings"), anchors=F.col("vec_id") % 50 == 0, label=label)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_warc_packages": op2_warc_packages,
@@ -96,8 +111,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity_cnn": op8_toxicity_cnn,
     "op9_minhash_fingerprints": op9_minhash_fingerprints,
     "op10_url_filter": op10_url_filter,
+    "op11_phrase_mining": op11_phrase_mining,
+    "op12_quality_pu": op12_quality_pu,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 _WORD = r"[^\x20\x09-\x0D]+"
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _STOP = ", ".join(f"'{w}'" for w in dict.fromkeys(quality.STOP_WORDS))
 
 ORACLE: dict[str, str] = {
@@ -132,4 +151,25 @@ WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '')
   f AS (SELECT *, length(replace(replace(replace(role, '\', '\e'), '<', '\l'), '>', '\g')) + length(replace(replace(text, '\', '\e'), '<', '\l')) + 16 AS chars FROM c),
   g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS turns, coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '') AS loss, CAST(sum(chars) AS BIGINT) AS formatted_chars FROM f GROUP BY conv_id)
 SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM g""",
+    "op11_phrase_mining": rf"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(unnest(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w FROM documents),
+  g AS (SELECT lang, k, w[i:i + k - 1] AS w FROM (SELECT lang, k, w, unnest(range(1, len(w) - k + 2)) AS i FROM p, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE len(w) >= k)),
+  f AS (SELECT lang, k, w, count(*) AS a FROM g GROUP BY ALL),
+  t AS (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+  c AS (SELECT * FROM f WHERE k > 1 AND a >= 30),
+  inside AS (SELECT lang, w, max(b) AS b FROM (SELECT lang, w[i:j] AS w, a AS b FROM (SELECT lang, w, k, a, i, unnest(range(i + 1, k + 1)) AS j FROM (SELECT *, unnest(range(1, k)) AS i FROM c)) WHERE j - i + 1 < k) GROUP BY ALL),
+  cuts AS (SELECT c.lang, c.k, c.w, c.a, j, l.a AS l, r.a AS r, CAST(2000000::HUGEINT * c.a // (l.a + r.a) AS BIGINT) AS score
+    FROM (SELECT *, unnest(range(1, k)) AS j FROM c) c JOIN f l ON l.lang = c.lang AND l.w = c.w[:j] JOIN f r ON r.lang = c.lang AND r.w = c.w[j + 1:]),
+  lowest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, w ORDER BY score, j) = 1),
+  kept AS (SELECT lowest.* FROM lowest LEFT JOIN inside USING (lang, w) WHERE b IS NULL OR 100 * b < 80 * a),
+  ranked AS (SELECT *, array_to_string(w, ' ') AS phrase, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(array_to_string(w, ' '))) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN t USING (lang) WHERE rank <= 2000""",
+    "op13_hard_negatives": """
+WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+    FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+  s AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score FROM e a, e b WHERE a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+  p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+  n AS (SELECT p.anchor_id, p.vec_id AS positive_id, p.score AS positive_score, s.vec_id AS negative_id, s.score AS negative_score, row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY s.score DESC, s.vec_id) AS rank
+    FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3""",
 }
