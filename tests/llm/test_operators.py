@@ -484,14 +484,22 @@ def test_rounds_pack_like_best_fit_decreasing(spark, capacity, counts):
             assert offset == at
             at += n
         assert at <= capacity
-    assert sorted(bins) == list(range(len(bins))) and len(bins) <= 1.005 * best_fit_decreasing(counts, capacity)
+    assert sorted(bins) == list(range(len(bins))) and len(bins) == best_fit_decreasing(counts, capacity)
 
 
 def test_rounds_bounds(spark):
     assert packing.rounds(spark.createDataFrame([], "length int, n long")).count() == 0
     for length in (0, 2049):
-        with pytest.raises(ValueError):
-            packing.rounds(spark.createDataFrame([(length, 1)], "length int, n long"))
+        with pytest.raises(Exception, match="between 1 and the capacity"):
+            packing.rounds(spark.createDataFrame([(length, 1)], "length int, n long")).collect()
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_documents_need_as_many_sequences_as_best_fit_decreasing(spark, sf):
+    pieces = packing.cut(spark.read.parquet(f"/root/testdata/{sf}/documents.parquet"), BYTE)
+    extra = {c: F.lit(1) for c in ("part", "place", "rank", "_part", "b_part", "b_length", "at_part", "begin", "n", "l", "p")}
+    rows = packing.pack(pieces.withColumns(extra)).select("length", "sequence_id").collect()
+    assert len({r["sequence_id"] for r in rows}) == best_fit_decreasing(Counter(r["length"] for r in rows), 2048)
 
 
 def test_pack(docs, none):
@@ -514,7 +522,7 @@ def test_pack(docs, none):
             assert offset == at
             at += n
         assert at <= 2048
-    assert len(places) <= sum(r["length"] for r in rows) / 2048 * 1.1 + 1
+    assert len(places) == best_fit_decreasing(Counter(r["length"] for r in rows), 2048)
     built = {r["sequence_id"]: r for r in packing.sequences(docs.sparkSession.createDataFrame(rows)).collect()}
     assert all(len(built[k]["ids"]) == 4 * sum(n for _, n in v) for k, v in places.items())
     assert packing.pack(packing.cut(none, BYTE)).count() == 0

@@ -1,29 +1,28 @@
 """Packing tokenised documents into sequences, best fit first, in bulk-synchronous rounds.
 
 ``cut`` encodes documents and cuts those over the capacity into full pieces, the first of which may be shorter.
-``pack`` places pieces. They are range-sorted by length and ranked within it; since lengths are whole numbers up to the
-capacity, they are at most ``capacity`` runs of equal length, and gaps are runs of sequences with equal space. Both are
-DataFrames whose size the capacity bounds, so a round is one small job whatever the input's size. ``rounds`` deals with one
-class of lengths after the other, longest first. A round
-  1. range-sorts the class's pieces and all gaps by size, each gap once for every piece of the class that it surely holds;
-  2. sweeps for successors: a piece's place is the smallest gap of at least its length that shorter ones leave (a running
-     maximum over running counts);
-  3. settles conflicts by rank: where more pieces want gaps than there are, as many sequences are opened as are missing
-     (a running count against another), and a run that several want is dealt out by rank;
+``pack`` places pieces. They are range-sorted by length and ranked within it, over the whole cluster. Lengths are whole
+numbers up to the capacity, so the pieces are at most ``capacity`` runs of equal length, and gaps are at most three times
+as many runs of sequences with equal space: that bounds what the rounds work on, whatever the input's size, and one job
+takes all of them. A round
+  1. takes the longest run of pieces that is left and the gaps, sorted by space;
+  2. sweeps for successors: the pieces' place is the smallest gap of at least their length, then the next one;
+  3. settles conflicts by rank: a run of gaps takes as many pieces as it holds, in their order, and the rest moves on to
+     the next gap; where no gap is left, sequences are opened;
   4. updates the gaps, for the next round to start from.
-Every piece then finds its sequence and offset by its length and rank, in parallel.
+Every piece then finds its sequence and offset by its length and rank, in parallel. The number of sequences is that of
+best fit decreasing, one piece after the other: pieces of one length fill the smallest gap that holds them until they
+don't fit any more, which is what a round does.
 
-Within a class new sequences hold as many of its pieces as any could, so the result differs from best fit decreasing only
-where a gap holds one piece more of a class than the class's longest allows. Null texts count as empty (one end token).
-Repeated rows and equal lengths are ranked by doc_id and piece; which of two equal rows comes first has no effect on the
-number of sequences. Empty tables give an empty result.
+Null texts count as empty (one end token). Repeated rows and equal lengths are ranked by doc_id and piece; which of two
+equal rows comes first has no effect on the number of sequences. Empty tables give an empty result. Other columns may have
+any names but sequence_id and offset, which are replaced.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -31,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import durable, require
+from tidemark.llm.common import durable, fresh, require, stored
 from tidemark.llm.tokens import _bytes, encode_all
 
 CAPACITY, END = 2048, 0
@@ -62,132 +61,93 @@ def cut(documents: DataFrame, path: str, capacity: int = CAPACITY, with_ids: boo
     return out if with_ids else out.drop("ids")
 
 
-def classes(capacity: int) -> list[tuple[int, int]]:
-    """Classes of lengths (low, high], longest first: those of which a sequence holds equally many, for short ones a ratio."""
-    out, high = [], capacity
-    while high:
-        low = min(capacity // (capacity // high + 1), int(0.85 * high), high - 1)
-        out.append((low, high))
-        high = low
-    return out
-
-
-COMPILED = "spark.sql.codegen.wholeStage"
-STATE = "kind string, first long, n long, space long, length long, rank long, count long, each long, offset long"
-
-
-#: One round. Rows of ``items`` are runs of pieces (piece = 1) or of gaps (piece = 0); the last branch is the run of new sequences.
-ROUND = """
-WITH items AS (
-  SELECT length AS size, 1 AS piece, length, n AS pieces, 0L AS first, 0L AS n, 0L AS holds FROM {lengths} WHERE length > :low AND length <= :high
-  UNION ALL SELECT space, 0, NULL, 0L, first, n, greatest(space div :high, 1L) FROM {gaps} WHERE space > :low
-  UNION ALL SELECT bigint(:capacity), 0, NULL, 0L, bigint(:opened), 0L, :capacity div :high),
--- conflicts: going down in length, as many sequences are missing as pieces outnumber the gaps that hold them
-counted AS (
-  SELECT *, sum(pieces - n * holds) OVER (ORDER BY size DESC, piece, first ROWS UNBOUNDED PRECEDING) AS missing
-  FROM (SELECT /*+ COALESCE(1) */ * FROM items)),
-enough AS (
-  SELECT size, piece, length, pieces, first, holds, IF(piece = 0 AND first = :opened, (greatest(short, 0L) + holds - 1) div holds, n) AS n
-  FROM (SELECT *, max(IF(piece = 1, missing, NULL)) OVER () AS short FROM counted)),
--- successors: going up, a run of pieces starts after the gaps too small for it and after shorter pieces
-running AS (
-  SELECT *, (sum(n * holds) OVER up) - n * holds AS s, (sum(pieces) OVER up) - pieces AS p FROM enough WHERE piece = 1 OR n > 0
-  WINDOW up AS (ORDER BY size, piece DESC, first ROWS UNBOUNDED PRECEDING)),
-begun AS (
-  SELECT *, IF(piece = 1, p + max(IF(piece = 1, s - p, NULL)) OVER (ORDER BY size, piece DESC, first ROWS UNBOUNDED PRECEDING), s) AS begin FROM running),
--- both kinds are intervals of one line now, which is cut at every begin
-line AS (
-  SELECT begin AS a, lead(begin) OVER (ORDER BY begin, piece) AS next,
-    last(IF(piece = 1, struct(begin, length, begin + pieces AS stop), NULL), true) OVER upto AS d,
-    last(IF(piece = 0, struct(begin, first, holds, size, begin + n * holds AS stop), NULL), true) OVER upto AS g
-  FROM begun WINDOW upto AS (ORDER BY begin, piece ROWS UNBOUNDED PRECEDING)),
-met AS (
-  SELECT *, least(m, (k - q % k) % k) AS head FROM (
-    SELECT g.first, g.size AS space, g.holds AS k, d.length, a - d.begin AS rank, a - g.begin AS q, least(next, d.stop, g.stop) - a AS m
-    FROM line WHERE d IS NOT NULL AND g IS NOT NULL) WHERE m > 0),
--- a sequence that a meeting starts or ends within stands alone, the whole ones between stay together
-parts AS (
-  SELECT first, space, length, j, n, each, rank + skip AS rank, each * length AS tokens, q + skip AS q
-  FROM met LATERAL VIEW stack(3,
-    q div k, 1L, head, 0L,
-    (q + head) div k, (m - head) div k, k, head,
-    (q + head) div k + (m - head) div k, 1L, (m - head) % k, head + (m - head) div k * k) t AS j, n, each, skip
-  WHERE n > 0 AND each > 0),
-sums AS (
-  SELECT *, sum(tokens) OVER (PARTITION BY first, j ORDER BY q ROWS UNBOUNDED PRECEDING) AS sofar, sum(tokens) OVER (PARTITION BY first, j) AS total FROM parts),
-used AS (
-  SELECT first, max(n) AS n, max(space) AS space, max(used) AS used
-  FROM (SELECT /*+ COALESCE(1) */ * FROM (
-    SELECT first, n, space, 0L AS used FROM {gaps} UNION ALL SELECT first, NULL, NULL, (q + m + k - 1) div k FROM met))
-  GROUP BY first)
-SELECT /*+ COALESCE(1) */ * FROM (
-  SELECT t.* FROM sums LATERAL VIEW stack(2,
-    'step', first + j, n, 0L, length, rank, each * n, each, :capacity - space + sofar - tokens,
-    'gap', first + j, IF(sofar = total, n, 0L), space - total, NULL, NULL, NULL, NULL, NULL) t AS kind, first, n, space, length, rank, count, each, offset
-  WHERE t.n > 0 AND (t.kind = 'step' OR t.space > 0)
-  UNION ALL
-  SELECT 'gap', first + used, n - used, space, NULL, NULL, NULL, NULL, NULL FROM used WHERE n > used)
-"""
+STEPS = "length long, rank long, count long, each long, first long, offset long"
+
+
+class Gaps:
+    """Runs of sequences with equal space: by space, the first sequence's number and how many follow it."""
+
+    def __init__(self, capacity: int):
+        self.capacity, self.opened = capacity, 0
+        self.runs: list[list[tuple[int, int]]] = [[] for _ in range(capacity + 1)]
+
+    def put(self, space: int, first: int, n: int) -> None:
+        if n:
+            self.runs[space].append((first, n))
+
+    def round(self, length: int, pieces: int) -> Iterator[tuple[int, ...]]:
+        """Place ``pieces`` of a length: rows of STEPS. ``count`` pieces from ``rank`` on go, ``each`` per sequence and
+        side by side from ``offset`` on, to the sequences from ``first`` on."""
+        rank = 0
+        for space in range(length, self.capacity + 1):
+            while self.runs[space] and rank < pieces:
+                for step in self.fill(space, *self.runs[space].pop(), length, rank, pieces - rank):
+                    rank += step[2]
+                    yield step
+            if rank == pieces:
+                return
+        n = -(-(pieces - rank) // (self.capacity // length))
+        self.opened += n
+        yield from self.fill(self.capacity, self.opened - n, n, length, rank, pieces - rank)
+
+    def fill(self, space: int, first: int, n: int, length: int, rank: int, wanted: int) -> Iterator[tuple[int, ...]]:
+        holds = space // length
+        whole, rest = divmod(min(wanted, n * holds), holds)
+        offset = self.capacity - space
+        if whole:
+            yield length, rank, whole * holds, holds, first, offset
+            self.put(space - holds * length, first, whole)
+        if rest:
+            yield length, rank + whole * holds, rest, rest, first + whole, offset
+            self.put(space - rest * length, first + whole, 1)
+        used = whole + (rest > 0)
+        self.put(space, first + used, n - used)
 
 
-def one_round(lengths: DataFrame, gaps: DataFrame, low: int, high: int, opened: int, capacity: int) -> DataFrame:
-    """A round for lengths (low, high]. ``lengths``: length, n. ``gaps``: first, n, space: ``n`` sequences from ``first`` on
-    with equal space. Gives rows of STATE: the gaps after it, and steps: ``count`` pieces of a length from ``rank`` on go,
-    ``each`` per sequence and side by side from ``offset`` on, to sequences from ``first`` on."""
-    args = {"low": low, "high": high, "opened": opened, "capacity": capacity}
-    return lengths.sparkSession.sql(ROUND, args=args, lengths=lengths, gaps=gaps)
+def rounds(lengths: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """All rounds over ``lengths`` (length, n; a row per length), longest first. Gives the steps: length, rank, count, each,
+    first, offset."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = dict(r for b in batches for r in zip(b.column("length").to_pylist(), b.column("n").to_pylist()))
+        if counts and not 1 <= min(counts) <= max(counts) <= capacity:
+            raise ValueError("a piece's length must lie between 1 and the capacity")
+        gaps = Gaps(capacity)
+        for length in sorted(counts, reverse=True):
+            columns = list(zip(*gaps.round(length, counts[length])))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=[x.split()[0] for x in STEPS.split(", ")])
 
-def rounds(lengths: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """All rounds over ``lengths`` (length, n). Gives the steps: length, rank, count, each, first, offset."""
-    spark = lengths.sparkSession
-    lengths = durable(lengths.select(F.col("length").cast("long").alias("length"), F.col("n").cast("long").alias("n")).coalesce(1))
-    least, most = lengths.agg(F.min("length"), F.max("length")).first()
-    if most is not None and not 1 <= least <= most <= capacity:
-        raise ValueError("a piece's length must lie between 1 and the capacity")
-    state, opened = spark.createDataFrame([], STATE), 0
-    done = [state]
-    compiled = spark.conf.get(COMPILED)
-    spark.conf.set(COMPILED, "false")  # a round has few rows: its code would fill the driver's memory and save nothing
-    try:
-        for low, high in classes(capacity):
-            if most is not None and low < most and high >= least:
-                gaps = state.filter("kind = 'gap'").select("first", "n", "space")
-                state = durable(one_round(lengths, gaps, low, high, opened, capacity))
-                opened = max(opened, state.agg(F.max(F.col("first") + F.col("n"))).first()[0] or 0)
-                done.append(state)
-    finally:
-        spark.conf.set(COMPILED, compiled)
-    steps = [d.filter("kind = 'step'").select("length", "rank", "count", "each", "first", "offset") for d in done]
-    return reduce(DataFrame.unionByName, steps)
+    # at most ``capacity`` rows, which one task takes; they are counted before that, by many
+    counted = stored(lengths.select(F.col("length").cast("long").alias("length"), F.col("n").cast("long").alias("n")).filter("n > 0"))
+    return counted.coalesce(1).mapInArrow(run, STEPS)
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``pieces`` (any columns; doc_id, piece and length are used) with sequence_id and offset."""
-    pieces = durable(pieces)
-    order = ["length", "doc_id", "piece"]
-    ranged = durable(pieces.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
-    sums = ranged.groupBy("_part", "length").count()
-    steps = rounds(sums.groupBy("length").agg(F.sum("count").alias("n")), capacity)
-    begin = Window.partitionBy("length").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    begins = sums.select(F.col("_part").alias("b_part"), F.col("length").alias("b_length"), F.coalesce(F.sum("count").over(begin), F.lit(0)).alias("b_rank"))
-    place = F.row_number().over(Window.partitionBy("_part", "length").orderBy("doc_id", "piece")) - 1
-    ranked = ranged.withColumn("_place", place).join(begins, (F.col("_part") == F.col("b_part")) & (F.col("length") == F.col("b_length")))
-    ranked = ranked.withColumn("_rank", F.col("_place") + F.col("b_rank")).drop("_part", "_place", "b_part", "b_length", "b_rank")
+    pieces = pieces.drop("sequence_id", "offset")
+    part, place, rank = (fresh(pieces, name) for name in ("part", "place", "rank"))
+    ranged = durable(pieces.repartitionByRange("length", "doc_id", "piece").withColumn(part, F.spark_partition_id()))
+    sums = stored(ranged.groupBy(F.col(part).alias("p"), F.col("length").cast("long").alias("l")).agg(F.count("*").alias("n")))
+    steps = rounds(sums.groupBy(F.col("l").alias("length")).agg(F.sum("n").alias("n")), capacity)
+    before = Window.partitionBy("l").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
+    begins = sums.select(F.col("p").alias(fresh(ranged, "at_part")), F.col("l").alias(fresh(ranged, "at_length")), F.coalesce(F.sum("n").over(before), F.lit(0)).alias(fresh(ranged, "begin")))
+    at_part, at_length, begin = begins.columns
+    numbered = ranged.withColumn(place, F.row_number().over(Window.partitionBy(part, "length").orderBy("doc_id", "piece")) - 1)
+    ranked = numbered.join(begins, (F.col(f"`{part}`") == F.col(at_part)) & (F.col("length") == F.col(at_length))).withColumn(rank, F.col(f"`{place}`") + F.col(begin))
     names = ["length", "rank", "each", "first", "offset"]
     found = np.array(sorted(tuple(r[k] for k in names) for r in steps.collect()), dtype=np.int64).reshape(-1, 5)
     plan = pieces.sparkSession.sparkContext.broadcast(found)  # bounded by the capacity alone
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        length, rank, each, first, offset = plan.value.T
+        length, start, each, first, offset = plan.value.T
         for b in batches:
-            n, r = b["length"].to_numpy(np.int64), b["_rank"].to_numpy(np.int64)
-            at = np.searchsorted((length << 48) + rank, (n << 48) + r, side="right") - 1
-            i = r - rank[at]
-            yield b.drop(columns="_rank").assign(sequence_id=first[at] + i // each[at], offset=offset[at] + i % each[at] * n)
+            n, r = b["length"].to_numpy(np.int64), b[rank].to_numpy(np.int64)
+            at = np.searchsorted((length << 48) + start, (n << 48) + r, side="right") - 1
+            i = r - start[at]
+            yield b.drop(columns=rank).assign(sequence_id=first[at] + i // each[at], offset=offset[at] + i % each[at] * n)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
-    return ranked.select(*pieces.columns, "_rank").mapInPandas(run, f"{schema}, sequence_id long, offset long")
+    return ranked.select(*[f"`{c}`" for c in pieces.columns], f"`{rank}`").mapInPandas(run, f"{schema}, sequence_id long, offset long")
 
 
 def sequences(packed: DataFrame) -> DataFrame:

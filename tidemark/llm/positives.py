@@ -125,7 +125,7 @@ class Model:
     steep: float = 1.0
 
     def response(self, measures: np.ndarray) -> np.ndarray:
-        return spread(measures) @ self.weights
+        return (spread(measures) * self.weights).sum(axis=1)  # row by row, so that equal rows get equal scores
 
     def score(self, measures: np.ndarray) -> np.ndarray:
         z = self.steep * (self.response(measures) - self.centre) + np.log(BAR / (1 - BAR))
@@ -157,8 +157,8 @@ def risk(w: np.ndarray, positive: Moments, unlabelled: Moments, prior: float) ->
 
 def minimise(positive: Moments, unlabelled: Moments, prior: float) -> np.ndarray:
     """Weights of the smallest non-negative risk met. Steps follow the plain risk while the negatives' part is 0 or more,
-    and climb back along that part where it isn't; the unlabelled rows' second moments scale them."""
-    metric = inverse(unlabelled.second / 2 + RIDGE * np.eye(WIDTH))
+    and climb back along that part where it isn't; the second moments of both sets scale them."""
+    metric = inverse((unlabelled.second + prior * positive.second) / 2 + RIDGE * np.eye(WIDTH))
     w, best = np.zeros(WIDTH), (np.inf, np.zeros(WIDTH))
     for _ in range(STEPS):
         kept, rest = risk(w, positive, unlabelled, prior)
