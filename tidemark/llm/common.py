@@ -37,11 +37,20 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder, read back with its schema: computed once, whoever reads it."""
+def stored(df: DataFrame, session: SparkSession | None = None) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, read back (by ``session``): computed once, whoever reads it."""
     path = shared_folder(df.sparkSession, "stored")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return (session or df.sparkSession).read.schema(df.schema).parquet(path)
+
+
+def session_with(spark: SparkSession, **settings: str) -> SparkSession:
+    """A session of its own with the settings of ``spark`` and some others, which the caller's session never sees."""
+    own = spark.newSession()
+    for name, value in {**dict(spark.conf.getAll), **settings}.items():
+        if own.conf.isModifiable(name):
+            own.conf.set(name, value)
+    return own
 
 
 def words(text: Column) -> Column:

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import require, shared_folder, stored
+from tidemark.llm.common import require, session_with, shared_folder, stored
 from tidemark.llm.tokens import _bytes
 
 #: A group counts as frequent from so many occurrences on; phrases have at most so many words.
@@ -162,14 +162,16 @@ def mine(documents: DataFrame, least: int = LEAST, longest: int = LONGEST) -> tu
     """Words (lang, word, n) and candidate phrases: lang, k, phrase, a, pre, suf, longer. ``pre`` and ``suf`` are the
     counts of both sides for every cut, ``longer`` the largest count of a candidate that has one word more and holds it."""
     spark = documents.sparkSession
+    # Buckets by document serve a join by document and position: its own session says so, the caller's stays as it is.
+    own = session_with(spark, **{"spark.sql.requireAllClusterKeysForCoPartition": "false"})
     texts = require(documents, "lang", "text").withColumn("lang", F.coalesce("lang", F.lit("und")))
     for seed in itertools.count():
         words = stored(count_words(texts, seed))
         if words.filter("shared").isEmpty():
             break
-    frequent = numbered(words.filter(F.col("n") >= least).select("key", "lang", "word", "n"), "id")
+    frequent = stored(numbered(words.filter(F.col("n") >= least).select("key", "lang", "word", "n"), "id"))
     n_groups, total = frequent.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    relations = Relations(spark)
+    relations = Relations(own)
     try:
         placed = texts.withColumn("doc", F.monotonically_increasing_id()).repartition(relations.buckets, "doc")
         relation = relations.write(occurrences(placed, seed).join(small(frequent.select("key", "id"), n_groups), "key").select("doc", "pos", "id"))
@@ -182,13 +184,13 @@ def mine(documents: DataFrame, least: int = LEAST, longest: int = LONGEST) -> tu
             left = relation.select("doc", (F.col("pos") + 1).alias("next"), "pos", F.col("id").alias("l"))
             right = relation.select(F.col("doc").alias("r_doc"), F.col("pos").alias("r_pos"), F.col("id").alias("r"))
             pairs = left.join(right.hint("merge"), (F.col("doc") == F.col("r_doc")) & (F.col("next") == F.col("r_pos"))).select("doc", "pos", "l", "r")
-            counted = numbered(pairs.groupBy("l", "r").agg(F.count("*").alias("a")).filter(F.col("a") >= least), "id")
+            counted = stored(numbered(pairs.groupBy("l", "r").agg(F.count("*").alias("a")).filter(F.col("a") >= least), "id"))
             n_groups = counted.count()
-            groups.append(stored(describe(counted, groups[-1], k)))
-            ends.append(counted)
             if k < longest:
                 kept = small(counted.select("l", "r", "id"), n_groups)
                 relation = relations.write(pairs.join(kept, ["l", "r"]).select("doc", "pos", "id"))
+            ends.append(stored(counted, spark))
+            groups.append(stored(describe(ends[-1], groups[-1], k)))
     finally:
         relations.close()
     found = None
