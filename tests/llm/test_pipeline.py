@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from tests.llm.test_operators import text_of
 
@@ -30,5 +32,9 @@ def test_stages(spark, tmp_path):
     assert ids["mixing to target weights"] <= ids["simhash near-dedup"]
     assert ids["best-fit packing"] == ids["mixing to target weights"]
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(seen[names[-1]])
+    more = {c: F.lit(7) for c in ("digest", "stay_digest", "stay_id", "stay_copies", "part", "rank", "place", "b_part", "measures", "size")}
+    for name, stage in corpus_pipeline.STAGES[:3]:  # clashing names change nothing
+        before = docs if name == names[0] else spark.read.parquet(str(tmp_path / names[names.index(name) - 1]))
+        assert {r["doc_id"] for r in stage(spark, before.withColumns(more), str(tmp_path)).collect()} == ids[name]
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0

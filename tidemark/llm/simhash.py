@@ -514,7 +514,9 @@ def one_of_each(documents: DataFrame) -> DataFrame:
     numbered = documents.withColumn(digest, F.md5(F.coalesce(F.col("`text`"), F.lit(""))))
 
     def those(which: DataFrame) -> DataFrame:
-        return numbered.join(which, (F.col(f"`{digest}`") == F.col("stay_digest")) & F.col("`doc_id`").eqNullSafe(F.col("stay_id")), "left_semi")
+        one, two = fresh(numbered, "stay_digest"), fresh(numbered, "stay_id")
+        which = which.select(F.col("stay_digest").alias(one), F.col("stay_id").alias(two))
+        return numbered.join(which, (F.col(f"`{digest}`") == F.col(one)) & F.col("`doc_id`").eqNullSafe(F.col(two)), "left_semi")
 
     once = those(stay.filter("stay_copies = 1")).drop(digest)
     if (repeated := stay.filter("stay_copies > 1")).isEmpty():
