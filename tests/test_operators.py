@@ -3,6 +3,7 @@
 import datetime
 import json
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from tidemark import policy
 from tidemark.functions import rules, scalars, text
 from tidemark.operators import derive, forecast, grade, graph, ledger, merge, resolve, retrieval, slices, traps, weigh
 from tidemark.sources import readers, redistribution
+from tidemark.sources.documents import read_elements
 
 D = datetime.date
 
@@ -151,7 +153,7 @@ def test_bootstrap(spark):
     hits, n, p5, rr, rate = "AD", 9, [], [], []
     order = [*"ABCDEF", *"GHZ"]
     for r in range(200):
-        drawn = [order[i] for i in grade._draws(42, r, n).tolist()]
+        drawn = [order[i] for i in grade.drawn_of(42, r, n, 0).tolist()]
         ranked = sorted(x for x in drawn if x in "ABCDEF")
         p5.append(sum(x in hits for x in ranked[:5]) / 5)
         rr.append(next((1 / (i + 1) for i, x in enumerate(ranked) if x in hits), 0.0))
@@ -162,6 +164,78 @@ def test_bootstrap(spark):
         assert (got[f"{name}_low"], got[f"{name}_high"]) == (pytest.approx(values[5], abs=1e-6), pytest.approx(values[194], abs=1e-6))
 
 
+def test_bootstrap_of_many_chunks(spark):
+    n, resamples = 3 * grade.SLOTS + 5, 40
+    units = spark.range(n).select(F.lit("x").alias("k"), F.col("id").alias("unit"), F.when(F.col("id") < n - 9000, F.col("id") + 1).alias("rank"), (F.col("id") % 7 == 4).alias("hit"))
+    first, again = (grade.bootstrap_intervals(units.repartition(m), ["k"], resamples).first() for m in (2, 7))
+    assert first == again
+    p5, rr, rate, chunks = [], [], [], -(-n // grade.SLOTS)
+    for r in range(resamples):
+        drawn = [c * grade.SLOTS + i for c in range(chunks) for i in grade.drawn_of(42, r, n, c).tolist()]
+        assert len(drawn) == n and max(drawn) < n
+        ranked = [i % 7 == 4 for i in drawn if i < n - 9000]
+        p5.append(sum(ranked[:5]) / 5)
+        rr.append(1 / (ranked.index(True) + 1))
+        rate.append(sum(i % 7 == 4 for i in drawn) / n)
+    for values, name in ((p5, "p_at_5"), (rr, "reciprocal_rank"), (rate, "rate")):
+        values.sort()
+        assert (first[f"{name}_low"], first[f"{name}_high"]) == (pytest.approx(values[1], abs=1e-6), pytest.approx(values[38], abs=1e-6))
+
+
+def test_resamples_share_no_draws():
+    n = 2**21
+    a, b, c = (grade.drawn_of(42, r, n, chunk) for r, chunk in ((0, 128), (1, 0), (0, 0)))
+    assert not any(len(x) == len(y) and (x == y).all() for x, y in ((a, b), (b, c), (a, c)))
+    assert sum(len(grade.drawn_of(42, 3, n, i)) for i in range(n // grade.SLOTS)) == n
+
+
+def test_hits_before_the_first_chunk_count_in_order(spark):
+    rows = [(0, 0, 3, 1, 2, [False, True], 2), (1, 0, 4, 3, 4, [True, False, True, True], 1), (0, 1, 1, 0, 0, [], None)]
+    states = spark.createDataFrame([("x", *r) for r in rows], "k string, chunk long, resample int, drawn long, hits long, places long, first5 array<boolean>, first long")
+    got = {r["resample"]: (r["p_at_5"], r["reciprocal_rank"], r["rate"]) for r in grade.merge_states(states, ["k"]).collect()}
+    assert got[0] == (pytest.approx(3 / 5), 0.5, pytest.approx(4 / 7)) and got[1][:2] == (0, 0)
+
+
+@pytest.mark.parametrize("size", [7, 64, 10**6])
+@pytest.mark.parametrize("kind", ["array", "object"])
+def test_documents_are_read_in_ranges(spark, tmp_path, size, kind):
+    rng = random.Random(size)
+    odd = ['a,b', '"', '\\', '{[', ']},', 'é,ü', '\n,', '😀,', "", '\\",']
+    value = lambda depth: rng.choice([rng.choice(odd), 1.5, None, True]) if depth > 2 else rng.choice([[value(depth + 1) for _ in range(rng.randint(0, 3))], {rng.choice(odd): value(depth + 1) for _ in range(rng.randint(0, 3))}, rng.choice(odd)])
+    documents = [[value(0) for _ in range(n)] for n in (0, 1, 2, 60)]
+    if kind == "object":
+        documents = [{f"{i}{rng.choice(odd)}": v for i, v in enumerate(x)} for x in documents]
+    for i, x in enumerate(documents):
+        (tmp_path / f"{i}.json").write_text(json.dumps(x, ensure_ascii=bool(i % 2), indent=[None, 2][i // 2 % 2]), encoding="utf-8")
+    setting = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(setting)
+    try:
+        spark.conf.set(setting, str(size))
+        rows = read_elements(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set(setting, before)
+    for i, x in enumerate(documents):
+        got = sorted((r["position"], r["text"]) for r in rows if r["file"].endswith(f"/{i}.json"))
+        assert [p for p, _ in got] == list(range(len(x)))
+        read = [json.loads(t) if kind == "array" else json.loads("{" + t + "}") for _, t in got]
+        assert read == (x if kind == "array" else [{k: v} for k, v in x.items()])
+
+
+def test_first_ids_are_few_and_distinct(spark):
+    rows = spark.range(5000).select((F.col("id") % 2).alias("k"), (F.col("id") % 999).alias("record"))
+    got = {r["k"]: r["record_ids"] for r in merge.first_ids(rows.withColumn("k", F.lit("hot")).union(spark.range(2).select(F.lit("cold"), F.lit(5).cast("long"))), ["k"], 4).collect()}
+    assert got == {"hot": sorted(map(str, range(999)))[:4], "cold": ["5"]}
+    assert merge.first_ids(rows.limit(0), ["k"], 4).count() == 0
+
+
+def test_rates_of_what_was_loaded(spark):
+    nodes = spark.createDataFrame([("a", "Measurement", "s1", "CC0", 1.0), ("a", "Measurement", "", "CC0", None), ("b", "Gene", "s2", None, None)], "source string, type string, source_id string, license string, value double")
+    bad = merge.spurious_rows(nodes)
+    assert sorted((r["source"], r["problem"]) for r in bad.collect()) == [("a", "measurement with no value"), ("a", "missing provenance"), ("b", "missing provenance")]
+    got = {r["source"]: tuple(r)[1:] for r in merge.loaded_rates(spark.createDataFrame([("a", 4), ("c", 0)], "source string, n long"), nodes, bad).collect()}
+    assert got == {"a": (4, 2, 2, 0.5), "b": (0, 1, 1, 0.0), "c": (0, 0, 0, 0.0)}
+
+
 def test_traps_and_citations(spark):
     t = spark.createDataFrame([("c", "t1", "A", "reject"), ("c", "t2", "B", "refuse"), ("c", "t3", "C", "accept"), ("d", "t4", "A", "reject")], "cutoff string, trap string, entity string, answer string")
     f = spark.createDataFrame([("c", "A", "forecast", 3, 40), ("c", "C", "forecast", 20, 20), ("d", "Q", "refused", None, None)], "cutoff string, entity string, outcome string, rank int, cost_rank int")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark import policy
 from tidemark.functions.rules import route
 from tidemark.functions.scalars import significant
+from tidemark.operators.merge import first_ids
 
 
 def genetic_rules(rows: DataFrame, keys: list[str], p_most: float = policy.GENOME_WIDE) -> DataFrame:
@@ -89,6 +90,15 @@ def modality_rules(entities: DataFrame, essential: DataFrame, keys: list[str] |
     return out.withColumn("call", call).select(*keys, "call.*")
 
 
+def modality_support(rules: DataFrame, routes: DataFrame, keys: list[str] | None = None, most: int = 50) -> DataFrame:
+    """A rule row per entity that any other rule is about: keys, entity, rule_id, kind, direction, weight, route and the first
+    ``most`` distinct record ids of those rules. An entity whose rules name no record has none. ``rules``: keys, entity, record_ids."""
+    by = [*(keys or []), "entity"]
+    ids = first_ids(rules.select(*by, F.explode("record_ids").alias("record")), by, most)
+    named = F.concat(F.lit("rule:modality:"), F.col("entity").cast("string")).alias("rule_id")
+    return ids.join(routes, by).select(*by, named, F.lit("modality").alias("kind"), F.lit("none").alias("direction"), F.lit(0.0).alias("weight"), "route", "record_ids")
+
+
 def gate(rules: DataFrame) -> DataFrame:
     """Rules with reject_reason, the first failed condition, null for good ones; nothing is dropped here."""
     reason = (

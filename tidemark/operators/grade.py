@@ -7,9 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Resamples that one task draws.
-BLOCK = 100
-
+from tidemark.operators.forecast import ranked_by
 
 def ground_truth(established: DataFrame, cutoffs: list[str]) -> DataFrame:
     """Entities established on or after each cutoff."""
@@ -98,10 +96,11 @@ def trace_records(named: DataFrame, nodes: DataFrame) -> DataFrame:
     return found.agg(F.count_distinct("object").alias("objects"), F.count("record_id").alias("ids"), F.count_if(F.col("n_id").isNull()).alias("untraceable"), F.count_if(F.col("n_id").isNotNull() & F.col("license").isNull()).alias("unlicensed"))
 
 
-def classify_citations(cited: DataFrame, context: DataFrame, sliced: DataFrame, store: DataFrame) -> DataFrame:
-    """Each citation (claim, record_id) as in_context, out_of_context, post_cutoff or fabricated."""
-    out = cited
-    for name, table, keys in (("in_context", context.select("claim", "record_id").distinct(), ["claim", "record_id"]), ("in_slice", sliced.select("record_id").distinct(), ["record_id"]), ("in_store", store.select("record_id").distinct(), ["record_id"])):
+def classify_citations(cited: DataFrame, context: DataFrame, sliced: DataFrame, store: DataFrame, shown: list[str] | None = None) -> DataFrame:
+    """Each citation (claim, record_id) as in_context, out_of_context, post_cutoff or fabricated. A row of the slice is in
+    context if it was shown with the same claim, or with the same ``shown`` columns."""
+    out, by = cited, [*(["claim"] if shown is None else shown), "record_id"]
+    for name, table, keys in (("in_context", context.select(*by).distinct(), by), ("in_slice", sliced.select("record_id").distinct(), ["record_id"]), ("in_store", store.select("record_id").distinct(), ["record_id"])):
         out = out.join(table.withColumn(name, F.lit(True)), keys, "left")
     status = F.when(F.col("in_context"), "in_context").when(F.col("in_slice"), "out_of_context").when(F.col("in_store"), "post_cutoff").otherwise("fabricated")
     return out.withColumn("status", status).drop("in_context", "in_slice", "in_store")
@@ -142,45 +141,76 @@ def holdout_report(compared: DataFrame, keys: list[str] | None = None) -> DataFr
     return out.withColumn("rate", F.coalesce(F.col("recovered") / F.nullif(F.col("tested"), F.lit(0)), F.lit(0.0)))
 
 
+#: Slots of a scorecard that one task draws for at once, and hits that a resample keeps of a part: five places are scored.
+SLOTS, PLACES = 8192, 5
+
+
 def bootstrap_intervals(units: DataFrame, keys: list[str], resamples: int = 2000, seed: int = 42) -> DataFrame:
     """95 % intervals of P@5, reciprocal rank and the rate of hits over resamples of the asked units, with replacement.
 
-    ``units``: keys, unit, rank (null if not ranked), hit. Of n units resample r draws unit u as often as u's slot comes among
-    n hashes of (seed, r, draw) modulo n, so any partitioning gives the same draws. A drawn unit keeps its place, once for each time
-    it is drawn. Nearest-rank percentiles of the sorted resamples. The resamples of a scorecard are dealt out in blocks; each
-    block draws in numpy from the units in order, which are one scorecard's (ids stay in Spark: a block gets rank and hit only).
+    ``units``: keys, unit, rank (null if not ranked), hit. Units are numbered in the order of rank and unit, over range parts,
+    and dealt into chunks of ``SLOTS``. How many draws of a resample fall into a chunk is drawn by halving the scorecard again
+    and again (a binomial for each half, seeded by resample and place), and inside a chunk every draw takes a unit at random: so
+    any partitioning gives the same draws, and no draw of one resample is shared with another. A chunk turns them into a partial
+    state per resample (drawn, hits, ranked draws, hits among the first five of these, the first hit's place), and states
+    merge in the order of chunks: a chunk's places move back by the ranked draws before it. No task holds a scorecard.
+
+    Nearest-rank percentiles of the sorted resamples. A scorecard without units has no row.
     """
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("rank").asc_nulls_last(), "unit"))
-    rows = units.select(*keys, "rank", "hit", (place - 1).alias("slot"))
-    blocks = F.explode(F.sequence(F.lit(0), F.lit((resamples - 1) // BLOCK)))
+    placed = ranked_by(units.select(*keys, "rank", "unit", F.coalesce("hit", F.lit(False)).alias("hit")), keys, [F.col("rank").asc_nulls_last(), F.col("unit")], "slot")
+    sizes = units.groupBy(*keys).agg(F.count("*").alias("n"))
+    rows = placed.join(sizes, keys).withColumn("slot", F.col("slot") - 1).withColumn("chunk", F.floor(F.col("slot") / SLOTS))
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("slot")
-        n, first = len(frame), int(frame["block"].iloc[0]) * BLOCK
-        ranked = int(frame["rank"].notna().sum())
-        hit = frame["hit"].fillna(False).to_numpy(bool)
-        scores = []
-        for r in range(first, min(first + BLOCK, resamples)):
-            drawn = np.sort(_draws(seed, r, n))
-            places = hit[drawn[drawn < ranked]]  # in ranked order, with multiplicity
-            at = np.flatnonzero(places)
-            scores.append((r, places[:5].sum() / 5, 1 / (at[0] + 1) if len(at) else 0.0, hit[drawn].mean()))
-        out = pd.DataFrame(scores, columns=["resample", "p_at_5", "reciprocal_rank", "rate"])
+        chunk, n = int(frame["chunk"].iloc[0]), int(frame["n"].iloc[0])
+        hit, ranked = frame["hit"].to_numpy(bool), int(frame["rank"].notna().sum())
+        states = [(chunk, r, *partial_state(drawn_of(seed, r, n, chunk), hit, ranked)) for r in range(resamples)]
+        out = pd.DataFrame(states, columns=["chunk", "resample", "drawn", "hits", "places", "first5", "first"])
         for k in keys:
             out[k] = frame[k].iloc[0]
         return out
 
-    kinds = ", ".join(f"{k} {units.schema[k].dataType.simpleString()}" for k in keys)
-    scores = rows.withColumn("block", blocks).groupBy(*keys, "block").applyInPandas(run, f"resample int, p_at_5 double, reciprocal_rank double, rate double, {kinds}")
+    kinds = ", ".join(f"`{k}` {units.schema[k].dataType.simpleString()}" for k in keys)
+    states = rows.groupBy(*keys, "chunk").applyInPandas(run, f"chunk long, resample int, drawn long, hits long, places long, first5 array<boolean>, first long, {kinds}")
+    return percentiles(merge_states(states, keys), keys, resamples)
+
+
+def merge_states(states: DataFrame, keys: list[str]) -> DataFrame:
+    """Partial states (keys, chunk, resample, ...) to the three scores of every resample. Only the first five ranked draws
+    count for P@5, so a chunk gives as many of its own as are still open after the chunks before it."""
+    before = Window.partitionBy(*keys, "resample").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    moved = states.withColumn("ahead", F.coalesce(F.sum("places").over(before), F.lit(0)))
+    own = F.slice("first5", 1, F.greatest(F.lit(0), PLACES - F.col("ahead")).cast("int"))
+    of = F.size(F.filter(own, lambda x: x))
+    return moved.groupBy(*keys, "resample").agg((F.sum(of) / PLACES).alias("p_at_5"), F.coalesce(1 / F.min(F.col("ahead") + F.col("first")), F.lit(0.0)).alias("reciprocal_rank"), (F.sum("hits") / F.sum("drawn")).alias("rate"))
+
+
+def percentiles(scores: DataFrame, keys: list[str], resamples: int) -> DataFrame:
     low, high = int(resamples * 0.025), int(resamples * 0.975) - 1
     bounds = [F.round(F.get(F.array_sort(F.collect_list(m)), F.lit(i)), 6).alias(f"{m}_{side}") for m in ("p_at_5", "reciprocal_rank", "rate") for side, i in (("low", low), ("high", high))]
     return scores.groupBy(*keys).agg(*bounds)
 
 
-def _draws(seed: int, resample: int, n: int) -> np.ndarray:
-    """n slots of a counter-based generator: splitmix64 of (seed, resample, draw), modulo n."""
-    with np.errstate(over="ignore"):
-        z = (np.arange(n, dtype=np.uint64) + np.uint64((seed << 40) + (resample << 20) + 1)) * np.uint64(0x9E3779B97F4A7C15)
-        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return ((z ^ (z >> np.uint64(31))) % np.uint64(n)).astype(np.int64)
+def _stream(seed: int, resample: int, begin: int, end: int) -> np.random.Generator:
+    """The random numbers of a resample for the slots from ``begin`` to ``end``: all four name the stream."""
+    return np.random.Generator(np.random.Philox(np.random.SeedSequence([seed, resample, begin, end])))
+
+
+def drawn_of(seed: int, resample: int, n: int, chunk: int) -> np.ndarray:
+    """The places inside a chunk that a resample of ``n`` units draws there, sorted, each as often as it is drawn."""
+    begin, end, draws = 0, -(-n // SLOTS), n
+    while end - begin > 1:
+        middle = (begin + end) // 2
+        left, whole = (middle - begin) * SLOTS, min(n, end * SLOTS) - begin * SLOTS
+        taken = int(_stream(seed, resample, begin, end).binomial(draws, left / whole))
+        begin, end, draws = (begin, middle, taken) if chunk < middle else (middle, end, draws - taken)
+    size = min(n, end * SLOTS) - begin * SLOTS
+    return np.sort(_stream(seed, resample, begin, end).integers(0, size, size=draws))
+
+
+def partial_state(drawn: np.ndarray, hit: np.ndarray, ranked: int) -> tuple[int, int, int, list[bool], int | None]:
+    """drawn, hits, ranked draws, which of the first five of these hit, and the place of the first hit among them."""
+    places = hit[drawn[: np.searchsorted(drawn, ranked)]]
+    at = int(places.argmax()) + 1 if places.any() else None
+    return len(drawn), int(hit[drawn].sum()), len(places), places[:PLACES].tolist(), at

@@ -94,3 +94,26 @@ def merge_reports(*reports: DataFrame) -> DataFrame:
 def difference(candidates: DataFrame, established: DataFrame) -> DataFrame:
     """Distinct candidates that aren't established."""
     return candidates.subtract(established)
+
+
+def first_ids(rows: DataFrame, keys: list[str], most: int, record: str = "record") -> DataFrame:
+    """keys and record_ids: the first ``most`` distinct ids of each key, sorted as text. Parts are cut to so many ids of a key
+    before the shuffle, so no row holds more, however many records a key has."""
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("record_id"))
+    ids = rows.select(*keys, F.col(record).cast("string").alias("record_id")).distinct().withColumn("_place", place).filter(F.col("_place") <= most)
+    return ids.groupBy(*keys).agg(F.array_sort(F.collect_list("record_id")).alias("record_ids"))
+
+
+def loaded_rates(available: DataFrame, loaded: DataFrame, spurious: DataFrame) -> DataFrame:
+    """Source, available, loaded, rate (of those available, 0 without any) and spurious. ``available``: source, n; ``loaded``
+    and ``spurious``: a row each, with its source. A source that only one of them knows has zeros for the rest."""
+    count = lambda rows, name: rows.groupBy("source").agg(F.count("*").alias(name))
+    out = available.groupBy("source").agg(F.sum("n").alias("available")).join(count(loaded, "loaded"), "source", "full").join(count(spurious, "spurious"), "source", "full").fillna(0)
+    return out.withColumn("rate", F.coalesce(F.round(F.col("loaded") / F.nullif("available", F.lit(0)), 6), F.lit(0.0)))
+
+
+def spurious_rows(nodes: DataFrame) -> DataFrame:
+    """Nodes that no source record backs, with why: no source id or licence, or a measurement without a value."""
+    bare = F.lit("missing provenance")
+    why = F.filter(F.array(F.when((F.coalesce("source_id", F.lit("")) == "") | (F.coalesce("license", F.lit("")) == ""), bare), F.when((F.col("type") == "Measurement") & F.col("value").isNull(), "measurement with no value")), lambda x: x.isNotNull())
+    return nodes.withColumn("problem", F.explode(why))

@@ -682,7 +682,7 @@ def p04(spark: SparkSession, d: str) -> DataFrame:
 @query("a10_essential_traps", "SELECT l_partkey AS entity, count(*) AS lines, count(*) FILTER (WHERE l_quantity > 20) AS essential_lines, round(avg(-l_quantity), 4) AS mean_effect FROM lineitem GROUP BY l_partkey HAVING count(*) >= 10 AND count(*) FILTER (WHERE l_quantity > 20) >= 0.7 * count(*)")
 def a10(spark: SparkSession, d: str) -> DataFrame:
     effects = read(spark, d, "lineitem").select(F.col("l_partkey").alias("entity"), (-F.col("l_quantity")).alias("effect"))
-    return traps.essential_traps(effects, least_lines=10, most=-20.5).drop("answer").withColumn("mean_effect", F.round("mean_effect", 4))
+    return traps.essential_traps(effects, least_lines=10, most=-20.5).drop("answer", "fraction").withColumn("mean_effect", F.round("mean_effect", 4))
 
 
 @query("a09_association_traps", """SELECT l_partkey AS entity, round(min(l_discount + 0.001), 6) AS best_p, count(*) AS n, count(DISTINCT l_suppkey) AS accessions FROM lineitem ANTI JOIN (SELECT p_partkey FROM part WHERE p_size > 25) ON p_partkey = l_partkey WHERE l_discount + 0.001 < 0.005 GROUP BY l_partkey""")

@@ -215,6 +215,19 @@ def s09(spark: SparkSession, d: str) -> DataFrame:
     return e.groupBy("symbol").agg(F.count("*").alias("lines"), F.count_if(F.col("geneEffect").isNull()).alias("missing"), F.round(F.sum("geneEffect"), 4).alias("effect"))
 
 
+@query("s09_one_document", "SELECT 'P' || l_partkey AS symbol, count(*) AS lines, round(sum(CASE WHEN l_linenumber <> 7 THEN -l_quantity / 25 END), 4) AS effect FROM lineitem GROUP BY l_partkey")
+def s09_one(spark: SparkSession, d: str) -> DataFrame:
+    # All genes in one file, written by one task as they come and read by as many as it has ranges.
+    screen = F.struct(name("D", F.col("l_suppkey")).alias("depmapId"), F.when(F.col("l_linenumber") != 7, -F.col("l_quantity") / 25).alias("geneEffect"))
+    rows = read(spark, d, "lineitem").groupBy("l_partkey").agg(F.collect_list(screen).alias("screens"))
+    target = F.to_json(F.struct(F.array(F.struct(F.lit('a "quoted" {tissue], \\').alias("tissueName"), F.col("screens"))).alias("depMapEssentiality")))
+    lines = rows.select(F.lit(1).alias("o"), F.concat(F.lit(',"P'), F.col("l_partkey").cast("string"), F.lit('": '), target).alias("value"))
+    first, last = (spark.range(1).select(F.lit(o).alias("o"), F.lit(x).alias("value")) for o, x in ((0, '{"none": {}'), (2, "}")))
+    path = folder(spark, "document")
+    first.unionByName(lines).unionByName(last).coalesce(1).sortWithinPartitions("o").select("value").write.text(path)
+    return readers.read_essentiality(spark, path).groupBy("symbol").agg(F.count("*").alias("lines"), F.round(F.sum("geneEffect"), 4).alias("effect"))
+
+
 @query("c05_ingest_essentiality", "SELECT hit, CASE WHEN l_linenumber = 7 THEN 'malformed_record' END AS reject_reason, count(*) AS n FROM (SELECT *, CASE WHEN l_linenumber <> 7 THEN -l_quantity / 25 <= -1.0 END AS hit FROM lineitem) GROUP BY ALL")
 def c05(spark: SparkSession, d: str) -> DataFrame:
     rows = ingest.essentiality_rows(readers.read_essentiality(spark, essentiality_file(spark, d)), "2020-01-01")

@@ -145,22 +145,73 @@ def long_form(table: DataFrame, keys: list[str], prefix: str, names: tuple[str,
     return table.select(*keys, pairs.alias("m")).select(*keys, "m.metric", "m.value")
 
 
-def score_answers(answers: DataFrame, schema: str, entities: DataFrame, truth: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Answer JSON (keys, answer) to ranked claims (keys, entity, confidence, rank) and the metrics of each answer.
+@dataclass(frozen=True)
+class Library:
+    """What citations are held against: ``context`` (keys, record_id: what a run was shown), ``nodes`` (record_id, kind, own,
+    matched, title: the rows of the slice) and ``store`` (record_id: all rows, of any date)."""
+
+    context: DataFrame
+    nodes: DataFrame
+    store: DataFrame
+
+
+def answer_rows(answers: DataFrame, schema: str, entities: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Claims and refusals of answer JSON as one stream of rows, and each answer's status.
 
-    An answer that doesn't parse, has a confidence outside 0..1 or names a gene twice, also by two names of one gene, fails
-    whole (status). Names that no gene owns are left out.
+    Rows: keys, position, outcome (forecast or refused), entity (text), symbol, confidence (0 of a refusal), cited_ids. A name
+    that no gene owns stays, as entity ``unresolved:NAME``. An answer that doesn't parse, has a confidence outside 0..1 or
+    answers twice for a gene (also by two of its names, or by a claim and a refusal) fails whole.
     """
-    checked = forecast.valid_answers(answers, schema, keys)
-    claims = checked.filter("status = 'ok'").select(*keys, F.posexplode("parsed.claims").alias("position", "claim"))
-    named = claims.select(*keys, "position", F.col("claim.gene_symbol").alias("name"), F.col("claim.confidence").alias("confidence"))
-    found = resolve.resolve_in_graph(named, entities).filter("id IS NOT NULL").withColumnRenamed("id", "entity")
+    checked = forecast.reliable(forecast.valid_answers(answers, schema, keys))
+    part = lambda name, outcome, confidence, cited: F.transform(F.coalesce(name, F.array()), lambda c: F.struct(c["gene_symbol"].alias("name"), F.lit(outcome).alias("outcome"), confidence(c).alias("confidence"), cited(c).alias("cited_ids")))
+    none = F.array().cast("array<string>")
+    claims = part(F.col("parsed.claims"), "forecast", lambda c: c["confidence"], lambda c: F.coalesce(c["cited_ids"], none))
+    refusals = part(F.col("parsed.refusals"), "refused", lambda c: F.lit(0.0), lambda c: none)
+    rows = checked.filter("status = 'ok'").select(*keys, F.posexplode(F.concat(claims, refusals)).alias("position", "row")).select(*keys, "position", "row.*")
+    names = entities.select(F.col("id").cast("string").alias("entity"), F.upper("symbol").alias("own_symbol"))
+    found = resolve.resolve_in_graph(rows, entities).withColumn("entity", F.col("id").cast("string")).join(names, "entity", "left")
+    written = F.upper(F.trim("name"))
+    found = found.select(*keys, "position", "outcome", F.coalesce("entity", F.concat(F.lit("unresolved:"), written)).alias("entity"), F.coalesce("own_symbol", written).alias("symbol"), "confidence", "cited_ids")
     twice = found.groupBy(*keys).agg((F.count("*") > F.count_distinct("entity")).alias("twice"))
     status = checked.join(twice, keys, "left").select(*keys, F.when(F.coalesce("twice", F.lit(False)), "two answers for a gene").otherwise(F.col("status")).alias("status"))
-    good = found.join(status.filter("status = 'ok'").select(*keys), keys, "left_semi")
-    ranked = forecast.rank_answers(good, keys)
-    metrics = grade.ranking_metrics(ranked, truth, keys)
-    return ranked, status.join(metrics, keys, "left").fillna(0)
+    return found.join(status.filter("status = 'ok'").select(*keys), keys, "left_semi"), status
+
+
+def check_citations(claims: DataFrame, library: Library, keys: list[str]) -> DataFrame:
+    """Keys, entity, record_id, status and whether the cited row of the slice names the claim's gene."""
+    cited = claims.select(*keys, "entity", "symbol", F.explode("cited_ids").alias("record_id"))
+    shown = library.context.join(library.nodes.select("record_id"), "record_id", "left_semi")  # only rows of the slice can be shown
+    found = grade.classify_citations(cited, shown, library.nodes, library.store, keys)
+    named = found.join(library.nodes, "record_id", "left")
+    names = grade.names_entity(F.col("kind"), F.col("own").cast("string"), F.col("matched"), F.col("title"), F.col("entity"), F.col("symbol"))
+    return named.select(*keys, "entity", "record_id", "status", F.coalesce(names, F.lit(False)).alias("names"))
+
+
+def score_answers(answers: DataFrame, schema: str, entities: DataFrame, truth: DataFrame, keys: list[str], library: Library, traps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Answers from outside to ranked claims (keys, entity, symbol, confidence, rank, grounded) and a report per answer:
+    ranking metrics, citations by status, grounded claims (A23), recalled claims (J22: about later-established genes, without
+    a grounding citation) and trap outcomes (A20). ``traps``: keys, entity, kind, answer. Entities of ``truth`` and ``traps``
+    are compared as text. An answer that fails gets zeros."""
+    said, status = answer_rows(answers, schema, entities, keys)
+    said = forecast.reliable(said)
+    text = lambda t: t.withColumn("entity", F.col("entity").cast("string"))
+    truth, traps = text(truth).select(*keys, "entity").distinct(), text(traps)
+    claims = said.filter("outcome = 'forecast'")
+    citations = forecast.reliable(check_citations(claims, library, keys))
+    count = lambda s: F.count_if(F.col("status") == s).alias(s)
+    cited = citations.groupBy(*keys).agg(F.count("*").alias("citations"), *map(count, ("in_context", "out_of_context", "post_cutoff", "fabricated")))
+    grounded = citations.filter("status = 'in_context' AND names").select(*keys, "entity").distinct().withColumn("grounded", F.lit(True))
+    ranked = forecast.rank_answers(claims.drop("outcome", "cited_ids"), keys).join(grounded, [*keys, "entity"], "left").fillna(False, ["grounded"])
+    later = ranked.join(truth, [*keys, "entity"], "left_semi").groupBy(*keys).agg(F.count("*").alias("post_cutoff_claims"), F.count_if(~F.col("grounded")).alias("recalled"))
+    of_claims = ranked.groupBy(*keys).agg(F.count_if("grounded").alias("grounded_claims"))
+    ranks = ranked.select(*keys, "entity", "rank", F.col("rank").alias("cost_rank"))
+    answered = traps.join(status.filter("status = 'ok'").select(*keys), keys, "left_semi")
+    outcomes = grade.trap_rollup(grade.trap_outcomes(answered, said.join(ranks, [*keys, "entity"], "left"), keys), keys).select(*keys, "traps", F.col("passed").alias("traps_passed"))
+    refused = said.groupBy(*keys).agg(F.count_if(F.col("outcome") == "refused").alias("refusals"))
+    report = status
+    for table in (grade.ranking_metrics(ranked, truth, keys), refused, cited, of_claims, later, outcomes):
+        report = report.join(table, keys, "left")
+    return ranked, report.fillna(0)
 
 
 def gene_tables(verdicts: DataFrame) -> DataFrame:

@@ -78,6 +78,16 @@ def c09(spark: SparkSession, d: str) -> DataFrame:
     return found.all.select("cutoff", "entity", "kind", "direction", "weight", F.size("record_ids").cast("long").alias("records"), "route")
 
 
+@query("a07_modality_rules", f"""WITH {_JOB}, {_CLAIMS}, named AS (SELECT cutoff, entity, record FROM w WHERE assay = 'A' AND p < 0.005 UNION SELECT w.cutoff, w.entity, record FROM w SEMI JOIN ess USING (cutoff, entity) WHERE phenotype = 'cell_fitness'
+    UNION SELECT cutoff, entity, record FROM w WHERE phenotype <> 'cell_fitness' AND assay <> 'A' UNION SELECT cutoff, entity, record FROM used WHERE k <= 400 UNION SELECT cutoff, entity, best_record FROM com),
+  ids AS (SELECT cutoff, entity, list(id ORDER BY id) AS ids FROM (SELECT cutoff, entity, CAST(record AS VARCHAR) AS id, row_number() OVER (PARTITION BY cutoff, entity ORDER BY CAST(record AS VARCHAR)) AS place FROM named) WHERE place <= 50 GROUP BY ALL)
+SELECT cutoff, entity, 'rule:modality:' || entity AS rule_id, route, len(ids) AS records, array_to_string(ids, ',') AS record_ids FROM claims JOIN ids USING (cutoff, entity)""")
+def a07(spark: SparkSession, d: str) -> DataFrame:
+    found, _ = rule_set(spark, d)
+    rows = derive.modality_support(found.all, found.routes, ["cutoff"])
+    return rows.select("cutoff", "entity", "rule_id", "route", F.size("record_ids").cast("long").alias("records"), F.array_join("record_ids", ",").alias("record_ids"))
+
+
 @query("c10_revise_beliefs", f"""WITH {_JOB}, {_CLAIMS} SELECT cutoff, entity, route, publications, evidence, round(z, 6) AS log_odds, round(confidence, 6) AS confidence, max_support, max_composition, reportable FROM said""")
 def c10(spark: SparkSession, d: str) -> DataFrame:
     return beliefs(spark, d).select("cutoff", "entity", "route", "publications", "evidence", "log_odds", "confidence", "max_support", "max_composition", "reportable")
@@ -198,40 +208,87 @@ def t08(spark: SparkSession, d: str) -> DataFrame:
     return out.select(F.col("cutoff").cast("string").alias("cutoff"), "entity", "confidence")
 
 
-_ANSWER = "claims array<struct<gene_symbol:string,confidence:double>>"
+_ANSWER = "claims array<struct<gene_symbol:string,confidence:double,cited_ids:array<string>>>, refusals array<struct<gene_symbol:string,reason:string>>"
 
 
 @query("c18_score_answers", """WITH a AS (SELECT o_custkey AS run, o_orderkey AS k, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS pos, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders),
-  s AS (SELECT run, CASE WHEN run % 5 = 0 THEN 'not the schema' WHEN run % 5 = 1 THEN 'confidence outside 0..1' WHEN run % 5 = 2 THEN 'two answers for a gene' ELSE 'ok' END AS status FROM (SELECT DISTINCT run FROM a)),
-  c AS (SELECT run, pos, (run + pos * 7) % 200 + 1 AS entity, (k % 97) / 100 AS confidence FROM a SEMI JOIN (SELECT run FROM s WHERE status = 'ok') USING (run) WHERE pos < 20),
-  r AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY confidence DESC, pos) AS rank, entity % 3 = 0 AS hit FROM c)
-SELECT s.run, status, coalesce(count(*) FILTER (WHERE hit AND rank <= 5) / 5, 0) AS p_at_5, coalesce(round(1 / min(CASE WHEN hit THEN rank END), 6), 0) AS reciprocal_rank, count(r.run) AS ranked FROM s LEFT JOIN r USING (run) GROUP BY s.run, status""")
+  s AS (SELECT run, CASE WHEN run % 5 = 0 THEN 'not the schema' WHEN run % 5 = 1 THEN 'confidence outside 0..1' WHEN run % 5 = 2 OR run % 13 = 6 OR n > 200 THEN 'two answers for a gene' ELSE 'ok' END AS status FROM (SELECT DISTINCT run, n FROM a)),
+  c AS (SELECT run, k, pos, (run + pos * 7) % 200 + 1 AS part, (k % 97) / 100 AS confidence FROM a SEMI JOIN (SELECT run FROM s WHERE status = 'ok') USING (run)),
+  e AS (SELECT c.*, p_partkey IS NOT NULL AS known, CASE WHEN p_partkey IS NOT NULL OR pos % 2 = 0 THEN 'p' || part ELSE 'alias_' || part END AS symbol FROM c LEFT JOIN part ON p_partkey = part),
+  r AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY confidence DESC, pos) AS rank, known AND part % 3 = 0 AS hit FROM e),
+  node AS (SELECT o_orderkey AS id, o_orderdate < DATE '1997-01-01' AS sliced, CASE WHEN o_orderkey % 2 = 0 THEN o_custkey END AS shown, o_orderkey % 3 = 0 AS measured, (o_custkey + o_orderkey % 3 * 7) % 200 + 1 AS own FROM orders),
+  q AS (SELECT r.run, r.part, sliced AND shown IS NOT DISTINCT FROM r.run AND shown IS NOT NULL AS in_context, coalesce(sliced, false) AS sliced, id IS NOT NULL AS stored, CASE WHEN measured THEN known AND own = part ELSE symbol = 'p' || own END AS names
+    FROM r CROSS JOIN (SELECT unnest([0, 1]) AS step) LEFT JOIN node ON id = k + step),
+  g AS (SELECT run, part FROM q WHERE in_context AND names GROUP BY ALL),
+  cites AS (SELECT run, count(*) AS citations, count(*) FILTER (WHERE in_context) AS in_context, count(*) FILTER (WHERE sliced AND NOT in_context) AS out_of_context, count(*) FILTER (WHERE stored AND NOT sliced) AS post_cutoff, count(*) FILTER (WHERE NOT stored) AS fabricated FROM q GROUP BY run),
+  traps AS (SELECT run, part, answer, rank FROM (SELECT run, unnest([0, 1]) AS i FROM s WHERE status = 'ok') t JOIN LATERAL (SELECT (run + i * 7) % 200 + 1 AS part, CASE WHEN i = 0 THEN 'reject' ELSE 'refuse' END AS answer) ON true LEFT JOIN (SELECT run, part, rank FROM r WHERE known) USING (run, part)),
+  tr AS (SELECT run, count(*) AS traps, count(*) FILTER (WHERE CASE WHEN answer = 'reject' THEN rank IS NULL OR rank > 10 ELSE rank IS NULL END) AS traps_passed FROM traps GROUP BY run),
+  m AS (SELECT run, count(*) FILTER (WHERE hit AND rank <= 5) / 5 AS p_at_5, coalesce(round(1 / min(CASE WHEN hit THEN rank END), 6), 0) AS reciprocal_rank, count(*) AS ranked, count(*) FILTER (WHERE g.part IS NOT NULL) AS grounded_claims, count(*) FILTER (WHERE hit) AS post_cutoff_claims, count(*) FILTER (WHERE hit AND g.part IS NULL) AS recalled
+    FROM r LEFT JOIN g USING (run, part) GROUP BY run)
+SELECT s.run, status, coalesce(p_at_5, 0) AS p_at_5, coalesce(reciprocal_rank, 0) AS reciprocal_rank, coalesce(ranked, 0) AS ranked, CASE WHEN status = 'ok' THEN 1 ELSE 0 END AS refusals, coalesce(citations, 0) AS citations, coalesce(in_context, 0) AS in_context, coalesce(out_of_context, 0) AS out_of_context,
+  coalesce(post_cutoff, 0) AS post_cutoff, coalesce(fabricated, 0) AS fabricated, coalesce(grounded_claims, 0) AS grounded_claims, coalesce(post_cutoff_claims, 0) AS post_cutoff_claims, coalesce(recalled, 0) AS recalled, coalesce(traps, 0) AS traps, coalesce(traps_passed, 0) AS traps_passed
+FROM s LEFT JOIN m USING (run) LEFT JOIN cites USING (run) LEFT JOIN tr USING (run)""")
 def c18(spark: SparkSession, d: str) -> DataFrame:
-    # An order is a claim of its customer's answer; every other name is an alias of the part.
-    o = read(spark, d, "orders").select(F.col("o_custkey").alias("run"), F.col("o_orderkey").alias("k"))
-    rows = o.groupBy("run").agg(F.array_sort(F.collect_list("k")).alias("ks"))
+    # An order is a claim of its customer's answer, which cites the order and the next number; every other name is an alias
+    # of the part. A customer is shown its orders of even numbers. Part 200 may not be in the table: its name stays unresolved.
+    orders = read(spark, d, "orders").select(F.col("o_custkey").alias("run"), F.col("o_orderkey").alias("k"), "o_orderdate")
+    rows = orders.groupBy("run").agg(F.array_sort(F.collect_list("k")).alias("ks"))
     part = lambda i: ((F.col("run") + i * 7) % 200 + 1).cast("string")
-    claims = F.transform(F.slice("ks", 1, 20), lambda k, i: F.struct(F.concat(F.when(i % 2 == 0, " p").otherwise("alias_"), part(i)).alias("gene_symbol"), F.when((F.col("run") % 5 == 1) & (i == 0), 1.5).otherwise((k % 97) / 100).alias("confidence")))
-    twice = F.array(F.struct(F.concat(F.lit("P"), part(F.lit(0))).alias("gene_symbol"), F.lit(0.5).alias("confidence")), F.struct(F.concat(F.lit("Alias_"), part(F.lit(0))).alias("gene_symbol"), F.lit(0.25).alias("confidence")))
-    told = F.to_json(F.struct(F.when(F.col("run") % 5 == 2, twice).otherwise(claims).alias("claims")))
+    cites = lambda k: F.array(k.cast("string"), (k + 1).cast("string"))
+    name = lambda i: F.concat(F.when(i % 2 == 0, " p").otherwise("alias_"), part(i))
+    claims = F.transform("ks", lambda k, i: F.struct(name(i).alias("gene_symbol"), F.when((F.col("run") % 5 == 1) & (i == 0), 1.5).otherwise((k % 97) / 100).alias("confidence"), cites(k).alias("cited_ids")))
+    none = F.array().cast("array<string>")
+    twice = F.array(*[F.struct(F.concat(F.lit(p), part(F.lit(0))).alias("gene_symbol"), F.lit(c).alias("confidence"), none.alias("cited_ids")) for p, c in (("P", 0.5), ("p", 0.25))])
+    refused = F.array(F.struct(F.when(F.col("run") % 13 == 6, F.concat(F.lit("p"), part(F.lit(0)))).otherwise(F.concat(F.lit("nobody"), F.col("run").cast("string"))).alias("gene_symbol"), F.lit("no evidence").alias("reason")))
+    told = F.to_json(F.struct(F.when(F.col("run") % 5 == 2, twice).otherwise(claims).alias("claims"), refused.alias("refusals")))
     answers = rows.select("run", F.when(F.col("run") % 5 == 0, "no json").otherwise(told).alias("answer"))
     truth = rows.select("run", F.explode(F.transform(F.sequence(F.lit(1), F.lit(66)), lambda i: (i * 3).cast("long"))).alias("entity"))
-    _, report = jobs.score_answers(answers, _ANSWER, part_entities(spark, d), truth, ["run"])
-    return report.select("run", "status", "p_at_5", F.round("reciprocal_rank", 6).alias("reciprocal_rank"), "ranked")
+    record, own = F.col("k").cast("string").alias("record_id"), (F.col("run") + F.col("k") % 3 * 7) % 200 + 1
+    nodes = orders.filter("o_orderdate < DATE '1997-01-01'").select(record, F.when(F.col("k") % 3 == 0, "Measurement").otherwise("Publication").alias("kind"), own.alias("own"), none.alias("matched"), F.concat(F.lit("The role of p"), own.cast("string"), F.lit(" here")).alias("title"))
+    library = jobs.Library(orders.filter("k % 2 = 0").select("run", record), nodes, orders.select(record))
+    decoys = rows.select("run", F.explode(F.array(*[F.struct(part(F.lit(i)).alias("entity"), F.lit(kind).alias("kind"), F.lit(answer).alias("answer")) for i, kind, answer in ((0, "association", "reject"), (1, "postdates_cutoff", "refuse"))])).alias("t")).select("run", "t.*")
+    _, report = jobs.score_answers(answers, _ANSWER, part_entities(spark, d), truth, ["run"], library, decoys)
+    return report.select("run", "status", "p_at_5", F.round("reciprocal_rank", 6).alias("reciprocal_rank"), "ranked", "refusals", "citations", "in_context", "out_of_context", "post_cutoff", "fabricated", "grounded_claims", "post_cutoff_claims", "recalled", "traps", "traps_passed")
 
 
-@query("c13_plant_traps", """WITH x AS (SELECT l_partkey AS entity, l_discount + 0.001 AS p, l_suppkey, l_quantity AS q FROM lineitem), known AS (SELECT p_partkey AS entity FROM part WHERE p_size > 25),
-  a AS (SELECT entity, 'association' AS kind, 'reject' AS answer FROM x ANTI JOIN known USING (entity) WHERE p < 0.005 GROUP BY entity), e AS (SELECT entity, 'essential', 'reject' FROM x GROUP BY entity HAVING count(*) >= 10 AND count(*) FILTER (WHERE q > 20) >= 0.7 * count(*)),
-  l AS (SELECT p_partkey, 'postdates_cutoff', 'refuse' FROM part WHERE p_size > 40 AND p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_linestatus = 'O'))
-SELECT kind, answer, count(*) AS traps FROM (SELECT * FROM a UNION ALL SELECT * FROM e UNION ALL SELECT * FROM l) GROUP BY ALL""")
-def c13(spark: SparkSession, d: str) -> DataFrame:
+_PLANTED = """x AS (SELECT l_partkey AS entity, l_discount + 0.001 AS p, l_suppkey, l_quantity AS q, CAST(l_orderkey AS VARCHAR) AS record FROM lineitem), known AS (SELECT p_partkey AS entity FROM part WHERE p_size > 25),
+  strong AS (SELECT x.* FROM x ANTI JOIN known USING (entity) WHERE p < 0.005), dead AS (SELECT entity FROM x GROUP BY entity HAVING count(*) >= 10 AND count(*) FILTER (WHERE q > 20) >= 0.7 * count(*)),
+  firsts AS (SELECT kind, entity, list(record ORDER BY record) AS records FROM (SELECT *, row_number() OVER (PARTITION BY kind, entity ORDER BY record) AS place FROM (SELECT DISTINCT 'association' AS kind, entity, record FROM strong UNION SELECT 'essential', entity, record FROM x SEMI JOIN dead USING (entity))) WHERE place <= 10 GROUP BY ALL),
+  planted AS (SELECT entity, 'association' AS kind, 'reject' AS answer, round(min(p), 6) AS number, count(*) AS n FROM strong GROUP BY entity UNION ALL SELECT entity, 'essential', 'reject', round(count(*) FILTER (WHERE q > 20) / count(*), 4), count(*) FROM x SEMI JOIN dead USING (entity) GROUP BY entity
+    UNION ALL SELECT p_partkey, 'postdates_cutoff', 'refuse', 365, 0 FROM part WHERE p_size > 40 AND p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_linestatus = 'O'))"""
+
+
+def planted(spark: SparkSession, d: str) -> DataFrame:
     c = F.col
     x = read(spark, d, "lineitem").select(c("l_partkey").alias("entity"), (c("l_discount") + 0.001).alias("p"), c("l_suppkey").alias("accession"), c("l_orderkey").alias("record"), (-c("l_quantity")).alias("effect"), "l_linestatus")
     part = read(spark, d, "part").select(c("p_partkey").alias("entity"), "p_size")
     when = part.filter("p_size > 40").select("entity", F.lit("2000-01-01").cast("date").alias("established"))
     counts = x.filter("l_linestatus = 'O'").groupBy("entity").agg(F.count("*").alias("measurements"), F.lit(0).alias("publications"))
-    planted = traps.plant(x, part.filter("p_size > 25"), x, when, counts, "1999-01-01", P_MOST, 10, -20.5)
-    return planted.groupBy("kind", "answer").agg(F.count("*").alias("traps"))
+    return traps.plant(x, part.filter("p_size > 25"), x, when, counts, "1999-01-01", P_MOST, 10, -20.5)
+
+
+@query("c13_plant_traps", f"WITH {_PLANTED} SELECT entity, kind, answer, coalesce(array_to_string(records, ','), '') AS records, CAST(number AS DOUBLE) AS number, CAST(n AS DOUBLE) AS n FROM planted LEFT JOIN firsts USING (kind, entity)")
+def c13(spark: SparkSession, d: str) -> DataFrame:
+    number, n = (F.coalesce(*[F.try_element_at("numbers", F.lit(x)) for x in names]) for names in (("best_p", "fraction", "days_after"), ("n", "lines", "measurements")))
+    return planted(spark, d).select("entity", "kind", "answer", F.array_join("records", ",").alias("records"), F.round(number, 6).alias("number"), n.alias("n"))
+
+
+@query("c13_trace_traps", f"WITH {_PLANTED}, ids AS (SELECT kind || entity AS object, unnest(records) AS id FROM planted JOIN firsts USING (kind, entity)) SELECT (SELECT count(*) FROM planted) AS objects, count(*) AS ids, count(*) FILTER (WHERE o_orderkey IS NULL) AS untraceable, count(*) FILTER (WHERE o_orderkey IS NOT NULL AND o_orderpriority = '5-LOW') AS unlicensed FROM ids LEFT JOIN orders ON CAST(o_orderkey AS VARCHAR) = id")
+def c13_trace(spark: SparkSession, d: str) -> DataFrame:
+    # J19 over every trap: the records it names against the orders, of which the least urgent have no licence
+    nodes = read(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("id"), F.when(F.col("o_orderpriority") != "5-LOW", "CC0").alias("license"))
+    return grade.trace_records(planted(spark, d).select(F.concat("kind", F.col("entity").cast("string")).alias("object"), F.col("records").alias("record_ids")), nodes)
+
+
+@query("a14_loaded_rates", """WITH n AS (SELECT l_linestatus || l_linenumber AS source, l_orderkey, CASE WHEN l_linenumber <> 7 THEN 's' END AS sid, l_tax < 0.02 AS bare, l_quantity > 45 AS empty FROM lineitem WHERE l_returnflag <> 'R'),
+  a AS (SELECT l_linestatus || l_linenumber AS source, count(*) AS available FROM lineitem GROUP BY ALL UNION ALL SELECT 'NONE', 0), l AS (SELECT source, count(*) AS loaded, count(*) FILTER (WHERE sid IS NULL OR bare) + count(*) FILTER (WHERE empty) AS spurious FROM n GROUP BY source)
+SELECT source, available, coalesce(loaded, 0) AS loaded, coalesce(spurious, 0) AS spurious, CASE WHEN available > 0 THEN round(coalesce(loaded, 0) / available, 6) ELSE 0 END AS rate FROM a LEFT JOIN l USING (source)""")
+def a14_rates(spark: SparkSession, d: str) -> DataFrame:
+    c = F.col
+    lines = read(spark, d, "lineitem").withColumn("source", F.concat("l_linestatus", c("l_linenumber").cast("string")))
+    nodes = lines.filter("l_returnflag <> 'R'").select("source", F.lit("Measurement").alias("type"), F.when(c("l_linenumber") != 7, "s").alias("source_id"), F.when(c("l_tax") >= 0.02, "CC0").otherwise("").alias("license"), F.when(c("l_quantity") <= 45, c("l_quantity")).alias("value"))
+    available = lines.groupBy("source").agg(F.count("*").alias("n")).union(spark.range(1).select(F.lit("NONE"), F.lit(0).cast("long")))
+    return merge.loaded_rates(available, nodes, merge.spurious_rows(nodes))
 
 
 @query("u06_merge_reports", "SELECT l_returnflag AS counter, count(*) + count(*) FILTER (WHERE l_linestatus = 'O') AS n, 'first:' || l_returnflag || CASE WHEN count(*) FILTER (WHERE l_linestatus = 'O') > 0 THEN ',second:' || l_returnflag ELSE '' END AS findings FROM lineitem GROUP BY l_returnflag")

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.sources.documents import read_elements
+from tidemark.sources.folders import scratch_folder  # noqa: F401
+
 PROVENANCE = "source_id string, license string, time_scope string, effective_date date, accession string, pmid string, publication_date date, publication_date_online date, publication_date_issue date, ingest_hash string"
 NODE = f"id string, type string, label string, attrs string, {PROVENANCE}"
 EDGE = f"id string, type string, src string, dst string, attrs string, {PROVENANCE}"
@@ -24,14 +24,6 @@ TRIALS = "protocolSection struct<identificationModule:struct<nctId:string,briefT
 CELLS = "map<string,struct<name:string,category:string,species:array<string>,diseases:array<struct<term:string>>>>"
 
 
-def scratch_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below the shared checkpoint folder; only a session on one machine may name none."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    return f"{(base or 'file://' + tempfile.mkdtemp(prefix='tidemark-')).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
-
-
 def read_snapshot(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Nodes, edges and exclusions from gzipped JSON lines; a gzip file is one split, so rows are dealt out after it."""
     read = lambda name, schema: spark.read.schema(schema).json(f"{folder}/{name}.jsonl.gz").repartition(spark.sparkContext.defaultParallelism)
@@ -70,9 +62,13 @@ def read_genes(spark: SparkSession, path: str) -> DataFrame:
 
 def read_literature(spark: SparkSession, paths: list[str]) -> DataFrame:
     """JSON arrays of bibliographic records, in the order of the files (file_order) and of their rows (position)."""
-    out = None
+    out, kind = None, T.StructType.fromDDL(LITERATURE)
     for i, path in enumerate(paths):
-        rows = spark.read.schema(LITERATURE).option("multiLine", True).json(path).withColumns({"file_order": F.lit(i), "position": F.monotonically_increasing_id()})
+        rows = read_elements(spark, path)
+        before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+        starts = rows.groupBy("file").agg(F.count("*").alias("n")).select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))  # a row per file
+        rows = rows.join(starts, "file").withColumn("position", F.col("start") + F.col("position"))
+        rows = rows.select("position", F.from_json("text", kind).alias("r")).select("r.*", F.lit(i).alias("file_order"), "position")
         out = rows if out is None else out.unionByName(rows)
     return out
 
@@ -97,15 +93,15 @@ def _few(table: DataFrame, most: int = 100_000) -> bool:
 
 def read_associations(spark: SparkSession, path: str) -> DataFrame:
     """One row per association of a file's JSON array, with its place in it and its distinct, sorted reported genes."""
-    kind = T.ArrayType(T.StructType.fromDDL(ASSOCIATIONS))
-    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.from_json("value", kind)).alias("position", "a")).select("position", "a.*")
+    kind = T.StructType.fromDDL(ASSOCIATIONS)
+    rows = read_elements(spark, path).select(F.col("position").cast("int").alias("position"), F.from_json("text", kind).alias("a")).select("position", "a.*")
     listed = lambda name: F.array_sort(F.array_distinct(F.filter(F.flatten(F.transform("loci", lambda x: F.coalesce(x[name], F.array().cast("array<string>")))), lambda g: g.isNotNull())))
     return rows.withColumns({"genes": listed("reportedGenes"), "risk_alleles": listed("riskAlleles")})
 
 
 def _exploded_map(spark: SparkSession, path: str, kind: str, key: str, value: str) -> DataFrame:
-    text = spark.read.text(path, wholetext=True)
-    return text.select(F.explode(F.from_json("value", kind)).alias(key, value))
+    entries = read_elements(spark, path).select(F.concat(F.lit("{"), "text", F.lit("}")).alias("entry"))
+    return entries.select(F.explode(F.from_json("entry", kind)).alias(key, value))
 
 
 def read_essentiality(spark: SparkSession, path: str) -> DataFrame:
