@@ -124,7 +124,7 @@ def rounds(lengths: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``pieces`` (any columns; doc_id, piece and length are used) with sequence_id and offset."""
-    pieces = pieces.drop("sequence_id", "offset")
+    pieces = stored(pieces.drop("sequence_id", "offset"))  # range-sorting reads them twice
     part, place, rank = (fresh(pieces, name) for name in ("part", "place", "rank"))
     ranged = durable(pieces.repartitionByRange("length", "doc_id", "piece").withColumn(part, F.spark_partition_id()))
     sums = stored(ranged.groupBy(F.col(part).alias("p"), F.col("length").cast("long").alias("l")).agg(F.count("*").alias("n")))
