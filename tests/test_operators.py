@@ -221,6 +221,21 @@ def test_documents_are_read_in_ranges(spark, tmp_path, size, kind):
         assert read == (x if kind == "array" else [{k: v} for k, v in x.items()])
 
 
+def test_slots_fold_what_runs_of_their_own_would(spark):
+    kinds = ["measurement", "genetic", "literature", "composition"]
+    rng = random.Random(8)
+    rows = [("c", f"e{i % 9}", kinds[rng.randint(0, 3)], rng.random(), rng.choice([-1, 1]), rng.random() < 0.5, D(2000, 1, 1 + i % 20), f"r{i}") for i in range(200)]
+    e = spark.createDataFrame(rows, "k string, entity string, kind string, weight double, direction int, tier boolean, date date, record string")
+    keep = F.col("kind") != "literature"
+    slots = {"all": (F.col("weight"), F.lit(True)), "even": (F.lit(0.5), F.lit(True)), "flat": (None, F.lit(True)), "some": (F.col("weight"), keep), "none": (F.col("weight"), F.lit(False))}
+    got = {(r["ablation"], r["entity"]): tuple(r)[3:] for r in ledger.roll_up_slots(e, ["k", "entity"], slots).select("k", "entity", "ablation", "log_odds", "confidence", "evidence", "max_support", "max_composition", "publications").collect()}
+    alone = {"all": ledger.roll_up(e, ["entity"]), "even": ledger.roll_up(e.withColumn("weight", F.lit(0.5)), ["entity"]), "flat": ledger.roll_up(e, ["entity"], flat=True), "some": ledger.roll_up(e.filter(keep), ["entity"])}
+    for name, table in alone.items():
+        for r in table.collect():
+            assert got[name, r["entity"]] == tuple(pytest.approx(r[c], abs=1e-5) if r[c] is not None else None for c in ("log_odds", "confidence", "evidence", "max_support", "max_composition", "publications"))
+    assert got["none", "e1"] == (round(ledger.PRIOR, 6), pytest.approx(0.05, abs=1e-6), 0, None, None, 0)
+
+
 def test_first_ids_are_few_and_distinct(spark):
     rows = spark.range(5000).select((F.col("id") % 2).alias("k"), (F.col("id") % 999).alias("record"))
     got = {r["k"]: r["record_ids"] for r in merge.first_ids(rows.withColumn("k", F.lit("hot")).union(spark.range(2).select(F.lit("cold"), F.lit(5).cast("long"))), ["k"], 4).collect()}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark import policy
@@ -67,6 +67,29 @@ def roll_up(evidence: DataFrame, keys: list[str], flat: bool = False) -> DataFra
     )
 
 
+def roll_up_slots(evidence: DataFrame, keys: list[str], slots: dict[str, tuple[Column | None, Column]]) -> DataFrame:
+    """A08 for many ablations in one pass: each slot (name: weight, condition) folds its own sums over the same rows, so that
+    scans and shuffles don't multiply. A slot without a weight leaves every claim at its prior; a claim whose evidence a slot
+    leaves out stays there, too. Gives keys, ablation, log_odds, confidence, evidence, max_support, max_composition, publications."""
+    measured, up = F.col("kind").isin("measurement", "genetic"), F.col("direction") > 0
+    folds, states = [], []
+    for i, (name, (weight, keep)) in enumerate(slots.items()):
+        own = F.col("weight") if weight is None else weight
+        when = lambda test, c: F.when(F.coalesce(test, F.lit(False)), c)
+        parts = {
+            "sum": F.sum(when(keep, F.col("direction") * own * policy.EVIDENCE_STRENGTH)),
+            "evidence": F.count_if(keep),
+            "max_support": F.max(when(keep & up & measured, own)),
+            "max_composition": F.max(when(keep & up & (F.col("kind") == "composition"), own)),
+            "publications": F.count_if(keep & (F.col("kind") == "literature") & F.col("tier")),
+        }
+        folds += [c.alias(f"{k}_{i}") for k, c in parts.items()]
+        total = F.lit(PRIOR) if weight is None else PRIOR + F.coalesce(F.col(f"sum_{i}"), F.lit(0.0))
+        rest = [F.col(f"{k}_{i}").alias(k) for k in ("evidence", "max_support", "max_composition", "publications")]
+        states.append(F.struct(F.lit(name).alias("ablation"), F.round(total, 6).alias("log_odds"), F.round(from_log_odds(total), 6).alias("confidence"), *rest))
+    return evidence.groupBy(*keys).agg(*folds).select(*keys, F.explode(F.array(*states)).alias("slot")).select(*keys, "slot.*")
+
+
 def seed_claims(rules: DataFrame, entities: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """One claim per entity that a rule is about and that the slice holds, at the prior, with its route and its number of
     publications of the tier. ``rules``: entity, rule_id, and for the kinds that have them route and tier_publications."""

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators import ingest, merge, slices
+from tidemark.operators import forecast, ingest, ledger, merge, slices
+from tidemark.plans import jobs
 
 
 def build_graph(tagged: list[DataFrame], nodes: list[DataFrame], edges: list[DataFrame]) -> dict[str, DataFrame]:
@@ -27,8 +28,23 @@ def scorecard(metrics: DataFrame, names: list[str]) -> DataFrame:
     return metrics.withColumn("shown", shown).groupBy("cutoff", "run").pivot("metric", names).agg(F.first("shown")).fillna("not run", names)
 
 
-def effects(results: DataFrame, same: float = 0.002) -> DataFrame:
+METRICS = ("p_at_5", "p_at_10", "reciprocal_rank", "hits", "ranked", "cost_p_at_5", "cost_p_at_10", "cost_reciprocal_rank", "ece", "traps_passed", "traps_vacuous", "traps_meaningful", "traps_judgement", "traps_contamination", "refusals_total", "refusals_correct", "cost_lens_moved")
+
+
+def run_matrix(evidence: DataFrame, established: DataFrame, traps: DataFrame, truth: DataFrame, slots: dict, keys: list[str], route: Column, route_weight: Column) -> DataFrame:
+    """Every slice under every ablation, from one fold of the evidence: keys, ablation, metric, value (C14 for each). A metric
+    that a run has no rows for is 0. ``traps``: keys, entity, kind, answer; ``truth``: keys, entity; ``slots`` as in ``roll_up_slots``."""
+    by, names = [*keys, "ablation"], F.explode(F.array(*map(F.lit, slots))).alias("ablation")
+    claims = forecast.reliable(forecast.decide(ledger.roll_up_slots(evidence, [*keys, "entity"], slots), established, [*by, "entity"]))
+    items = claims.filter("outcome = 'forecast'").withColumns({"symbol": F.col("entity").cast("string"), "route": route})
+    ranked = forecast.reliable(forecast.rank_two_ways(items, by, route_weight))
+    card = jobs.scorecard(claims, ranked, truth.select("*", names), traps.select("*", names), by)
+    frame = claims.select(*by).distinct().select("*", F.explode(F.array(*map(F.lit, METRICS))).alias("metric"))
+    return frame.join(card, [*by, "metric"], "left").fillna(0.0, ["value"])
+
+
+def effects(results: DataFrame, same: float = 0.002, whole: str = "full") -> DataFrame:
     """Each ablation's metric against the full run of its cutoff: same, better or worse."""
-    full = results.filter("ablation = 'full'").select("cutoff", "metric", F.col("value").alias("full_value"))
+    full = results.filter(F.col("ablation") == whole).select("cutoff", "metric", F.col("value").alias("full_value"))
     change = F.col("value") - F.col("full_value")
     return results.join(full, ["cutoff", "metric"]).withColumn("effect", F.when(F.abs(change) <= same, "same").when(change > 0, "better").otherwise("worse"))

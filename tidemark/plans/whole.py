@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import rules
 from tidemark.operators import derive, forecast, grade, graph, merge, resolve, slices, traps, weigh
 from tidemark.plans import build, jobs
-from tidemark.plans.driver import _BASE, _CUTS, _EV, _HITS, _PRIOR, _TRAPS, ASSAYS, CUTS, FAMILIES, GRAPH_CUTS, P_MOST, PERTURBATIONS, SYSTEMS, decided, established, longs, part_entities, part_pairs, query, ranked, read, trap_rows, truth_by_cutoff
+from tidemark.plans.driver import _BASE, _CUTS, _EV, _HITS, _PRIOR, _TRAPS, _TRUTH, ASSAYS, CUTS, FAMILIES, GRAPH_CUTS, P_MOST, PERTURBATIONS, ROUTES, SYSTEMS, decided, established, evidence, longs, part_entities, part_pairs, query, ranked, read, trap_rows, truth_by_cutoff
 
 OPTIONS = {"association": "A", "p_most": P_MOST, "tables": {"system": SYSTEMS, "assay": ASSAYS, "perturbation": PERTURBATIONS}}
 
@@ -78,6 +78,36 @@ def c09(spark: SparkSession, d: str) -> DataFrame:
     return found.all.select("cutoff", "entity", "kind", "direction", "weight", F.size("record_ids").cast("long").alias("records"), "route")
 
 
+_MATRIX = f"""WITH {_EV}, {_CUTS}, {_TRUTH}, {_HITS}, x AS (SELECT cutoff, entity, ab, direction, kind, tier, CASE ab WHEN 'no method signature' THEN 1.0 ELSE weight END AS weight, ab <> 'no belief revision' AS moves, ab <> 'no literature' OR kind <> 'literature' AS keep
+    FROM ev JOIN cuts ON date < cutoff CROSS JOIN (VALUES ('full system'), ('no method signature'), ('no belief revision'), ('no literature')) t(ab)),
+  rl AS (SELECT cutoff, ab, entity, round(1 / (1 + exp(-({_PRIOR} + coalesce(sum(direction * weight * 0.85) FILTER (WHERE keep AND moves), 0)))), 6) AS confidence, max(CASE WHEN keep AND direction > 0 AND kind IN ('measurement', 'genetic') THEN weight END) AS s, max(CASE WHEN keep AND direction > 0 AND kind = 'composition' THEN weight END) AS m,
+    count(*) FILTER (WHERE keep AND kind = 'literature' AND tier) AS n FROM x GROUP BY ALL),
+  dc AS (SELECT rl.*, CASE WHEN established < rl.cutoff THEN 'established' WHEN confidence >= 0.25 AND (coalesce(s, 0) >= 0.30 OR n >= 5 OR coalesce(m, 0) >= 0.25) THEN 'forecast' ELSE 'refused' END AS outcome, h.entity IS NOT NULL AS hit FROM rl LEFT JOIN truth USING (entity) LEFT JOIN hits h ON h.cutoff = rl.cutoff AND h.entity = rl.entity),
+  rk AS (SELECT *, row_number() OVER (PARTITION BY cutoff, ab ORDER BY confidence DESC, CAST(entity AS VARCHAR)) AS rank FROM dc WHERE outcome = 'forecast'),
+  tp AS (SELECT cutoff, ab, entity, entity % 3 AS answer, outcome, rank FROM (SELECT DISTINCT entity FROM ev) CROSS JOIN cuts CROSS JOIN (SELECT DISTINCT ab FROM x) LEFT JOIN (SELECT dc.cutoff, dc.ab, dc.entity, dc.outcome, rk.rank FROM dc LEFT JOIN rk USING (cutoff, ab, entity)) USING (cutoff, ab, entity)),
+  bn AS (SELECT cutoff, ab, least(CAST(floor(confidence * 5) AS INT), 4) AS bin, count(*) AS n, avg(confidence) AS mc, avg(CASE WHEN hit THEN 1.0 ELSE 0.0 END) AS ob FROM dc WHERE outcome <> 'established' GROUP BY ALL),
+  runs AS (SELECT DISTINCT cutoff, ab FROM dc),
+  v AS (SELECT cutoff, ab, 'p_at_5' AS metric, count(*) FILTER (WHERE hit AND rank <= 5) / 5 AS value FROM rk GROUP BY ALL UNION ALL SELECT cutoff, ab, 'p_at_10', count(*) FILTER (WHERE hit AND rank <= 10) / 10 FROM rk GROUP BY ALL UNION ALL SELECT cutoff, ab, 'reciprocal_rank', coalesce(1 / min(CASE WHEN hit THEN rank END), 0) FROM rk GROUP BY ALL
+    UNION ALL SELECT cutoff, ab, 'ranked', count(*) FROM rk GROUP BY ALL UNION ALL SELECT cutoff, ab, 'ece', sum(n * abs(mc - ob)) / sum(n) FROM bn GROUP BY ALL UNION ALL SELECT cutoff, ab, 'refusals_correct', count(*) FILTER (WHERE answer = 1 AND outcome = 'refused') FROM tp GROUP BY ALL),
+  r AS (SELECT cutoff, ab, metric, round(coalesce(value, 0), 6) AS value FROM runs CROSS JOIN (SELECT DISTINCT metric FROM v) LEFT JOIN v USING (cutoff, ab, metric))"""
+
+
+def matrix(spark: SparkSession, d: str) -> DataFrame:
+    weight, every = F.col("weight"), F.lit(True)
+    slots = {"full system": (weight, every), "no method signature": (F.lit(1.0), every), "no belief revision": (None, every), "no literature": (weight, F.col("kind") != "literature")}
+    at = (F.col("entity") % 5 + 1).cast("int")
+    pick = lambda values: F.element_at(F.array(*map(F.lit, values)), at)
+    names, weights = zip(*ROUTES)
+    e = slices.asof(evidence(spark, d), CUTS)
+    return build.run_matrix(e, established(spark, d), trap_rows(spark, d).drop("passed", "vacuous"), truth_by_cutoff(spark, d).select("cutoff", "entity"), slots, ["cutoff"], pick(names), pick(weights))
+
+
+@query("c15_effects", f"{_MATRIX} SELECT CAST(r.cutoff AS VARCHAR) AS cutoff, r.ab AS ablation, metric, r.value, f.value AS full_value, CASE WHEN abs(r.value - f.value) <= 0.002 THEN 'same' WHEN r.value > f.value THEN 'better' ELSE 'worse' END AS effect FROM r JOIN (SELECT cutoff, metric, value FROM r WHERE ab = 'full system') f USING (cutoff, metric)")
+def c15_effects(spark: SparkSession, d: str) -> DataFrame:
+    shown = matrix(spark, d).filter(F.col("metric").isin("p_at_5", "p_at_10", "reciprocal_rank", "ranked", "ece", "refusals_correct"))
+    return build.effects(shown.withColumn("value", F.round("value", 6)), whole="full system").withColumn("cutoff", F.col("cutoff").cast("string"))
+
+
 @query("a07_modality_rules", f"""WITH {_JOB}, {_CLAIMS}, named AS (SELECT cutoff, entity, record FROM w WHERE assay = 'A' AND p < 0.005 UNION SELECT w.cutoff, w.entity, record FROM w SEMI JOIN ess USING (cutoff, entity) WHERE phenotype = 'cell_fitness'
     UNION SELECT cutoff, entity, record FROM w WHERE phenotype <> 'cell_fitness' AND assay <> 'A' UNION SELECT cutoff, entity, record FROM used WHERE k <= 400 UNION SELECT cutoff, entity, best_record FROM com),
   ids AS (SELECT cutoff, entity, list(id ORDER BY id) AS ids FROM (SELECT cutoff, entity, CAST(record AS VARCHAR) AS id, row_number() OVER (PARTITION BY cutoff, entity ORDER BY CAST(record AS VARCHAR)) AS place FROM named) WHERE place <= 50 GROUP BY ALL)
