@@ -314,9 +314,10 @@ def test_readers(spark, tmp_path):
     got = {r["symbol"]: (r["established"], r["record"], r["adjudicated"]) for r in readers.load_rulebook(book, fix).collect()}
     assert got == {"A": (False, "r9", True), "B": (True, "r2", False), "C": (True, "r3", True)}
     rows = spark.createDataFrame([("r", "c", 1)], "run_id string, claim string, seq int")
-    for _ in range(2):
-        ledger.append_ledger(rows, str(tmp_path / "ledger"))
-    assert ledger.read_ledger(spark, str(tmp_path / "ledger"), "r", "c").count() == 2
+    for run in ("r", "r", "s"):  # a repeated run adds nothing
+        ledger.append_ledger(rows, str(tmp_path / "ledger"), run)
+    assert ledger.read_ledger(spark, str(tmp_path / "ledger"), "r", "c").count() == 1
+    assert ledger.read_ledger(spark, str(tmp_path / "ledger"), claim="c").count() == 2
 
 
 def test_answers(spark):

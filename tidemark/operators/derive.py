@@ -54,9 +54,15 @@ def earliest(rows: DataFrame, keys: list[str], most: int = policy.LITERATURE_CAP
 
 
 def literature_evidence(publications: DataFrame, keys: list[str], most: int = policy.LITERATURE_CAP) -> DataFrame:
-    """The tier's publications if an entity has any, else all, the earliest of them."""
-    has = F.max(F.col("tier").cast("int")).over(Window.partitionBy(*keys))
-    return earliest(publications.withColumn("has", has).filter((F.col("has") == 0) | F.col("tier")).drop("has"), keys, most)
+    """The tier's publications if an entity has any, else all, the earliest of them.
+
+    The earliest of the tier and of the others are found apart, each cut to ``most`` in every part before the shuffle, so no
+    task takes all publications of an entity; the tier's come first in what is left.
+    """
+    tiered = publications.withColumn("_other", ~F.coalesce("tier", F.lit(False)))
+    first = earliest(tiered, [*keys, "_other"], most).drop("k")
+    has = F.min("_other").over(Window.partitionBy(*keys))  # at most twice ``most`` rows of an entity
+    return earliest(first.withColumn("_has", ~has).filter(~F.col("_has") | ~F.col("_other")).drop("_has", "_other"), keys, most)
 
 
 def best_measurement(genetic: DataFrame, functional: DataFrame, keys: list[str]) -> DataFrame:

@@ -46,18 +46,24 @@ def listing(nodes: DataFrame, kind: str, limit: int) -> DataFrame:
     return nodes.filter(F.col("type") == kind).orderBy("effective_date", "id").limit(limit)
 
 
+def _first_and_total(rows: DataFrame, key: str, order: list, most: int) -> DataFrame:
+    """The first ``most`` rows of each key with their place, and how many rows it has. Each part is cut to a key's first rows
+    before the shuffle and counts its rows by key, so no task takes all rows of one key."""
+    place = F.row_number().over(Window.partitionBy(key).orderBy(*order))
+    first = rows.withColumn("place", place).filter(F.col("place") <= most)
+    totals = rows.groupBy(F.col(key).alias("_key")).agg(F.count("*").alias("total"))
+    return first.join(totals, F.col(key).eqNullSafe(F.col("_key"))).drop("_key")
+
+
 def latest(rows: DataFrame, key: str, date: str, record: str, most: int = 20) -> DataFrame:
     """The newest ``most`` rows of each entity, with how many it has in all."""
-    w = Window.partitionBy(key)
-    out = rows.withColumns({"place": F.row_number().over(w.orderBy(F.desc(date), record)), "total": F.count("*").over(w)})
-    return out.filter(F.col("place") <= most)
+    return _first_and_total(rows, key, [F.desc(date), F.col(record)], most)
 
 
 def partners(edges: DataFrame, most: int = 20) -> DataFrame:
     """Distinct (partner, group) in either direction, in order, the first ``most``, with the total."""
     both = edges.select(F.col("src").alias("entity"), F.col("dst").alias("partner"), "group").union(edges.select("dst", "src", "group")).distinct()
-    w = Window.partitionBy("entity")
-    return both.withColumns({"place": F.row_number().over(w.orderBy("partner", "group")), "total": F.count("*").over(w)}).filter(F.col("place") <= most)
+    return _first_and_total(both, "entity", [F.col("partner"), F.col("group")], most)
 
 
 def by_publication_count(entities: DataFrame, publications: DataFrame) -> DataFrame:

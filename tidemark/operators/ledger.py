@@ -4,41 +4,50 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark import policy
 from tidemark.functions.scalars import from_log_odds
+from tidemark.operators.scans import running
+from tidemark.sources import runs
 
 PRIOR = math.log(policy.PRIOR_CONFIDENCE / (1 - policy.PRIOR_CONFIDENCE))
 
 
-def literature_increments(publications: DataFrame, keys: list[str]) -> DataFrame:
-    """The k-th publication by date and id adds ln(1+k) - ln(k), a quarter of it outside the tier; n of them ln(1+n)."""
-    k = F.row_number().over(Window.partitionBy(*keys).orderBy("date", "record"))
-    step = (F.log1p("k") - F.log("k")) * policy.LITERATURE_SCALE * F.when(F.col("tier"), 1.0).otherwise(policy.OTHER_LITERATURE)
-    return publications.withColumn("k", k).withColumn("weight", step / policy.EVIDENCE_STRENGTH).withColumn("direction", F.lit(1))
+def literature_weight(k: Column) -> Column:
+    """The k-th publication adds ln(1+k) - ln(k), a quarter of it outside the tier; n of them ln(1+n)."""
+    step = (F.log1p(k) - F.log(k)) * policy.LITERATURE_SCALE * F.when(F.col("tier"), 1.0).otherwise(policy.OTHER_LITERATURE)
+    return step / policy.EVIDENCE_STRENGTH
 
 
-def essentiality_increments(rows: DataFrame, keys: list[str]) -> DataFrame:
+def literature_increments(publications: DataFrame, keys: list[str], parts: int | None = None) -> DataFrame:
+    """Publications with their place k by date and id, weight and direction."""
+    rows = running(publications, keys, ["date", "record"], {"k": F.lit(1)}, parts).drop("k_total").withColumn("k", (F.col("k") + 1).cast("int"))
+    return rows.withColumns({"weight": literature_weight(F.col("k")), "direction": F.lit(1)})
+
+
+def essentiality_increments(rows: DataFrame, keys: list[str], parts: int | None = None) -> DataFrame:
     """The hits of pan-essential entities, harmonic shares that sum to 1.20 times the hit fraction, downwards.
 
-    ``rows``: keys, date, record, hit.
+    ``rows``: keys, date, record, hit (null: unknown, neither a hit nor counted).
     """
-    every = Window.partitionBy(*keys)
-    rows = rows.withColumn("fraction", F.avg(F.col("hit").cast("int")).over(every)).filter(F.col("hit") & (F.col("fraction") >= policy.PAN_ESSENTIAL))
-    rows = rows.withColumn("k", F.row_number().over(every.orderBy("date", "record"))).withColumn("n", F.count("*").over(every))
-    share = (F.log1p("k") - F.log("k")) / F.log1p("n")
-    return rows.withColumn("weight", policy.ESSENTIALITY_CEILING * F.col("fraction") * share / policy.EVIDENCE_STRENGTH).withColumn("direction", F.lit(-1))
+    counted = running(rows, keys, ["date", "record"], {"k": F.col("hit").cast("int"), "n": F.when(F.col("hit").isNotNull(), 1)}, parts)
+    fraction, n = F.col("k_total") / F.nullif("n_total", F.lit(0)), F.col("k_total")
+    k = F.col("k") + 1  # hits before it, and itself
+    share = (F.log1p(k) - F.log(k)) / F.log1p(n)
+    found = counted.filter(F.col("hit") & (fraction >= policy.PAN_ESSENTIAL))
+    weight = policy.ESSENTIALITY_CEILING * F.col("fraction") * share / policy.EVIDENCE_STRENGTH
+    found = found.withColumns({"fraction": fraction}).withColumns({"weight": weight, "direction": F.lit(-1)})
+    return found.withColumns({"k": k.cast("int"), "n": n}).drop("k_total", "n_total")
 
 
-def revise(evidence: DataFrame, keys: list[str]) -> DataFrame:
+def revise(evidence: DataFrame, keys: list[str], parts: int | None = None) -> DataFrame:
     """Each claim's log-odds in the order of date and record: seq, delta, prior and posterior, and their confidences."""
-    order = Window.partitionBy(*keys).orderBy("date", "record")
     delta = F.col("direction") * F.col("weight") * policy.EVIDENCE_STRENGTH
-    upto = F.sum("delta").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    before = F.coalesce(F.sum("delta").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    out = evidence.withColumn("delta", delta).withColumns({"seq": F.row_number().over(order), "prior": PRIOR + before, "posterior": PRIOR + upto})
+    out = running(evidence.withColumn("delta", delta), keys, ["date", "record"], {"seq": F.lit(1), "prior": F.col("delta")}, parts)
+    out = out.withColumns({"seq": (F.col("seq") + 1).cast("int"), "prior": PRIOR + F.col("prior")}).drop("seq_total", "prior_total")
+    out = out.withColumn("posterior", F.col("prior") + F.coalesce("delta", F.lit(0.0)))
     return out.withColumns({"prior_confidence": from_log_odds(F.col("prior")), "posterior_confidence": from_log_odds(F.col("posterior"))})
 
 
@@ -99,15 +108,14 @@ def seed_claims(rules: DataFrame, entities: DataFrame, keys: list[str] | None =
     return known.withColumns({"claim": F.concat(F.lit("claim:"), F.col("entity").cast("string")), "prior_confidence": F.lit(policy.PRIOR_CONFIDENCE)})
 
 
-def append_ledger(ledger: DataFrame, path: str) -> None:
-    """Rows are only ever added; ``run_id`` is the partition."""
-    ledger.write.mode("append").partitionBy("run_id").parquet(path)
+def append_ledger(ledger: DataFrame, path: str, run_id: str) -> bool:
+    """Rows are only ever added, by whole runs, each exactly once: a repeated run changes nothing (False)."""
+    return runs.append(ledger, path, run_id)
 
 
-def read_ledger(spark, path: str, run_id: str | None = None, claim=None) -> DataFrame:
-    rows = spark.read.parquet(path)
-    if run_id is not None:
-        rows = rows.filter(F.col("run_id") == run_id)
-    if claim is not None:
-        rows = rows.filter(F.col("claim") == claim)
-    return rows.orderBy("claim", "seq")
+def read_ledger(spark: SparkSession, path: str, run_id: str | None = None, claim=None) -> DataFrame:
+    """The committed rows by claim and seq; an empty (run_id, claim, seq) table if no such run was committed."""
+    rows = runs.read(spark, path, run_id)
+    if rows is None:
+        return spark.createDataFrame([], "run_id string, claim string, seq int")
+    return (rows if claim is None else rows.filter(F.col("claim") == claim)).orderBy("claim", "seq")

@@ -11,7 +11,7 @@ from tidemark import policy
 from tidemark.functions import rules, scalars, text
 from tidemark.operators import derive, forecast, grade, ingest, ledger, merge, resolve
 from tidemark.plans import build
-from tidemark.plans.driver import _EV, evidence, graph_tables, longs, part_entities, query, read
+from tidemark.plans.driver import _EV, _NEGATED, evidence, graph_tables, longs, part_entities, query, read
 from tidemark.sources import readers, redistribution
 
 #: Records of one JSON document, where a source publishes documents and not lines.
@@ -100,13 +100,18 @@ def s05(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("id", "pmid", F.char_length("title").cast("long").alias("title_length"), F.size("matched_genes").cast("long").alias("genes"))
 
 
+# a symbol is named if one of its terms has a place without a negation right before it
+def _named(terms: str) -> str:
+    places = rf"len(regexp_extract_all(lower(text), '\b(?:{terms})\b'))"
+    return rf"{places} > len(regexp_extract_all(lower(text), '(?:{_NEGATED})\s{{0,{policy.NEGATION_WINDOW}}}\b(?:{terms})\b'))"
+
+
 @query("c03_ingest_publications", f"""WITH {_DOC}, r AS (SELECT *, CASE WHEN pmid IS NULL THEN 'malformed_record' WHEN NOT dated THEN 'unresolvable_date' END AS reason FROM d),
   f AS (SELECT *, row_number() OVER (PARTITION BY pmid ORDER BY reason IS NOT NULL, k) AS place FROM r)
 SELECT coalesce(pmid, CAST(k AS VARCHAR)) AS source_id, CASE WHEN dated THEN '2010-03-' || lpad(CAST(k % 28 + 1 AS VARCHAR), 2, '0') END AS date, CASE WHEN pmid IS NULL THEN '' ELSE
-  array_to_string(list_filter([CASE WHEN k % 3 = 0 AND regexp_matches(lower(text), '\\bund\\b') THEN 'DER' END, CASE WHEN regexp_matches(lower(text), '\\bof\\b|\\band\\b') THEN 'THE' END], lambda x: x IS NOT NULL), ',') END AS genes, reason AS reject_reason FROM f WHERE place = 1 OR pmid IS NULL""".replace("\\\\", "\\"))
+  array_to_string(list_filter([CASE WHEN k % 3 = 0 AND {_named("und")} THEN 'DER' END, CASE WHEN {_named("of|and")} THEN 'THE' END], lambda x: x IS NOT NULL), ',') END AS genes, reason AS reject_reason FROM f WHERE place = 1 OR pmid IS NULL""")
 def c03(spark: SparkSession, d: str) -> DataFrame:
     rows = readers.read_literature(spark, [literature_file(spark, d)]).withColumn("position", F.col("id").cast("long"))
-    rows = rows.withColumn("title", F.regexp_replace("title", r"(?i)but not|rather than|independent(ly)? of|excluding|without|not", " ; "))
     out = ingest.publication_rows(rows, {"THE": ["of", "and"], "DER": ["und"]})
     return out.select("source_id", F.col("date").cast("string").alias("date"), F.array_join("genes", ",").alias("genes"), "reject_reason")
 
@@ -351,12 +356,12 @@ def s03(spark: SparkSession, d: str) -> DataFrame:
     return readers.verify_snapshot(spark, path, manifest, F.concat(F.regexp_extract("path", r"file=([^/]+)/", 1), F.lit(".txt")))
 
 
-@query("s14_append_ledger", f"WITH {_EV}, a AS (SELECT entity, count(*) AS n FROM ev GROUP BY entity) SELECT run AS run_id, entity, CASE WHEN run = 'r2' THEN 2 * n ELSE n END AS n FROM a CROSS JOIN (VALUES ('r1'), ('r2')) t(run)")
+@query("s14_append_ledger", f"WITH {_EV}, a AS (SELECT entity, count(*) AS n FROM ev GROUP BY entity) SELECT run AS run_id, entity, n FROM a CROSS JOIN (VALUES ('r1'), ('r2')) t(run)")
 def s14(spark: SparkSession, d: str) -> DataFrame:
     path = folder(spark, "ledger")
     revised = ledger.revise(evidence(spark, d), ["entity"]).select(F.col("entity").alias("claim"), "entity", "seq", "posterior")
-    for run in ("r1", "r2", "r2"):
-        ledger.append_ledger(revised.withColumn("run_id", F.lit(run)), path)
+    for run in ("r1", "r2", "r2"):  # the second r2 adds nothing
+        ledger.append_ledger(revised, path, run)
     rows = ledger.read_ledger(spark, path, "r1").union(ledger.read_ledger(spark, path, "r2"))
     return rows.groupBy("run_id", "entity").agg(F.count("*").alias("n"))
 
@@ -448,10 +453,9 @@ def f02(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "part").select(key().alias("id"), text.fold_greek(F.concat(F.lit("Pβ"), key(), F.lit("-γΓ omegaω"))).alias("folded"))
 
 
-@query("f03_usable_terms", "SELECT p_partkey AS id, CASE WHEN p_partkey < 10 THEN 'HRI,P' || p_partkey || ',gene' || p_partkey ELSE 'HRI,P' || p_partkey || ',gene' || p_partkey || ',x' || p_partkey END AS terms FROM part WHERE p_partkey < 10 OR p_partkey >= 100")
+@query("f03_usable_terms", "SELECT p_partkey AS id, CASE WHEN p_partkey < 100 THEN 'HRI,P' || p_partkey || ',gene' || p_partkey ELSE 'HRI,P' || p_partkey || ',gene' || p_partkey || ',x' || p_partkey END AS terms FROM part")
 def f03(spark: SparkSession, d: str) -> DataFrame:
-    p = read(spark, d, "part").filter("p_partkey < 10 OR p_partkey >= 100")
-    return p.select(key().alias("id"), F.array_join(text.usable_terms(name("P", key()), F.array(F.lit("ab"), name("x", key()), name("gene", key()), F.lit("HRI"), name("gene", key())), ("HRI",)), ",").alias("terms"))
+    return read(spark, d, "part").select(key().alias("id"), F.array_join(text.usable_terms(name("P", key()), F.array(F.lit("ab"), name("x", key()), name("gene", key()), F.lit("HRI"), name("gene", key())), ("HRI",)), ",").alias("terms"))
 
 
 @query("f04_term_pattern", r"SELECT doc_id AS id, len(regexp_extract_all(lower(text), '\bof[-\s]*the\b')) AS n FROM documents")

@@ -79,7 +79,8 @@ def gather_evidence(rules: Rules, publications: DataFrame, keys: list[str], asso
     tag = lambda table, kind, tier=False: table.withColumns({"kind": F.lit(kind)} | ({} if tier else {"tier": F.lit(False)})).select(*columns)
     fitness = rules.weighed.filter("trait_family = 'FITNESS'").join(rules.essential.select(*by), by, "left_semi")
     measured = rules.weighed.filter((own & (F.col("assay") != association)) | strong).withColumn("direction", F.lit(1))
-    papers = ledger.literature_increments(derive.literature_evidence(publications, by).drop("k"), by)
+    papers = derive.literature_evidence(publications, by)  # at most LITERATURE_CAP of an entity, already numbered
+    papers = papers.withColumns({"weight": ledger.literature_weight(F.col("k")), "direction": F.lit(1)})
     composed = rules.composed.select(*by, F.col("best_date").alias("date"), F.col("best_record").alias("record"), F.lit(1).alias("direction"), F.col("transferred").alias("weight"))
     return merge.union_all(tag(ledger.essentiality_increments(fitness.drop("weight"), by), "measurement"), tag(measured, "measurement"), tag(papers, "literature", True), tag(composed, "composition"))
 
