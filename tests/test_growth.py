@@ -11,7 +11,7 @@ from tidemark import policy
 from tidemark.operators import graph, ledger
 from tidemark.operators.derive import literature_evidence
 from tidemark.operators.scans import in_ranges, running
-from tidemark.sources import runs
+from tidemark.sources import readers, runs
 
 EVIDENCE = "entity string, date date, record long, direction int, weight double, tier boolean, hit boolean"
 
@@ -112,3 +112,16 @@ def test_a_crash_before_the_commit_leaves_nothing_visible(spark, tmp_path):
     assert runs.commit(spark, path, "r1", won) and not runs.commit(spark, path, "r1", late)
     assert runs.committed(spark, path) == {"r1": won} and runs.read(spark, path).count() == 3
     assert lost != late and runs.sweep(spark, path) == 2 and runs.read(spark, path, "r1").count() == 3
+
+
+def test_hit_files_are_chosen_by_name(spark, tmp_path):
+    line = "7\t{}\tT\tAA\tp|q\t0.1\t-\t-\tYES\n"
+    for name, n in (("SCREEN_7-b", 400), ("SCREEN_7-a [x]{1}", 2), ("SCREEN_8-a", 3), ("SCREEN_x-a", 9), ("notes", 9)):
+        (tmp_path / f"{name}.tab.txt").write_text("#head\n" + "".join(line.format(i) for i in range(n)))
+    chosen = readers.hit_files(spark, str(tmp_path))
+    assert {(r["screen_id"], r["path"].rsplit("/", 1)[1]) for r in chosen.collect()} == {(7, "SCREEN_7-a [x]{1}.tab.txt"), (8, "SCREEN_8-a.tab.txt")}
+    hits = readers.read_hits(spark, str(tmp_path))
+    assert len(hits.inputFiles()) == 2 and chosen.agg(F.sum("bytes")).first()[0] < 400
+    assert sorted((r["screen_id"], r["IDENTIFIER_ID"]) for r in hits.collect()) == [(7, "0"), (7, "1"), (8, "0"), (8, "1"), (8, "2")]
+    (tmp_path / "none").mkdir()
+    assert readers.read_hits(spark, str(tmp_path / "none")).count() == 0

@@ -96,19 +96,21 @@ def modality_rules(entities: DataFrame, essential: DataFrame, keys: list[str] |
     return out.withColumn("call", call).select(*keys, "call.*")
 
 
-def modality_support(rules: DataFrame, routes: DataFrame, keys: list[str] | None = None, most: int = 50) -> DataFrame:
+def modality_support(records: DataFrame, routes: DataFrame, keys: list[str] | None = None, most: int = 50) -> DataFrame:
     """A rule row per entity that any other rule is about: keys, entity, rule_id, kind, direction, weight, route and the first
-    ``most`` distinct record ids of those rules. An entity whose rules name no record has none. ``rules``: keys, entity, record_ids."""
+    ``most`` distinct record ids of those rules. An entity whose rules name no record has none. ``records``: keys, entity, record,
+    a row per record of a rule."""
     by = [*(keys or []), "entity"]
-    ids = first_ids(rules.select(*by, F.explode("record_ids").alias("record")), by, most)
+    ids = first_ids(records, by, most)
     named = F.concat(F.lit("rule:modality:"), F.col("entity").cast("string")).alias("rule_id")
     return ids.join(routes, by).select(*by, named, F.lit("modality").alias("kind"), F.lit("none").alias("direction"), F.lit(0.0).alias("weight"), "route", "record_ids")
 
 
-def gate(rules: DataFrame) -> DataFrame:
-    """Rules with reject_reason, the first failed condition, null for good ones; nothing is dropped here."""
+def gate(rules: DataFrame, count: Column | None = None) -> DataFrame:
+    """Rules with reject_reason, the first failed condition, null for good ones; nothing is dropped here. ``count``: how many
+    records a rule has, where it doesn't hold them as an array."""
     reason = (
-        F.when(F.coalesce(F.size("records"), F.lit(0)) < 1, "no record")
+        F.when(F.coalesce(F.size("records") if count is None else count, F.lit(0)) < 1, "no record")
         .when(F.coalesce(F.trim("statement"), F.lit("")) == "", "blank statement")
         .when(~F.coalesce(F.col("confidence").between(0, 1), F.lit(False)), "confidence outside 0..1")
         .when(F.col("direction").isNotNull() & F.col("phenotype").isNull(), "direction without phenotype")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tidemark import policy
 from tidemark.functions import rules as decisions
+from tidemark.functions import scalars
 from tidemark.operators import derive, forecast, grade, graph, ledger, merge, resolve, weigh
 
 ASSOCIATION = "gwas_association"
@@ -22,7 +23,8 @@ ASSOCIATION = "gwas_association"
 
 @dataclass(frozen=True)
 class Rules:
-    """What C09 finds in a slice: the weighed rows, one table per rule kind, and all rules in one form."""
+    """What C09 finds in a slice: the weighed rows, one table per rule kind, all rules in one form with the number of their
+    records, and these records as rows (keys, entity, kind, record), so that no rule holds a list that grows with the data."""
 
     weighed: DataFrame
     genetic: DataFrame
@@ -32,11 +34,12 @@ class Rules:
     composed: DataFrame
     routes: DataFrame
     all: DataFrame
+    records: DataFrame
 
 
 def weigh_and_extract(measurements: DataFrame, phenotypes: DataFrame, publications: DataFrame, edges: DataFrame, genes: DataFrame, keys: list[str], association: str = ASSOCIATION, p_most: float = policy.GENOME_WIDE, tables: dict[str, dict] | None = None, uniform: bool = False) -> Rules:
-    """Weights (J11, J12), the five rule kinds with their record ids, and each rule's route; rules that the gate
-    rejects are left out of ``all``."""
+    """Weights (J11, J12), the five rule kinds with their records, and each rule's route; rules that the gate (P19) rejects
+    are left out of ``all``."""
     by = [*keys, "entity"]
     kinds = phenotypes.select("phenotype", F.col("family").alias("trait_family"))
     rows = weigh.directness_of(measurements, phenotypes).join(kinds, "phenotype", "left")
@@ -48,26 +51,38 @@ def weigh_and_extract(measurements: DataFrame, phenotypes: DataFrame, publicatio
     literature = derive.literature_rules(publications, by)
     best = derive.best_measurement(genetic, functional, by)
     composed = forecast.reliable(derive.composition(edges, best, best, keys))
-    none = lambda kind: F.lit(None).cast(kind)
-    ids = F.col("record_ids").cast("array<string>").alias("record_ids")
+    count = F.col("records").cast("long")
+    no_tier = F.lit(None).cast("long")
 
-    def form(table: DataFrame, kind: str, direction, weight, records, tier=None) -> DataFrame:
-        return table.select(*by, F.concat(F.lit(f"rule:{kind}:"), F.col("entity").cast("string")).alias("rule_id"), F.lit(kind).alias("kind"), direction.alias("direction"), weight.alias("weight"), records, (none("long") if tier is None else tier).alias("tier_publications"))
+    def form(table: DataFrame, kind: str, direction, weight, records=count, tier=no_tier) -> DataFrame:
+        rule_id = F.concat(F.lit(f"rule:{kind}:"), F.col("entity").cast("string")).alias("rule_id")
+        return table.select(*by, rule_id, F.lit(kind).alias("kind"), direction.alias("direction"), weight.alias("weight"), records.alias("records"), tier.alias("tier_publications"))
 
-    earliest = derive.literature_evidence(publications, by).groupBy(*by).agg(F.array_sort(F.collect_list("record")).cast("array<string>").alias("record_ids"))
+    # of the tier's publications, or of all if there is none of the tier, as many as the cap lets count
+    papers = F.least(F.lit(policy.LITERATURE_CAP), F.when(F.col("tier_publications") > 0, F.col("tier_publications")).otherwise(F.col("publications"))).cast("long")
     found = merge.union_all(
-        form(genetic, "genetic", F.lit("none"), F.col("weight_total"), ids),
-        form(essential, "essentiality", F.when(F.col("pan_essential"), "decreases").otherwise("none"), F.col("weight_total"), ids),
-        form(functional, "functional", F.lit("increases"), F.col("weight_total"), ids),
-        form(literature.join(earliest, by), "literature", F.lit("none"), F.col("weight"), ids, F.col("tier_publications")),
-        form(composed, "composition", F.lit("increases"), F.col("transferred"), F.array(F.col("best_record").cast("string")).alias("record_ids")),
+        form(genetic, "genetic", F.lit("none"), F.col("weight_total")),
+        form(essential, "essentiality", F.when(F.col("pan_essential"), "decreases").otherwise("none"), F.col("weight_total"), F.col("n")),
+        form(functional, "functional", F.lit("increases"), F.col("weight_total")),
+        form(literature, "literature", F.lit("none"), F.col("weight"), papers, F.col("tier_publications")),
+        form(composed, "composition", F.lit("increases"), F.col("transferred"), F.lit(1).cast("long")),
+    )
+    strong = weighed.filter((F.col("assay") == association) & scalars.significant(F.col("p"), p_most))
+    fitness = weighed.filter("trait_family = 'FITNESS'").join(essential.select(*by), by, "left_semi")
+    named = lambda rows, kind, record="record": rows.select(*by, F.lit(kind).alias("kind"), F.col(record).cast("string").alias("record"))
+    records = merge.union_all(
+        named(strong, "genetic"),
+        named(fitness, "essentiality"),
+        named(weighed.filter(own & (F.col("assay") != association)), "functional"),
+        named(derive.literature_evidence(publications, by), "literature"),
+        named(composed, "composition", "best_record"),
     )
     subjects = found.select(*by).distinct().join(genes, "entity")
     subjects = subjects.join(genetic.select(*by, F.lit(True).alias("cis_element")), by, "left").withColumn("raises", F.lit(True))
     routes = derive.modality_rules(subjects, essential, keys)
-    checked = derive.gate(found.withColumns({"records": F.col("record_ids"), "statement": F.col("rule_id"), "confidence": F.lit(0.0), "phenotype": F.lit("phenotype"), "subjects": F.array("entity")}))
+    checked = derive.gate(found.withColumns({"statement": F.col("rule_id"), "confidence": F.lit(0.0), "phenotype": F.lit("phenotype"), "subjects": F.array("entity")}), F.col("records"))
     kept = checked.filter("reject_reason IS NULL").select(*found.columns).join(routes.select(*by, "route"), by, "left")
-    return Rules(weighed, genetic, essential, functional, literature, composed, routes, kept)
+    return Rules(weighed, genetic, essential, functional, literature, composed, routes, kept, records)
 
 
 def gather_evidence(rules: Rules, publications: DataFrame, keys: list[str], association: str = ASSOCIATION, p_most: float = policy.GENOME_WIDE) -> DataFrame:
@@ -114,7 +129,7 @@ def hold_out(measurements: DataFrame, phenotypes: DataFrame, publications: DataF
     nothing = full.weighed.limit(0)
     # The entity hidden is the subject of its own composition; as a partner it would only bear on other claims.
     routed = derive.composition(edges.filter("src <> dst"), best, None, keys)
-    left = Rules(nothing, full.genetic.limit(0), full.essential.limit(0), full.functional.limit(0), full.literature, routed, full.routes, merge.union_all(full.all.filter("kind = 'literature'"), routed.select(*by, F.concat(F.lit("rule:composition:"), F.col("entity").cast("string")).alias("rule_id"), F.lit("composition").alias("kind"))))
+    left = Rules(nothing, full.genetic.limit(0), full.essential.limit(0), full.functional.limit(0), full.literature, routed, full.routes, merge.union_all(full.all.filter("kind = 'literature'"), routed.select(*by, F.concat(F.lit("rule:composition:"), F.col("entity").cast("string")).alias("rule_id"), F.lit("composition").alias("kind"))), full.records.limit(0))
     without = revise_beliefs(left, publications, genes, keys, **plain)
     counts = measurements.groupBy(*by).agg(F.count("*").alias("hidden")).filter("hidden >= 2").join(labels, "entity")
     eligible = counts if most is None else forecast.first_of(counts, keys, most, "label", "entity")

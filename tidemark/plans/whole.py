@@ -75,7 +75,7 @@ def beliefs(spark: SparkSession, d: str, **more) -> DataFrame:
 SELECT cutoff, entity, kind, direction, weight, n AS records, route FROM ids JOIN claims USING (cutoff, entity)""")
 def c09(spark: SparkSession, d: str) -> DataFrame:
     found, _ = rule_set(spark, d)
-    return found.all.select("cutoff", "entity", "kind", "direction", "weight", F.size("record_ids").cast("long").alias("records"), "route")
+    return found.all.select("cutoff", "entity", "kind", "direction", "weight", "records", "route")
 
 
 _MATRIX = f"""WITH {_EV}, {_CUTS}, {_TRUTH}, {_HITS}, x AS (SELECT cutoff, entity, ab, direction, kind, tier, CASE ab WHEN 'no method signature' THEN 1.0 ELSE weight END AS weight, ab <> 'no belief revision' AS moves, ab <> 'no literature' OR kind <> 'literature' AS keep
@@ -114,7 +114,7 @@ def c15_effects(spark: SparkSession, d: str) -> DataFrame:
 SELECT cutoff, entity, 'rule:modality:' || entity AS rule_id, route, len(ids) AS records, array_to_string(ids, ',') AS record_ids FROM claims JOIN ids USING (cutoff, entity)""")
 def a07(spark: SparkSession, d: str) -> DataFrame:
     found, _ = rule_set(spark, d)
-    rows = derive.modality_support(found.all, found.routes, ["cutoff"])
+    rows = derive.modality_support(found.records, found.routes, ["cutoff"])
     return rows.select("cutoff", "entity", "rule_id", "route", F.size("record_ids").cast("long").alias("records"), F.array_join("record_ids", ",").alias("record_ids"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -78,17 +80,27 @@ def read_screens(spark: SparkSession, glob: str) -> DataFrame:
     return spark.read.schema(SCREENS).option("multiLine", True).json(glob).filter("http_status = 200")
 
 
-def read_hits(spark: SparkSession, glob: str, number: str = r"SCREEN_(\d+)-", named_by: str = "_metadata.file_name") -> DataFrame:
-    """Hit tables, the screen's id from the file's name (or path), the first file of each screen. Small files share tasks."""
-    schema = "IDENTIFIER_NUMBER string, IDENTIFIER_ID string, IDENTIFIER_TYPE string, OFFICIAL_SYMBOL string, ALIASES string, `SCORE.1` string, `SCORE.2` string, `SCORE.3` string, HIT string"
-    raw = spark.read.schema(schema).option("recursiveFileLookup", "true").csv(glob, sep="\t", comment="#", enforceSchema=True)
-    named = raw.withColumns({"file": F.col(named_by), "screen_id": F.regexp_extract(F.col(named_by), number, 1).cast("long")})
-    first = named.groupBy("screen_id").agg(F.min("file").alias("file"))
-    return named.join(F.broadcast(first) if _few(first) else first, ["screen_id", "file"]).select("screen_id", "IDENTIFIER_ID", "IDENTIFIER_TYPE", "OFFICIAL_SYMBOL", F.split("ALIASES", r"\|").alias("aliases"), F.col("`SCORE.1`").alias("score_1"), F.col("`SCORE.2`").alias("score_2"), F.col("`SCORE.3`").alias("score_3"), (F.upper("HIT") == "YES").alias("hit"))
+def hit_files(spark: SparkSession, glob: str, number: str = r"SCREEN_(\d+)-", named_by: str = "_metadata.file_name") -> DataFrame:
+    """The first file of each screen by name: screen_id, path, bytes. From a listing alone; no file is opened. Files whose name
+    has no screen's number belong to none."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(glob)
+    named = listed.select(F.regexp_extract(named_by, number, 1).try_cast("long").alias("screen_id"), F.col(named_by).alias("name"), "path", F.col("length").alias("bytes"))
+    return named.filter("screen_id IS NOT NULL").groupBy("screen_id").agg(F.min_by(F.struct("path", "bytes"), F.struct("name", "path")).alias("f")).select("screen_id", "f.*")
 
 
-def _few(table: DataFrame, most: int = 100_000) -> bool:
-    return table.limit(most + 1).count() <= most
+def read_hits(spark: SparkSession, glob: str, number: str = r"SCREEN_(\d+)-", named_by: str = "_metadata.file_name") -> DataFrame:
+    """Hit tables, the screen's id from the file's name (or path), the first file of each screen.
+
+    The files are chosen from their names (``hit_files``) before any is read, so others cost nothing and none is read twice;
+    Spark packs small ones into shared splits. The driver holds the chosen paths, one per screen, as any scan of them would.
+    """
+    schema = "IDENTIFIER_NUMBER string, IDENTIFIER_ID string, IDENTIFIER_TYPE string, OFFICIAL_SYMBOL string, ALIASES string, `SCORE.1` string, `SCORE.2` string, `SCORE.3` string, HIT string"
+    chosen = sorted(r["path"] for r in hit_files(spark, glob, number, named_by).select("path").collect())
+    literal = [re.sub(r"([\\{}\[\]*?])", r"\\\1", p) for p in chosen]  # a path's own brackets and stars are no pattern
+    reader = spark.read.schema(schema).option("recursiveFileLookup", "true")
+    raw = reader.csv(literal, sep="\t", comment="#", enforceSchema=True) if chosen else spark.createDataFrame([], schema)
+    screen = F.regexp_extract(F.col(named_by), number, 1).cast("long") if chosen else F.lit(None).cast("long")
+    return raw.select(screen.alias("screen_id"), "IDENTIFIER_ID", "IDENTIFIER_TYPE", "OFFICIAL_SYMBOL", F.split("ALIASES", r"\|").alias("aliases"), F.col("`SCORE.1`").alias("score_1"), F.col("`SCORE.2`").alias("score_2"), F.col("`SCORE.3`").alias("score_3"), (F.upper("HIT") == "YES").alias("hit"))
 
 
 def read_associations(spark: SparkSession, path: str) -> DataFrame:
