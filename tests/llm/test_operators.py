@@ -630,6 +630,20 @@ def test_segmentation_is_the_best_split():
         assert abs(sum(map(cost, split(label))) - min(sum(map(cost, s)) for s in every(label))) < 1e-9 and "".join(split(label)) == label
 
 
+def test_words_of_any_length(spark):
+    """A word longer than any that is broadcast is one token of the urls that have it; runs outside the model may be long, too."""
+    long, run = "pneumono" * 12, "zq" * 400
+    rows = [(i, f"http://{long}apple.{t}/fr/{long}/{run}", f"<p>{long} apple {long}</p>") for i, t in enumerate(["net", "org", "com"] * 3)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    words = urls.unigrams(pages, "html")
+    assert words.counts == {"apple": 9} and [(r["word"], r["n"]) for r in words.rare.collect()] == [(long, 18)] and words.total == 27
+    lengths, slots = urls.word_filter(words.rare)
+    assert lengths == [len(long)] and sum(x.bit_count() for x in slots) == 1
+    prepared = pages.select(F.col("page_id").alias("row"), urls.host_of(F.col("url")).alias("host"), urls.path_of(F.col("url")).alias("path"))
+    got = urls.tokenise(prepared, words).first()["tokens"]
+    assert got[:2] == [f"h:{long}", "h:apple"] and got[-2:] == [f"p:{long}", f"p:{run}"]
+
+
 def test_bayes_against_counts(spark):
     rows = [(i, f"http://{h}.{t}/{p}", "<b>apple banana</b>") for i, (h, t, p) in enumerate((RNG.choice(["apple", "banana", "applebanana"]), RNG.choice(["net", "org", "com"]), RNG.choice(["fr/1", "de/2", "en/3"])) for _ in range(60))]
     got = urls.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()

@@ -5,7 +5,8 @@ longest rule (host and path together, then the host) wins. For urls without a ru
 a Viterbi search over a unigram model, whose counts come from the words of all pages, and a multinomial naive Bayes
 classifier, trained on the urls that a rule decides, scores the tokens.
 
-Words over 63 letters are no words of the unigram model, since no host label is longer.
+Words may have any length. Those over 63 letters and those that aren't among the most frequent are joined to the urls that
+have them, not broadcast; a filter of fixed size keeps most other substrings of a url out of that join.
 
 A null url, or one without ``://``, has an empty host and path and no tokens: the class priors decide. Without any url of
 one class (or an empty table) the verdict of the method is allow. Repeated rows are judged one by one; other columns are
@@ -20,6 +21,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from zlib import crc32
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -44,8 +46,10 @@ RULES = (Rule("block", "net", "/"), Rule("allow", "example.net", "/en/"), Rule("
 #: Bounds of what is broadcast: the most frequent words of the unigram model and tokens of the classifier. The others are
 #: joined to the urls that need them.
 UNIGRAMS, TOKENS = 50_000, 50_000
-#: Letters of the longest word of the unigram model, as many as a host label can have.
-LONGEST_WORD = 63
+#: Letters of the longest word that is broadcast, so that what is broadcast is bounded in bytes. Longer ones are joined, too.
+LONGEST_BROADCAST = 63
+#: Bits of the filter that keeps substrings of a url from the join with the words which aren't broadcast.
+FILTER_BITS = 1 << 22
 
 
 def host_of(url: Column) -> Column:
@@ -97,12 +101,16 @@ def unigrams(texts: DataFrame, column: str) -> Unigrams:
         for batch in batches:
             counts: Counter[str] = Counter()
             for text in batch.column(column).to_pylist():
-                counts.update(x for x in word.findall(tag.sub(" ", (text or "").lower())) if len(x) <= LONGEST_WORD)
+                counts.update(word.findall(tag.sub(" ", (text or "").lower())))
             yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
 
     counts = require(texts, column).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     counts = durable(counts)
-    top, rare = frequent(counts, F.col("n"), UNIGRAMS)
+    short = F.length("word") <= LONGEST_BROADCAST
+    top, rare = frequent(counts.filter(short), F.col("n"), UNIGRAMS)
+    long = counts.filter(~short)
+    if not long.isEmpty():
+        rare = long if rare is None else rare.union(long)
     return Unigrams({r["word"]: r["n"] for r in top.collect()}, rare, counts.agg(F.sum("n")).first()[0] or 0)
 
 
@@ -114,14 +122,24 @@ def segmenter(counts: dict[str, int], total: int | None = None):
     total = total or sum(counts.values()) or 1
     cost = {w: math.log(total / n) for w, n in counts.items()}
     unknown, per_letter = math.log(total), math.log(10)
+    lengths = {len(w) for w in cost}
 
     @lru_cache(maxsize=100_000)
     def split(label: str, rare: tuple[tuple[str, int], ...] = ()) -> tuple[str, ...]:
         more = {w: math.log(total / n) for w, n in rare}
-        price = lambda w: cost[w] if w in cost else more.get(w, unknown + per_letter * len(w))
+        steps = sorted(lengths.union(map(len, more)), reverse=True)
         best = [(0.0, 0)]
+        outside = (0.0, 0)  # the cheapest start of a run outside the model, its letters up to there taken off
         for end in range(1, len(label) + 1):
-            best.append(min((best[start][0] + price(label[start:end]), start) for start in range(max(0, end - LONGEST_WORD), end)))
+            outside = min(outside, (best[-1][0] - per_letter * (end - 1), end - 1))
+            found = (outside[0] + unknown + per_letter * end, outside[1])
+            for size in steps:
+                if size <= end:
+                    w = label[end - size : end]
+                    price = cost[w] if w in cost else more.get(w)
+                    if price is not None:
+                        found = min(found, (best[end - size][0] + price, end - size))
+            best.append(found)
         words, end = [], len(label)
         while end:
             start = best[end][1]
@@ -141,10 +159,23 @@ def url_tokens(host: str, path: str, split) -> list[str]:
     return out
 
 
+def word_filter(rare: DataFrame) -> tuple[list[int], list[int]]:
+    """The lengths of the words of ``rare``, and a filter of ``FILTER_BITS`` bits, in 64s, in which each word sets the bit that its
+    crc32 names. Both are bounded, whatever the number of words; a full filter lets all through to the join."""
+    place = F.crc32(F.col("word").cast("binary")) % FILTER_BITS
+    bits = rare.select(place.alias("at")).select(F.floor(F.col("at") / 64).alias("slot"), F.expr("shiftleft(1L, CAST(at % 64 AS INT))").alias("bit"))
+    slots = [0] * (FILTER_BITS // 64)
+    for r in bits.groupBy("slot").agg(F.bit_or("bit").alias("bits")).toLocalIterator():
+        slots[r["slot"]] = r["bits"] % (1 << 64)
+    return sorted(r["size"] for r in rare.select(F.length("word").alias("size")).distinct().collect()), slots
+
+
 def rare_words(pages: DataFrame, counts, rare: DataFrame) -> DataFrame:
     """(row, rare): per row of ``pages`` (row, host, path) the parts of its url that have words of ``rare`` in them, with
     those words. ``counts`` is the broadcast of the frequent words."""
 
+    shared = pages.sparkSession.sparkContext.broadcast(word_filter(rare))
+
     def parts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: list[tuple[int, str]] = []
@@ -156,9 +187,17 @@ def rare_words(pages: DataFrame, counts, rare: DataFrame) -> DataFrame:
 
     def substrings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, run = counts.value, re.compile("[a-z]+")
+        lengths, slots = shared.value
         for batch in batches:
             for part in batch.column("part").to_pylist():
-                words = {x[i:j] for x in run.findall(part) for i in range(len(x)) for j in range(i + 1, min(i + LONGEST_WORD, len(x)) + 1)}
+                words = set()
+                for x in run.findall(part):
+                    letters = x.encode()
+                    for size in lengths:
+                        for i in range(len(x) - size + 1):
+                            at = crc32(letters[i : i + size]) % FILTER_BITS
+                            if slots[at >> 6] >> (at & 63) & 1:
+                                words.add(x[i : i + size])
                 words = [w for w in words if w not in known]
                 yield pa.RecordBatch.from_arrays([pa.array([part] * len(words), pa.string()), pa.array(words, pa.string())], names=["part", "word"])
 
