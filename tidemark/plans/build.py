@@ -28,6 +28,30 @@ def scorecard(metrics: DataFrame, names: list[str]) -> DataFrame:
     return metrics.withColumn("shown", shown).groupBy("cutoff", "run").pivot("metric", names).agg(F.first("shown")).fillna("not run", names)
 
 
+def ablation_table(results: DataFrame, cutoff: str, names: list[str]) -> DataFrame:
+    """A row per ablation of one slice, its metrics to three places; a metric that a run lacks is shown as not run.
+    ``results``: cutoff, ablation, metric, value."""
+    rows = results.filter(F.col("cutoff") == F.lit(cutoff)).withColumn("shown", F.format_string("%.3f", F.round("value", 3)))
+    return rows.groupBy("ablation").pivot("metric", names).agg(F.first("shown")).fillna("not run", names)
+
+
+def trap_table(outcomes: DataFrame, claims: DataFrame, keys: list[str]) -> DataFrame:
+    """Every trap with what was asked, what the slice answered, and how that counts. A trap that postdates the cutoff tests for
+    contamination, and one that no forecast could fail is passed in name only. ``outcomes``: keys, entity, kind, answer, passed,
+    vacuous; ``claims``: keys, entity, outcome. A claim that isn't there, or was established already, is no answer: absent."""
+    said = claims.select(*keys, "entity", F.when(F.col("outcome") == "forecast", "accept").when(F.col("outcome") == "refused", "refuse").alias("system_answer"))
+    how = F.when(F.col("kind") == "postdates_cutoff", "pass (contamination check)").when(F.col("vacuous"), "pass (vacuous)").otherwise("pass")
+    rows = outcomes.join(said, [*keys, "entity"], "left").fillna("absent", ["system_answer"])
+    return rows.select(*keys, "entity", "kind", F.col("answer").alias("correct_answer"), "system_answer", F.when(F.col("passed"), how).otherwise("FAIL").alias("result"))
+
+
+def reliability_table(bins: DataFrame, keys: list[str], width: float) -> DataFrame:
+    """Calibration bins as their bounds, the number of claims, and both rates to three places."""
+    place = lambda c: F.format_string("%.3f", F.round(c, 3)).alias(c)
+    bounds = F.format_string("%.1f to %.1f", F.col("bin") * F.lit(width), (F.col("bin") + 1) * F.lit(width)).alias("confidence_bin")
+    return bins.select(*keys, bounds, F.col("n").alias("claims"), place("mean_confidence"), place("observed"))
+
+
 METRICS = ("p_at_5", "p_at_10", "reciprocal_rank", "hits", "ranked", "cost_p_at_5", "cost_p_at_10", "cost_reciprocal_rank", "ece", "traps_passed", "traps_vacuous", "traps_meaningful", "traps_judgement", "traps_contamination", "refusals_total", "refusals_correct", "cost_lens_moved")
 
 

@@ -239,6 +239,35 @@ def gene_tables(verdicts: DataFrame) -> DataFrame:
     return past.groupBy("entity").agg(steps.alias("steps"), F.count_if("changed").alias("changes"), F.min_by("verdict", place).alias("best"), F.max("confidence").alias("top_confidence"))
 
 
+def gene_index(said: DataFrame, traps: DataFrame, established: DataFrame, cutoffs: list[str]) -> DataFrame:
+    """A row per entity that anything is said about: when it became established, the cutoffs at which it was forecast and at
+    which it was ground truth, whether it served as a trap, and its verdict at every cutoff, 'none' where a slice is silent.
+
+    ``said``: cutoff, entity, outcome (null: none), true; ``traps``: entity; ``established``: entity, established. What the
+    tables say is folded in one grouping, with a column per cutoff; nothing is collected per entity but ``cutoffs`` itself.
+    """
+    none = lambda kind: F.lit(None).cast(kind)
+    rows = merge.union_all(
+        said.select("entity", F.col("cutoff").cast("string").alias("cutoff"), "outcome", "true", F.lit(False).alias("trap"), none("date").alias("established")),
+        traps.select("entity", none("string").alias("cutoff"), none("string").alias("outcome"), F.lit(False).alias("true"), F.lit(True).alias("trap"), none("date").alias("established")),
+        established.select("entity", none("string").alias("cutoff"), none("string").alias("outcome"), F.lit(False).alias("true"), F.lit(False).alias("trap"), "established"),
+    )
+    tests = {o: F.col("outcome") == o for o in ("established", "forecast", "refused")} | {"true": F.col("true")}
+    at = {f"{name}_{i}": F.coalesce(F.bool_or((F.col("cutoff") == c) & test), F.lit(False)) for i, c in enumerate(cutoffs) for name, test in tests.items()}
+    out = rows.groupBy("entity").agg(F.min("established").alias("established"), F.bool_or("trap").alias("trapped"), *[c.alias(n) for n, c in at.items()])
+    when = lambda name: F.filter(F.array(*[F.when(F.col(f"{name}_{i}"), F.lit(c)) for i, c in enumerate(cutoffs)]), lambda x: x.isNotNull())
+    verdicts = F.array(*[decisions.verdict(*[F.col(f"{name}_{i}") for name in tests]) for i in range(len(cutoffs))])
+    return out.select("entity", "established", "trapped", when("forecast").alias("forecast_at"), when("true").alias("truth_at"), verdicts.alias("verdicts"))
+
+
+def evidence_points(said: DataFrame) -> DataFrame:
+    """How much evidence each claim that a slice weighed has, and how confident that made it: cutoff, entity, evidence,
+    confidence, verdict. What was established before the cutoff isn't weighed. ``said``: those and outcome, true."""
+    is_ = lambda o: F.col("outcome") == o
+    verdict = decisions.verdict(is_("established"), is_("forecast"), is_("refused"), F.col("true"))
+    return said.filter(F.col("outcome").isin("forecast", "refused")).select("cutoff", "entity", "evidence", "confidence", verdict.alias("verdict"))
+
+
 def profile(measurements: DataFrame, publications: DataFrame, edges: DataFrame, entities: DataFrame) -> DataFrame:
     """Per entity, in one pass each: measurements by assay, publications, partners, the newest measurement and publication."""
     assays = graph.measurements_by_assay(measurements)

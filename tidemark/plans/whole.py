@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import rules
 from tidemark.operators import derive, forecast, grade, graph, merge, resolve, slices, traps, weigh
 from tidemark.plans import build, jobs
-from tidemark.plans.driver import _BASE, _CUTS, _EV, _HITS, _PRIOR, _TRAPS, _TRUTH, ASSAYS, CUTS, FAMILIES, GRAPH_CUTS, P_MOST, PERTURBATIONS, ROUTES, SYSTEMS, decided, established, evidence, longs, part_entities, part_pairs, query, ranked, read, trap_rows, truth_by_cutoff
+from tidemark.plans.driver import _BASE, _BINS, _CUTS, _EV, _HITS, _PRIOR, _TRAPS, _TRUTH, ASSAYS, CUTS, FAMILIES, GRAPH_CUTS, P_MOST, PERTURBATIONS, ROUTES, SYSTEMS, decided, established, evidence, longs, part_entities, part_pairs, query, ranked, read, scored, trap_rows, truth_by_cutoff
 
 OPTIONS = {"association": "A", "p_most": P_MOST, "tables": {"system": SYSTEMS, "assay": ASSAYS, "perturbation": PERTURBATIONS}}
 
@@ -209,6 +209,49 @@ def c22(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumn("steps", F.array_join(F.transform("steps", lambda s: F.concat(s["cutoff"].cast("string"), F.lit("="), s["verdict"])), " "))
 
 
+def said(spark: SparkSession, d: str) -> DataFrame:
+    """What each slice says about an entity, and what is only true of it: cutoff, entity, outcome, evidence, confidence, true."""
+    t = truth_by_cutoff(spark, d).select("cutoff", "entity", F.lit(True).alias("true"))
+    return decided(spark, d).select("cutoff", "entity", "outcome", "evidence", "confidence").join(t, ["cutoff", "entity"], "full").fillna(False, ["true"])
+
+
+@query("c22_gene_index", f"""{_BASE}, {_HITS}, every AS (SELECT entity FROM decided UNION SELECT entity FROM truth UNION SELECT user_id FROM events),
+  w AS (SELECT e.entity, cuts.cutoff, outcome, h.entity IS NOT NULL AS hit, coalesce(outcome, '') AS oc FROM every e CROSS JOIN cuts LEFT JOIN decided d ON d.entity = e.entity AND d.cutoff = cuts.cutoff LEFT JOIN (SELECT DISTINCT cutoff, entity FROM hits) h ON h.entity = e.entity AND h.cutoff = cuts.cutoff)
+SELECT w.entity, CAST(any_value(established) AS VARCHAR) AS established, w.entity % 6 IN (1, 4) AS trapped, coalesce(string_agg(CAST(cutoff AS VARCHAR), ',' ORDER BY cutoff) FILTER (WHERE oc = 'forecast'), '') AS forecast_at, coalesce(string_agg(CAST(cutoff AS VARCHAR), ',' ORDER BY cutoff) FILTER (WHERE hit), '') AS truth_at,
+  string_agg(CASE WHEN oc = 'established' THEN 'known' WHEN oc = 'forecast' AND hit THEN 'hit' WHEN oc = 'forecast' THEN 'forecast' WHEN hit THEN 'missed' WHEN oc = 'refused' THEN 'refused' ELSE 'none' END, ',' ORDER BY cutoff) AS verdicts
+FROM w LEFT JOIN truth ON truth.entity = w.entity GROUP BY w.entity""")
+def c22_index(spark: SparkSession, d: str) -> DataFrame:
+    users = read(spark, d, "events").select(F.col("user_id").alias("entity"))
+    book = users.distinct().join(established(spark, d).select("entity", "established"), "entity", "left")  # every user is in the book
+    out = jobs.gene_index(said(spark, d), users.filter("user_id % 6 IN (1, 4)"), book, CUTS)
+    return out.withColumns({"established": F.col("established").cast("string")} | {c: F.array_join(c, ",") for c in ("forecast_at", "truth_at", "verdicts")})
+
+
+@query("c22_evidence_points", f"{_BASE}, {_HITS}, {_SAID} SELECT CAST(v.cutoff AS VARCHAR) AS cutoff, v.entity, evidence, v.confidence, verdict FROM v JOIN decided USING (cutoff, entity) WHERE outcome IN ('forecast', 'refused')")
+def c22_points(spark: SparkSession, d: str) -> DataFrame:
+    return jobs.evidence_points(said(spark, d)).withColumn("cutoff", F.col("cutoff").cast("string"))
+
+
+_ABLATED = "ranked refusals_correct p_at_5 p_at_10 reciprocal_rank ece never_run".split()
+
+
+@query("c21_ablation_table", f"""{_MATRIX} SELECT ab AS ablation, {", ".join(f"coalesce(max(CASE WHEN metric = '{m}' THEN printf('%.3f', round(value, 3)) END), 'not run') AS {m}" for m in _ABLATED)} FROM r WHERE cutoff = DATE '{CUTS[1]}' GROUP BY ab""")
+def c21_ablations(spark: SparkSession, d: str) -> DataFrame:
+    return build.ablation_table(matrix(spark, d).withColumn("cutoff", F.col("cutoff").cast("string")), CUTS[1], _ABLATED)
+
+
+@query("c21_trap_table", f"""{_TRAPS} SELECT CAST(o.cutoff AS VARCHAR) AS cutoff, o.entity, o.kind, o.answer AS correct_answer, CASE x.outcome WHEN 'forecast' THEN 'accept' WHEN 'refused' THEN 'refuse' ELSE 'absent' END AS system_answer,
+  CASE WHEN NOT passed THEN 'FAIL' WHEN o.kind = 'postdates_cutoff' THEN 'pass (contamination check)' WHEN vacuous THEN 'pass (vacuous)' ELSE 'pass' END AS result FROM o LEFT JOIN (SELECT cutoff, entity, outcome FROM decided) x ON x.cutoff = o.cutoff AND x.entity = o.entity""")
+def c21_traps(spark: SparkSession, d: str) -> DataFrame:
+    return build.trap_table(trap_rows(spark, d), decided(spark, d), ["cutoff"]).withColumn("cutoff", F.col("cutoff").cast("string"))
+
+
+@query("c21_reliability_table", f"{_BINS} SELECT CAST(cutoff AS VARCHAR) AS cutoff, printf('%.1f to %.1f', bin * 0.2, (bin + 1) * 0.2) AS confidence_bin, n AS claims, printf('%.3f', round(mean_confidence, 3)) AS mean_confidence, printf('%.3f', round(observed, 3)) AS observed FROM bins")
+def c21_reliability(spark: SparkSession, d: str) -> DataFrame:
+    bins = grade.calibration_bins(scored(spark, d), ["cutoff"])
+    return build.reliability_table(bins, ["cutoff"], 0.2).withColumn("cutoff", F.col("cutoff").cast("string"))
+
+
 _LINES = "x AS (SELECT l_partkey AS entity, (l_orderkey * 10 + l_linenumber) * 100000 + l_suppkey AS record, CAST(l_shipdate AS DATE) AS date, l_returnflag AS assay, l_tax > 0.055 AS paper FROM lineitem)"
 
 
