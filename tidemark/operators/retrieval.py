@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.forecast import reliable
+
 K1, B, FUSION = 1.2, 0.75, 60
 #: Queries that one dense search takes at once; their vectors are broadcast.
 MOST_QUERIES = 10_000
@@ -45,7 +47,7 @@ def phrases(titles: DataFrame, queries: DataFrame) -> DataFrame:
 
 def bm25(titles: DataFrame, queries: DataFrame, most: int = 50) -> DataFrame:
     """Per query (query, phrase) the best titles that hold exactly this phrase, ties by id: query, id, score, rank."""
-    found = phrases(titles, queries)
+    found = reliable(phrases(titles, queries))  # counted, then scored: titles are searched once
     df = found.groupBy("query").agg(F.count("*").alias("df"))
     docs, mean_length = bm25_stats(titles).first()
     idf = F.log(1 + (F.lit(docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
