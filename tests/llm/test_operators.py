@@ -788,6 +788,22 @@ def test_warc_runs_and_clashes(spark, tmp_path, monkeypatch):
     assert warc.read_packages(warc.write_packages(pages.limit(0), str(tmp_path / "q"))).count() == 0
 
 
+def test_warc_records_do_not_depend_on_the_order_of_rows(spark, tmp_path, monkeypatch):
+    """Copies of one row over several blocks, ties in page_id, null ids; the same records from another order and dealing."""
+    monkeypatch.setattr(warc, "COPIES", 4)
+    rows = [(9, "u", "same")] * 11 + [(9, None, "same"), (9, "v", "same"), (2, "u", "same"), (None, "u", "same"), (None, None, None), (None, None, ""), (4, "w", "other")]
+    schema, found = "page_id int, url string, html string", []
+    for i, order in enumerate((rows, rows[::-1])):
+        pages = spark.createDataFrame(order, schema).repartition(2 + 3 * i)
+        keys = warc.dedup_plan(pages).collect()
+        assert len({r["key"] for r in keys}) == len(rows) and {r["refers_to"] for r in keys} - {None} <= {r["key"] for r in keys if r["record_type"] == "response"}
+        found.append(sorted(map(str, keys)))
+        got = warc.read_packages(warc.write_packages(pages, str(tmp_path / f"p{i}"))).collect()
+        assert Counter((r["page_id"], r["record_type"]) for r in got) == Counter({(9, "response"): 1, (9, "revisit"): 12, (2, "revisit"): 1, (None, "revisit"): 2, (None, "response"): 1, (4, "response"): 1})
+        assert all(r["refers_to"] == (9 if r["payload_bytes"] else None) for r in got if r["record_type"] == "revisit")
+    assert found[0] == found[1]
+
+
 def test_urls_edge_rows(spark):
     """Repeated rows, null ids and very long urls are judged one by one."""
     long = "http://" + "a" * 300 + ".org/" + "wordsalad" * 500

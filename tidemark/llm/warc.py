@@ -6,8 +6,9 @@ directory (and their ZIP64 forms) from its tail; ``split_packages`` lists the re
 reads those ranges, spread over the cluster, from inside the package.
 
 Equal payloads are written once: the row with the largest page_id is the response, the others are revisits that name it.
-A null page_id ranks below all others and is kept apart by its row number; null html is an empty payload. Repeated rows are
-told apart by row number. Files go below the cluster's shared folder, and are written under a name of the task attempt,
+A null page_id ranks below all others; null html is an empty payload. page_id must be of a whole-number type. Rows that agree in
+page_id, url and payload are told apart by the number of their copy; of rows that tie in page_id and payload, the last url is
+the response's. Files go below the cluster's shared folder, and are written under a name of the task attempt,
 renamed when whole, so that a repeated task leaves no half file that is read. An empty table gives no package and no rows.
 """
 
@@ -28,11 +29,13 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import durable, fresh, require, shared_folder
+from tidemark.llm.common import durable, require, shared_folder
 
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 #: Records and bytes that are read in one run, and about how many bytes of html go into one package.
 READ_RUN, READ_BYTES, PACKAGE_BYTES = 512, 8 << 20, 64 << 20
+#: Copies of one row that one task numbers.
+COPIES = 10_000
 
 _END, _END64, _LOCATOR64, _ENTRY, _LOCAL = b"PK\x05\x06", b"PK\x06\x06", b"PK\x06\x07", b"PK\x01\x02", b"PK\x03\x04"
 _FULL16, _FULL32 = 0xFFFF, 0xFFFFFFFF
@@ -178,21 +181,31 @@ def parse_record(data: bytes) -> tuple[dict[str, str], bytes]:
 
 
 def dedup_plan(pages: DataFrame) -> DataFrame:
-    """``pages`` with row (a number), record_type and refers_to: decided on digests and ids alone, without the payloads."""
-    row = fresh(pages, "row")
-    numbered = pages.withColumn(row, F.monotonically_increasing_id())
-    payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
-    small = durable(numbered.select(F.col(row).alias("row"), "page_id", F.sha1(payload).alias("digest")))
-    best = F.max(F.struct(F.col("page_id").isNotNull(), "page_id", "row"))
-    first = small.groupBy("digest").agg(best.alias("best")).select(F.col("digest").alias("f_digest"), F.col("best.page_id").alias("to"), F.col("best.row").alias("to_row"))
-    both = small.join(first, F.col("digest") == F.col("f_digest"))
-    revisit = F.col("row") != F.col("to_row")
-    decided = both.select(F.col("row").alias("d_row"), F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("to")).alias("refers_to"), F.when(revisit, F.col("to_row")).alias("refers_row"))
-    return numbered.join(decided, F.col(row) == F.col("d_row")).drop("d_row").withColumnRenamed(row, "row")
+    """One row per record to write: key, url, record_type, refers_to (a key), digest (hex), bytes, and html for responses only.
 
-
-def _key(page_id, row) -> str:
-    return f"{'' if page_id is None else page_id}:{row}"
+    Nothing here depends on the order in which the input is read, so a task that is run again makes the same records. Rows that
+    agree in page_id, url and payload are alike, and are counted before they are told apart by the number of their copy. A
+    payload's one response comes out of a grouping by digest, which meets equal payloads early; revisits never carry theirs.
+    """
+    html = F.coalesce("html", F.lit(""))
+    page = F.struct(F.col("page_id").isNotNull().alias("known"), "page_id", "url")
+    taken = pages.select(page.alias("page"), html.alias("html"), F.sha1(F.encode(html, "UTF-8")).alias("digest"))
+    tag = F.substring(F.sha1(F.concat("digest", F.when(F.col("page.url").isNull(), "").otherwise(F.concat(F.lit("u"), "page.url")))), 1, 16)
+    key = lambda copy: F.concat_ws(":", F.coalesce(F.col("page.page_id").cast("string"), F.lit("")), tag, copy.cast("string"))
+    responses = taken.groupBy("digest").agg(F.max("page").alias("page"), F.first("html").alias("html"))
+
+    alike = durable(taken.groupBy("digest", "page").agg(F.count("*").alias("n"), F.first(F.octet_length("html")).alias("bytes")))
+    first = alike.groupBy("digest").agg(F.max("page").alias("best"))
+    named = first.select("digest", "best", F.col("best").alias("page")).select("digest", "best", key(F.lit(0)).alias("refers_to"))
+    others = alike.join(named, "digest")
+    # Copy 0 of the best page is the response. Numbers are made block by block, so that no task makes all copies of a row.
+    begin = F.when(F.col("page") == F.col("best"), 1).otherwise(0).cast("long")
+    blocks = others.filter(F.col("n") > begin).withColumn("block", F.explode(F.sequence(begin, F.col("n") - 1, F.lit(COPIES))))
+    dealt = blocks.repartition("digest", "page", "block")
+    copies = dealt.withColumn("copy", F.explode(F.sequence("block", F.least(F.col("block") + COPIES, F.col("n")) - 1)))
+    revisits = copies.select(key(F.col("copy")).alias("key"), F.col("page.url").alias("url"), F.lit("revisit").alias("record_type"), "refers_to", "digest", "bytes")
+    written = responses.select(key(F.lit(0)).alias("key"), F.col("page.url").alias("url"), F.lit("response").alias("record_type"), F.lit(None).cast("string").alias("refers_to"), "digest", F.octet_length("html").alias("bytes"), "html")
+    return written.unionByName(revisits, allowMissingColumns=True)
 
 
 def write_packages(pages: DataFrame, folder: str | None = None) -> DataFrame:
@@ -208,7 +221,7 @@ def write_packages(pages: DataFrame, folder: str | None = None) -> DataFrame:
 
         def rows() -> Iterator[tuple]:
             for b in batches:
-                yield from zip(*[b.column(c).to_pylist() for c in ("page_id", "url", "html", "row", "record_type", "refers_to", "refers_row")])
+                yield from zip(*[b.column(c).to_pylist() for c in ("key", "url", "record_type", "refers_to", "digest", "bytes", "html")])
 
         source, ahead = rows(), None
         ahead = next(source, None)
@@ -220,11 +233,10 @@ def write_packages(pages: DataFrame, folder: str | None = None) -> DataFrame:
                 nonlocal ahead
                 taken = 0
                 while ahead is not None and taken < PACKAGE_BYTES:
-                    page_id, url, html, row, kind, to, to_row = ahead
+                    key, url, kind, to, digest, size, html = ahead
                     payload = (html or "").encode()
-                    digest = base32_sha1(payload)
-                    key = _key(page_id, row)
-                    data = gzip.compress(warc_record(kind, key, url, digest, len(payload), payload, _key(to, to_row) if kind == "revisit" else None), 4, mtime=0)
+                    digest = base64.b32encode(bytes.fromhex(digest)).decode()
+                    data = gzip.compress(warc_record(kind, key, url, digest, size, payload, to), 4, mtime=0)
                     index.append(json.dumps({"key": key, "offset": places[0], "length": len(data)}))
                     places[0] += len(data)
                     taken += len(payload) + 512
