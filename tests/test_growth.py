@@ -1,6 +1,8 @@
 """Segmented scans over hot keys, and tables that grow by runs exactly once."""
 
 import datetime
+import gzip
+import hashlib
 import math
 import random
 
@@ -11,7 +13,7 @@ from tidemark import policy
 from tidemark.operators import graph, ledger
 from tidemark.operators.derive import literature_evidence
 from tidemark.operators.scans import in_ranges, running
-from tidemark.sources import readers, runs
+from tidemark.sources import members, readers, runs
 
 EVIDENCE = "entity string, date date, record long, direction int, weight double, tier boolean, hit boolean"
 
@@ -125,3 +127,45 @@ def test_hit_files_are_chosen_by_name(spark, tmp_path):
     assert sorted((r["screen_id"], r["IDENTIFIER_ID"]) for r in hits.collect()) == [(7, "0"), (7, "1"), (8, "0"), (8, "1"), (8, "2")]
     (tmp_path / "none").mkdir()
     assert readers.read_hits(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_a_gzip_file_is_read_by_many_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(members, "MEMBER", 200)
+    folder = f"file://{tmp_path}/nodes.jsonl.gz"
+    values = [f'{{"id": "é{i}"}}' for i in range(300)] + ["", "x" * 1000, "x" * 1000]
+    lines = spark.createDataFrame([(v,) for v in [*values, None]], "value string").coalesce(1)
+    for rows, n in ((lines.limit(3), 3), (lines, len(values))):  # the second write replaces the first
+        index = members.write_lines(rows, folder)
+        assert index.agg(F.sum("lines")).first()[0] == n
+    file, = [p for p in (tmp_path / "nodes.jsonl.gz").iterdir() if p.suffix == ".gz"]
+    assert sorted(gzip.decompress(file.read_bytes()).decode().split("\n")[:-1]) == sorted(values)  # one stream to any other reader
+    assert sorted(r["value"] for r in spark.read.text(folder).collect()) == sorted(values)
+    got = members.read_lines(spark, folder).withColumn("task", F.spark_partition_id()).collect()
+    assert sorted(r["value"] for r in got) == sorted(values) and len({r["task"] for r in got}) > 2
+    assert members.write_lines(lines.filter("value IS NULL"), folder).count() == 0 and members.read_lines(spark, folder).count() == 0
+
+
+def test_snapshots_with_and_without_an_index(spark, tmp_path):
+    rows = spark.range(40).select(*[(F.concat(F.lit("n"), "id") if c == "id" else F.to_date(F.lit("2001-02-03")) if c == "effective_date" else F.lit(None)).alias(c) for c in ("id", "label", "effective_date")])
+    clean = lambda t: t.withColumn("findings", F.array().cast("array<string>"))
+    path = f"file://{tmp_path}/s"
+    assert readers.write_snapshot({"nodes": rows, "edges": rows.limit(7), "exclusions": rows.limit(0)}, path, clean) == {"nodes": 40, "edges": 7, "exclusions": 0}
+    nodes, edges, exclusions = readers.read_snapshot(spark, path)
+    assert (nodes.distinct().count(), edges.count(), exclusions.count()) == (40, 7, 0) and nodes.agg(F.min("effective_date")).first()[0] == datetime.date(2001, 2, 3)
+    (tmp_path / "t").mkdir()
+    for name in ("nodes", "edges", "exclusions"):
+        (tmp_path / "t" / f"{name}.jsonl.gz").write_bytes(gzip.compress(b'{"id": "a", "source": "s"}\n'))
+    assert [t.count() for t in readers.read_snapshot(spark, f"file://{tmp_path}/t")] == [1, 1, 1]
+
+
+def test_files_of_any_length_are_verified(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(members, "WHOLE", 1000)
+    monkeypatch.setattr(members, "CHUNK", 64)
+    sizes = {"empty": 0, "small": 900, "edge": 1000, "large [1] é": 1001, "larger": 5000}
+    for name, n in sizes.items():
+        (tmp_path / name).write_bytes(random.Random(n).randbytes(n))
+    want = {name: hashlib.sha256(random.Random(n).randbytes(n)).hexdigest() for name, n in sizes.items()}
+    found = members.digests(spark, f"file://{tmp_path}").union(members.empty_files(spark, f"file://{tmp_path}"))
+    assert {r["path"].rsplit("/", 1)[1]: (r["length"], r["sha256"]) for r in found.collect()} == {n: (sizes[n], want[n]) for n in sizes}
+    manifest = spark.createDataFrame([*want.items(), ("gone", "0")], "path string, sha256 string").withColumn("sha256", F.when(F.col("path") == "larger", "0").otherwise(F.col("sha256")))
+    assert {tuple(r) for r in readers.verify_snapshot(spark, f"file://{tmp_path}", manifest).collect()} == {("gone", "missing"), ("larger", "differs")}

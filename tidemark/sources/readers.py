@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.sources import members
 from tidemark.sources.documents import read_elements
 from tidemark.sources.folders import scratch_folder  # noqa: F401
 
@@ -27,29 +28,38 @@ CELLS = "map<string,struct<name:string,category:string,species:array<string>,dis
 
 
 def read_snapshot(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Nodes, edges and exclusions from gzipped JSON lines; a gzip file is one split, so rows are dealt out after it."""
-    read = lambda name, schema: spark.read.schema(schema).json(f"{folder}/{name}.jsonl.gz").repartition(spark.sparkContext.defaultParallelism)
+    """Nodes, edges and exclusions from gzipped JSON lines. Files with an index of their members are read by many tasks each;
+    a gzip file without one is one split, so its rows are dealt out after it."""
+
+    def read(name: str, schema: str) -> DataFrame:
+        path = f"{folder}/{name}.jsonl.gz"
+        if members.has_index(spark, path):
+            return members.read_lines(spark, path).select(F.from_json("value", schema).alias("r")).select("r.*")
+        return spark.read.schema(schema).json(path).repartition(spark.sparkContext.defaultParallelism)
+
     return read("nodes", NODE), read("edges", EDGE), read("exclusions", EXCLUSION)
 
 
 def write_snapshot(tables: dict[str, DataFrame], folder: str, scan) -> dict[str, int]:
-    """Rows without a finding of ``scan`` (a function that adds the array column findings) as JSON lines and Parquet; gives row counts."""
+    """Rows without a finding of ``scan`` (a function that adds the array column findings) as Parquet and as JSON lines in
+    gzip members with an index; gives row counts."""
     counts = {}
     for name, table in tables.items():
         clean = scan(table).filter(F.size("findings") == 0).drop("findings")
         clean.write.mode("overwrite").parquet(f"{folder}/{name}.parquet")
-        spark = table.sparkSession
-        kept = spark.read.parquet(f"{folder}/{name}.parquet")
-        kept.write.mode("overwrite").option("compression", "gzip").json(f"{folder}/{name}.jsonl.gz")
-        counts[name] = kept.count()
+        kept = table.sparkSession.read.parquet(f"{folder}/{name}.parquet")
+        index = members.write_lines(kept.select(F.to_json(F.struct("*")).alias("value")), f"{folder}/{name}.jsonl.gz")
+        counts[name] = index.agg(F.coalesce(F.sum("lines"), F.lit(0))).first()[0]
     return counts
 
 
 def verify_snapshot(spark: SparkSession, folder: str, manifest: DataFrame, name: Column | None = None) -> DataFrame:
     """Files of the manifest (path, sha256) that are missing or differ, and which. ``name``: how a file is called there, from
-    its full ``path`` (the last part by default)."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    have = files.select((F.substring_index("path", "/", -1) if name is None else name).alias("path"), F.sha2("content", 256).alias("found"))
+    its full ``path`` (the last part by default). Files of any length: large ones are streamed, not held."""
+    files = members.digests(spark, folder)
+    if not manifest.filter(F.col("sha256") == members.EMPTY).isEmpty():
+        files = files.union(members.empty_files(spark, folder))
+    have = files.select((F.substring_index("path", "/", -1) if name is None else name).alias("path"), F.col("sha256").alias("found"))
     out = manifest.join(have, "path", "left")
     return out.withColumn("problem", F.when(F.col("found").isNull(), "missing").when(F.col("found") != F.col("sha256"), "differs")).filter("problem IS NOT NULL").select("path", "problem")
 
