@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark import policy
-from tidemark.operators import graph, ledger
+from tidemark.operators import graph, ledger, retrieval
 from tidemark.operators.derive import literature_evidence
 from tidemark.operators.scans import in_ranges, running
 from tidemark.sources import members, readers, runs
@@ -169,3 +169,29 @@ def test_files_of_any_length_are_verified(spark, tmp_path, monkeypatch):
     assert {r["path"].rsplit("/", 1)[1]: (r["length"], r["sha256"]) for r in found.collect()} == {n: (sizes[n], want[n]) for n in sizes}
     manifest = spark.createDataFrame([*want.items(), ("gone", "0")], "path string, sha256 string").withColumn("sha256", F.when(F.col("path") == "larger", "0").otherwise(F.col("sha256")))
     assert {tuple(r) for r in readers.verify_snapshot(spark, f"file://{tmp_path}", manifest).collect()} == {("gone", "missing"), ("larger", "differs")}
+
+
+def test_phrases_of_any_length_against_a_plain_search(spark):
+    rng = random.Random(11)
+    titles = [(i, " ".join(rng.choice(("a", "b", "c", "A", "d-e")) for _ in range(rng.randrange(9)))) for i in range(40)] + [(40, None), (41, "")]
+    asked = [(i, p) for i, p in enumerate(["a", "a b", "A, b", "a a", "b c a", "d e d e", "x", "a x", "", "?!", None, "a b"])]
+    words = lambda t: "".join(c if c.isalnum() else " " for c in (t or "").lower()).split()
+    want = {}
+    for query, phrase in asked:
+        p = words(phrase)
+        for i, title in titles:
+            w = words(title)
+            n = sum(w[k : k + len(p)] == p for k in range(len(w) - len(p) + 1)) if p else 0
+            if n:
+                want[query, i] = (n, len(w))
+    held, queries = spark.createDataFrame(titles, "id long, title string"), spark.createDataFrame(asked, "query long, phrase string")
+    assert {(r["query"], r["id"]): (r["tf"], r["length"]) for r in retrieval.phrases(held, queries).collect()} == want
+    counted = [len(words(t)) for _, t in titles if t is not None]
+    scores = {}
+    for (query, i), (n, length) in want.items():
+        df = sum(q == query for q, _ in want)
+        norm = n + 1.2 * (0.25 + 0.75 * length / (sum(counted) / len(counted)))
+        scores.setdefault(query, []).append((-round(math.log(1 + (len(titles) - df + 0.5) / (df + 0.5)) * n * 2.2 / norm, 6), i))
+    best = {(q, i, k + 1) for q, found in scores.items() for k, (_, i) in enumerate(sorted(found)[:3])}
+    assert {(r["query"], r["id"], r["rank"]) for r in retrieval.bm25(held, queries, 3).collect()} == best
+    assert retrieval.bm25(held, queries.limit(0)).count() == 0 and retrieval.bm25(held.limit(0), queries).count() == 0

@@ -7,56 +7,88 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.forecast import reliable
+from tidemark.operators import forecast
 
 K1, B, FUSION = 1.2, 0.75, 60
+WORD = r"([\p{L}\p{N}]+)"
 #: Queries that one dense search takes at once; their vectors are broadcast.
 MOST_QUERIES = 10_000
 
 
 def title_tokens(titles: DataFrame) -> DataFrame:
     """(id, token, tf, length): lower-cased runs of letters and digits."""
-    words = F.regexp_extract_all(F.lower("title"), F.lit(r"([\p{L}\p{N}]+)"), 1)
-    rows = titles.select("id", words.alias("words")).select("id", F.size("words").alias("length"), F.explode("words").alias("token"))
+    rows = titles.select("id", title_words("title").alias("words")).select("id", F.size("words").alias("length"), F.explode("words").alias("token"))
     return rows.groupBy("id", "length", "token").agg(F.count("*").alias("tf"))
 
 
 def bm25_stats(titles: DataFrame) -> DataFrame:
     """N and the mean length over all titles: one row."""
-    words = F.regexp_extract_all(F.lower("title"), F.lit(r"([\p{L}\p{N}]+)"), 1)
-    return titles.agg(F.count("*").alias("docs"), F.avg(F.size(words)).alias("mean_length"))
+    return titles.agg(F.count("*").alias("docs"), F.avg(F.regexp_count(F.lower("title"), F.lit(WORD))).alias("mean_length"))
+
+
+def title_words(title) -> Column:
+    return F.regexp_extract_all(F.lower(title), F.lit(WORD), 1)
+
+
+def spread(titles: DataFrame) -> DataFrame:
+    """Dealt out by id where the table has fewer splits than there are cores, as one small file has; else as it is."""
+    cores = titles.sparkSession.sparkContext.defaultParallelism
+    return titles.repartition(2 * cores, "id") if titles.rdd.getNumPartitions() < cores else titles
+
+
+def asked_phrases(queries: DataFrame) -> DataFrame:
+    """query, asked: the words of each query's phrase, blank between them, and their number n. A phrase without words asks nothing."""
+    words = title_words("phrase")
+    return queries.select("query", words.alias("words")).filter(F.size("words") > 0).select("query", F.array_join("words", " ").alias("asked"), F.size("words").alias("n"))
+
+
+def phrase_places(titles: DataFrame, lengths: list[int]) -> DataFrame:
+    """(asked, id, length): every run of words side by side in a title that is as long as some phrase, as often as it comes."""
+
+    def runs(words: Column, n: int) -> Column:
+        places = F.sequence(F.lit(1), F.size(words) - n + 1)
+        return F.when(F.size(words) >= n, F.transform(places, lambda i: F.array_join(F.slice(words, i, F.lit(n)), " "))).otherwise(F.array().cast("array<string>"))
+
+    # The words come in as the variable of a lambda: as a column they would be cut out of the title again at every place.
+    every = lambda words: F.struct(F.size(words).alias("length"), F.concat(F.array().cast("array<string>"), *[words if n == 1 else runs(words, n) for n in lengths]).alias("runs"))
+    held = titles.select("id", F.explode(F.transform(F.array(title_words("title")), every)).alias("t"))
+    return held.select("id", "t.length", F.explode("t.runs").alias("asked"))
 
 
 def phrases(titles: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query, id, tf, length): how often each title holds the words of each query's phrase side by side.
+    """(query, id, tf, length): how often each title holds the words of each query's phrase side by side."""
+    asked = forecast.reliable(asked_phrases(queries))
+    return phrase_counts(titles, asked).join(asked.select("query", "asked"), "asked").select("query", "id", "length", "tf")
 
-    Only words that begin some phrase leave the scan's stage (a semi-join before any grouping); at each of their places the
-    words that follow are compared.
-    """
-    words = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"([\p{L}\p{N}]+)"), 1)
-    asked = queries.select("query", words("phrase").alias("asked")).filter(F.size("asked") > 0).withColumn("first", F.col("asked")[0])
-    longest = asked.agg(F.max(F.size("asked"))).first()[0] or 1
-    tokens = titles.select("id", words("title").alias("words"))
-    places = tokens.select("id", F.size("words").alias("length"), F.explode(F.transform("words", lambda w, i: F.struct(w.alias("first"), F.slice(F.col("words"), i + 1, F.lit(longest)).alias("next")))).alias("at"))
-    places = places.select("id", "length", "at.first", "at.next").join(asked, "first").filter(F.slice("next", F.lit(1), F.size("asked")) == F.col("asked"))
-    return places.groupBy("query", "id", "length").agg(F.count("*").alias("tf"))
+
+def phrase_counts(titles: DataFrame, asked: DataFrame) -> DataFrame:
+    """(asked, id, length, tf) over distinct phrases: a title's runs of words meet whole phrases, so a frequent first word makes no
+    row for each phrase that begins with it, and a phrase that many queries ask is looked for once."""
+    lengths = sorted(r["n"] for r in asked.select("n").distinct().collect())  # lengths of phrases, in words
+    found = phrase_places(spread(titles.select("id", "title")), lengths).join(asked.select("asked").distinct(), "asked", "left_semi")
+    return found.groupBy("asked", "id", "length").agg(F.count("*").alias("tf"))
 
 
 def bm25(titles: DataFrame, queries: DataFrame, most: int = 50) -> DataFrame:
-    """Per query (query, phrase) the best titles that hold exactly this phrase, ties by id: query, id, score, rank."""
-    found = reliable(phrases(titles, queries))  # counted, then scored: titles are searched once
-    df = found.groupBy("query").agg(F.count("*").alias("df"))
+    """Per query (query, phrase) the best titles that hold exactly this phrase, ties by id: query, id, score, rank.
+
+    Phrases are counted, scored and cut to their best titles once each, whoever asks them; then queries take their phrase's list.
+    """
+    asked = forecast.reliable(asked_phrases(queries))
+    found = forecast.reliable(phrase_counts(titles, asked))  # counted, then scored: titles are searched once
+    df = found.groupBy("asked").agg(F.count("*").alias("df"))
     docs, mean_length = bm25_stats(titles).first()
     idf = F.log(1 + (F.lit(docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.lit(mean_length or 1.0)))
-    return top(found.join(df, "query").select("query", "id", F.round(idf * tf, 6).alias("score")), most)
+    best = top(found.join(df, "asked").select("asked", "id", F.round(idf * tf, 6).alias("score")), most, "asked")
+    return best.join(asked.select("query", "asked"), "asked").select("query", "id", "score", "rank")
 
 
-def top(scored: DataFrame, most: int) -> DataFrame:
-    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))).filter(F.col("rank") <= most)
+def top(scored: DataFrame, most: int, key: str = "query") -> DataFrame:
+    return scored.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), "id"))).filter(F.col("rank") <= most)
 
 
 def cosine(vectors: DataFrame, queries: DataFrame, most: int = 50) -> DataFrame:
