@@ -22,6 +22,45 @@ def build_graph(tagged: list[DataFrame], nodes: list[DataFrame], edges: list[Dat
     return {"nodes": node, "edges": kept, "exclusions": excluded, "report": merge.report(excluded, "source", "reason")}
 
 
+def reconcile(tagged: list[DataFrame]) -> DataFrame:
+    """Source, and how many of its rows were read, kept and excluded; what was read is what was kept and what was excluded."""
+    rows = merge.union_all(*[t.select("source", "reject_reason") for t in tagged])
+    return rows.groupBy("source").agg(F.count("*").alias("read"), F.count_if(F.col("reject_reason").isNull()).alias("kept"), F.count_if(F.col("reject_reason").isNotNull()).alias("excluded"))
+
+
+def from_sources(genes: DataFrame, literature: DataFrame, screens: DataFrame, tested: DataFrame, associations: DataFrame, essentiality: DataFrame, evidence: DataFrame, trials: DataFrame) -> dict[str, DataFrame]:
+    """The graph of all sources, from the tagged rows that C02 to C07 and P16 make of them: what ``build_graph`` gives, and
+    sources, the rows read, kept and excluded of each (``reconcile``). ``screens`` and ``tested``: both results of C02, whose
+    genes are ids as in ``genes`` without their prefix.
+
+    Vocabularies come first, so that a source's row of the same id replaces theirs. Each source is read once and stored.
+    """
+    columns = {"genes": ["id", "symbol", "effective_date"], "literature": ["pmid", "title", "date"], "screens": ["date"], "tested": ["id", "screen_id", "gene", "pmid", "date", "system", "perturbation"], "associations": ["id", "date"], "essentiality": ["date"], "evidence": ["date"], "trials": ["title", "date"]}
+    given = dict(genes=genes, literature=literature, screens=screens, tested=tested, associations=associations, essentiality=essentiality, evidence=evidence, trials=trials)
+    tagged = {name: forecast.reliable(given[name].select("source", "source_id", "reject_reason", *columns[name])) for name in given}
+    good = {name: ingest.split(table)[0] for name, table in tagged.items()}
+
+    def node(name: str, kind: str, key: Column, label: Column, date: str = "date") -> DataFrame:
+        return good[name].select(key.alias("id"), F.lit(kind).alias("type"), label.alias("label"), F.col(date).alias("effective_date"), F.lit(1).alias("load_order"))
+
+    source_id = F.col("source_id")
+    prefixed = lambda prefix, key=source_id: F.concat(F.lit(prefix), key)
+    nodes = [
+        ingest.vocabulary(genes.sparkSession).select("id", "type", "label", "effective_date", F.lit(0).alias("load_order")),
+        node("genes", "Gene", F.col("id"), F.col("symbol"), "effective_date"),
+        node("literature", "Publication", prefixed("pub:", F.col("pmid")), F.col("title")),
+        node("screens", "Screen", source_id, source_id),
+        node("tested", "Measurement", F.col("id"), F.col("id")).filter("id IS NOT NULL"),
+        node("associations", "Measurement", F.col("id"), F.col("id")),
+        node("essentiality", "Measurement", prefixed("meas:depmap:"), source_id),
+        node("evidence", "Measurement", prefixed("meas:ot:"), source_id),
+        node("trials", "Trial", prefixed("trial:"), F.col("title")),
+        good["tested"].filter("system IS NOT NULL").groupBy("system").agg(F.min("date").alias("effective_date")).select(prefixed("cell:", F.col("system")).alias("id"), F.lit("CellContext").alias("type"), F.col("system").alias("label"), "effective_date", F.lit(1).alias("load_order")),
+    ]
+    edges = ingest.screen_edges(tagged["tested"]).withColumns({"id": F.concat_ws("|", "type", "src", "dst"), "load_order": F.lit(0)})
+    return build_graph(list(tagged.values()), nodes, [edges]) | {"sources": reconcile(list(tagged.values()))}
+
+
 def scorecard(metrics: DataFrame, names: list[str]) -> DataFrame:
     """(cutoff, run, metric, value, lower, upper) as a row per cutoff and run, a missing metric shown as not run."""
     shown = F.when(F.col("lower").isNull(), F.format_string("%.3f", "value")).otherwise(F.format_string("%.2f [%.2f, %.2f]", "value", "lower", "upper"))

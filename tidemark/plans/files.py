@@ -11,7 +11,7 @@ from tidemark import policy
 from tidemark.functions import rules, scalars, text
 from tidemark.operators import derive, forecast, grade, ingest, ledger, merge, resolve
 from tidemark.plans import build
-from tidemark.plans.driver import _EV, _NEGATED, evidence, graph_tables, longs, part_entities, query, read
+from tidemark.plans.driver import _EV, _NEGATED, ORACLE, evidence, graph_tables, longs, part_entities, query, read
 from tidemark.sources import readers, redistribution
 
 #: Records of one JSON document, where a source publishes documents and not lines.
@@ -156,12 +156,12 @@ _SCREEN = """s AS (SELECT s_suppkey AS k, s_suppkey % 3 <> 0 AS dated, CASE WHEN
   rows_ AS (SELECT *, CASE WHEN gene IS NULL THEN 'unresolved_symbol' WHEN l_linenumber = 7 THEN 'no_numeric_value' END AS why FROM tested)"""
 
 
-def screens(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def screens(spark: SparkSession, d: str, entities: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     meta, hits = read_screens(spark, d)
     scope = hits.select(F.upper("OFFICIAL_SYMBOL").alias("symbol")).distinct()
     cells = spark.createDataFrame([("CVCL_0004", "human_cancer_line")], "accession string, system string")
     dates = read(spark, d, "supplier").filter("s_suppkey % 3 <> 0").select(F.col("s_suppkey").cast("string").alias("pmid"), F.lit("2012-01-01").cast("date").alias("date"))
-    return ingest.screen_rows(meta, hits, scope, part_entities(spark, d), cells, dates)
+    return ingest.screen_rows(meta, hits, scope, entities or part_entities(spark, d), cells, dates)
 
 
 @query("c02_ingest_screens", f"WITH {_SCREEN} SELECT 'screen' AS kind, pheno AS phenotype, system, reason AS reject_reason, count(*) AS n, 0 AS hits FROM tagged GROUP BY ALL UNION ALL SELECT 'gene', pheno, system, why, count(*), count(*) FILTER (WHERE l_quantity > 25) FROM rows_ GROUP BY ALL")
@@ -391,6 +391,42 @@ def c01(spark: SparkSession, d: str) -> DataFrame:
     return count(built["nodes"], "nodes").union(count(built["edges"], "edges")).union(excluded)
 
 
+_ALL = f"""{_SCREEN}, lit AS ({ORACLE["c03_ingest_publications"]}), gwas AS ({ORACLE["c04_ingest_associations"]}), ess AS (SELECT 'P' || l_partkey || ':D' || l_suppkey AS source_id, CASE WHEN l_linenumber = 7 THEN 'malformed_record' END AS reject_reason FROM lineitem),
+  ot AS ({ORACLE["c06_ingest_target_evidence"]}), tri AS ({ORACLE["c07_ingest_trials"]}), gen AS ({ORACLE["s04_read_genes"]}),
+  every AS (SELECT 'genes' AS source, reject_reason AS r FROM gen UNION ALL SELECT 'literature', reject_reason FROM lit UNION ALL SELECT 'screens', reason FROM tagged UNION ALL SELECT 'screens', why FROM rows_ UNION ALL SELECT 'associations', reject_reason FROM gwas
+    UNION ALL SELECT 'essentiality', reject_reason FROM ess UNION ALL SELECT 'evidence', reject_reason FROM ot UNION ALL SELECT 'trials', reject_reason FROM tri),
+  nodes AS (SELECT DISTINCT 'Gene' AS type, id FROM gen WHERE reject_reason IS NULL UNION SELECT 'Publication', source_id FROM lit WHERE reject_reason IS NULL UNION SELECT 'Screen', CAST(k AS VARCHAR) FROM tagged WHERE reason IS NULL
+    UNION SELECT 'Measurement', k || ':' || gene FROM rows_ WHERE why IS NULL UNION SELECT 'Measurement', id FROM gwas WHERE reject_reason IS NULL UNION SELECT 'Measurement', source_id FROM ess WHERE reject_reason IS NULL UNION SELECT 'Measurement', source_id FROM ot WHERE reject_reason IS NULL
+    UNION SELECT 'Trial', source_id FROM tri WHERE reject_reason IS NULL UNION SELECT 'CellContext', system FROM rows_ WHERE why IS NULL),
+  ends AS (SELECT DISTINCT 'SCREEN_TESTED' AS type, k AS a, gene AS b, false AS no_src, 'HGNC:' || gene NOT IN (SELECT id FROM nodes WHERE type = 'Gene') AS no_dst FROM rows_ WHERE gene IS NOT NULL UNION SELECT 'MEASURED_IN', k, gene, false, false FROM rows_ WHERE why IS NULL
+    UNION SELECT 'PERTURBS', 0, gene, false, 'HGNC:' || gene NOT IN (SELECT id FROM nodes WHERE type = 'Gene') FROM rows_ WHERE why IS NULL UNION SELECT 'REPORTS', k, gene, CAST(k AS VARCHAR) NOT IN (SELECT id FROM nodes WHERE type = 'Publication'), false FROM rows_ WHERE why IS NULL)"""
+
+
+@query("c01_from_sources", f"""WITH {_ALL} SELECT 'node' AS kind, type AS name, count(*) AS n FROM nodes GROUP BY type UNION ALL VALUES ('node', 'Phenotype', {len(ingest.PHENOTYPES)}), ('node', 'Modality', {len(policy.ROUTE_WEIGHTS)}), ('node', 'Perturbation', {len(policy.PERTURBATION_WEIGHTS)})
+UNION ALL SELECT 'edge', type, count(*) FROM ends WHERE NOT no_src AND NOT no_dst GROUP BY type UNION ALL SELECT 'excluded', 'graph: missing ' || CASE WHEN no_src THEN 'src' ELSE 'dst' END, count(*) FROM ends WHERE no_src OR no_dst GROUP BY no_src
+UNION ALL SELECT 'excluded', source || ': ' || r, count(*) FROM every WHERE r IS NOT NULL GROUP BY ALL UNION ALL SELECT 'read', source, count(*) FROM every GROUP BY source UNION ALL SELECT 'kept', source, count(*) FILTER (WHERE r IS NULL) FROM every GROUP BY source""")
+def c01_from_sources(spark: SparkSession, d: str) -> DataFrame:
+    """The graph of all sources, each written to raw files and read back: nodes and edges by type, exclusions, rows per source."""
+    papers = readers.read_literature(spark, [literature_file(spark, d)]).withColumn("position", F.col("id").cast("long"))
+    entities = part_entities(spark, d)
+    screen, tested = screens(spark, d, entities.withColumn("id", name("HGNC:", F.col("id"))))
+    dates = read(spark, d, "orders").filter("o_orderkey % 6 = 0").select(F.col("o_orderkey").cast("string").alias("pmid"), F.lit("2005-05-05").cast("date").alias("date"))
+    built = build.from_sources(
+        ingest.gene_rows(readers.read_genes(spark, gene_file(spark, d)), []),
+        ingest.publication_rows(papers, {"THE": ["of", "and"], "DER": ["und"]}),
+        screen, tested,
+        ingest.association_rows(readers.read_associations(spark, association_file(spark, d)), TRAITS),
+        ingest.essentiality_rows(readers.read_essentiality(spark, essentiality_file(spark, d)), "2020-01-01"),
+        ingest.evidence_rows(readers.read_target_evidence(spark, evidence_file(spark, d)), dates, "2021-01-01"),
+        ingest.trial_rows(readers.read_trials(spark, trial_file(spark, d)), ROUTES),
+    )
+    count = lambda table, kind, by: table.groupBy(F.lit(kind).alias("kind"), by.alias("name")).agg(F.count("*").alias("n"))
+    out = count(built["nodes"], "node", F.col("type")).union(count(built["edges"], "edge", F.col("type"))).union(count(built["exclusions"], "excluded", F.concat("source", F.lit(": "), "reason")))
+    for kind in ("read", "kept"):
+        out = out.union(built["sources"].select(F.lit(kind), "source", kind))
+    return out
+
+
 # decisions and text
 @query("p05_classify_phenotype", """SELECT o_orderkey AS id, CASE o_orderkey % 9 WHEN 0 THEN 'f_cell' WHEN 1 THEN 'hbf_protein' WHEN 2 THEN 'hbg_mrna' WHEN 3 THEN 'hbg_reporter' WHEN 4 THEN 'hbg_reporter' WHEN 5 THEN 'cell_fitness' WHEN 6 THEN 'erythroid_differentiation' END AS phenotype FROM orders""")
 def p05(spark: SparkSession, d: str) -> DataFrame:
