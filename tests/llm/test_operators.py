@@ -547,6 +547,28 @@ def test_toxicity_learns(spark):
     assert all(r["score"] < 1e-9 for r in toxicity.score(docs.limit(5), constant).collect())
 
 
+def test_languages_are_learned_and_calibrated_apart(monkeypatch):
+    """Made-up languages with words of their own over a common set of topics; one language's scores lie higher."""
+    rng = np.random.default_rng(4)
+    texts, tongue, labels = [], rng.integers(0, 3, 600), rng.integers(0, 2, 600)
+    for k, y in zip(tongue, labels):
+        n = int(rng.integers(5, 60))
+        texts.append(np.concatenate([1000 * (k + 1) + rng.integers(0, 15, n), 90_000 + rng.integers(0, 5_000, n), [7 + y]]).astype(np.uint32))
+    found = toxicity.learn_tongues(texts)
+    groups = np.array([found.of(t) for t in texts])
+    assert all(len(set(tongue[groups == g])) == 1 for g in set(groups)) and len(set(groups)) >= 3
+    assert found.of(np.array([5], dtype=np.uint32)) == found.of(np.empty(0, dtype=np.uint32)) == len(found.centres)
+    again = toxicity.learn_tongues(texts)
+    assert (again.centres == found.centres).all() and (again.words == found.words).all()
+    assert toxicity.learn_tongues([]).of(texts[0]) == 0 and len(toxicity.learn_tongues([texts[0]] * 3).centres) == 1
+    model = toxicity.constant(0.0)
+    model.tongues, model.rows = found, lambda t: t
+    model.logit = lambda t: float(t[-1] - 7) + (5.0 if t[0] >= 3000 else 0.0)
+    toxicity._calibrate(model, texts, labels)
+    high = {g for g in set(groups) if tongue[groups == g][0] == 2}
+    assert all((5 < model.thresholds[g] < 6) == (g in high) and (g in high or 0 < model.thresholds[g] < 1) for g in set(groups) if min(np.bincount(labels[groups == g], minlength=2)) >= 10)
+
+
 def test_pooling_in_blocks(monkeypatch):
     rng = np.random.default_rng(0)
     model = toxicity.fit([rng.integers(0, 50, size=30, dtype=np.uint32) for _ in range(60)], np.arange(60) % 2)

@@ -34,39 +34,68 @@ WORDS = 8_000_000
 BUCKETS, LEAST_TEXTS = 1 << 22, 3
 WIDTH, FILTERS, WIDTHS = 8, 6, (1, 2, 3)
 EPOCHS, BATCH, RATE = 6, 64, 0.01
+#: Languages are groups of at most so many training texts, by so many common words, in so many rounds at most.
+GROUPS, GROUPED, COMMON, ROUNDS = 8, 4_000, 512, 30
 #: Words of a text that are convolved at once; blocks overlap by the longest filter.
 BLOCK = 65_536
 
 _SPLIT = bytes(32 if chr(b) in string.punctuation else b + 32 if 65 <= b <= 90 else b for b in range(256))
 
-# Frequent function words, to guess a text's language.
-LANGUAGES = {
-    "en": "the of and to in is that it for was with be as this are by at from",
-    "fr": "le la les des du et en une que qui dans pour par sur est au avec",
-    "de": "der die das und den von zu mit sich auf für ist im dem nicht ein",
-    "es": "el los las del y que se por con una para su al lo como más",
-}
-_TONGUE = {zlib.crc32(w.encode()): [k for k, words in LANGUAGES.items() if w in words.split()] for words in LANGUAGES.values() for w in words.split()}
-
-
 def word_hashes(text: bytes) -> np.ndarray:
     words = text.translate(_SPLIT).split()
     return np.fromiter(map(zlib.crc32, words), dtype=np.uint32, count=len(words))
 
 
-_TONGUES = np.array(sorted(_TONGUE), dtype=np.uint32)
-_VOTES = np.array([[k in _TONGUE[h] for k in LANGUAGES] for h in _TONGUES.tolist()], dtype=np.int64)
-
-
-def language(hashes: np.ndarray) -> int:
-    """The place in LANGUAGES with the most function words (the first on ties), or one past the end without any."""
-    if len(hashes):
-        at = np.searchsorted(_TONGUES, hashes)
-        at[at == len(_TONGUES)] = 0
-        votes = _VOTES[at[_TONGUES[at] == hashes]].sum(axis=0)
-        if votes.any():
-            return int(votes.argmax())
-    return len(LANGUAGES)
+@dataclass
+class Tongues:
+    """Groups of texts that share their commonest words, which are function words of their languages; learned from texts alone.
+
+    ``words`` are sorted hashes, ``centres`` a unit vector over them per group. A text's group is that of the greatest cosine
+    with the roots of its counts, the first on ties; a text with none of the words has the number past the last group.
+    """
+
+    words: np.ndarray = field(default_factory=lambda: np.empty(0, dtype=np.uint32))
+    centres: np.ndarray = field(default_factory=lambda: np.zeros((0, 0), dtype=np.float32))
+
+    def profile(self, hashes: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.words, hashes)
+        at[at == len(self.words)] = 0
+        x = np.sqrt(np.bincount(at[self.words[at] == hashes], minlength=len(self.words)))
+        return (x / max(np.linalg.norm(x), 1e-12)).astype(np.float32)
+
+    def of(self, hashes: np.ndarray) -> int:
+        if len(self.words) and len(hashes):
+            x = self.profile(hashes)
+            if x.any():
+                return int((self.centres @ x).argmax())
+        return len(self.centres)
+
+
+def learn_tongues(texts: list[np.ndarray], seed: int = 1) -> Tongues:
+    """Groups of the first ``GROUPED`` texts by k-means on the sphere, over the words that most of these texts hold."""
+    texts = [t for t in texts[:GROUPED] if len(t)]
+    if not texts:
+        return Tongues()
+    held, texts_with = np.unique(np.concatenate([np.unique(t) for t in texts]), return_counts=True)
+    found = Tongues(np.sort(held[np.lexsort((held, -texts_with))[:COMMON]]))
+    x = np.stack([found.profile(t) for t in texts])
+    x = x[x.any(axis=1)]
+    rng = np.random.default_rng(seed)
+    centres = [x[rng.integers(len(x))]]
+    while len(centres) < GROUPS:  # the next centre is likelier the less like the chosen ones
+        far = np.square(1 - np.clip(np.max(x @ np.stack(centres).T, axis=1), 0, 1)).astype(np.float64)
+        if far.sum() <= 1e-9:
+            break
+        centres.append(x[rng.choice(len(x), p=far / far.sum())])
+    found.centres = np.stack(centres)
+    for _ in range(ROUNDS):
+        nearest = (x @ found.centres.T).argmax(axis=1)
+        sums = np.stack([x[nearest == k].sum(axis=0) if (nearest == k).any() else c for k, c in enumerate(found.centres)])
+        sums /= np.linalg.norm(sums, axis=1, keepdims=True)
+        if np.allclose(sums, found.centres, atol=1e-6):
+            break
+        found.centres = sums
+    return found
 
 
 @dataclass
@@ -79,7 +108,8 @@ class Model:
     biases: list[np.ndarray]
     out: np.ndarray
     bias: float
-    thresholds: np.ndarray = field(default_factory=lambda: np.zeros(len(LANGUAGES) + 1))
+    thresholds: np.ndarray = field(default_factory=lambda: np.zeros(GROUPS + 1))
+    tongues: Tongues = field(default_factory=Tongues)
     _table: np.ndarray | None = None
     _lookup: np.ndarray | None = None
 
@@ -113,7 +143,7 @@ class Model:
 
     def score(self, text: bytes) -> float:
         hashes = word_hashes(text)
-        z = self.logit(self.rows(hashes)) - self.thresholds[language(hashes)]
+        z = self.logit(self.rows(hashes)) - self.thresholds[self.tongues.of(hashes)]
         return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
 
@@ -215,15 +245,17 @@ def fit(texts: list[np.ndarray], labels: np.ndarray, seed: int = 1) -> Model:
                 x -= scale * m / (np.sqrt(v) + 1e-8)
             bias_moments = [bias_moments[0] + 0.1 * (g - bias_moments[0]), bias_moments[1] + 0.001 * (g * g - bias_moments[1])]
             model.bias -= float(scale * bias_moments[0] / (np.sqrt(bias_moments[1]) + 1e-8))
+    model.tongues = learn_tongues([texts[i] for i in np.flatnonzero(own)])
     _calibrate(model, [texts[i] for i in np.flatnonzero(~own)] or texts, labels[~own] if (~own).any() else labels)
     model._table = model._lookup = None  # made again where the model is used
     return model
 
 
 def _calibrate(model: Model, texts: list[np.ndarray], labels: np.ndarray) -> None:
-    """Per language the threshold with the fewest errors; a language with under ten texts of either label takes the one of all."""
+    """Per group of texts (``Tongues``) the threshold with the fewest errors; a group with under ten texts of either label takes
+    the one of all."""
     z = np.array([model.logit(model.rows(t)) for t in texts])
-    tongues = np.array([language(t) for t in texts])
+    tongues = np.array([model.tongues.of(t) for t in texts])
 
     def best(z: np.ndarray, y: np.ndarray) -> float:
         order = np.argsort(z)
@@ -234,7 +266,7 @@ def _calibrate(model: Model, texts: list[np.ndarray], labels: np.ndarray) -> Non
         return float(edges[fewest[np.abs(edges[fewest]).argmin()]])
 
     whole = best(z, labels)
-    for k in range(len(LANGUAGES) + 1):
+    for k in range(len(model.thresholds)):
         own = tongues == k
         enough = min(labels[own].sum(), (1 - labels[own]).sum()) >= 10 if own.any() else False
         model.thresholds[k] = best(z[own], labels[own]) if enough else whole
