@@ -89,10 +89,26 @@ def reportable(confidence: Column, support: Column, publications: Column, compos
     return (confidence >= policy.REFUSAL_THRESHOLD) & strong
 
 
+def places(value: Column, n: int) -> Column:
+    """A number with ``n`` decimals as C's printf writes it: its binary value counts, halves go to the even digit
+    (``format_string`` rounds the shortest decimal half up: 0.1235, which is less than that, to 0.124)."""
+    x, scale = F.abs(value.cast("double")), 10**n
+    below = F.floor(x * scale)
+    half = 2 * below + 1
+    near = half / (2 * scale)  # the double next to the tie: only a number equal to it can be on either side
+    high = x * 134217729.0 - (x * 134217729.0 - x)  # 26 bits, so that both products below are exact
+    beyond = (high * (2 * scale) - half) + (x - high) * (2 * scale)
+    up = (x > near) | ((x == near) & ((beyond > 0) | ((beyond == 0) & (below % 2 == 1))))
+    rounded = below + up.cast("long")
+    digits = F.format_string(f"%d.%0{n}d", F.floor(rounded / scale), rounded % scale)
+    shown = F.when(x < 1e9, F.concat(F.when(value < 0, "-").otherwise(""), digits))
+    return F.coalesce(shown, F.format_string(f"%.{n}f", value))
+
+
 def refusal_reason(confidence: Column, support: Column) -> Column:
     """Which condition a refused claim fails first."""
-    low = F.format_string(f"confidence %.3f is below {policy.REFUSAL_THRESHOLD:.2f}", confidence)
-    weak = F.format_string(f"strongest support %.3f is below {policy.LEAST_SUPPORT:.2f} and no other route holds", F.coalesce(support, F.lit(0.0)))
+    low = F.concat(F.lit("confidence "), places(confidence, 3), F.lit(f" is below {policy.REFUSAL_THRESHOLD:.2f}"))
+    weak = F.concat(F.lit("strongest support "), places(F.coalesce(support, F.lit(0.0)), 3), F.lit(f" is below {policy.LEAST_SUPPORT:.2f} and no other route holds"))
     return F.when(confidence < policy.REFUSAL_THRESHOLD, low).otherwise(weak)
 
 
@@ -103,7 +119,7 @@ def verdict(established: Column, forecast: Column, refused: Column, truth: Colum
 
 def explain_weight(*terms: tuple[str, Column]) -> Column:
     """The factors of a weight as text."""
-    return F.concat_ws(" * ", *[F.concat(F.lit(f"{name}="), F.format_string("%.2f", value)) for name, value in terms])
+    return F.concat_ws(" * ", *[F.concat(F.lit(f"{name}="), places(value, 2)) for name, value in terms])
 
 
 def in_enum(value: Column, *allowed: str) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions import rules
 from tidemark.operators import forecast, ingest, ledger, merge, slices
 from tidemark.plans import jobs
 
@@ -63,7 +64,7 @@ def from_sources(genes: DataFrame, literature: DataFrame, screens: DataFrame, te
 
 def scorecard(metrics: DataFrame, names: list[str]) -> DataFrame:
     """(cutoff, run, metric, value, lower, upper) as a row per cutoff and run, a missing metric shown as not run."""
-    shown = F.when(F.col("lower").isNull(), F.format_string("%.3f", "value")).otherwise(F.format_string("%.2f [%.2f, %.2f]", "value", "lower", "upper"))
+    shown = F.when(F.col("lower").isNull(), rules.places(F.col("value"), 3)).otherwise(F.concat(rules.places(F.col("value"), 2), F.lit(" ["), rules.places(F.col("lower"), 2), F.lit(", "), rules.places(F.col("upper"), 2), F.lit("]")))
     return metrics.withColumn("shown", shown).groupBy("cutoff", "run").pivot("metric", names).agg(F.first("shown")).fillna("not run", names)
 
 
