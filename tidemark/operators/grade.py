@@ -90,10 +90,11 @@ def cost_lens(ranked: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def trace_records(named: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Record ids that objects name against the nodes: objects, ids, untraceable ids, ids without a licence. ``named``: object, record_ids."""
+    """Record ids that objects name against the nodes: objects, ids, untraceable ids, ids without a licence. An object that
+    names none has no untraceable id. ``named``: object, record_ids."""
     ids = named.select("object", F.explode_outer("record_ids").alias("record_id"))
     found = ids.join(nodes.select(F.col("id").alias("n_id"), "license"), F.col("record_id") == F.col("n_id"), "left")
-    return found.agg(F.count_distinct("object").alias("objects"), F.count("record_id").alias("ids"), F.count_if(F.col("n_id").isNull()).alias("untraceable"), F.count_if(F.col("n_id").isNotNull() & F.col("license").isNull()).alias("unlicensed"))
+    return found.agg(F.count_distinct("object").alias("objects"), F.count("record_id").alias("ids"), F.count_if(F.col("record_id").isNotNull() & F.col("n_id").isNull()).alias("untraceable"), F.count_if(F.col("n_id").isNotNull() & F.col("license").isNull()).alias("unlicensed"))
 
 
 def classify_citations(cited: DataFrame, context: DataFrame, sliced: DataFrame, store: DataFrame, shown: list[str] | None = None) -> DataFrame:
