@@ -21,7 +21,8 @@ def ranking_metrics(ranked: DataFrame, truth: DataFrame, keys: list[str]) -> Dat
     on = F.col("entity") == F.col("t_entity")
     for k in keys:
         on &= F.col(k) == F.col(f"t_{k}")
-    hit = ranked.join(t, on, "left").withColumn("hit", F.col("t_entity").isNotNull())
+    # truth per answer shuffles to few bytes, but is too many rows to broadcast
+    hit = ranked.join(t.hint("merge"), on, "left").withColumn("hit", F.col("t_entity").isNotNull())
     at = lambda n: (F.count_if(F.col("hit") & (F.col("rank") <= n)) / n)
     first = F.min(F.when(F.col("hit"), F.col("rank")))
     return hit.groupBy(*keys).agg(at(5).alias("p_at_5"), at(10).alias("p_at_10"), F.coalesce(1 / first, F.lit(0.0)).alias("reciprocal_rank"), F.count_if("hit").alias("hits"), F.count("*").alias("ranked"))
@@ -102,7 +103,7 @@ def classify_citations(cited: DataFrame, context: DataFrame, sliced: DataFrame,
     context if it was shown with the same claim, or with the same ``shown`` columns."""
     out, by = cited, [*(["claim"] if shown is None else shown), "record_id"]
     for name, table, keys in (("in_context", context.select(*by).distinct(), by), ("in_slice", sliced.select("record_id").distinct(), ["record_id"]), ("in_store", store.select("record_id").distinct(), ["record_id"])):
-        out = out.join(table.withColumn(name, F.lit(True)), keys, "left")
+        out = out.join(table.withColumn(name, F.lit(True)).hint("merge"), keys, "left")  # ids shuffle to few bytes
     status = F.when(F.col("in_context"), "in_context").when(F.col("in_slice"), "out_of_context").when(F.col("in_store"), "post_cutoff").otherwise("fabricated")
     return out.withColumn("status", status).drop("in_context", "in_slice", "in_store")
 

@@ -41,7 +41,7 @@ def resolve_in_graph(names: DataFrame, entities: DataFrame, name: str = "name")
     key = F.upper(F.trim(F.col(name)))
     symbols = entities.groupBy(F.upper("symbol").alias("k_symbol")).agg(F.min("id").alias("by_symbol"))
     aliases = unique_names(entities, F.coalesce("aliases", F.array().cast("array<string>")), distinct_owners=True).filter("owners = 1").select(F.col("name").alias("k_alias"), F.col("owner").alias("by_alias"))
-    out = names.join(symbols, key == F.col("k_symbol"), "left").join(aliases, key == F.col("k_alias"), "left")
+    out = names.join(symbols.hint("merge"), key == F.col("k_symbol"), "left").join(aliases.hint("merge"), key == F.col("k_alias"), "left")  # names shuffle to few bytes, too many to broadcast
     return out.select(*names.columns, F.coalesce("by_symbol", "by_alias").alias("id"))
 
 

@@ -185,20 +185,20 @@ def answer_rows(answers: DataFrame, schema: str, entities: DataFrame, keys: list
     refusals = part(F.col("parsed.refusals"), "refused", lambda c: F.lit(0.0), lambda c: none)
     rows = checked.filter("status = 'ok'").select(*keys, F.posexplode(F.concat(claims, refusals)).alias("position", "row")).select(*keys, "position", "row.*")
     names = entities.select(F.col("id").cast("string").alias("entity"), F.upper("symbol").alias("own_symbol"))
-    found = resolve.resolve_in_graph(rows, entities).withColumn("entity", F.col("id").cast("string")).join(names, "entity", "left")
+    found = resolve.resolve_in_graph(rows, entities).withColumn("entity", F.col("id").cast("string")).join(names.hint("merge"), "entity", "left")
     written = F.upper(F.trim("name"))
     found = found.select(*keys, "position", "outcome", F.coalesce("entity", F.concat(F.lit("unresolved:"), written)).alias("entity"), F.coalesce("own_symbol", written).alias("symbol"), "confidence", "cited_ids")
     twice = found.groupBy(*keys).agg((F.count("*") > F.count_distinct("entity")).alias("twice"))
-    status = checked.join(twice, keys, "left").select(*keys, F.when(F.coalesce("twice", F.lit(False)), "two answers for a gene").otherwise(F.col("status")).alias("status"))
-    return found.join(status.filter("status = 'ok'").select(*keys), keys, "left_semi"), status
+    status = checked.join(twice.hint("merge"), keys, "left").select(*keys, F.when(F.coalesce("twice", F.lit(False)), "two answers for a gene").otherwise(F.col("status")).alias("status"))
+    return found.join(status.filter("status = 'ok'").select(*keys).hint("merge"), keys, "left_semi"), status
 
 
 def check_citations(claims: DataFrame, library: Library, keys: list[str]) -> DataFrame:
     """Keys, entity, record_id, status and whether the cited row of the slice names the claim's gene."""
     cited = claims.select(*keys, "entity", "symbol", F.explode("cited_ids").alias("record_id"))
-    shown = library.context.join(library.nodes.select("record_id"), "record_id", "left_semi")  # only rows of the slice can be shown
+    shown = library.context.join(library.nodes.select("record_id").hint("merge"), "record_id", "left_semi")  # only rows of the slice can be shown
     found = grade.classify_citations(cited, shown, library.nodes, library.store, keys)
-    named = found.join(library.nodes, "record_id", "left")
+    named = found.join(library.nodes.hint("merge"), "record_id", "left")
     names = grade.names_entity(F.col("kind"), F.col("own").cast("string"), F.col("matched"), F.col("title"), F.col("entity"), F.col("symbol"))
     return named.select(*keys, "entity", "record_id", "status", F.coalesce(names, F.lit(False)).alias("names"))
 
@@ -211,22 +211,23 @@ def score_answers(answers: DataFrame, schema: str, entities: DataFrame, truth: D
     said, status = answer_rows(answers, schema, entities, keys)
     said = forecast.reliable(said)
     text = lambda t: t.withColumn("entity", F.col("entity").cast("string"))
-    truth, traps = text(truth).select(*keys, "entity").distinct(), text(traps)
+    apart = lambda t: t.hint("merge")  # noqa: E731  a row per answer or more: its shuffled bytes are few, its rows too many to broadcast
+    truth, traps = apart(text(truth).select(*keys, "entity").distinct()), text(traps)
     claims = said.filter("outcome = 'forecast'")
     citations = forecast.reliable(check_citations(claims, library, keys))
     count = lambda s: F.count_if(F.col("status") == s).alias(s)
     cited = citations.groupBy(*keys).agg(F.count("*").alias("citations"), *map(count, ("in_context", "out_of_context", "post_cutoff", "fabricated")))
     grounded = citations.filter("status = 'in_context' AND names").select(*keys, "entity").distinct().withColumn("grounded", F.lit(True))
-    ranked = forecast.rank_answers(claims.drop("outcome", "cited_ids"), keys).join(grounded, [*keys, "entity"], "left").fillna(False, ["grounded"])
+    ranked = forecast.rank_answers(claims.drop("outcome", "cited_ids"), keys).join(apart(grounded), [*keys, "entity"], "left").fillna(False, ["grounded"])
     later = ranked.join(truth, [*keys, "entity"], "left_semi").groupBy(*keys).agg(F.count("*").alias("post_cutoff_claims"), F.count_if(~F.col("grounded")).alias("recalled"))
     of_claims = ranked.groupBy(*keys).agg(F.count_if("grounded").alias("grounded_claims"))
     ranks = ranked.select(*keys, "entity", "rank", F.col("rank").alias("cost_rank"))
-    answered = traps.join(status.filter("status = 'ok'").select(*keys), keys, "left_semi")
-    outcomes = grade.trap_rollup(grade.trap_outcomes(answered, said.join(ranks, [*keys, "entity"], "left"), keys), keys).select(*keys, "traps", F.col("passed").alias("traps_passed"))
+    answered = traps.join(apart(status.filter("status = 'ok'").select(*keys)), keys, "left_semi")
+    outcomes = grade.trap_rollup(grade.trap_outcomes(apart(answered), said.join(apart(ranks), [*keys, "entity"], "left"), keys), keys).select(*keys, "traps", F.col("passed").alias("traps_passed"))
     refused = said.groupBy(*keys).agg(F.count_if(F.col("outcome") == "refused").alias("refusals"))
     report = status
     for table in (grade.ranking_metrics(ranked, truth, keys), refused, cited, of_claims, later, outcomes):
-        report = report.join(table, keys, "left")
+        report = report.join(apart(table), keys, "left")
     return ranked, report.fillna(0)
 
 
