@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from tidemark.functions import rules
-from tidemark.operators import grade
+from tidemark.operators import grade, ingest
+from tidemark.plans import files
 
 
 def test_decimals_are_those_of_printf(spark):
@@ -26,3 +27,12 @@ def test_truth_of_every_answer_is_not_broadcast(spark):
     out = grade.ranking_metrics(ranked, truth, ["run"])
     assert out.agg(F.sum("hits")).first()[0] == truth.count()
     assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_perturbed_gene_counts_once_but_keeps_its_edges(spark):
+    rows = spark.createDataFrame([(1, 5, "crispri"), (2, 5, "knockout"), (3, 5, "crispri"), (3, 6, "crispri")], "screen_id long, gene long, perturbation string")
+    tested = rows.selectExpr("*", "concat('m', screen_id, ':', gene) AS id", "'s' AS system", "cast(screen_id AS string) AS pmid", "DATE '2012-01-01' AS date")
+    edges = ingest.screen_edges(tested).withColumn("id", F.concat_ws("|", "type", "src", "dst")).distinct()
+    assert {r["src"] for r in edges.filter("type = 'PERTURBS' AND dst = 'gene:5'").collect()} == {"perturbation:crispri", "perturbation:knockout"}
+    counted = {r["type"]: r["count"] for r in files.gene_edges(edges, "id").groupBy("type").count().collect()}
+    assert counted == {"SCREEN_TESTED": 4, "MEASURED_IN": 4, "PERTURBS": 2, "REPORTS": 4}
