@@ -36,3 +36,9 @@ def test_a_perturbed_gene_counts_once_but_keeps_its_edges(spark):
     assert {r["src"] for r in edges.filter("type = 'PERTURBS' AND dst = 'gene:5'").collect()} == {"perturbation:crispri", "perturbation:knockout"}
     counted = {r["type"]: r["count"] for r in files.gene_edges(edges, "id").groupBy("type").count().collect()}
     assert counted == {"SCREEN_TESTED": 4, "MEASURED_IN": 4, "PERTURBS": 2, "REPORTS": 4}
+
+
+def test_screens_are_few_files_and_hits_are_not_written_for_them(spark, monkeypatch):
+    monkeypatch.setattr(files, "hit_tables", None)
+    screens = files.read_screens(spark, "/root/testdata/sf0.001")
+    assert len(screens.inputFiles()) == 1 and screens.count() > 5
