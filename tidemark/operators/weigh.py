@@ -21,8 +21,9 @@ def genetic_support(measurements: DataFrame, keys: list[str], p: str, most: floa
 
 
 def directness_of(measurements: DataFrame, phenotypes: DataFrame) -> DataFrame:
-    """The phenotype's directness, proxy where it is missing."""
-    return measurements.join(phenotypes.select("phenotype", F.col("directness").alias("d")), "phenotype", "left").withColumn("directness", F.coalesce("d", F.lit("proxy"))).drop("d")
+    """The phenotype's directness, proxy where it is missing. The vocabulary goes to the measurements: a task per phenotype
+    would take all of its rows."""
+    return measurements.join(F.broadcast(phenotypes.select("phenotype", F.col("directness").alias("d"))), "phenotype", "left").withColumn("directness", F.coalesce("d", F.lit("proxy"))).drop("d")
 
 
 def weight(system: Column, perturbation: Column, directness: Column, assay: Column, replicates: Column, supported: Column, author_reported: Column, tables: dict[str, dict] | None = None) -> Column:

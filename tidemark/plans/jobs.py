@@ -24,7 +24,8 @@ ASSOCIATION = "gwas_association"
 @dataclass(frozen=True)
 class Rules:
     """What C09 finds in a slice: the weighed rows, one table per rule kind, all rules in one form with the number of their
-    records, and these records as rows (keys, entity, kind, record), so that no rule holds a list that grows with the data."""
+    records, and these records as rows (keys, entity, kind, record), so that no rule holds a list that grows with the data.
+    Weighed rows and rule tables (without record_ids and systems) are stored, as much of what follows reads them."""
 
     weighed: DataFrame
     genetic: DataFrame
@@ -37,20 +38,27 @@ class Rules:
     records: DataFrame
 
 
+def weighed_rows(measurements: DataFrame, phenotypes: DataFrame, keys: list[str], p_most: float = policy.GENOME_WIDE, tables: dict[str, dict] | None = None, uniform: bool = False) -> DataFrame:
+    """Measurements with trait_family and weight. ``phenotypes`` is a vocabulary and goes to every task: joined by
+    shuffle, each of its few words would be one task's share of all measurements."""
+    kinds = phenotypes.select("phenotype", F.col("family").alias("trait_family"))
+    rows = weigh.directness_of(measurements, phenotypes).join(F.broadcast(kinds), "phenotype", "left")
+    return weigh.weigh(rows, [*keys, "entity"], tables, uniform, p_most)
+
+
 def weigh_and_extract(measurements: DataFrame, phenotypes: DataFrame, publications: DataFrame, edges: DataFrame, genes: DataFrame, keys: list[str], association: str = ASSOCIATION, p_most: float = policy.GENOME_WIDE, tables: dict[str, dict] | None = None, uniform: bool = False) -> Rules:
     """Weights (J11, J12), the five rule kinds with their records, and each rule's route; rules that the gate (P19) rejects
     are left out of ``all``."""
     by = [*keys, "entity"]
-    kinds = phenotypes.select("phenotype", F.col("family").alias("trait_family"))
-    rows = weigh.directness_of(measurements, phenotypes).join(kinds, "phenotype", "left")
-    weighed = forecast.reliable(weigh.weigh(rows, by, tables, uniform, p_most))  # five rule kinds and the evidence read it
+    weighed = forecast.stored(weighed_rows(measurements, phenotypes, keys, p_most, tables, uniform))  # five rule kinds and the evidence read it
+    per_entity = lambda rules: forecast.stored(rules.drop("record_ids", "systems"))  # noqa: E731  the records are rows, see below
     own = F.col("trait_family") == "HBF"
-    genetic = derive.genetic_rules(weighed.filter(F.col("assay") == association), by, p_most)
-    essential = derive.essentiality_rules(weighed.filter("trait_family = 'FITNESS'"), by)
-    functional = derive.functional_rules(weighed.filter(own & (F.col("assay") != association)), by)
-    literature = derive.literature_rules(publications, by)
+    genetic = per_entity(derive.genetic_rules(weighed.filter(F.col("assay") == association), by, p_most))
+    essential = per_entity(derive.essentiality_rules(weighed.filter("trait_family = 'FITNESS'"), by))
+    functional = per_entity(derive.functional_rules(weighed.filter(own & (F.col("assay") != association)), by))
+    literature = per_entity(derive.literature_rules(publications, by))
     best = derive.best_measurement(genetic, functional, by)
-    composed = forecast.reliable(derive.composition(edges, best, best, keys))
+    composed = forecast.stored(derive.composition(edges, best, best, keys))
     count = F.col("records").cast("long")
     no_tier = F.lit(None).cast("long")
 

@@ -139,8 +139,8 @@ def j11(spark: SparkSession, d: str) -> DataFrame:
 
 @query("j13_uniform_weight", f"WITH {_JOB}, {_CLAIMS} SELECT cutoff, count(*) AS n, CAST(count(*) AS DOUBLE) AS weight FROM m GROUP BY cutoff")
 def j13(spark: SparkSession, d: str) -> DataFrame:
-    found, _ = rule_set(spark, d, uniform=True)
-    return found.weighed.groupBy("cutoff").agg(F.count("*").alias("n"), F.sum("weight").alias("weight"))
+    t = tables(spark, d)
+    return jobs.weighed_rows(t["measurements"], t["phenotypes"], ["cutoff"], P_MOST, OPTIONS["tables"], uniform=True).groupBy("cutoff").agg(F.count("*").alias("n"), F.sum("weight").alias("weight"))
 
 
 _HELD = f"""left_ev AS (SELECT cutoff, entity, delta, NULL AS transferred FROM papers UNION ALL SELECT cutoff, entity, transferred * 0.85, transferred FROM routed),
