@@ -30,7 +30,7 @@ def resolve(names: DataFrame, entities: DataFrame, name: str = "name") -> DataFr
     alias = unique_names(entities, F.concat(F.coalesce("aliases", empty), F.coalesce("previous", empty))).select(F.col("name").alias("k_alias"), F.col("owner").alias("alias_owner"), "owners")
     out = names
     for table, k in ((by("entrez", "by_entrez"), "k_by_entrez"), (by("ensembl", "by_ensembl"), "k_by_ensembl"), (by("symbol", "by_symbol"), "k_by_symbol"), (alias, "k_alias")):
-        out = out.join(table, key == F.col(k), "left")
+        out = out.join(table.hint("merge"), key == F.col(k), "left")  # a few bytes of file each, but as many rows as entities: too many to broadcast
     found = F.coalesce("by_entrez", "by_ensembl", "by_symbol", F.when(F.col("owners") == 1, F.col("alias_owner")))
     reason = F.when(found.isNotNull(), F.lit(None)).when(F.coalesce(key, F.lit("")) == "", "empty").when(F.col("owners") > 1, F.concat(F.lit("ambiguous "), F.col("owners").cast("string"))).otherwise("unknown")
     return out.select(*names.columns, found.alias("id"), reason.alias("reason"))
