@@ -46,7 +46,7 @@ def visible_edges(nodes: DataFrame, edges: DataFrame, cutoffs: list[str]) -> Dat
 
 def dangling(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Edges with an end that isn't a node, and which end that is, for the exclusion table."""
-    known = nodes.select(F.col("id").alias("k_id"))
+    known = nodes.select(F.col("id").alias("k_id")).hint("merge")  # ids shuffle to few bytes, too many to broadcast
     lost = lambda end: edges.join(known, F.col(end) == F.col("k_id"), "left_anti").select("id", *[F.lit(e == end).alias(e) for e in ("dst", "src")])
     # two flags, which Spark folds in hashed rows of fixed size; a set per edge would be an object each, and a sort of all
     ends = lost("src").union(lost("dst")).groupBy("id").agg(F.bool_or("dst").alias("dst"), F.bool_or("src").alias("src"))

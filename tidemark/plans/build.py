@@ -15,10 +15,10 @@ def build_graph(tagged: list[DataFrame], nodes: list[DataFrame], edges: list[Dat
 
     ``tagged``: tables with source, source_id and reject_reason; ``nodes`` and ``edges`` have load_order.
     """
-    node = merge.last_write(merge.union_all(*nodes), ["id"], "load_order").drop("load_order")
-    edge = merge.last_write(merge.union_all(*edges), ["id"], "load_order").drop("load_order")
-    lost = slices.dangling(node, edge)
-    kept = edge.join(lost.select("id"), "id", "left_anti")
+    node = forecast.stored(merge.last_write(merge.union_all(*nodes), ["id"], "load_order").drop("load_order"))
+    edge = forecast.stored(merge.last_write(merge.union_all(*edges), ["id"], "load_order").drop("load_order"))
+    lost = forecast.stored(slices.dangling(node, edge))
+    kept = edge.join(lost.select("id").hint("merge"), "id", "left_anti")
     excluded = merge.union_all(*[ingest.split(t)[1] for t in tagged], lost.select(F.lit("graph").alias("source"), F.col("id").alias("source_id"), F.concat(F.lit("missing "), "missing").alias("reason")))
     return {"nodes": node, "edges": kept, "exclusions": excluded, "report": merge.report(excluded, "source", "reason")}
 
@@ -38,7 +38,7 @@ def from_sources(genes: DataFrame, literature: DataFrame, screens: DataFrame, te
     """
     columns = {"genes": ["id", "symbol", "effective_date"], "literature": ["pmid", "title", "date"], "screens": ["date"], "tested": ["id", "screen_id", "gene", "pmid", "date", "system", "perturbation"], "associations": ["id", "date"], "essentiality": ["date"], "evidence": ["date"], "trials": ["title", "date"]}
     given = dict(genes=genes, literature=literature, screens=screens, tested=tested, associations=associations, essentiality=essentiality, evidence=evidence, trials=trials)
-    tagged = {name: forecast.reliable(given[name].select("source", "source_id", "reject_reason", *columns[name])) for name in given}
+    tagged = {name: forecast.stored(given[name].select("source", "source_id", "reject_reason", *columns[name])) for name in given}
     good = {name: ingest.split(table)[0] for name, table in tagged.items()}
 
     def node(name: str, kind: str, key: Column, label: Column, date: str = "date") -> DataFrame:
