@@ -17,7 +17,7 @@ def build_graph(tagged: list[DataFrame], nodes: list[DataFrame], edges: list[Dat
     """
     node = forecast.stored(merge.last_write(merge.union_all(*nodes), ["id"], "load_order").drop("load_order"))
     edge = forecast.stored(merge.last_write(merge.union_all(*edges), ["id"], "load_order").drop("load_order"))
-    lost = forecast.stored(slices.dangling(node, edge))
+    lost = forecast.stored(slices.dangling(node.hint("merge"), edge))  # ids shuffle to few bytes, too many to broadcast
     kept = edge.join(lost.select("id").hint("merge"), "id", "left_anti")
     excluded = merge.union_all(*[ingest.split(t)[1] for t in tagged], lost.select(F.lit("graph").alias("source"), F.col("id").alias("source_id"), F.concat(F.lit("missing "), "missing").alias("reason")))
     return {"nodes": node, "edges": kept, "exclusions": excluded, "report": merge.report(excluded, "source", "reason")}
